@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import encoded, read_vocabulary
 from .ngram_join import ngram_components
 from .session import table
 
@@ -10,8 +11,20 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return ngram_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op2_bpe_codec(spark, sf_dir):
+    return encoded(table(spark, sf_dir, "documents"), read_vocabulary(vocabulary_path()))
+
+
+def vocabulary_path() -> str:
+    """The public vocabulary file; it stays where the box has it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_bpe_codec": op2_bpe_codec,
 }
 
 SQL: dict[str, str] = {}
