@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import encoded, read_vocabulary
 from .ngram_join import ngram_components
 from .session import table
+from .winnow import contamination
 
 
 def op1_ngram_jaccard_join(spark, sf_dir):
@@ -22,9 +23,31 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op7_winnowing_decontamination(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_bpe_codec": op2_bpe_codec,
+    "op7_winnowing_decontamination": op7_winnowing_decontamination,
 }
 
-SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL: dict[str, str] = {
+    "op7_winnowing_decontamination": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+spans AS (SELECT DISTINCT least(len(w), 13) AS span FROM i WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, span, list_slice(w, s, s + span - 1) AS win
+       FROM (SELECT item_id, w, least(len(w), 13) AS span, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS s FROM i WHERE len(w) > 0)),
+dw AS (SELECT doc_id, span, s, list_slice(w, s, s + span - 1) AS win
+       FROM (SELECT doc_id, w, span, unnest(range(1, len(w) - span + 2)) AS s FROM d, spans WHERE len(w) >= span)),
+met AS (SELECT doc_id, item_id, s, span FROM dw JOIN iw USING (span, win)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + span)) AS p FROM met) GROUP BY 1),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM met) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)""",
+}
