@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .bpe import encoded, read_vocabulary
 from .ngram_join import ngram_components
 from .session import table
+from .toxicity import SAMPLE, learn, sample_of, toxicity
 from .winnow import contamination
 
 
@@ -27,10 +30,31 @@ def op7_winnowing_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: A score from which a document is called toxic, or good.
+CALL = 0.3
+
+
+def toxicity_of(spark, sf_dir, docs):
+    """docs with score and predicted; learned from labels outside the held-out fold."""
+    everything = table(spark, sf_dir, "documents")
+    model = learn(everything, sample_of(table(spark, sf_dir, "labels"), "toxic", 4, 2, SAMPLE))
+    return toxicity(docs, model).withColumn("predicted", (F.col("score") >= CALL).cast("int"))
+
+
+def _fold(by: int, left_out: int):
+    return (F.crc32(F.col("doc_id").cast("string")) % by == left_out).alias("held_out")
+
+
+def op10_ftrl_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity_of(spark, sf_dir, docs).select("doc_id", _fold(4, 2), "score", "predicted")
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_bpe_codec": op2_bpe_codec,
     "op7_winnowing_decontamination": op7_winnowing_decontamination,
+    "op10_ftrl_toxicity": op10_ftrl_toxicity,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
