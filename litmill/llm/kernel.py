@@ -83,6 +83,12 @@ def _spans(data: np.ndarray, offsets: np.ndarray, is_gap: np.ndarray) -> tuple[n
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, is_gap: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word (A-Z lower-cased) and the number of words in each text."""
+    hashes, where = placed_words(data, offsets, is_gap)
+    return hashes, np.diff(np.searchsorted(where, offsets, side="left"))
+
+
+def placed_words(data: np.ndarray, offsets: np.ndarray, is_gap: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word (A-Z lower-cased) and the byte where it starts."""
     hashes, at = [], []
     for lo, hi in _blocks(data, offsets, is_gap):
         part = LOWER[data[lo:hi]]
@@ -100,10 +106,23 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, is_gap: np.ndarray = IS_S
         hashes.append(mix(h + size.astype(U64)))
         at.append(starts + lo)
     if not hashes:
-        return np.zeros(0, U64), np.zeros(len(offsets) - 1, np.int64)
-    where = np.concatenate(at)
-    counts = np.diff(np.searchsorted(where, offsets, side="left"))
-    return np.concatenate(hashes), counts
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(at)
+
+
+def class_counts(data: np.ndarray, bounds: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """How many bytes of each class lie between neighbouring bounds; classes is a bool table (class, byte)."""
+    out = np.zeros((len(classes), len(bounds)), dtype=np.int64)
+    for i, members in enumerate(classes):
+        member = members.astype(np.uint8)
+        carry = 0
+        for lo in range(0, len(data), BLOCK):
+            part = member[data[lo : lo + BLOCK]]
+            a, b = np.searchsorted(bounds, (lo, lo + len(part)), side="right")
+            total = np.cumsum(part, dtype=np.int32)
+            out[i, a:b] = carry + total[bounds[a:b] - lo - 1]
+            carry += int(total[-1])
+    return np.diff(out, axis=1)
 
 
 def _blocks(data: np.ndarray, offsets: np.ndarray, is_gap: np.ndarray):

@@ -270,6 +270,9 @@ def _sizes(width: int):
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without all but the smallest doc_id of each component; columns as they were."""
-    keep = ngram_components(docs, width, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi").unionByName(docs.where("doc_id is null"))
+    """One row of each component: that of its smallest doc_id.  Rows with a null doc_id stay; columns as they were."""
+    keep = cut(ngram_components(docs, width, percent).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
+    left = docs.join(keep.select(F.col("doc_id").alias("_kept")), docs["doc_id"] == F.col("_kept"), "left_semi")
+    if not keep.where("rows > 1").isEmpty():  # repeated rows of one document
+        left = left.dropDuplicates(["doc_id"])
+    return left.unionByName(docs.where("doc_id is null"))

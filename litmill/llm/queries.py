@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import line_crf
 from .bpe import encoded, read_vocabulary
 from .ngram_join import ngram_components
 from .session import table
@@ -45,6 +46,18 @@ def _fold(by: int, left_out: int):
     return (F.crc32(F.col("doc_id").cast("string")) % by == left_out).alias("held_out")
 
 
+def quality_of(spark, sf_dir, docs):
+    """docs with score and predicted; learned from labels outside the held-out fold."""
+    everything = table(spark, sf_dir, "documents")
+    model = line_crf.learn(everything, sample_of(table(spark, sf_dir, "labels"), "quality", 5, 0, line_crf.SAMPLE))
+    return line_crf.quality(docs, model).withColumn("predicted", (F.col("score") >= CALL).cast("int"))
+
+
+def op5_line_crf_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_of(spark, sf_dir, docs).select("doc_id", _fold(5, 0), "score", "predicted")
+
+
 def op10_ftrl_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity_of(spark, sf_dir, docs).select("doc_id", _fold(4, 2), "score", "predicted")
@@ -53,6 +66,7 @@ def op10_ftrl_toxicity(spark, sf_dir):
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_bpe_codec": op2_bpe_codec,
+    "op5_line_crf_quality": op5_line_crf_quality,
     "op7_winnowing_decontamination": op7_winnowing_decontamination,
     "op10_ftrl_toxicity": op10_ftrl_toxicity,
 }
