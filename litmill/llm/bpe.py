@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Encoded chunks a Python worker remembers.
-CACHE = 300_000
+#: Encoded chunks, and pieces of chunks, that a Python worker remembers (about 200 bytes each).
+CACHE = 500_000
 
 _DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Characters that Python's str.split takes as white space and Unicode's White_Space does not.
-_ODD = regex.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 _FULL_SPLIT = regex.compile(r"\p{White_Space}+")
 
 
@@ -94,6 +94,12 @@ class Codec:
         for s in self.ids:
             self.trie.add_word(s, len(s))
         self.shorter = {i: self._below(s) for s, i in self.ids.items()}
+        # Each node of the trie, with the longest token on the way to it.
+        self.best: dict[str, int] = {}
+        for s in sorted(self.ids, key=len):
+            for k in range(1, len(s)):
+                self.best.setdefault(s[:k], self.ids.get(s[:k], self.best.get(s[: k - 1])))
+            self.best[s] = self.ids[s]
         self.compatible = functools.lru_cache(maxsize=1 << 20)(self._compatible)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -105,6 +111,7 @@ class Codec:
         self.offset = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.known: dict[str, bytes] = {}
+        self.pieces_known: dict[str, bytes] = {}
 
     def _below(self, s: str) -> int | None:
         for k in range(len(s) - 1, 0, -1):
@@ -132,11 +139,8 @@ class Codec:
         return True
 
     def _longest(self, s: str) -> int:
-        k = self.trie.longest_prefix(s)
-        ids = self.ids
-        while s[:k] not in ids:
-            k -= 1
-        return ids[s[:k]]
+        """The longest token that starts s."""
+        return self.best[s[: self.trie.longest_prefix(s)]]
 
     def encode_piece(self, raw: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -165,11 +169,24 @@ class Codec:
                 return out
             token = self._longest(s[at:])
 
+    def _piece(self, piece: str) -> bytes:
+        found = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
+        if len(self.pieces_known) < CACHE:
+            self.pieces_known[piece] = found
+        return found
+
     def _chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.pieces.findall(chunk):
-            ids += self.encode_piece(piece.encode())
-        found = np.array(ids, "<u4").tobytes()
+        """Ids of text without white space; what it is made of never depends on what stands beyond white space."""
+        text = chunk
+        if not text.isascii():
+            if _unassigned().search(text):
+                return self._rare(text)
+            text = unicodedata.normalize("NFC", text)
+        # Lower-casing is by character: a final sigma stays a plain one.
+        text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+        known, piece = self.pieces_known, self._piece
+        parts = [text] if text.isascii() and text.isalpha() else self.pieces.findall(text)
+        found = b"".join([known[p] if p in known else piece(p) for p in parts])
         if len(self.known) < CACHE:
             self.known[chunk] = found
         return found
@@ -184,13 +201,7 @@ class Codec:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        if not text.isascii():
-            if _unassigned().search(text):
-                return self._rare(text)
-            text = unicodedata.normalize("NFC", text)
-        # Lower-casing is by character: a final sigma stays a plain one.
-        text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-        chunks = text.split() if not _ODD.search(text) else [c for c in _FULL_SPLIT.split(text) if c]
+        chunks = text.split() if not any(c in text for c in _ODD) else [c for c in _FULL_SPLIT.split(text) if c]
         known, chunk = self.known, self._chunk
         return b"".join([known[c] if c in known else chunk(c) for c in chunks])
 
