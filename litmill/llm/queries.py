@@ -9,6 +9,7 @@ from .bpe import encoded, read_vocabulary
 from .ngram_join import ngram_components
 from .session import table
 from .toxicity import SAMPLE, learn, sample_of, toxicity
+from .urlfilter import BLOCKED, RULES, filtered
 from .winnow import contamination
 
 
@@ -58,6 +59,10 @@ def op5_line_crf_quality(spark, sf_dir):
     return quality_of(spark, sf_dir, docs).select("doc_id", _fold(5, 0), "score", "predicted")
 
 
+def op9_sorted_digest_urls(spark, sf_dir):
+    return filtered(spark, table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_ftrl_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity_of(spark, sf_dir, docs).select("doc_id", _fold(4, 2), "score", "predicted")
@@ -68,12 +73,28 @@ QUERIES = {
     "op2_bpe_codec": op2_bpe_codec,
     "op5_line_crf_quality": op5_line_crf_quality,
     "op7_winnowing_decontamination": op7_winnowing_decontamination,
+    "op9_sorted_digest_urls": op9_sorted_digest_urls,
     "op10_ftrl_toxicity": op10_ftrl_toxicity,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _fits(host: str, path: str) -> str:
+    return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}'))"
+
+
+_LISTED = " OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in BLOCKED)
+_BY_LENGTH = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
+
 SQL: dict[str, str] = {
+    "op9_sorted_digest_urls": rf"""
+WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut)
+SELECT page_id, host, path,
+       CASE {" ".join(f"WHEN {_fits(h, p)} THEN '{h}{p}'" for h, p, _ in _BY_LENGTH)} END AS rule,
+       CASE {" ".join(f"WHEN {_fits(h, p)} THEN '{v}'" for h, p, v in _BY_LENGTH)} WHEN {_LISTED} THEN 'block' ELSE 'allow' END AS verdict
+FROM parts""",
     "op7_winnowing_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
