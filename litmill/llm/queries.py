@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import line_crf
 from .bpe import encoded, read_vocabulary
+from .license_scan import EQUIVALENT, KNOWN, scanned
 from .ngram_join import ngram_components
 from .session import table
 from .toxicity import SAMPLE, learn, sample_of, toxicity
@@ -59,6 +60,10 @@ def op5_line_crf_quality(spark, sf_dir):
     return quality_of(spark, sf_dir, docs).select("doc_id", _fold(5, 0), "score", "predicted")
 
 
+def op8_license_digests(spark, sf_dir):
+    return scanned(table(spark, sf_dir, "documents"))
+
+
 def op9_sorted_digest_urls(spark, sf_dir):
     return filtered(spark, table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -73,6 +78,7 @@ QUERIES = {
     "op2_bpe_codec": op2_bpe_codec,
     "op5_line_crf_quality": op5_line_crf_quality,
     "op7_winnowing_decontamination": op7_winnowing_decontamination,
+    "op8_license_digests": op8_license_digests,
     "op9_sorted_digest_urls": op9_sorted_digest_urls,
     "op10_ftrl_toxicity": op10_ftrl_toxicity,
 }
@@ -86,7 +92,26 @@ def _fits(host: str, path: str) -> str:
 _LISTED = " OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in BLOCKED)
 _BY_LENGTH = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
 
+def _canonical(text: str) -> str:
+    t = f"regexp_replace(replace(replace(lower(coalesce({text}, '')), '(c)', ' copyright '), '©', ' copyright '), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    for a, b in EQUIVALENT:
+        t = f"replace({t}, '{a}', '{b}')"
+    return f"list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^copyright( copyright)? [0-9]') AND x <> 'all rights reserved')"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 SQL: dict[str, str] = {
+    "op8_license_digests": f"""
+WITH known AS (SELECT array_to_string({_canonical("text")}, ' ') AS text, min(license) AS license
+               FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in KNOWN)}) AS k(license, text) GROUP BY 1),
+d AS (SELECT doc_id, {_canonical("text")} AS lines FROM documents),
+w AS (SELECT doc_id, license FROM d JOIN known ON array_to_string(lines, ' ') = text),
+n AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS notices
+      FROM (SELECT DISTINCT doc_id, license FROM (SELECT doc_id, unnest(lines) AS text FROM d) JOIN known USING (text)) GROUP BY 1)
+SELECT doc_id, license, coalesce(notices, '') AS notices FROM d LEFT JOIN w USING (doc_id) LEFT JOIN n USING (doc_id)""",
     "op9_sorted_digest_urls": rf"""
 WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
