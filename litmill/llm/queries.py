@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import line_crf
 from .bpe import encoded, read_vocabulary
+from .lattice import near_duplicates
 from .license_scan import EQUIVALENT, KNOWN, scanned
 from .ngram_join import ngram_components
 from .session import table
@@ -60,6 +61,10 @@ def op5_line_crf_quality(spark, sf_dir):
     return quality_of(spark, sf_dir, docs).select("doc_id", _fold(5, 0), "score", "predicted")
 
 
+def op6_e8_near_duplicates(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op8_license_digests(spark, sf_dir):
     return scanned(table(spark, sf_dir, "documents"))
 
@@ -77,6 +82,7 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_bpe_codec": op2_bpe_codec,
     "op5_line_crf_quality": op5_line_crf_quality,
+    "op6_e8_near_duplicates": op6_e8_near_duplicates,
     "op7_winnowing_decontamination": op7_winnowing_decontamination,
     "op8_license_digests": op8_license_digests,
     "op9_sorted_digest_urls": op9_sorted_digest_urls,
