@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, line_crf
+from . import langid, line_crf, ppm
 from .bpe import encoded, read_vocabulary
 from .lattice import near_duplicates
 from .license_scan import EQUIVALENT, KNOWN, scanned
@@ -49,6 +49,10 @@ def _fold(by: int, left_out: int):
     return (F.crc32(F.col("doc_id").cast("string")) % by == left_out).alias("held_out")
 
 
+def op3_ppm_scores(spark, sf_dir):
+    return ppm.scored(table(spark, sf_dir, "documents"))
+
+
 def op4_hierarchical_langid(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = langid.identified(docs, langid.learn(docs, 3, 1))
@@ -87,6 +91,7 @@ def op10_ftrl_toxicity(spark, sf_dir):
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_bpe_codec": op2_bpe_codec,
+    "op3_ppm_scores": op3_ppm_scores,
     "op4_hierarchical_langid": op4_hierarchical_langid,
     "op5_line_crf_quality": op5_line_crf_quality,
     "op6_e8_near_duplicates": op6_e8_near_duplicates,
