@@ -1,0 +1,157 @@
+"""Term weights, topics, keywords, summaries and chunks."""
+
+from __future__ import annotations
+
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import tokens
+from ..session import cut
+from .retrieval import STOPWORDS
+
+#: Target and greatest size of a chunk and overlap of neighbours, in words.
+TARGET, MOST, OVERLAP = 400, 512, 60
+
+
+def tf_idf(docs: DataFrame, pattern: str = "[a-z][a-z'-]{2,}") -> DataFrame:
+    """(id, term, weight): term share of a document times ln((1 + N) / (1 + df)) + 1."""
+    words = docs.select("id", F.explode(F.filter(tokens(F.col("body"), pattern), lambda t: ~t.isin(*STOPWORDS))).alias("term"))
+    counts = words.groupBy("id", "term").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("id").agg(F.sum("n").alias("total"))
+    frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
+    n = totals.count()
+    idf = F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1
+    return counts.join(totals, "id").join(frequency, "term").select("id", "term", (F.col("n") / F.col("total") * idf).alias("weight"))
+
+
+def frequent_terms(docs: DataFrame, k: int, pattern: str = "[a-z][a-z'-]{2,}") -> DataFrame:
+    """The k most frequent terms of each document, ties by term."""
+    words = docs.select("id", F.explode(F.filter(tokens(F.col("body"), pattern), lambda t: ~t.isin(*STOPWORDS))).alias("term"))
+    counts = words.groupBy("id", "term").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "term"))
+    return counts.withColumn("place", place).where(F.col("place") <= k)
+
+
+def clusters(weights: DataFrame, k: int, rounds: int = 15) -> tuple[DataFrame, DataFrame]:
+    """Spherical k-means over sparse vectors: (id, cluster, score) and (cluster, term, weight).
+
+    The first centroids are documents at even distances in id order; ties go to
+    the lowest cluster; an empty cluster keeps its centroid.
+    """
+    norm = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
+    unit = cut(weights.join(norm, "id").where("norm > 0").select("id", "term", (F.col("weight") / F.col("norm")).alias("x")))
+    ids = unit.select("id").distinct()
+    n = ids.count()
+    k = max(1, min(k, n))
+    at = [i * n // k for i in range(k)]
+    # Only the k seeds are needed: offsets into the ordered ids.
+    seeds = [(i, ids.orderBy("id").offset(a).limit(1).first()["id"]) for i, a in enumerate(at)] if n else []
+    centre = unit.join(weights.sparkSession.createDataFrame(seeds, "cluster int, id long"), "id").select("cluster", "term", F.col("x").alias("c"))
+    before = None
+    placed = None
+    for _ in range(rounds):
+        length = centre.groupBy("cluster").agg(F.sqrt(F.sum(F.col("c") ** 2)).alias("length"))
+        dots = unit.join(centre, "term").groupBy("id", "cluster").agg(F.sum(F.col("x") * F.col("c")).alias("dot")).join(length, "cluster")
+        score = F.round(F.col("dot") / F.col("length"), 12)
+        near = dots.select("id", "cluster", score.alias("score")).groupBy("id").agg(F.min_by(F.struct("cluster", "score"), F.struct((-F.col("score")).alias("s"), "cluster")).alias("b")).select("id", "b.*")
+        placed = cut(ids.join(near, "id", "left").select("id", F.coalesce("cluster", F.lit(0)).alias("cluster"), F.coalesce("score", F.lit(0.0)).alias("score")))
+        now = placed.agg(F.sum(F.xxhash64("id", "cluster").cast("decimal(38,0)"))).first()[0]
+        if now == before:
+            break
+        before = now
+        sizes = placed.groupBy("cluster").agg(F.count("*").alias("size"))
+        new = unit.join(placed.select("id", "cluster"), "id").groupBy("cluster", "term").agg(F.sum("x").alias("s")).join(sizes, "cluster").select("cluster", "term", (F.col("s") / F.col("size")).alias("c"))
+        kept = centre.join(sizes, "cluster", "left_anti")
+        centre = cut(new.unionByName(kept))
+    return placed, centre.withColumnRenamed("c", "weight")
+
+
+def cluster_terms(centres: DataFrame, k: int = 6) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("weight"), "term"))
+    return centres.withColumn("place", place).where(F.col("place") <= k)
+
+
+def key_phrases(docs: DataFrame, k: int, most_words: int = 4) -> DataFrame:
+    """(id, phrase, score, place): candidate phrases between stop words and marks, by the degree over frequency of their words."""
+    stop = "|".join(STOPWORDS)
+    split = F.split(F.regexp_replace(F.lower(F.coalesce("body", F.lit(""))), rf"\b({stop})\b|[^a-z0-9'\s-]|\n", "|"), r"\|")
+    phrases = docs.select("id", F.explode(split).alias("raw")).select("id", F.trim(F.regexp_replace("raw", r"\s+", " ")).alias("phrase")).where("phrase <> ''")
+    phrases = phrases.withColumn("words", F.split("phrase", " ")).where(F.size("words") <= most_words)
+    counted = phrases.groupBy("id", "phrase", "words").agg(F.count("*").alias("n"))
+    words = counted.select("id", "phrase", "n", F.size("words").alias("size"), F.explode("words").alias("word"))
+    scores = words.groupBy("id", "word").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("ratio"))
+    scored = words.join(scores, ["id", "word"]).groupBy("id", "phrase").agg(F.round(F.sum("ratio"), 6).alias("score"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "phrase"))
+    return scored.withColumn("place", place).where(F.col("place") <= k)
+
+
+def sentences(docs: DataFrame) -> DataFrame:
+    """(id, pos, sentence) of texts cut behind full stops, question and exclamation marks."""
+    parts = F.split(F.regexp_replace(F.coalesce("body", F.lit("")), r"([.!?])\s+", "$1\u0001"), "\u0001")
+    return docs.select("id", F.posexplode(parts).alias("pos", "sentence")).withColumn("sentence", F.trim("sentence")).where("sentence <> ''")
+
+
+def summary(docs: DataFrame, k: int) -> DataFrame:
+    """The k most salient sentences of each text, in text order: frequencies of their words over the peak, over sqrt(length)."""
+    s = sentences(docs)
+    words = s.select("id", "pos", F.explode(F.filter(tokens(F.col("sentence"), "[a-z][a-z'-]{2,}"), lambda t: ~t.isin(*STOPWORDS))).alias("w"))
+    frequency = words.groupBy("id", "w").agg(F.count("*").alias("f"))
+    peak = frequency.groupBy("id").agg(F.max("f").alias("peak"))
+    scored = words.join(frequency, ["id", "w"]).join(peak, "id").groupBy("id", "pos").agg(F.round(F.sum(F.col("f") / F.col("peak")) / F.sqrt(F.count("*")), 6).alias("score"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), F.desc("pos")))
+    return scored.withColumn("place", place).where(F.col("place") <= k).join(s, ["id", "pos"]).select("id", "pos", "score", "sentence")
+
+
+def neighbours(s: DataFrame) -> DataFrame:
+    """Sentences with the one before and the one after."""
+    w = Window.partitionBy("id").orderBy("pos")
+    return s.select("id", "pos", F.lag("sentence").over(w).alias("before"), "sentence", F.lead("sentence").over(w).alias("after"))
+
+
+def pack(text: str, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP) -> list[str]:
+    """Sentences packed into chunks of about `target` words; each starts with the last words of the one before.
+
+    A sentence of more than `most` words is cut into windows.
+    """
+    out: list[str] = []
+    held: list[str] = []
+    fresh = 0
+
+    def flush() -> None:
+        nonlocal held, fresh
+        if fresh:
+            out.append(" ".join(held))
+            held, fresh = held[-overlap:] if overlap else [], 0
+
+    for sentence in re.split(r"(?<=[.!?])\s+", text.strip()):
+        words = sentence.split()
+        for lo in range(0, len(words), most):
+            unit = words[lo : lo + most]
+            if fresh and len(held) + len(unit) > most:
+                flush()
+            held = held + unit
+            fresh += len(unit)
+            if len(held) >= target:
+                flush()
+    flush()
+    return out
+
+
+def chunks(docs: DataFrame, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
+    """(id, pos, n_words, chunk).  What a chunk starts with depends on the chunk before, so a text is folded in one go."""
+
+    def run(batches):
+        for batch in batches:
+            ids, pos, n, text = [], [], [], []
+            for i, body in zip(batch.column("id").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                for k, c in enumerate(pack(body or "", target, most, overlap)):
+                    ids.append(i)
+                    pos.append(k)
+                    n.append(len(c.split()))
+                    text.append(c)
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "pos": pa.array(pos, pa.int32()), "n_words": pa.array(n, pa.int32()), "chunk": pa.array(text, pa.string())})
+
+    return docs.select(F.col("id").cast("long").alias("id"), F.col("body")).mapInArrow(run, "id long, pos int, n_words int, chunk string")
