@@ -223,7 +223,7 @@ def collapsed_versions(c):
 
 @query("""l AS (SELECT src, dst, CAST(weight AS DOUBLE) / sum(weight) OVER (PARTITION BY src) AS share FROM shelf_links), nodes AS (SELECT src AS node FROM shelf_links UNION SELECT dst FROM shelf_links), k AS (SELECT count(*) AS n FROM nodes),
 p(i, node, rank) AS (SELECT 0, node, 1.0::DOUBLE / (SELECT n FROM k) FROM nodes UNION ALL
-  SELECT i, node, rank FROM (SELECT p.i + 1 AS i, l.dst AS node, 0.15 / (SELECT n FROM k) + 0.85 * sum(l.share * p.rank) AS rank FROM p JOIN l ON l.src = p.node WHERE p.i < 60 GROUP BY 1, 2))
+  SELECT p.i + 1, n.node, 0.15 / (SELECT n FROM k) + 0.85 * sum(coalesce(l.share, 0) * p.rank) FROM p CROSS JOIN nodes n LEFT JOIN l ON l.src = p.node AND l.dst = n.node WHERE p.i < 60 GROUP BY p.i, n.node)
 SELECT node, round(rank, 5) AS rank FROM p WHERE i = 60""")
 def pagerank(c):
     return graph.pagerank(c.shelf_links()).select("node", F.round("rank", 5).alias("rank"))
