@@ -58,7 +58,7 @@ def canonical_lines(text: Column) -> Column:
     for a, b in EQUIVALENT:
         t = F.replace(t, F.lit(a), F.lit(b))
     # All-rights-reserved lines and lines that only say whose the copyright is are no part of a license.
-    return F.filter(F.transform(F.split(t, "\n"), F.trim), lambda x: (x != "") & ~x.rlike(r"^copyright( copyright)? \d") & (x != "all rights reserved"))
+    return F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^copyright( copyright)? \d") & (x != "all rights reserved"))
 
 
 def scanned(docs: DataFrame, known=KNOWN) -> DataFrame:
