@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .session import cut
 
-#: Fixed index parameters: tables, neighbouring cells looked into, and the scale of the projections.
-TABLES, PROBES, SCALE = 4, 6, 10.0
+#: Fixed index parameters: tables, neighbouring cells looked into, and how far apart in cells (whose
+#: centres are 1.41 apart or more) a pair of the least similarity is expected to be.
+TABLES, PROBES, APART = 4, 6, 0.71
 #: Vectors of a component that are compared in one block.
 BLOCK = 1024
 
@@ -71,29 +72,37 @@ def _unit(rows: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _cells(batches):
+def scale(dim: int, least: float) -> float:
+    """How projections are scaled; a projection keeps 8 / dim of a squared distance on average."""
+    return APART / np.sqrt(2 * max(1 - least, 1e-4) * 8 / max(dim, 8))
+
+
+def _cells(least: float):
     """(vec_id, table, cell, own) of the cell of every vector and the cells it looks into."""
-    for batch in batches:
-        ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-        rows = batch.column("v").to_pylist()
-        size = np.array([len(r) for r in rows])
-        for dim in np.unique(size):
-            at = np.flatnonzero(size == dim)
-            x = _unit([rows[i] for i in at])
-            if dim < 8:
-                x = np.pad(x, ((0, 0), (0, 8 - dim)))
-            for table, p in enumerate(projections(int(dim))):
-                for lo in range(0, len(at), 2048):
-                    y = SCALE * (x[lo : lo + 2048] @ p)
-                    cell = nearest_e8(y)
-                    far = -2 * (2 * y - cell) @ STEPS.T  # all steps are equally long
-                    near = np.argpartition(far, PROBES, axis=1)[:, :PROBES]
-                    cells = np.concatenate((cell[:, None], cell[:, None] + STEPS[near]), axis=1).astype(np.int32)
-                    n = len(cell)
-                    own = np.zeros((n, PROBES + 1), dtype=bool)
-                    own[:, 0] = True
-                    names = [c.tobytes() for c in cells.reshape(-1, 8)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at[lo : lo + 2048]], PROBES + 1)), pa.array(np.full(len(names), table, np.int32)), pa.array(names, pa.binary()), pa.array(own.ravel())], names=["vec_id", "table", "cell", "own"])
+    return lambda batches: (out for batch in batches for out in _cells_of(batch, least))
+
+
+def _cells_of(batch: pa.RecordBatch, least: float):
+    ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
+    rows = batch.column("v").to_pylist()
+    size = np.array([len(r) for r in rows])
+    for dim in np.unique(size):
+        at = np.flatnonzero(size == dim)
+        x = _unit([rows[i] for i in at])
+        if dim < 8:
+            x = np.pad(x, ((0, 0), (0, 8 - dim)))
+        for table, p in enumerate(projections(int(dim))):
+            for lo in range(0, len(at), 2048):
+                y = scale(dim, least) * (x[lo : lo + 2048] @ p)
+                cell = nearest_e8(y)
+                far = -2 * (2 * y - cell) @ STEPS.T  # all steps are equally long
+                near = np.argpartition(far, PROBES, axis=1)[:, :PROBES]
+                cells = np.concatenate((cell[:, None], cell[:, None] + STEPS[near]), axis=1).astype(np.int32)
+                n = len(cell)
+                own = np.zeros((n, PROBES + 1), dtype=bool)
+                own[:, 0] = True
+                names = [c.tobytes() for c in cells.reshape(-1, 8)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at[lo : lo + 2048]], PROBES + 1)), pa.array(np.full(len(names), table, np.int32)), pa.array(names, pa.binary()), pa.array(own.ravel())], names=["vec_id", "table", "cell", "own"])
 
 
 def _similar(least: float):
@@ -149,7 +158,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     # Equal vectors of a label are one; a group of copies is never expanded.
     kinds = cut(rows.where("sound").groupBy(*keys).agg(F.min("vec_id").alias("vec_id"), F.countDistinct("vec_id").alias("copies"), F.any_value("v").alias("v"), F.any_value("label").alias("label")))
     labelled = kinds.select("vec_id", "v", "label")
-    cells = labelled.select("vec_id", "v").mapInArrow(_cells, "vec_id long, table int, cell binary, own boolean")
+    cells = labelled.select("vec_id", "v").mapInArrow(_cells(least), "vec_id long, table int, cell binary, own boolean")
     # A vec_id stands for one kind, unless an id is repeated with other vectors: then its kinds are one.
     where = cut(cells.join(kinds.select("vec_id", "label"), "vec_id").select("vec_id", F.xxhash64("label", "table", "cell").alias("cell"), "own"))
     v = kinds.select("vec_id", "v", "label")
