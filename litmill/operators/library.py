@@ -90,3 +90,42 @@ def usual_marker(citations: DataFrame) -> DataFrame:
     """The most frequent marker of each cited paper, the least of equals."""
     counts = citations.groupBy("cited_id", "marker").count()
     return counts.groupBy("cited_id").agg(F.max("count").alias("n"), F.max_by("marker", F.struct("count", (-F.ascii("marker")).alias("a"))).alias("marker"))
+
+
+def field_reviews(assertions: DataFrame) -> DataFrame:
+    """For each field of an entity: how many claims and values, the canonical value (least of equals), whether they conflict."""
+    return assertions.groupBy("entity_id", "field_name").agg(
+        F.count("*").alias("n_claims"),
+        F.countDistinct("value").alias("n_values"),
+        F.min(F.when(F.col("canonical"), F.col("value"))).alias("canonical_value"),
+        (F.countDistinct("value") > 1).alias("has_conflict"),
+    )
+
+
+def membership(works: DataFrame, shelf_works: DataFrame, shelves: DataFrame, placeholder: str = "(none)") -> DataFrame:
+    """Papers with the sorted names of their shelves, or a placeholder."""
+    names = shelf_works.join(shelves, "shelf_id").groupBy("work_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("group"))
+    return works.select("id").join(names, works["id"] == names["work_id"], "left").select("id", F.coalesce("group", F.lit(placeholder)).alias("group"))
+
+
+def badges(flags: DataFrame, names: list[str]) -> DataFrame:
+    """Names of the flags that are set, in the given order, as one string."""
+    return flags.select("id", F.array_join(F.filter(F.array(*[F.when(F.col(n), F.lit(n)) for n in names]), lambda b: b.isNotNull()), ",").alias("badges"))
+
+
+def imported(records: DataFrame, works: DataFrame) -> DataFrame:
+    """Records (rec_id, doi, title) with the paper they are: by DOI, else by normalised title; status matched or new."""
+    by_doi = works.where("doi is not null").groupBy(F.col("doi").alias("_doi")).agg(F.min("id").alias("_by_doi"))
+    by_title = works.where("norm is not null").groupBy(F.col("norm").alias("_norm")).agg(F.min("id").alias("_by_title"))
+    met = records.join(by_doi, records["doi"] == F.col("_doi"), "left").join(by_title, records["norm"] == F.col("_norm"), "left")
+    work = F.coalesce("_by_doi", "_by_title")
+    return met.select("rec_id", work.alias("work_id"), F.when(work.isNotNull(), "matched").otherwise("new").alias("status"))
+
+
+def survivor(pairs: DataFrame) -> DataFrame:
+    """Which of (a, b) lives on: confirmed first, then the higher version, then the more complete; a on a tie."""
+
+    def rank(side: str) -> Column:
+        return F.struct(F.col(f"confirmed_{side}"), F.col(f"version_{side}"), F.col(f"complete_{side}"))
+
+    return pairs.select("a", "b", F.when(rank("b") > rank("a"), F.col("b")).otherwise(F.col("a")).alias("survivor"))

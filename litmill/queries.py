@@ -538,3 +538,151 @@ def streamed_state(c):
 
     rows = ev.drained(ev.running(ev.stream(c.spark, c.folder)), f"state_{uuid.uuid4().hex}", "update")
     return rows.groupBy("user_id").agg(F.max("n").alias("n"), F.max("peak").alias("peak"))
+
+
+@query("""SELECT entity_id, field_name, count(*) AS n_claims, count(DISTINCT value) AS n_values, min(value) FILTER (canonical) AS canonical_value, count(DISTINCT value) > 1 AS has_conflict FROM assertions GROUP BY 1, 2""")
+def field_reviews(c):
+    return library.field_reviews(c.assertions())
+
+
+@query("""SELECT w.id, coalesce(string_agg(DISTINCT h.name, ', ' ORDER BY h.name), '(none)') AS "group" FROM live_works w LEFT JOIN shelf_works s ON s.work_id = w.id LEFT JOIN shelves h USING (shelf_id) GROUP BY 1""")
+def membership_groups(c):
+    return library.membership(c.live_works(), c.shelf_works(), c.shelves())
+
+
+@query("""SELECT id, concat_ws(',', CASE WHEN doi IS NULL THEN 'no_doi' END, CASE WHEN citation_count > 300000 THEN 'cited' END, CASE WHEN year = 1997 THEN 'old' END) AS badges FROM live_works""")
+def work_badges(c):
+    flags = c.live_works().select("id", F.col("doi").isNull().alias("no_doi"), F.coalesce(F.col("citation_count") > 300000, F.lit(False)).alias("cited"), (F.col("year") == 1997).alias("old"))
+    return library.badges(flags, ["no_doi", "cited", "old"])
+
+
+@query("""r AS (SELECT c_custkey AS rec_id, CASE WHEN c_nationkey % 2 = 0 THEN '10.1000/w' || c_custkey END AS doi, lower(c_mktsegment) AS norm FROM customer),
+t AS (SELECT lower(venue) AS norm, min(id) AS id FROM live_works GROUP BY 1), d AS (SELECT doi, min(id) AS id FROM live_works WHERE doi IS NOT NULL GROUP BY 1)
+SELECT rec_id, coalesce(d.id, t.id) AS work_id, CASE WHEN coalesce(d.id, t.id) IS NULL THEN 'new' ELSE 'matched' END AS status FROM r LEFT JOIN d USING (doi) LEFT JOIN t ON t.norm = r.norm""")
+def imported_records(c):
+    doi = F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.lit("10.1000/w"), F.col("c_custkey").cast("string")))
+    records = c.table("customer").select(F.col("c_custkey").alias("rec_id"), doi.alias("doi"), F.lower("c_mktsegment").alias("norm"))
+    return library.imported(records, c.live_works().withColumn("norm", F.lower("venue")))
+
+
+@query("""p AS (SELECT l_orderkey AS a, l_partkey AS b, l_returnflag = 'A' AS ca, l_returnflag = 'N' AS cb, l_linenumber AS va, p_size AS vb, l_quantity AS fa, p_retailprice AS fb FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT a, b, CASE WHEN cb > ca OR (cb = ca AND (vb > va OR (vb = va AND fb > fa))) THEN b ELSE a END AS survivor FROM p""")
+def merge_survivors(c):
+    line, part = c.table("lineitem"), c.table("part")
+    pairs = line.join(part, line["l_partkey"] == part["p_partkey"]).select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b"), (F.col("l_returnflag") == "A").alias("confirmed_a"), (F.col("l_returnflag") == "N").alias("confirmed_b"), F.col("l_linenumber").alias("version_a"), F.col("p_size").alias("version_b"), F.col("l_quantity").alias("complete_a"), F.col("p_retailprice").alias("complete_b"))
+    return library.survivor(pairs)
+
+
+@query("""r AS (SELECT citing_id AS work_id, cited_id AS child_id, row_number() OVER (PARTITION BY citing_id ORDER BY position, cited_id) AS place FROM citations) SELECT work_id, child_id, place, CAST(3 - place + 1 AS DOUBLE) AS points FROM r WHERE place <= 3""")
+def rank_points(c):
+    place = F.row_number().over(Window.partitionBy("citing_id").orderBy("position", "cited_id"))
+    return recommend.rank_points(c.citations().select(F.col("citing_id").alias("work_id"), F.col("cited_id").alias("child_id"), place.alias("place")), 3)
+
+
+@query("""s AS (SELECT shelf_id, CAST(count(*) AS DOUBLE) AS score FROM shelf_works GROUP BY 1), r AS (SELECT rack_id, CAST(count(*) AS DOUBLE) AS score FROM shelves GROUP BY 1)
+SELECT 1 AS level, rack_id AS id, score FROM r UNION ALL SELECT 2, shelf_id, round(s.score + 0.5 * r.score, 6) FROM s JOIN shelves USING (shelf_id) JOIN r USING (rack_id)""")
+def propagated_scores(c):
+    """Shelves take half of their rack's score."""
+    racks = c.shelves().groupBy(F.col("rack_id").alias("id")).agg(F.count("*").cast("double").alias("score")).select(F.lit(1).alias("level"), "id", "score")
+    shelves = c.shelf_works().groupBy(F.col("shelf_id").alias("id")).agg(F.count("*").cast("double").alias("score")).select(F.lit(2).alias("level"), "id", "score")
+    chain = c.shelves().select(F.lit(2).alias("level"), F.col("shelf_id").alias("id"), F.lit(1).alias("parent_level"), F.col("rack_id").alias("parent_id"))
+    return recommend.propagated(racks.unionAll(shelves), chain)
+
+
+@query("""f AS (SELECT p_name AS title, p_size + 1970 AS year, p_brand AS source, string_split(p_type, ' ') AS authors FROM part)
+SELECT lower(title) || '|' || year AS key, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, max(len(authors)) AS n_authors FROM f GROUP BY 1""")
+def web_candidates(c):
+    found = c.references().select(F.lit(None).cast("string").alias("doi"), "title", "year", F.col("venue").alias("source"), F.split("work_type", " ").alias("authors"))
+    return recommend.candidates(found).select("key", "sources", F.size("authors").alias("n_authors"))
+
+
+@query("""SELECT event_id, user_id, ts, count(*) OVER w AS n, count(*) OVER w >= 3 AS locked FROM events WHERE event_type = 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)""", False)
+def locked_users(c):
+    return ev.locked(c.table("events"), 3)
+
+
+@query("""r AS (SELECT user_id, event_type, event_id, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) SELECT user_id, event_type, event_id, ts FROM r WHERE k = 1""")
+def coalesced_jobs(c):
+    return ev.coalesced(c.table("events"), ["user_id", "event_type"])
+
+
+@query("""SELECT a.user_id, a.event_id AS start_id, a.ts AS started, b.event_id AS end_id, b.ts AS ended FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 DAY WHERE a.event_type = 'signup' AND b.event_type = 'purchase'""", False)
+def completed_jobs(c):
+    e = c.table("events")
+    done = ev.completed(e.where("event_type = 'signup'"), e.where("event_type = 'purchase'"))
+    return done.withColumns({n: F.col(n).cast("timestamp_ntz") for n in ("started", "ended")})
+
+
+@query("""a AS (SELECT url AS path, min(page_id) AS size, 0 AS mtime FROM pages WHERE length(html) > 1500 GROUP BY 1), b AS (SELECT url AS path, max(page_id) AS size, 0 AS mtime FROM pages WHERE length(html) < 2500 GROUP BY 1)
+SELECT path, CASE WHEN a.size IS NULL THEN 'new' WHEN b.size IS NULL THEN 'missing' ELSE 'changed' END AS change FROM a FULL JOIN b USING (path) WHERE a.size IS DISTINCT FROM b.size""")
+def scan_changes(c):
+    p = c.table("pages")
+    a = p.where("length(html) > 1500").groupBy(F.col("url").alias("path")).agg(F.min("page_id").alias("size")).withColumn("mtime", F.lit(0))
+    b = p.where("length(html) < 2500").groupBy(F.col("url").alias("path")).agg(F.max("page_id").alias("size")).withColumn("mtime", F.lit(0))
+    return ev.scan_changes(a, b)
+
+
+@query("""SELECT user_id AS id, arg_min(CAST(value AS VARCHAR), event_id % 4 * 10000000 + event_id) FILTER (event_type = 'click') AS title, arg_min(CAST(value AS VARCHAR), event_id % 4 * 10000000 + event_id) FILTER (event_type = 'view') AS venue FROM events GROUP BY 1""", False)
+def merged_fields(c):
+    """First value of each field over sources in order."""
+    e = c.table("events").select(F.col("user_id").alias("id"), *[F.when(F.col("event_type") == t, F.col("value").cast("string")).alias(n) for t, n in (("click", "title"), ("view", "venue"))], (F.col("event_id") % 4 * 10000000 + F.col("event_id")).alias("rank"))
+    return linkage.merge_fill(e, ["title", "venue"], "rank")
+
+
+@query("""v AS (SELECT * FROM vectors ORDER BY chunk_id DESC LIMIT 50) SELECT a.chunk_id AS a, b.chunk_id AS b, round(list_cosine_similarity(a.vector, b.vector), 6) AS score FROM v a JOIN v b ON a.chunk_id < b.chunk_id""")
+def similarity_heatmap(c):
+    """The 50 newest vectors with each other."""
+    v = c.vectors().orderBy(F.desc("chunk_id")).limit(50)
+    a, b = (v.select(F.col("chunk_id").alias(n), F.col("vector").alias(f"_{n}")) for n in "ab")
+    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(T.cosine(F.col("_a"), F.col("_b")), 6).alias("score"))
+
+
+@query("""d AS (SELECT cited_id, count(DISTINCT citing_id) AS n FROM citations GROUP BY 1) SELECT r.id, r.year, coalesce(n, 0) AS citers, round(coalesce(n, 0) / CAST(greatest(1, 2024 - r.year) AS DOUBLE), 6) AS velocity FROM refs r LEFT JOIN d ON cited_id = r.id""")
+def temporal_map(c):
+    """Papers by year and citation velocity, as of 2024."""
+    n = c.citations().groupBy("cited_id").agg(F.countDistinct("citing_id").alias("n"))
+    r = c.references().join(n, F.col("id") == F.col("cited_id"), "left")
+    return r.select("id", "year", F.coalesce("n", F.lit(0)).alias("citers"), F.round(F.coalesce("n", F.lit(0)) / F.greatest(F.lit(1), 2024 - F.col("year")), 6).alias("velocity"))
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (doi IS NULL) AS without_doi, count(*) FILTER (citation_count IS NULL) AS without_count, (SELECT count(DISTINCT work_id) FROM vectors) AS embedded FROM live_works""")
+def coverage(c):
+    w = c.live_works().agg(F.count("*").alias("total"), F.count_if(F.col("doi").isNull()).alias("without_doi"), F.count_if(F.col("citation_count").isNull()).alias("without_count"))
+    return w.crossJoin(c.vectors().agg(F.countDistinct("work_id").alias("embedded")))  # two single rows
+
+
+@query("""SELECT id, '<li>' || title || ', <i>' || venue || '</i> (' || year || ')</li>' AS entry FROM refs""")
+def export_html(c):
+    return _entries(c).select("id", export.html().alias("entry"))
+
+
+@query(f"""{_KEYED} SELECT id, chr(92) || 'bibitem{{' || cite_key || '}} ' || title || '. ' || chr(92) || 'emph{{' || replace(venue, '#', chr(92) || '#') || '}}.' AS entry FROM e""")
+def export_latex(c):
+    return _entries(c).select("id", export.latex().alias("entry"))
+
+
+@query("""t AS (SELECT id, list_distinct(string_split(lower(title), ' ')) AS a, list_distinct(string_split(lower(work_type), ' ')) AS b FROM refs)
+SELECT id, round(len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 4) AS jaccard FROM t""")
+def keyword_overlap(c):
+    words = [F.array_distinct(F.split(F.lower(n), " ")) for n in ("title", "work_type")]
+    return c.references().select("id", F.round(T.jaccard(*words), 4).alias("jaccard"))
+
+
+@query("""s AS (SELECT length(body) AS chars, len(string_split(body, chr(10))) AS lines, id FROM texts) SELECT id, CASE WHEN chars = 0 THEN 'none' WHEN chars < greatest(200, 100 * lines // 4) THEN 'poor' ELSE 'good' END AS layer FROM s""")
+def text_layer_quality(c):
+    chars, lines = F.length("body"), F.size(F.split("body", "\n"))
+    return c.texts().select("id", F.when(chars == 0, "none").when(chars < F.greatest(F.lit(200), F.floor(100 * lines / 4)), "poor").otherwise("good").alias("layer"))
+
+
+@query("""SELECT DISTINCT u.user_id FROM (SELECT DISTINCT user_id FROM events) u WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = u.user_id) AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = u.user_id)""")
+def known_hashes(c):
+    """Probes that exist and are linked to a paper."""
+    probes = c.table("events").select("user_id").distinct()
+    return probes.join(c.table("customer"), F.col("user_id") == F.col("c_custkey"), "left_semi").join(c.table("orders"), F.col("user_id") == F.col("o_custkey"), "left_semi")
+
+
+@query("""x AS (SELECT c_custkey AS id, c_acctbal AS score FROM customer) SELECT id, round(greatest(0.0, score) / max(score) OVER (), 6) AS relevance FROM x""")
+def relevance(c):
+    """Scores over the best one; the best comes from one aggregate, not from a global window."""
+    x = c.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("score"))
+    return x.crossJoin(x.agg(F.max("score").alias("best"))).select("id", F.round(F.greatest(F.lit(0.0), F.col("score")) / F.col("best"), 6).alias("relevance"))

@@ -76,3 +76,33 @@ def drained(rows: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     query = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return rows.sparkSession.table(name)
+
+
+def locked(events: DataFrame, most: int, length: str = "INTERVAL '6' HOUR") -> DataFrame:
+    """Failures with how many their user had within `length` before, and whether that locks them out."""
+    rows = events.where("event_type = 'error'").select("event_id", "user_id", "ts")
+    n = F.expr(f"count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN {length} PRECEDING AND CURRENT ROW)")
+    return rows.withColumn("n", n).withColumn("locked", F.col("n") >= most)
+
+
+def coalesced(jobs: DataFrame, keys: list[str]) -> DataFrame:
+    """One live job for each key: the first wins.  On a stream, within the watermark."""
+    if jobs.isStreaming:
+        return _timed(jobs).dropDuplicatesWithinWatermark(keys)
+    return jobs.groupBy(*keys).agg(F.min_by(F.struct("event_id", "ts"), F.struct("ts", "event_id")).alias("first")).select(*keys, "first.*")
+
+
+def completed(started: DataFrame, finished: DataFrame, within: str = "INTERVAL 1 DAY") -> DataFrame:
+    """Starts joined with what finished for the same user within a time; works on two streams with watermarks."""
+    a = _timed(started).select(F.col("user_id"), F.col("event_id").alias("start_id"), F.col("ts").alias("started"))
+    b = _timed(finished).select(F.col("user_id").alias("_user"), F.col("event_id").alias("end_id"), F.col("ts").alias("ended"))
+    return a.join(b, F.expr(f"user_id = _user AND ended >= started AND ended <= started + {within}")).drop("_user")
+
+
+def scan_changes(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(path, change): files that are new, changed or missing against the last scan, by size and time."""
+    a, b = before.alias("a"), now.alias("b")
+    both = a.join(b, F.col("a.path") == F.col("b.path"), "full")
+    same = (F.col("a.size") == F.col("b.size")) & (F.col("a.mtime") == F.col("b.mtime"))
+    change = F.when(F.col("a.path").isNull(), "new").when(F.col("b.path").isNull(), "missing").when(same, "same").otherwise("changed")
+    return both.select(F.coalesce("a.path", "b.path").alias("path"), change.alias("change")).where("change <> 'same'")
