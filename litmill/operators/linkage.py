@@ -102,3 +102,35 @@ def newest_kept(rows: DataFrame, by: str, at: str, keep: int) -> DataFrame:
     """The newest `keep` rows of each group."""
     place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(at), F.desc("id")))
     return rows.withColumn("place", place).where(F.col("place") <= keep)
+
+
+def merged_links(links: DataFrame, mapping: DataFrame, value: str) -> DataFrame:
+    """Links (work_id, value) after papers (source) have been merged into others (target), with what happened to each.
+
+    A link moves unless the target has one like it; then it stays on the
+    source.  Of several sources with the same link the least one's moves.  The
+    rows are the journal by which `unmerged` takes the merge back.
+    """
+    own = links.select("work_id", value).distinct()
+    to = mapping.select(F.col("source").alias("work_id"), "target")
+    named = own.join(to, "work_id", "left")
+    held = own.select(F.col("work_id").alias("target"), F.col(value), F.lit(True).alias("_held"))
+    first = named.where("target is not null").groupBy("target", value).agg(F.min("work_id").alias("_first"))
+    all_ = named.join(held, ["target", value], "left").join(first, ["target", value], "left")
+    moves = F.col("target").isNotNull() & F.col("_held").isNull() & (F.col("work_id") == F.col("_first"))
+    return all_.select(F.col("work_id").alias("was"), F.when(moves, F.col("target")).otherwise(F.col("work_id")).alias("work_id"), value, F.when(moves, "moved").when(F.col("target").isNotNull(), "kept").otherwise("untouched").alias("action"))
+
+
+def unmerged(journal: DataFrame, value: str) -> DataFrame:
+    """The links as they were before the merge."""
+    return journal.select(F.col("was").alias("work_id"), value)
+
+
+def staged(items: DataFrame, library: DataFrame) -> DataFrame:
+    """Staged items (item_id, doi, title) with their fate: a DOI that the library or an earlier item has is refused, a known title collides."""
+    first = F.row_number().over(Window.partitionBy("doi").orderBy("item_id"))
+    dois = library.where("doi is not null").select(F.col("doi").alias("_doi")).distinct()
+    titles = library.where("title is not null").select(F.col("title").alias("_title")).distinct()
+    met = items.withColumn("_n", F.when(F.col("doi").isNotNull(), first)).join(dois, F.col("doi") == F.col("_doi"), "left").join(titles, F.col("title") == F.col("_title"), "left")
+    fate = F.when(F.col("_doi").isNotNull(), "in_library").when(F.col("_n") > 1, "in_batch").when(F.col("_title").isNotNull(), "same_title").otherwise("accept")
+    return met.select("item_id", fate.alias("fate"))

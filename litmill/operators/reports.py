@@ -81,3 +81,25 @@ def evenly_sampled(rows: DataFrame, by: list[str], cap: int) -> DataFrame:
     # Row number at is chosen if it is floor(i * n / cap) for some i.
     i = F.ceil(at * cap / F.lit(n)).cast("long")
     return ordered.where((i < cap) & (F.floor(i * n / F.lit(cap)) == at)).drop("_part", "_at")
+
+
+def authors(works: DataFrame, names: str = "authors") -> DataFrame:
+    """Authors by surname and initial: in how many papers, and in how many spellings."""
+    from ..functions.names import person
+
+    one = works.select("id", F.explode(F.split(names, ";")).alias("name")).where("trim(name) <> ''")
+    return one.groupBy(person(F.col("name")).alias("author")).agg(F.countDistinct("id").alias("n"), F.countDistinct(F.trim("name")).alias("spellings"))
+
+
+def first_container(shelf_works: DataFrame, shelves: DataFrame) -> DataFrame:
+    """The least name of each paper's public shelves, for sorting by shelf."""
+    return shelf_works.join(shelves.where(F.col("access_level").isin("open", "visible")), "shelf_id").groupBy("work_id").agg(F.min("name").alias("shelf"))
+
+
+def warned(works: DataFrame, warnings: list[DataFrame]) -> DataFrame:
+    """Ids with a flag: whether any of the warning lists (id) names them."""
+    ids = None
+    for w in warnings:
+        ids = w.select("id") if ids is None else ids.union(w.select("id"))
+    ids = ids.distinct().select(F.col("id").alias("_id"), F.lit(True).alias("_w"))
+    return works.select("id").join(ids, F.col("id") == F.col("_id"), "left").select("id", F.coalesce("_w", F.lit(False)).alias("warning"))

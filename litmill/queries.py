@@ -686,3 +686,91 @@ def relevance(c):
     """Scores over the best one; the best comes from one aggregate, not from a global window."""
     x = c.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("score"))
     return x.crossJoin(x.agg(F.max("score").alias("best"))).select("id", F.round(F.greatest(F.lit(0.0), F.col("score")) / F.col("best"), 6).alias("relevance"))
+
+
+@query("""n AS (SELECT id, trim(unnest(string_split(title || '; ' || venue || ';', ';'))) AS name FROM refs), p AS (SELECT id, name, string_split_regex(lower(name), '\\s+') AS w FROM n WHERE name <> '')
+SELECT trim(w[-1] || ' ' || CASE WHEN len(w) > 1 THEN substr(lower(name), 1, 1) ELSE '' END) AS author, count(DISTINCT id) AS n, count(DISTINCT name) AS spellings FROM p GROUP BY 1""")
+def author_summary(c):
+    """Titles and brands stand in for names."""
+    return reports.authors(c.references().withColumn("authors", F.concat_ws("; ", "title", "venue")))
+
+
+@query("""SELECT work_id, min(name) AS shelf FROM shelf_works JOIN shelves USING (shelf_id) WHERE access_level IN ('open', 'visible') GROUP BY 1""")
+def first_shelves(c):
+    return reports.first_container(c.shelf_works(), c.shelves())
+
+
+@query("""SELECT id, id IN (SELECT citing_id FROM citations WHERE marker = 'O' AND section = 'N') OR id IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 400000) AS warning FROM live_works""")
+def warned_works(c):
+    a = c.citations().where("marker = 'O' and section = 'N'").select(F.col("citing_id").alias("id"))
+    b = c.table("orders").where("o_totalprice > 400000").select(F.col("o_orderkey").alias("id"))
+    return reports.warned(c.live_works(), [a, b])
+
+
+_MERGE = """m AS (SELECT DISTINCT user_id AS source, user_id - user_id % 4 AS target FROM events WHERE user_id % 4 <> 0),
+n AS (SELECT t.work_id, t.tag, m.target FROM tags t LEFT JOIN m ON m.source = t.work_id),
+j AS (SELECT n.work_id AS was, n.tag, n.target, n.target IS NOT NULL AND NOT EXISTS (SELECT 1 FROM tags h WHERE h.work_id = n.target AND h.tag = n.tag)
+  AND n.work_id = (SELECT min(x.work_id) FROM n x WHERE x.target = n.target AND x.tag = n.tag) AS moves FROM n)"""
+
+
+def _journal(c: Catalog) -> DataFrame:
+    users = c.table("events").select(F.col("user_id").alias("source")).distinct()
+    mapping = users.where("source % 4 <> 0").withColumn("target", F.col("source") - F.col("source") % 4)
+    return linkage.merged_links(c.tags(), mapping, "tag")
+
+
+@query(f"""{_MERGE} SELECT was, CASE WHEN moves THEN target ELSE was END AS work_id, tag, CASE WHEN moves THEN 'moved' WHEN target IS NOT NULL THEN 'kept' ELSE 'untouched' END AS action FROM j""")
+def merged_links(c):
+    return _journal(c)
+
+
+@query("""SELECT work_id, tag FROM tags""")
+def unmerged_links(c):
+    """Merged and taken apart again."""
+    return linkage.unmerged(_journal(c), "tag")
+
+
+@query("""i AS (SELECT p_partkey AS item_id, '10.1000/w' || (p_size * 40) AS doi, p_name AS title FROM part), l AS (SELECT p_name AS title FROM part WHERE p_retailprice > 999),
+n AS (SELECT *, row_number() OVER (PARTITION BY doi ORDER BY item_id) AS k FROM i)
+SELECT item_id, CASE WHEN doi IN (SELECT doi FROM live_works WHERE id < 500 AND doi IS NOT NULL) THEN 'in_library' WHEN k > 1 THEN 'in_batch' WHEN title IN (SELECT title FROM l) THEN 'same_title' ELSE 'accept' END AS fate FROM n""")
+def staged_items(c):
+    items = c.table("part").select(F.col("p_partkey").alias("item_id"), F.concat(F.lit("10.1000/w"), (F.col("p_size") * 40).cast("string")).alias("doi"), F.col("p_name").alias("title"))
+    known = c.live_works().where("id < 500").select("doi", F.lit(None).cast("string").alias("title"))
+    named = c.table("part").where("p_retailprice > 999").select(F.lit(None).cast("string").alias("doi"), F.col("p_name").alias("title"))
+    return linkage.staged(items, known.unionAll(named))
+
+
+@query(f"""{_BM25}, {_BAGS}, ov AS (SELECT id, row_number() OVER (ORDER BY n DESC, id) AS place FROM (SELECT id, len(terms) AS n FROM f WHERE field = 'body') ORDER BY n DESC, id LIMIT 60)
+SELECT id, round(sum(1.0::DOUBLE / (60 + place)), 9) AS score, count(*) AS lists FROM (SELECT id, place FROM lex UNION ALL SELECT id, place FROM sem UNION ALL SELECT id, place FROM ov) GROUP BY 1 ORDER BY score DESC, id LIMIT 30""")
+def fused_rankings(c):
+    """Three rankings fused: lexical, vectors, and the longest texts."""
+    lexical = retrieval.search(retrieval.postings(c.texts()), _QUERY, 60)
+    semantic = _related(c, 60).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # 60 rows
+    size = F.size(F.filter(T.tokens(F.col("body")), lambda t: ~t.isin(*retrieval.STOPWORDS)))
+    long = c.texts().select("id", size.alias("n")).orderBy(F.desc("n"), "id").limit(60).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "id")))  # 60 rows
+    return retrieval.fused([r.select("id", "place") for r in (lexical, semantic, long)], 30)
+
+
+@query("""SELECT turn, role, conv_id, text FROM conversations WHERE text ILIKE '%and%' AND role = 'user' ORDER BY turn DESC, conv_id LIMIT 25""")
+def annotation_search(c):
+    """Notes that contain a word, latest turn first."""
+    return c.table("conversations").where(F.col("text").ilike("%and%") & (F.col("role") == "user")).select("turn", "role", "conv_id", "text").orderBy(F.desc("turn"), "conv_id").limit(25)
+
+
+@query("""SELECT id FROM live_works WHERE reading_status = 'O' AND year >= 1999""")
+def saved_filter(c):
+    """A stored query, replayed to ids."""
+    import json
+
+    stored = json.dumps({"q": "status:O year:>=1999"})
+    return dsl.filtered(c.live_works(), dsl.parse(json.loads(stored)["q"])).select("id")
+
+
+@query("""SELECT event_type AS state, count(*) AS n, max(ts) AS latest FROM events GROUP BY 1""", False)
+def job_states(c):
+    return c.table("events").groupBy(F.col("event_type").alias("state")).agg(F.count("*").alias("n"), F.max("ts").alias("latest"))
+
+
+@query("""SELECT event_id, user_id, event_type, ts FROM events ORDER BY ts DESC, event_id LIMIT 50 OFFSET 50""", False)
+def audit_page(c):
+    return c.table("events").select("event_id", "user_id", "event_type", "ts").orderBy(F.desc("ts"), "event_id").offset(50).limit(50)
