@@ -15,7 +15,7 @@ def combined(scores: DataFrame, links: DataFrame, mode: str = "sum") -> DataFram
 def assignable(tags: DataFrame, applied: DataFrame) -> DataFrame:
     """(work_id, tag) that a paper does not have, of the tags that papers have at all."""
     works, names = applied.select("work_id").distinct(), tags.select("tag").distinct()
-    return works.crossJoin(F.broadcast(names.limit(1000))).join(applied, ["work_id", "tag"], "left_anti")
+    return works.crossJoin(names).join(applied, ["work_id", "tag"], "left_anti")
 
 
 def rank_points(ranked: DataFrame, k: int) -> DataFrame:
