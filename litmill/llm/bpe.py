@@ -25,8 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from . import kernel
+
 #: Encoded chunks, and pieces of chunks, that a Python worker remembers (about 200 bytes each).
-CACHE = 500_000
+CACHE = 150_000
+#: Texts whose results are handed on together.
+ROWS = 1024
 
 _DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Characters that Python's str.split takes as white space and Unicode's White_Space does not.
@@ -100,7 +104,7 @@ class Codec:
             for k in range(1, len(s)):
                 self.best.setdefault(s[:k], self.ids.get(s[:k], self.best.get(s[: k - 1])))
             self.best[s] = self.ids[s]
-        self.compatible = functools.lru_cache(maxsize=1 << 20)(self._compatible)
+        self.compatible = functools.lru_cache(maxsize=1 << 16)(self._compatible)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         texts = {i: t.encode() for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
@@ -213,6 +217,12 @@ class Codec:
             ids += self.encode_piece(bytes(ord(self.as_symbol[c]) for c in piece))
         return np.array(ids, "<u4").tobytes()
 
+    def forget(self) -> None:
+        """Drop what was remembered; the worker may do other work next."""
+        self.known.clear()
+        self.pieces_known.clear()
+        self.compatible.cache_clear()
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids, in UTF-8."""
         if not len(ids):
@@ -242,26 +252,31 @@ def encoded(docs: DataFrame, vocabulary: str, ids_column: str | None = None) ->
 
     def run(batches):
         c = codec(shared.value)
-        for batch in batches:
-            n, ids_sha, text_sha, all_ids = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                raw = c.encode(text or "")
-                ids = np.frombuffer(raw, "<u4")
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(raw).hexdigest())
-                digest = hashlib.sha256()
-                for at in range(0, len(ids), 1 << 18):
-                    digest.update((b" " if at else b"") + c.decode(ids[at : at + (1 << 18)]))
-                text_sha.append(digest.hexdigest())
-                if ids_column:
-                    all_ids.append(ids.astype(np.int32))
-            columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": ids_sha, "decoded_sha256": text_sha}
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS):
+                yield rows(c, whole.slice(lo, ROWS))
+        c.forget()
+
+    def rows(c: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, ids_sha, text_sha, all_ids = [], [], [], []
+        for text in batch.column("text").to_pylist():
+            raw = c.encode(text or "")
+            ids = np.frombuffer(raw, "<u4")
+            n.append(len(ids))
+            ids_sha.append(hashlib.sha256(raw).hexdigest())
+            digest = hashlib.sha256()
+            for at in range(0, len(ids), 1 << 16):
+                digest.update((b" " if at else b"") + c.decode(ids[at : at + (1 << 16)]))
+            text_sha.append(digest.hexdigest())
             if ids_column:
-                columns[ids_column] = pa.array(all_ids, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_pydict(columns)
+                all_ids.append(ids.astype(np.int32))
+        columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": ids_sha, "decoded_sha256": text_sha}
+        if ids_column:
+            columns[ids_column] = pa.array(all_ids, pa.list_(pa.int32()))
+        return pa.RecordBatch.from_pydict(columns)
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return kept.mapInArrow(run, _DDL + (f", {ids_column} array<int>" if ids_column else ""))
+    return kept.mapInArrow(kernel.tidy(run), _DDL + (f", {ids_column} array<int>" if ids_column else ""))
 
 
 def read_vocabulary(path: str) -> str:

@@ -7,11 +7,13 @@ block is cut between words, so memory does not grow with the longest text.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 #: The bytes that separate words, space and 0x09-0x0D.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -45,24 +47,75 @@ def powers(n: int, base: np.uint64 = STEP) -> np.ndarray:
     return np.cumprod(out, dtype=U64)
 
 
+def release() -> None:
+    """Give memory that is free back to the system: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A function over batches, or over a group, that releases memory when it is through."""
+
+    def over_batches(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return over_batches
+
+
+def tidy_group(run):
+    def over_group(table):
+        try:
+            return run(table)
+        finally:
+            release()
+
+    return over_group
+
+
+def tidy_pair(run):
+    def over_pair(left, right):
+        try:
+            return run(left, right)
+        finally:
+            release()
+
+    return over_pair
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1) of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
-    column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
-    if column.null_count:
-        column = column.fill_null(b"")
     n = len(column)
     if not n:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    if column.null_count:
+        column = column.fill_null("")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + n + 1]
+    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def pieces(column: pa.Array, most: int = BLOCK):
+    """Slices of a text column of about `most` bytes each, as (first, last, bytes, offsets)."""
+    data, offsets = text_bytes(column)
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+        yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+        at = to
+
+
 def _spans(data: np.ndarray, offsets: np.ndarray, is_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of non-gap bytes; runs end where a text ends."""
     inside = ~is_gap[data]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .line_crf import pieces
+from .kernel import pieces
 
 #: Documents that are learned from: about this many in all, shared out evenly among languages, so more of rare ones.
 SAMPLE = 4000

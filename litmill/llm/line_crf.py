@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernel
 
@@ -146,23 +147,13 @@ def scores(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.clip(np.add.reduceat(good * weight, starts) / np.add.reduceat(weight, starts), 0, 1)
 
 
-def pieces(column: pa.Array, most: int = kernel.BLOCK):
-    """Slices of a text column of about `most` bytes each, as (first, last, bytes, offsets)."""
-    data, offsets = kernel.text_bytes(column)
-    at, n = 0, len(offsets) - 1
-    while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
-        yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-        at = to
-
-
 def learn(docs: DataFrame, sample: DataFrame) -> dict | None:
     """The model from a bounded sample of (doc_id, label); None without documents of both labels."""
 
     def featurised(batches):
         for batch in batches:
             rows = []
-            for _, _, data, offsets in pieces(batch.column("text")):
+            for _, _, data, offsets in kernel.pieces(batch.column("text")):
                 x, _, per_text = line_features(data, offsets)
                 for part in np.split(x, np.cumsum(per_text)[:-1]):
                     rows.append(part[:SAMPLE_LINES].tobytes())
@@ -193,16 +184,22 @@ def quality(docs: DataFrame, model: dict | None) -> DataFrame:
     A null or empty text is one empty line.  Without a model every score is
     0.5.  A column named score that docs has is replaced.
     """
-    schema = "_row struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema) + ">, score double"
-
     def scored(batches):
         for batch in batches:
             score = np.full(batch.num_rows, 0.5)
             if model is not None:
-                for a, b, data, offsets in pieces(batch.column("text")):
+                for a, b, data, offsets in kernel.pieces(batch.column("text")):
                     score[a:b] = scores(model, data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(score)], names=["_row", "score"])
+            yield with_score(batch, score)
+
+    return scored_rows(docs, scored)
+
+
+def with_score(batch: pa.RecordBatch, score: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
+
 
-    kept = [c for c in docs.columns if c != "score"]
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("text"))
-    return packed.mapInArrow(scored, schema).select(*[F.col("_row")[c].alias(c) for c in kept], "score")
+def scored_rows(docs: DataFrame, run) -> DataFrame:
+    """docs as it is, passed through `run`, which adds a column `score` to each batch; one that docs has is replaced."""
+    rows = docs.drop("score").withColumn("text", F.col("text").cast("string"))
+    return rows.mapInArrow(kernel.tidy(run), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))

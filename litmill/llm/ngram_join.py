@@ -34,8 +34,8 @@ from .components import connected_components
 from .session import cut
 
 #: N-grams that one fragment of the first step and one block of texts hold.
-FRAGMENT = 6_000_000
-BLOCK = 2_000_000
+FRAGMENT = 3_500_000
+BLOCK = 1_000_000
 #: Fragments in which the overlap of a pair is counted.
 PARTS = 8
 
@@ -54,12 +54,12 @@ def _digest(sets: np.ndarray) -> bytes:
 
 
 def _sets(texts: pa.Array, width: int):
-    data, offsets = kernel.text_bytes(texts)
-    words, counts = kernel.word_hashes(data, offsets)
-    at = 0
-    for n in counts.tolist():
-        yield np.unique(kernel.shingle_hashes(words[at : at + n], width))
-        at += n
+    for _, _, data, offsets in kernel.pieces(texts):
+        words, counts = kernel.word_hashes(data, offsets)
+        at = 0
+        for n in counts.tolist():
+            yield np.unique(kernel.shingle_hashes(words[at : at + n], width))
+            at += n
 
 
 def _dealt(width: int, fragments: int):
@@ -165,7 +165,7 @@ def _led(width: int, percent: int):
     """Prefix in rare-first order, without its `skip` n-grams that no other set has, and the set cut into fragments."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(lo, 1024) for whole in batches for lo in range(0, whole.num_rows, 1024)):
             out = ([], [], [], [], [])
             rest = zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(), batch.column("rarity").to_pylist(), strict=True)
             for (doc, digest, rarity), s in zip(rest, _sets(batch.column("text"), width), strict=True):
@@ -210,14 +210,14 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     letters = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     fragments = max(1, -(-letters // (5 * FRAGMENT)))
     named = docs.where("doc_id is not null")
-    dealt = named.mapInArrow(_dealt(width, fragments), _MESSAGE_DDL)
-    sets = dealt.groupBy("key").applyInArrow(_rarity, _MESSAGE_DDL).groupBy("block").applyInArrow(_gathered(percent), _SET_DDL)
+    dealt = named.mapInArrow(kernel.tidy(_dealt(width, fragments)), _MESSAGE_DDL)
+    sets = dealt.groupBy("key").applyInArrow(kernel.tidy_group(_rarity), _MESSAGE_DDL).groupBy("block").applyInArrow(kernel.tidy_group(_gathered(percent)), _SET_DDL)
     sets = cut(sets)
 
     firsts = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"))
     able = sets.where("rarity is not null")
     able = able.join(able.groupBy("digest").agg(F.min("doc_id").alias("first")), "digest").where("doc_id = first").select("doc_id", "digest", "rarity").dropDuplicates(["digest"])
-    led = cut(named.join(able, "doc_id").mapInArrow(_led(width, percent), _LED_DDL)).dropDuplicates(["doc_id"])
+    led = cut(named.join(able, "doc_id").mapInArrow(kernel.tidy(_led(width, percent)), _LED_DDL)).dropDuplicates(["doc_id"])
     parts = led.select("doc_id", "n", F.posexplode("parts").alias("part", "tokens")).where(F.size("tokens") > 0)
     meets = led.select("doc_id", "n", "skip", F.posexplode("lead").alias("pos", "token")).select("token", "doc_id", "n", (F.col("skip") + F.col("pos")).alias("pos"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .line_crf import pieces
+from .kernel import pieces
 
 ORDER = 5
 #: Symbols that UTF-8 never uses: what stands before a text, and what ends it.
@@ -260,7 +260,7 @@ def _asked(fragments: int):
     return run
 
 
-def _told(low_keys: np.ndarray, low_counts: np.ndarray, fragments: int):
+def _told(shallow, fragments: int):
     """One fragment: its part of the trie, or of the word counts, and what each block has asked."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -271,7 +271,7 @@ def _told(low_keys: np.ndarray, low_counts: np.ndarray, fragments: int):
         seen = total > 0
         tokens = distinct = 0
         if name < fragments:
-            low = levels(low_keys, low_counts, 2, [])
+            low = levels(*shallow.value, 2, [])
             value = log_probability(every, levels(every[seen], total[seen], ORDER, low)).astype(np.float32)
         else:
             value, tokens, distinct = total.astype(np.float64), int(total.sum()), int(seen.sum())
@@ -351,7 +351,8 @@ def scored(docs: DataFrame, fold: int = 7, left_out: int = 2) -> DataFrame:
     low = rows.where(~F.col("held_out")).select("text").mapInArrow(_shallow, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     low_keys, low_counts = low.column("gram").to_numpy().astype(np.uint64), low.column("n").to_numpy()
     order = np.argsort(low_keys)
+    shallow = docs.sparkSession.sparkContext.broadcast((low_keys[order], low_counts[order]))
     blocks = rows.withColumn("block", (F.monotonically_increasing_id() / BLOCK_ROWS).cast("long"))
-    asked = blocks.select("block", "text", "held_out").mapInArrow(_asked(fragments), _ASK_DDL)
-    told = asked.groupBy("fragment").applyInArrow(_told(low_keys[order], low_counts[order], fragments), _TELL_DDL)
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scored(fragments), _OUT_DDL)
+    asked = blocks.select("block", "text", "held_out").mapInArrow(kernel.tidy(_asked(fragments)), _ASK_DDL)
+    told = asked.groupBy("fragment").applyInArrow(kernel.tidy_group(_told(shallow, fragments)), _TELL_DDL)
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(kernel.tidy_pair(_scored(fragments)), _OUT_DDL)

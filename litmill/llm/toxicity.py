@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
+from .kernel import pieces
+from .line_crf import scored_rows, with_score
 
 #: Fixed model parameters.
 BITS = 20
@@ -78,9 +80,10 @@ def learn(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray, f
 
     def featurised(batches):
         for batch in batches:
-            words, counts = kernel.word_hashes(*kernel.text_bytes(batch.column("text")), GAP)
-            cuts = np.split(words, np.cumsum(counts)[:-1]) if len(counts) else []
-            rows = [features(w)[:LONGEST] for w in cuts]
+            rows = []
+            for _, _, data, offsets in pieces(batch.column("text")):
+                words, counts = kernel.word_hashes(data, offsets, GAP)
+                rows += [features(w)[:LONGEST] for w in np.split(words, np.cumsum(counts)[:-1])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "label", "slots"])
 
     def trained(table: pa.Table) -> pa.Table:
@@ -105,23 +108,18 @@ def toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> Da
     Columns named score that docs has are replaced.
     """
     slots, values, bias = model
-    schema = "_row struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema) + ">, score double"
-
     def scored(batches):
         table = np.zeros(1 << BITS)
         table[slots] = values
         for batch in batches:
-            text = batch.column("text")
-            words, counts = kernel.word_hashes(*kernel.text_bytes(text), GAP)
-            ends = np.cumsum(counts)
-            out = np.empty(len(counts))
-            for k, (a, b) in enumerate(zip(ends - counts, ends, strict=True)):
-                hit = [s[table[s] != 0] for s in _slots(words[a:b])] if b > a else []
-                hit = np.unique(np.concatenate(hit)) if hit else []
-                out[k] = table[hit].sum() if len(hit) else 0.0
-            score = 1.0 / (1.0 + np.exp(-np.clip(out + bias, -35, 35)))
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(score)], names=["_row", "score"])
-
-    kept = [c for c in docs.columns if c != "score"]
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("text"))
-    return packed.mapInArrow(scored, schema).select(*[F.col("_row")[c].alias(c) for c in kept], "score")
+            out = np.zeros(batch.num_rows)
+            for lo, hi, data, offsets in pieces(batch.column("text")):
+                words, counts = kernel.word_hashes(data, offsets, GAP)
+                ends = np.cumsum(counts)
+                for k, (a, b) in enumerate(zip(ends - counts, ends, strict=True), lo):
+                    hit = [s[table[s] != 0] for s in _slots(words[a:b])] if b > a else []
+                    hit = np.unique(np.concatenate(hit)) if hit else []
+                    out[k] = table[hit].sum() if len(hit) else 0.0
+            yield with_score(batch, 1.0 / (1.0 + np.exp(-np.clip(out + bias, -35, 35))))
+
+    return scored_rows(docs, scored)
