@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -39,3 +40,35 @@ def people(names: Column) -> Column:
 def share(of: Column, among: Column) -> Column:
     """How many of the names of the first list the second has, null if the first is empty."""
     return F.when(F.size(of) > 0, F.size(F.array_intersect(of, among)) / F.size(F.array_distinct(of)))
+
+
+_ET_AL = re.compile(r"\bet\.?\s*al\.?", re.IGNORECASE)
+
+
+def parsed(name: str) -> tuple[str, str | None] | None:
+    """(surname, initial or None) of `Last, First` or `First Last`, None if there is no surname."""
+    n = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c)).lower().strip()
+    surname, comma, given = n.partition(",")
+    if not comma:
+        *first, surname = n.split() or [""]
+        given = " ".join(first)
+    initial = re.search("[a-z]", given)
+    return (surname.strip(), initial[0] if initial else None) if surname.strip() else None
+
+
+def overlap_of(of: list[str], among: list[str]) -> float:
+    """Share of the first list's names that the second has: equal surnames, and initials that agree if both have one.
+
+    With `et al` in the first list a single common name is 1.
+    """
+    x, y = ([p for n in names if not _ET_AL.search(n) and (p := parsed(n))] for names in (of, among))
+    if not x or not y:
+        return 0.0
+    known = [any(a[0] == b[0] and (a[1] is None or b[1] is None or a[1] == b[1]) for b in y) for a in x]
+    return float(any(known)) if any(map(_ET_AL.search, of)) else sum(known) / len(x)
+
+
+@F.pandas_udf(T.DoubleType())
+def overlap(of: pd.Series, among: pd.Series) -> pd.Series:
+    """`overlap_of` of two columns of lists, null if either is null."""
+    return pd.Series([None if x is None or y is None else overlap_of(list(x), list(y)) for x, y in zip(of, among, strict=True)], dtype="float64")

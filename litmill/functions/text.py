@@ -55,6 +55,16 @@ def first_word(title: Column) -> Column:
     return F.substring_index(title, " ", 1)
 
 
+#: Words that citation styles add or drop before a title.
+LEADING = ("a", "an", "the", "on", "of", "in", "for", "to", "toward", "towards")
+
+
+def relaxed_word(title: Column) -> Column:
+    """The first word of a normalised title that is no leading stop word, else its first word."""
+    words = F.filter(F.split(title, " "), lambda w: w != "")
+    return F.coalesce(F.get(F.filter(words, lambda w: ~w.isin(*LEADING)), F.lit(0)), F.get(words, F.lit(0)))
+
+
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import overlap
 from ..functions.similarity import title_similarity
-from ..functions.text import first_word, normalize_title
+from ..functions.text import arxiv_base, arxiv_from_doi, first_word, normalize_doi, normalize_title, relaxed_word
 
 #: Rank of the states of a reference, best last.
 STATES = ("unresolved", "external", "likely_match", "local_match", "rejected_match", "confirmed_match")
@@ -23,38 +27,68 @@ def same_key(rows: DataFrame, key: str, kind: str, score: float = 1.0) -> DataFr
 
 
 def fuzzy_titles(rows: DataFrame, least: float = 92.0) -> DataFrame:
-    """(a, b, score) of papers with similar titles that start with the same word and agree on the year if both have one.
+    """(a, b, score) of papers with similar titles where one starts with the other's first word, in whole or as a part of a word, and that agree on the year if both have one.
 
     Equal titles are one entry, so copies do not multiply pairs.
     """
     named = rows.withColumn("t", normalize_title(F.col("title"))).where("t <> ''")
-    kinds = named.groupBy("t", "year").agg(F.min("id").alias("id")).withColumn("block", first_word(F.col("t")))
-    a = kinds.select("block", F.col("id").alias("a"), F.col("t").alias("t_a"), F.col("year").alias("y_a"))
-    b = kinds.select("block", F.col("id").alias("b"), F.col("t").alias("t_b"), F.col("year").alias("y_b"))
-    met = a.join(b, "block").where("a < b and (y_a is null or y_b is null or y_a = y_b)")
+    kinds = named.groupBy("t", "year").agg(F.min("id").alias("id")).withColumn("word", first_word(F.col("t")))
+    # Of two first words one is a prefix of the other, so a title meets others under each prefix of its first word that is a first word too.
+    words = kinds.select("word").distinct()
+    cuts = F.transform(F.sequence(F.lit(0), F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n))
+    prefixes = words.select("word", F.explode(cuts).alias("block")).join(words.select(F.col("word").alias("block")), "block")
+    a = kinds.select(F.col("word").alias("block"), F.col("id").alias("a"), F.col("t").alias("t_a"), F.col("year").alias("y_a"))
+    b = kinds.join(prefixes, "word").select("block", (F.col("word") == F.col("block")).alias("whole"), F.col("id").alias("b"), F.col("t").alias("t_b"), F.col("year").alias("y_b"))
+    met = a.join(b, "block").where("(not whole or a < b) and (y_a is null or y_b is null or y_a = y_b)")
     # Lengths bound the ratio, unless sets of words count.
     close = 200.0 * F.least(F.length("t_a"), F.length("t_b")) / (F.length("t_a") + F.length("t_b")) >= least
     wordy = F.least(F.size(F.split("t_a", " ")), F.size(F.split("t_b", " "))) >= 5
-    return met.where(close | wordy).select("a", "b", title_similarity("t_a", "t_b").alias("score")).where(F.col("score") >= least)
-
-
-def matched(references: DataFrame, works: DataFrame, least: float = 90.0, years: int = 1) -> DataFrame:
-    """(ref_id, work_id, score, via): by identifier, else by title within `years`; the best, then the least id."""
-    by_doi = references.where("doi is not null").join(works.where("doi is not null").groupBy("doi").agg(F.min("id").alias("work_id")), "doi").select(F.col("id").alias("ref_id"), "work_id", F.lit(100.0).alias("score"), F.lit("identifier").alias("via"))
-    rest = references.join(by_doi.select(F.col("ref_id").alias("id")), "id", "left_anti")
-    # Equal titles of a year are one entry on either side.
-    kinds = []
-    for rows, name in ((rest, "ref"), (works, "work")):
-        t = normalize_title(F.col("title")).alias(f"t_{name}")
-        kinds.append(rows.select(F.col("id"), t, F.col("year").alias(f"y_{name}")).where(f"t_{name} <> ''"))
-    refs = kinds[0]
-    r = refs.select("t_ref", "y_ref").distinct().withColumn("block", first_word(F.col("t_ref")))
-    w = kinds[1].groupBy("t_work", "y_work").agg(F.min("id").alias("work_id")).withColumn("block", first_word(F.col("t_work")))
-    met = r.join(w, "block").where(f"y_ref is null or y_work is null or abs(y_ref - y_work) <= {int(years)}")
-    scored = met.select("t_ref", "y_ref", "work_id", title_similarity("t_ref", "t_work").alias("score")).where(F.col("score") >= least)
-    best = scored.groupBy("t_ref", "y_ref").agg(F.max_by(F.struct("work_id", "score"), F.struct("score", (-F.col("work_id")).alias("i"))).alias("b"))
-    best = refs.alias("r").join(best.alias("k"), (F.col("r.t_ref") == F.col("k.t_ref")) & F.col("r.y_ref").eqNullSafe(F.col("k.y_ref"))).select(F.col("r.id").alias("ref_id"), "b.*", F.lit("title").alias("via"))
-    return by_doi.unionByName(best)
+    scored = met.where(close | wordy).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), title_similarity("t_a", "t_b").alias("score"))
+    return scored.where(F.col("score") >= least)
+
+
+def _cited(rows: DataFrame) -> DataFrame:
+    """(id, t, year, doi, arxiv, authors) with identifiers in normal form; arxiv and authors may be missing."""
+    doi = F.nullif(normalize_doi(F.col("doi")), F.lit(""))
+    none = F.lit(None).cast("string")
+    arxiv = F.coalesce(F.nullif(arxiv_base(F.col("arxiv")), F.lit("")) if "arxiv" in rows.columns else none, arxiv_from_doi(F.col("doi")))
+    authors = F.filter("authors", lambda n: F.trim(n) != "") if "authors" in rows.columns else F.lit(None).cast("array<string>")
+    return rows.select("id", normalize_title(F.col("title")).alias("t"), "year", doi.alias("doi"), arxiv.alias("arxiv"), authors.alias("authors"))
+
+
+def _same_entry(a: str, b: str) -> Column:
+    return reduce(and_, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in ("t", "year", "doi", "arxiv", "authors")])
+
+
+def matched(references: DataFrame, works: DataFrame, least: float = 90.0, years: int = 1, shared: float = 0.5) -> DataFrame:
+    """(ref_id, work_id, score, via): by identifier, else by title within `years`; the best, then the least id.
+
+    Both sides have id, title, year and doi, and may have arxiv and a list of
+    authors.  Titles meet by their first word that is no leading stop word.  A
+    pair is out if both have an identifier of a kind and these differ (DOIs that
+    spell arXiv identifiers count as those), or if the work has less than `shared` of
+    the reference's authors; what either side lacks rules nothing out.
+    """
+    cited, held = _cited(references), _cited(works)
+    keys = F.explode(F.array_compact(F.array(F.concat(F.lit("doi:"), "doi"), F.concat(F.lit("arxiv:"), "arxiv")))).alias("key")
+    by_key = held.select("id", keys).groupBy("key").agg(F.min("id").alias("work_id"))
+    by_id = cited.select("id", keys).join(by_key, "key").groupBy(F.col("id").alias("ref_id")).agg(F.min("work_id").alias("work_id"))
+    by_id = by_id.select("ref_id", "work_id", F.lit(100.0).alias("score"), F.lit("identifier").alias("via"))
+    rest = cited.join(by_id.select(F.col("ref_id").alias("id")), "id", "left_anti").where("t <> ''")
+    # Rows that agree on all that is compared are one entry on either side.
+    entry = ("t", "year", "doi", "arxiv", "authors")
+    r = rest.select(*entry).distinct().withColumn("block", relaxed_word(F.col("t"))).alias("r")
+    w = held.where("t <> ''").groupBy(*entry).agg(F.min("id").alias("work_id")).withColumn("block", relaxed_word(F.col("t"))).alias("w")
+    met = r.join(w, "block").where(f"r.year is null or w.year is null or abs(r.year - w.year) <= {int(years)}")
+    other_doi = (F.col("r.doi") != F.col("w.doi")) & arxiv_from_doi(F.col("r.doi")).isNull() & arxiv_from_doi(F.col("w.doi")).isNull()
+    met = met.where(~F.coalesce(other_doi, F.lit(False)) & ~F.coalesce(F.col("r.arxiv") != F.col("w.arxiv"), F.lit(False)))
+    scored = met.select(*[F.col(f"r.{c}") for c in entry], F.col("w.authors").alias("by"), "work_id", title_similarity("r.t", "w.t").alias("score")).where(F.col("score") >= least)
+    if "authors" in references.columns and "authors" in works.columns:
+        unlisted = (F.coalesce(F.size("authors"), F.lit(0)) <= 0) | (F.coalesce(F.size("by"), F.lit(0)) <= 0)
+        scored = scored.where(unlisted | (overlap("authors", "by") >= shared))
+    best = scored.groupBy(*entry).agg(F.max_by(F.struct("work_id", "score"), F.struct("score", (-F.col("work_id")).alias("i"))).alias("b"))
+    best = rest.alias("r").join(best.alias("k"), _same_entry("r", "k")).select(F.col("r.id").alias("ref_id"), "b.*", F.lit("title").alias("via"))
+    return by_id.unionByName(best)
 
 
 def consolidated(references: DataFrame) -> DataFrame:
