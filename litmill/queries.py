@@ -244,6 +244,14 @@ def neighbourhood(c):
     return graph.neighbourhood(links, 1, 2)
 
 
+@query("""b AS (SELECT citing_id AS src, cited_id AS dst FROM citations UNION SELECT cited_id, citing_id FROM citations),
+h AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS hop UNION ALL SELECT DISTINCT b.dst, h.hop + 1 FROM h JOIN b ON b.src = h.node WHERE h.hop < 2)
+SELECT node, min(hop) AS hop FROM h GROUP BY 1""")
+def whole_neighbourhood(c):
+    """Over all citations, where `neighbourhood` follows first references."""
+    return graph.neighbourhood(c.citations().select(F.col("citing_id").alias("src"), F.col("cited_id").alias("dst")), 1, 2)
+
+
 @query("""d AS (SELECT DISTINCT citing_id, cited_id FROM citations), x AS (SELECT p.citing_id AS a, q.citing_id AS b, count(*) AS weight FROM d p JOIN d q USING (cited_id) WHERE p.citing_id < q.citing_id GROUP BY 1, 2)
 SELECT * FROM x WHERE weight >= 2""")
 def bibliographic_coupling(c):
@@ -433,6 +441,17 @@ def upserted_candidates(c):
     return linkage.upserted(old, new)
 
 
+@query("""o AS (SELECT 'doi' AS kind, least(l_orderkey, l_partkey) AS a, greatest(l_orderkey, l_partkey) AS b, max(l_discount) AS score FROM lineitem WHERE l_linenumber % 3 <> 0 GROUP BY 1, 2, 3),
+n AS (SELECT 'doi' AS kind, least(l_orderkey, l_partkey) AS a, greatest(l_orderkey, l_partkey) AS b, max(l_tax) AS score FROM lineitem WHERE l_linenumber % 3 <> 1 GROUP BY 1, 2, 3)
+SELECT kind, a, b, greatest(o.score, n.score) AS score, CASE WHEN o.score IS NOT NULL THEN 'dismissed' ELSE 'open' END AS status FROM o FULL JOIN n USING (kind, a, b)""")
+def whole_upserted_candidates(c):
+    """Every line item is an old candidate, a new one or both, where `upserted_candidates` takes first and second lines."""
+    line = c.table("lineitem")
+    pair = [F.lit("doi").alias("kind"), F.least("l_orderkey", "l_partkey").alias("a"), F.greatest("l_orderkey", "l_partkey").alias("b")]
+    old = line.where("l_linenumber % 3 <> 0").groupBy(*pair).agg(F.max("l_discount").alias("score")).withColumn("status", F.lit("dismissed"))
+    return linkage.upserted(old, line.where("l_linenumber % 3 <> 1").select(*pair, F.col("l_tax").alias("score")))
+
+
 @query(r"""SELECT id, regexp_replace(regexp_replace(trim(lower(title)), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g') AS normal, regexp_replace(regexp_replace(lower(trim(venue)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM texts""")
 def normalized_titles(c):
     return c.texts().select("id", T.normalize_title(F.col("title")).alias("normal"), T.slug(F.col("venue")).alias("slug"))
@@ -740,6 +759,18 @@ def staged_items(c):
     return linkage.staged(items, known.unionAll(named))
 
 
+@query("""i AS (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 5 <> 0 THEN '10.1000/w' || (p_partkey - p_partkey % 3) END AS doi, p_name || ' ' || p_size AS title FROM part),
+l AS (SELECT p_name || ' ' || p_size AS title FROM part WHERE p_partkey % 7 = 3), n AS (SELECT *, row_number() OVER (PARTITION BY doi ORDER BY item_id) AS k FROM i)
+SELECT item_id, CASE WHEN doi IN (SELECT doi FROM live_works WHERE doi IS NOT NULL) THEN 'in_library' WHEN doi IS NOT NULL AND k > 1 THEN 'in_batch' WHEN title IN (SELECT title FROM l) THEN 'same_title' ELSE 'accept' END AS fate FROM n""")
+def whole_staged_items(c):
+    """Against the whole library, with DOIs of which some are in it."""
+    p, title = c.table("part"), F.concat_ws(" ", "p_name", "p_size")
+    doi = F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit("10.1000/w"), (F.col("p_partkey") - F.col("p_partkey") % 3).cast("string")))
+    named = p.where("p_partkey % 7 = 3").select(F.lit(None).cast("string").alias("doi"), title.alias("title"))
+    known = c.live_works().select("doi", F.lit(None).cast("string").alias("title"))
+    return linkage.staged(p.select(F.col("p_partkey").alias("item_id"), doi.alias("doi"), title.alias("title")), known.unionAll(named))
+
+
 @query(f"""{_BM25}, {_BAGS}, ov AS (SELECT id, row_number() OVER (ORDER BY n DESC, id) AS place FROM (SELECT id, len(terms) AS n FROM f WHERE field = 'body') ORDER BY n DESC, id LIMIT 60)
 SELECT id, round(sum(1.0::DOUBLE / (60 + place)), 9) AS score, count(*) AS lists FROM (SELECT id, place FROM lex UNION ALL SELECT id, place FROM sem UNION ALL SELECT id, place FROM ov) GROUP BY 1 ORDER BY score DESC, id LIMIT 30""")
 def fused_rankings(c):
