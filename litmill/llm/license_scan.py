@@ -8,6 +8,10 @@ carry notices.
 
 from __future__ import annotations
 
+import re
+from functools import cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +54,38 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 )
 
 
+#: Lines in canonical form that only name the license whose text follows.
+TITLES = tuple(the + name for the in ("", "the ") for name in ("mit license", "mit license mit", "expat license", "mit expat license", "isc license", "isc license isc", "bsd license", "bsd 2 clause license", "2 clause bsd license", "bsd 2 clause simplified license", "simplified bsd license", "freebsd license", "bsd 3 clause license", "3 clause bsd license", "bsd 3 clause new or revised license", "new bsd license", "modified bsd license", "revised bsd license"))
+
+
+@cache
+def bodies() -> tuple[tuple[str, str], ...]:
+    """(license, text) of the long licenses, with and without what follows the terms."""
+    out = []
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        out += [(path.stem, t) for t in dict.fromkeys((text, terms + end, terms))]
+    return tuple(out)
+
+
+@cache
+def _notice() -> str:
+    """What matches lines in canonical form that say whose the copyright is.
+
+    These have a sign or a year, or are short; words that follow `copyright` in
+    the licenses' own clauses do not begin an owner's name.
+    """
+    clauses = set()
+    for _, text in (*KNOWN, *bodies()):
+        words = re.findall(r"\w+", text.lower().replace("(c)", " copyright ").replace("licence", "license"))
+        clauses |= {b for a, b in zip(words, words[1:], strict=False) if a == "copyright" and b.isalpha()}
+    clauses -= {"copyright", "year", "yyyy"}
+    own = "|".join(sorted(clauses))
+    year = r"\b(?:19|20)\d\d\b"
+    return rf"^copyright (?:copyright |\d|yyyy|(?!(?:{own})(?: |$))(?:.*{year}|\S+(?: \S+){{0,6}}$)|(?:the|by) .*{year}$)"
+
+
 def canonical_lines(text: Column) -> Column:
     """Lines in canonical form, without empty ones and copyright lines; null has none."""
     t = F.lower(F.coalesce(text, F.lit("")))
@@ -58,24 +94,35 @@ def canonical_lines(text: Column) -> Column:
     for a, b in EQUIVALENT:
         t = F.replace(t, F.lit(a), F.lit(b))
     # All-rights-reserved lines and lines that only say whose the copyright is are no part of a license.
-    return F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^copyright( copyright)? \d") & (x != "all rights reserved"))
+    return F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(_notice()) & (x != "all rights reserved"))
+
+
+def canonical_whole(lines: Column) -> Column:
+    """Canonical lines as one text, without a title before it; spellings of two words may have been on two lines."""
+    t = F.array_join(F.when(F.get(lines, F.lit(0)).isin(*TITLES), F.slice(lines, F.lit(2), F.size(lines))).otherwise(lines), " ")
+    for a, b in EQUIVALENT:
+        if " " in a:
+            t = F.replace(t, F.lit(a), F.lit(b))
+    return t
 
 
-def scanned(docs: DataFrame, known=KNOWN) -> DataFrame:
+def scanned(docs: DataFrame, known=None) -> DataFrame:
     """(doc_id, license, notices) for every row of docs.
 
     license is the license whose text the whole document is, else null;
     notices the licenses of single lines, sorted, comma-joined, empty if none.
     Rows with an equal doc_id and text get equal results.  Null texts have none.
+    known, (license, text) of what is looked up, is KNOWN and the long licenses if not given.
     """
+    known = (*KNOWN, *bodies()) if known is None else known
     spark = docs.sparkSession
     table = spark.createDataFrame(list(known), "license string, text string")
-    table = table.select("license", F.array_join(canonical_lines(F.col("text")), " ").alias("text"))
+    table = table.select("license", canonical_whole(canonical_lines(F.col("text"))).alias("text"))
     # A fixed list, which is broadcast; licenses of equal texts: the first by name.
     table = table.groupBy(F.sha2("text", 256).alias("digest"), F.length("text").alias("size")).agg(F.min("license").alias("license"))
     lines = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), canonical_lines(F.col("text").cast("string")).alias("lines"))
     sizes = sorted(r["size"] for r in table.select("size").distinct().collect())
-    whole = F.array_join("lines", " ")
+    whole = canonical_whole(F.col("lines"))
     # The first candidate is the whole text; a line can only match if its length is that of a known text.
     alike = F.filter("lines", lambda x: F.length(x).isin(sizes))
     found = F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.sha2(whole, 256).alias("digest"))), F.transform(F.array_distinct(alike), lambda x: F.struct(F.lit(False).alias("whole"), F.sha2(x, 256).alias("digest"))))
