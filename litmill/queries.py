@@ -231,9 +231,7 @@ def pagerank(c):
 
 @query()
 def betweenness(c):
-    """Over each shelf's three heaviest links."""
-    place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
-    return graph.betweenness(c.shelf_links().withColumn("k", place).where("k <= 3")).select("node", F.round("betweenness", 4).alias("betweenness"))
+    return graph.betweenness(c.shelf_links()).select("node", F.round("betweenness", 4).alias("betweenness"))
 
 
 @query("""b AS (SELECT citing_id AS src, cited_id AS dst FROM citations WHERE position = 1 UNION SELECT cited_id, citing_id FROM citations WHERE position = 1),
