@@ -15,9 +15,15 @@ def session(name: str = "litmill", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once into the checkpoint folder (that of spark.checkpoint.dir) and go on from there."""
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints: a new one in spark.checkpoint.dir."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="litmill-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute df once into the checkpoint folder (that of spark.checkpoint.dir) and go on from there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

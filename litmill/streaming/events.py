@@ -6,6 +6,7 @@ user_id, event_type, value); on a stream, late events are dropped by watermark.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import checkpoint_folder
+
 LATE = "10 minutes"
 
 
@@ -72,10 +75,24 @@ def running(events: DataFrame) -> DataFrame:
 
 
 def drained(rows: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there now; its result as a table."""
-    query = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over all that is there now; its result as a table.
+
+    Result, offsets and state lie in the checkpoint folder.  A complete result
+    replaces the one before it (two are kept in turn), else each micro-batch adds its rows.
+    """
+    spark = rows.sparkSession
+    folder = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    places = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        # A batch that is run again writes over itself.
+        place = f"{folder}/rows/{number % 2 if mode == 'complete' else number}"
+        batch.write.mode("overwrite").parquet(place)
+        places[:] = [place if mode == "complete" else f"{folder}/rows/*"]
+
+    query = rows.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start()
     query.awaitTermination()
-    return rows.sparkSession.table(name)
+    return spark.read.schema(rows.schema).parquet(*places) if places else spark.createDataFrame([], rows.schema)
 
 
 def locked(events: DataFrame, most: int, length: str = "INTERVAL '6' HOUR") -> DataFrame:
