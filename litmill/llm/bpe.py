@@ -1,13 +1,16 @@
 """Exact byte-pair encoding and decoding with a given vocabulary file.
 
-The encoder does not replay merges.  It takes the longest vocabulary token at
-each position (found in an Aho-Corasick trie), accepts it if it is compatible
-with the token before it, and otherwise tries the next shorter one or steps
-back.  Two tokens are compatible if no merge would ever have crossed the border
-between them; a sequence whose neighbours are all compatible is exactly what
-merging gives.  Positions that led nowhere are remembered, so time is linear.
-
-Decoding gathers token bytes from one blob by an offset table.
+The encoder does not replay merges.  An Aho-Corasick automaton over all tokens
+gives the longest token at every position of a piece.  Each one is checked
+against the token before it in a table of compatible pairs; where a pair does
+not fit, the next shorter token is tried, or the encoder steps back.  Two tokens
+are compatible if no merge would ever have crossed the border between them; a
+sequence whose neighbours are all compatible is exactly what merging gives.
+Positions that led nowhere are marked, so time is linear.
+
+Texts are cut into pieces many at a time, as arrays of code points; each
+distinct piece of a section is encoded once.  Decoding gathers token bytes from
+one blob by an offset table.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import functools
 import hashlib
 import json
 import unicodedata
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -27,29 +31,21 @@ from tokenizers import Tokenizer
 
 from . import kernel
 
-#: Encoded chunks, and pieces of chunks, that a Python worker remembers (about 200 bytes each).
-CACHE = 150_000
+#: Encoded pieces, and pairs of tokens, that a Python worker remembers (about 200 and 100 bytes each).
+CACHE, PAIRS = 400_000, 1 << 18
 #: Texts whose results are handed on together.
 ROWS = 1024
+#: Letters of texts that are cut into pieces at a time.
+SECTION = 1 << 20
 
 _DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Characters that Python's str.split takes as white space and Unicode's White_Space does not.
-_ODD = "\x1c\x1d\x1e\x1f"
-_FULL_SPLIT = regex.compile(r"\p{White_Space}+")
+_SPACE = regex.compile(r"\p{White_Space}")
+#: What a code point is to the cutter of pieces; ODD ones are left to the tokenizer library.
+NEW, LETTER, DIGIT, MARK, GAP, ODD = range(6)
 
 
-@functools.cache
-def _unassigned() -> regex.Pattern:
-    """Code points that Python's Unicode tables lack.  Libraries differ on their class and case."""
-    inside, ranges = False, []
-    for o in range(0x80, 0x110000):
-        lacks = unicodedata.category(chr(o)) == "Cn"
-        if lacks and not inside:
-            ranges.append([o, o])
-        elif lacks:
-            ranges[-1][1] = o
-        inside = lacks
-    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+#: Endings that a quote takes with it, of one and of two letters.
+ENDINGS = {1: [ord(c) for c in "stmd"], 2: [(ord(a), ord(b)) for a, b in ("re", "ve", "ll")]}
 
 
 def _byte_alphabet() -> list[str]:
@@ -65,7 +61,7 @@ class Codec:
 
     def __init__(self, source: str):
         spec = json.loads(source)
-        self.source, self.library = source, None
+        self.library = Tokenizer.from_str(source)
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
         vocab = model["vocab"]
@@ -94,17 +90,13 @@ class Codec:
             self.merge[a, b] = rank
             self.made[spelled[left + right]] = (rank, a, b)
         self.symbols = {i: s for s, i in self.ids.items()}
-        self.trie = ahocorasick.Automaton()
-        for s in self.ids:
-            self.trie.add_word(s, len(s))
+        self.automaton = ahocorasick.Automaton()
+        for s, i in self.ids.items():
+            self.automaton.add_word(s, i)
+        self.automaton.make_automaton()
         self.shorter = {i: self._below(s) for s, i in self.ids.items()}
-        # Each node of the trie, with the longest token on the way to it.
-        self.best: dict[str, int] = {}
-        for s in sorted(self.ids, key=len):
-            for k in range(1, len(s)):
-                self.best.setdefault(s[:k], self.ids.get(s[:k], self.best.get(s[: k - 1])))
-            self.best[s] = self.ids[s]
-        self.compatible = functools.lru_cache(maxsize=1 << 16)(self._compatible)
+        self.length = {i: len(s) for i, s in self.symbols.items()}
+        self.pairs: dict[tuple[int, int], bool] = {}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         texts = {i: t.encode() for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
@@ -113,9 +105,11 @@ class Codec:
         parts = [texts.get(i, b"") + b" " for i in range(size)]
         self.blob = np.frombuffer(b"".join(parts), np.uint8)
         self.offset = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.known: dict[str, bytes] = {}
-        self.pieces_known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.kind = np.zeros(0x110000, np.uint8)
+        self.lower = np.arange(0x110000, dtype=np.uint32)
+        self.plain: set[str] = set()
 
     def _below(self, s: str) -> int | None:
         for k in range(len(s) - 1, 0, -1):
@@ -142,97 +136,222 @@ class Codec:
                     return False
         return True
 
-    def _longest(self, s: str) -> int:
-        """The longest token that starts s."""
-        return self.best[s[: self.trie.longest_prefix(s)]]
+    def fits(self, a: int, b: int) -> bool:
+        """The table of compatible pairs, filled as pairs are met."""
+        found = self.pairs.get((a, b))
+        if found is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            found = self.pairs[a, b] = self._compatible(a, b)
+        return found
 
-    def encode_piece(self, raw: bytes) -> list[int]:
+    def encode_piece(self, raw: bytes) -> array:
         """Ids of one pre-token."""
         s = raw.decode("latin-1")
         if self.end:
             s = s[:-1] + chr(256 + raw[-1])
         whole = self.ids.get(s)
         if whole is not None:  # a token of the vocabulary that merging reaches is its own encoding
-            return [whole]
-        out: list[int] = []
-        dead: set[int] = set()
-        size, at, n = self.symbols, 0, len(s)
-        token: int | None = self._longest(s)
+            return array("I", (whole,))
+        greedy = [token for _, token in self.automaton.iter_long(s)]
+        before = greedy[0]
+        for k in range(1, len(greedy)):
+            token = greedy[k]
+            if not (self.pairs.get((before, token)) or self.fits(before, token)):
+                return self._backtracked(s, greedy[:k])
+            before = token
+        return array("I", greedy)
+
+    def _backtracked(self, s: str, begun: list[int]) -> array:
+        """The encoding of s; the longest tokens fit as far as they are given in begun."""
+        size, shorter, pairs, fits, n = self.length, self.shorter, self.pairs, self.fits, len(s)
+        longest = array("I", bytes(4 * n))  # matches come by their end, so the longest of a start comes last
+        for end, token in self.automaton.iter(s):
+            longest[end + 1 - size[token]] = token
+        out, dead = array("I", begun), bytearray(n + 1)
+        at = sum([size[t] for t in begun])
+        before, token = begun[-1], longest[at]
         while True:
-            while token is not None and (at + len(size[token]) in dead or (out and not self.compatible(out[-1], token))):
-                token = self.shorter[token]
+            while token is not None and (dead[at + size[token]] or (out and not (pairs.get((before, token)) or fits(before, token)))):
+                token = shorter[token]
             if token is None:
-                dead.add(at)
+                dead[at] = 1
                 token = out.pop()
-                at -= len(size[token])
-                token = self.shorter[token]
+                before = out[-1] if out else -1
+                at -= size[token]
+                token = shorter[token]
                 continue
             out.append(token)
-            at += len(size[token])
+            before = token
+            at += size[token]
             if at == n:
                 return out
-            token = self._longest(s[at:])
+            token = longest[at]
 
     def _piece(self, piece: str) -> bytes:
-        found = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
-        if len(self.pieces_known) < CACHE:
-            self.pieces_known[piece] = found
+        """Ids of a piece; those met lately are remembered, in two generations of which the elder is dropped."""
+        found = self.young.get(piece)
+        if found is None:
+            found = self.old.get(piece)
+            if found is None:
+                found = self.encode_piece(piece.encode()).tobytes()
+            if len(self.young) >= CACHE // 2:
+                self.old, self.young = self.young, {}
+            self.young[piece] = found
         return found
 
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of text without white space; what it is made of never depends on what stands beyond white space."""
-        text = chunk
-        if not text.isascii():
-            if _unassigned().search(text):
-                return self._rare(text)
-            text = unicodedata.normalize("NFC", text)
-        # Lower-casing is by character: a final sigma stays a plain one.
-        text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-        known, piece = self.pieces_known, self._piece
-        parts = [text] if text.isascii() and text.isalpha() else self.pieces.findall(text)
-        found = b"".join([known[p] if p in known else piece(p) for p in parts])
-        if len(self.known) < CACHE:
-            self.known[chunk] = found
-        return found
+    def _learn(self, code: int) -> None:
+        """Ask the tokenizer library, whose Unicode tables decide, what a character is; ODD unless it is plain in every respect."""
+        c = chr(code)
+        self.kind[code] = ODD
+        # Marks, and the Hangul vowels and finals, may be moved or composed with what stands before them.
+        if 0xD800 <= code < 0xE000 or 0x1160 <= code < 0x1200 or unicodedata.category(c)[0] == "M" or unicodedata.category(c) == "Cn" or unicodedata.combining(c):
+            return
+        if _SPACE.match(c):
+            if [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(f"a{c}b"))] == ["a", "b"]:
+                self.kind[code] = GAP
+                self.plain.add(c)
+            return
+        low = c.lower()
+        probe = f"a{low}!{low}1{low}{low}"
+        if len(low) != 1 or self.library.normalizer.normalize_str(c) != low or self.library.normalizer.normalize_str(f"a{c}") != "a" + low:
+            return
+        cut = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(probe)]
+        for kind, want in ((LETTER, [f"a{low}", "!", low, "1", low + low]), (DIGIT, ["a", low, "!", low, "1", low, low]), (MARK, ["a", f"{low}!{low}", "1", low + low])):
+            if cut == ["".join(self.alphabet[b] for b in p.encode()) for p in want]:
+                self.kind[code], self.lower[code] = kind, ord(low)
+                self.plain.add(c)
+
+    def pieces_of(self, texts: list[str]) -> tuple[pa.StringArray, np.ndarray] | None:
+        """The pieces of all texts, and how many each has; None if an odd character is among them."""
+        line = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self.kind[line]
+        if not kind.all():
+            for code in np.unique(line[kind == NEW]).tolist():
+                self._learn(code)
+            kind = self.kind[line]
+        if (kind == ODD).any():
+            return None
+        low = self.lower[line]
+        start = np.empty(len(line), bool)
+        start[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=start[1:])
+        start |= kind == DIGIT
+        start &= kind != GAP
+        # A quote that starts a piece takes one of the short endings with it.
+        quote = np.flatnonzero((low == 0x27) & start)
+        if len(quote):
+            after = low[np.minimum(quote[:, None] + np.arange(1, 3), len(low) - 1)]
+            one = np.isin(after[:, 0], ENDINGS[1])
+            two = np.zeros(len(quote), bool)
+            for a, b in ENDINGS[2]:
+                two |= (after[:, 0] == a) & (after[:, 1] == b)
+            for took, size in ((one, 2), (two & ~one, 3)):
+                start[quote[took] + 1] = False
+                rest = quote[took] + size
+                start[rest] = kind[rest] != GAP
+        solid = kind != GAP
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        counts = np.diff(np.cumsum(start)[ends - 1], prepend=0)
+        solid_low = low[solid]
+        width = 1 + (solid_low > 0x7F) + (solid_low > 0x7FF) + (solid_low > 0xFFFF)
+        at = np.concatenate(([0], np.cumsum(width)))
+        offsets = np.append(at[np.flatnonzero(start[solid])], at[-1]).astype(np.int32)
+        data = solid_low.tobytes().decode("utf-32-le").encode()
+        return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data)), counts
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has."""
+        found = None if any("<|" in t for t in texts) else self.pieces_of(texts)
+        if found is None:
+            if len(texts) > 1:
+                halves = [self.encode_all(half) for half in (texts[: len(texts) // 2], texts[len(texts) // 2 :])]
+                return tuple(map(np.concatenate, zip(*halves, strict=True)))
+            ids = np.frombuffer(self.encode(texts[0]), "<u4")
+            return ids, np.array([len(ids)])
+        pieces, counts = found
+        if not len(pieces):
+            return np.zeros(0, "<u4"), counts
+        named = pieces.dictionary_encode()
+        young, piece = self.young, self._piece
+        raw = [young.get(p) or piece(p) for p in named.dictionary.to_pylist()]
+        size = np.array([len(r) for r in raw]) // 4
+        ids, sizes = gathered(np.frombuffer(b"".join(raw), "<u4"), np.concatenate(([0], np.cumsum(size))), named.indices.to_numpy())
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(counts)]
+        return ids, np.diff(ends, prepend=0)
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
+        """Ids of a text as little-endian unsigned 32-bit integers, chunk by chunk."""
         if self.special_split is not None and "<|" in text:
-            out = []
-            for part in self.special_split.split(text):
-                out.append(int(self.special[part]).to_bytes(4, "little") if part in self.special else self._plain(part))
-            return b"".join(out)
+            parts = [int(self.special[p]).to_bytes(4, "little") if p in self.special else self._plain(p) for p in self.special_split.split(text)]
+            return b"".join(parts)
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        chunks = text.split() if not any(c in text for c in _ODD) else [c for c in _FULL_SPLIT.split(text) if c]
-        known, chunk = self.known, self._chunk
-        return b"".join([known[c] if c in known else chunk(c) for c in chunks])
-
-    def _rare(self, text: str) -> bytes:
-        """As _plain, but cut up as the tokenizer library cuts: its Unicode version decides on newer characters."""
-        self.library = self.library or Tokenizer.from_str(self.source)
-        ids: list[int] = []
-        for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text)):
-            ids += self.encode_piece(bytes(ord(self.as_symbol[c]) for c in piece))
-        return np.array(ids, "<u4").tobytes()
+        """What a chunk is made of never depends on what stands beyond white space; the library cuts chunks with odd characters."""
+        chunks = [c for c in _SPACE.split(text) if c]
+        names = list(dict.fromkeys(chunks))
+        for c in set(text) - self.plain:
+            if not self.kind[ord(c)]:
+                self._learn(ord(c))
+        known, plain = {}, []
+        for chunk in names:
+            if self.plain.issuperset(chunk):
+                plain.append(chunk)
+                continue
+            found = []
+            for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk)):
+                found.append(self._piece(bytes(ord(self.as_symbol[c]) for c in piece).decode()))
+            known[chunk] = b"".join(found)
+        if plain:
+            pieces, counts = self.pieces_of(plain)
+            pieces, at = pieces.to_pylist(), 0
+            for chunk, n in zip(plain, counts.tolist(), strict=True):
+                known[chunk] = b"".join(map(self._piece, pieces[at : at + n]))
+                at += n
+        return b"".join([known[c] for c in chunks])
 
     def forget(self) -> None:
         """Drop what was remembered; the worker may do other work next."""
-        self.known.clear()
-        self.pieces_known.clear()
-        self.compatible.cache_clear()
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The text of ids, in UTF-8."""
-        if not len(ids):
-            return b""
-        start = self.offset[ids]
-        size = self.offset[ids + 1] - start
-        end = np.cumsum(size)
-        take = np.arange(end[-1])
-        take += np.repeat(start - (end - size), size)
-        return self.blob[take].tobytes()[:-1]
+        self.young.clear()
+        self.old.clear()
+        self.pairs.clear()
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the texts of ids, each with the space that follows it, and the size of each."""
+        return gathered(self.blob, self.offset, ids)
+
+
+def gathered(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of flat that an offset table names, one after the other, and the size of each."""
+    start = offsets[which]
+    size = offsets[which + 1] - start
+    end = np.cumsum(size)
+    if not len(end):
+        return flat[:0], size
+    return flat[np.arange(end[-1]) + np.repeat(start - (end - size), size)], size
+
+
+def sections(texts: list[str]):
+    """(row, part, last) of texts, long ones cut at white space, in lists of about SECTION letters."""
+    held, letters = [], 0
+    for row, text in enumerate(texts):
+        at = 0
+        while True:
+            to = len(text)
+            if to - at > SECTION:
+                gap = _SPACE.search(text, at + SECTION)
+                to = gap.start() if gap else to
+            held.append((row, text[at:to], to == len(text)))
+            letters += to - at + 1
+            if letters >= SECTION:
+                yield held
+                held, letters = [], 0
+            at = to
+            if at == len(text):
+                break
+    if held:
+        yield held
 
 
 @functools.lru_cache(maxsize=2)
@@ -244,8 +363,11 @@ def encoded(docs: DataFrame, vocabulary: str, ids_column: str | None = None) ->
     """docs' doc_id, with n_tokens, ids_sha256, decoded_sha256 of each whole text, a row per row.
 
     vocabulary is the text of a tokenizer file (BPE over bytes with word ends,
-    no decoder).  A null text counts as empty: no tokens.  With ids_column the
-    ids themselves follow in a column of that name, as array<int>.
+    no decoder).  A null text counts as empty: no tokens.  Repeated rows and
+    null doc_ids get a row each, an empty table gives none; other columns are
+    not looked at.  Memory is bounded by the longest word, not the longest
+    text.  With ids_column the ids themselves follow in a column of that name,
+    as array<int>.
     """
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(vocabulary)  # one file, of fixed size
@@ -258,19 +380,31 @@ def encoded(docs: DataFrame, vocabulary: str, ids_column: str | None = None) ->
         c.forget()
 
     def rows(c: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, ids_sha, text_sha, all_ids = [], [], [], []
-        for text in batch.column("text").to_pylist():
-            raw = c.encode(text or "")
-            ids = np.frombuffer(raw, "<u4")
-            n.append(len(ids))
-            ids_sha.append(hashlib.sha256(raw).hexdigest())
-            digest = hashlib.sha256()
-            for at in range(0, len(ids), 1 << 16):
-                digest.update((b" " if at else b"") + c.decode(ids[at : at + (1 << 16)]))
-            text_sha.append(digest.hexdigest())
-            if ids_column:
-                all_ids.append(ids.astype(np.int32))
-        columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": ids_sha, "decoded_sha256": text_sha}
+        n = np.zeros(batch.num_rows, np.int64)
+        ids_sha, text_sha, all_ids = [], [], []
+        of_ids, of_text, kept = hashlib.sha256(), hashlib.sha256(), []
+        for section in sections([t or "" for t in batch.column("text").to_pylist()]):
+            ids, counts = c.encode_all([part for _, part, _ in section])
+            text, sizes = c.decode(ids)
+            ends = np.cumsum(counts)
+            text_ends = np.concatenate(([0], np.cumsum(sizes)))[ends]
+            begun = text_begun = 0
+            for (row, _, last), end, text_end in zip(section, ends.tolist(), text_ends.tolist(), strict=True):
+                if end > begun:
+                    if n[row]:
+                        of_text.update(b" ")
+                    n[row] += end - begun
+                    of_ids.update(ids[begun:end])
+                    of_text.update(text[text_begun : text_end - 1])
+                    if ids_column:
+                        kept.append(ids[begun:end].astype(np.int32))
+                if last:
+                    ids_sha.append(of_ids.hexdigest())
+                    text_sha.append(of_text.hexdigest())
+                    all_ids.append(np.concatenate(kept) if kept else np.zeros(0, np.int32))
+                    of_ids, of_text, kept = hashlib.sha256(), hashlib.sha256(), []
+                begun, text_begun = end, text_end
+        columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n), "ids_sha256": ids_sha, "decoded_sha256": text_sha}
         if ids_column:
             columns[ids_column] = pa.array(all_ids, pa.list_(pa.int32()))
         return pa.RecordBatch.from_pydict(columns)
