@@ -36,15 +36,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE_VALUE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-STEP = U64(0xD6E8FEB86659FD93)
 WORD_STEP = U64(0xA0761D6478BD642F)
+#: Places of a word whose values are kept in a table.
+PLACES = 64
 
 
-def powers(n: int, base: np.uint64 = STEP) -> np.ndarray:
-    out = np.full(n, base, dtype=U64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=U64)
+def placed_values(places: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """A random-looking 64-bit value of each byte at its place in a word."""
+    return mix((places.astype(U64) << U64(8) | symbols.astype(U64)) * U64(0x9E3779B97F4A7C15) + U64(1))
+
+
+_VALUES = placed_values(np.repeat(np.arange(PLACES), 256), np.tile(np.arange(256), PLACES))
 
 
 def release() -> None:
@@ -106,12 +108,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(column: pa.Array, most: int = BLOCK):
-    """Slices of a text column of about `most` bytes each, as (first, last, bytes, offsets)."""
+def pieces(column: pa.Array, most: int = BLOCK, rows: int = 1 << 16):
+    """Slices of a text column of about `most` bytes and at most `rows` texts each, as (first, last, bytes, offsets)."""
     data, offsets = text_bytes(column)
     at, n = 0, len(offsets) - 1
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+        to = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1))
         yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 
@@ -152,11 +154,15 @@ def placed_words(data: np.ndarray, offsets: np.ndarray, is_gap: np.ndarray = IS_
         if not len(starts):
             continue
         size = ends - starts
-        value = BYTE_VALUE[part]
-        value *= _table(hi - lo)
-        total = np.concatenate((np.zeros(1, U64), np.cumsum(value, dtype=U64)))
-        h = (total[ends] - total[starts]) * _inverse(hi - lo)[starts]
-        hashes.append(mix(h + size.astype(U64)))
+        first = np.cumsum(size) - size
+        letters = part[~is_gap[part]]
+        place = np.arange(len(letters)) - np.repeat(first, size)
+        value = _VALUES[np.minimum(place, PLACES - 1) << 8 | letters]
+        far = np.flatnonzero(place >= PLACES)
+        if len(far):
+            value[far] = placed_values(place[far], letters[far])
+        # A sum of values that depend on byte and place together has no structure that words could share.
+        hashes.append(mix(np.add.reduceat(value, first) + size.astype(U64)))
         at.append(starts + lo)
     if not hashes:
         return np.zeros(0, U64), np.zeros(0, np.int64)
@@ -197,21 +203,6 @@ def _blocks(data: np.ndarray, offsets: np.ndarray, is_gap: np.ndarray):
         lo = hi
 
 
-_TABLES: dict[str, np.ndarray] = {}
-
-
-def _table(n: int) -> np.ndarray:
-    if len(_TABLES.get("p", ())) < n:
-        _TABLES["p"] = powers(max(n, BLOCK))
-    return _TABLES["p"][:n]
-
-
-def _inverse(n: int) -> np.ndarray:
-    if len(_TABLES.get("i", ())) < n:
-        _TABLES["i"] = powers(max(n, BLOCK), U64(pow(int(STEP), -1, 1 << 64)))
-    return _TABLES["i"][:n]
-
-
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of `width` words; a shorter, non-empty text is one run."""
     if not len(words):
@@ -221,4 +212,5 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     for i in range(1, k):
         out *= WORD_STEP
         out += words[i : len(words) - k + 1 + i]
+        out = mix(out)
     return mix(out + U64(k))
