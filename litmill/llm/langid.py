@@ -12,14 +12,16 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
 from .kernel import pieces
 
-#: Documents that are learned from: about this many in all, shared out evenly among languages, so more of rare ones.
+#: Documents that are learned from: this many in all, shared out evenly among languages, so more of rare ones; one of each at least.
 SAMPLE = 4000
+#: Texts whose vectors are held at a time.
+ROWS = 1024
 BITS = 12
 #: Fixed training parameters.
 STEPS, RATE, COST = 80, 0.15, 1e-4
@@ -128,20 +130,24 @@ def predict(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn(docs: DataFrame, fold: int, left_out: int, sample: int = SAMPLE) -> dict:
-    """The model from documents outside the left-out fold; empty if none has a text and a language."""
+    """The model from documents outside the left-out fold; empty if none has a text and a language.
+
+    Rows without a doc_id, a language or a letter in their text are passed
+    over; repeated rows count as often as they stand there.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % fold != left_out))
-    known = rows.groupBy("lang").count().orderBy(F.desc("count")).limit(sample).collect()  # a row per language
-    if not known:
+    languages = rows.select("lang").distinct().count()
+    if not languages:
         return {}
-    each = max(1, sample // len(known))
-    share = F.create_map(*[F.lit(v) for r in known for v in (r["lang"], min(1.0, each / r["count"]))])
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    # The first documents of each language by hash; all but these are left out before rows are shuffled.
+    key = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    chosen = rows.withColumn("place", F.row_number().over(key)).where(F.col("place") <= max(1, sample // languages))
 
     def featurised(batches):
         for batch in batches:
             out = []
-            for _, _, data, offsets in pieces(batch.column("text")):
+            for _, _, data, offsets in pieces(batch.column("text"), rows=ROWS):
                 out += [x.astype(np.float16).tobytes() for x in vectors(data, offsets)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(out, pa.binary())], names=["doc_id", "lang", "x"])
 
@@ -159,7 +165,9 @@ def learn(docs: DataFrame, fold: int, left_out: int, sample: int = SAMPLE) -> di
 def identified(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, lang_pred, score) of every row of docs; `und` with score 0 for texts that are null or have no letter.
 
-    Only the text is looked at.  Without a model every text is `und`.
+    Only the text is looked at.  Without a model every text is `und`.  Repeated
+    rows and null doc_ids get a row each, an empty table gives none.  Of equal
+    votes the language first by name wins.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # machines of fixed size for each language pair of a family
 
@@ -168,7 +176,7 @@ def identified(docs: DataFrame, model: dict) -> DataFrame:
             lang = np.full(batch.num_rows, UNKNOWN, dtype=object)
             score = np.zeros(batch.num_rows)
             if shared.value:
-                for a, b, data, offsets in pieces(batch.column("text")):
+                for a, b, data, offsets in pieces(batch.column("text"), rows=ROWS):
                     lang[a:b], score[a:b] = predict(shared.value, vectors(data, offsets))
             none = ~batch.column("lettered").to_numpy(zero_copy_only=False).astype(bool)
             lang[none], score[none] = UNKNOWN, 0.0

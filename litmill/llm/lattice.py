@@ -66,12 +66,30 @@ def projections(dim: int) -> list[np.ndarray]:
     return [np.linalg.qr(np.random.default_rng((7, table, dim)).standard_normal((max(dim, 8), 8)))[0] for table in range(TABLES)]
 
 
-def _unit(rows: list) -> np.ndarray:
-    x = np.array(rows, dtype=np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)  # squares of very large or small components stay finite
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very large or small components stay finite
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def matrices(column: pa.Array | pa.ChunkedArray):
+    """(rows, unit vectors) of a column of number lists, for each length that occurs."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+        if isinstance(column, pa.ChunkedArray):
+            column = pa.concat_arrays(column.chunks)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.cumsum(size) - size
+    for dim in np.unique(size):
+        rows = np.flatnonzero(size == dim)
+        yield rows, _unit(flat[start[rows][:, None] + np.arange(dim)])
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of each row of a with that row of b, both unit vectors: the one rule by which pairs link."""
+    return (a * b).sum(axis=1)
+
+
 def scale(dim: int, least: float) -> float:
     """How projections are scaled; a projection keeps 8 / dim of a squared distance on average."""
     return APART / np.sqrt(2 * max(1 - least, 1e-4) * 8 / max(dim, 8))
@@ -84,11 +102,8 @@ def _cells(least: float):
 
 def _cells_of(batch: pa.RecordBatch, least: float):
     ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-    rows = batch.column("v").to_pylist()
-    size = np.array([len(r) for r in rows])
-    for dim in np.unique(size):
-        at = np.flatnonzero(size == dim)
-        x = _unit([rows[i] for i in at])
+    for at, x in matrices(batch.column("v")):
+        dim = x.shape[1]
         if dim < 8:
             x = np.pad(x, ((0, 0), (0, 8 - dim)))
         for table, p in enumerate(projections(int(dim))):
@@ -108,9 +123,16 @@ def _cells_of(batch: pa.RecordBatch, least: float):
 def _similar(least: float):
     def run(batches):
         for batch in batches:
-            a, b = batch.column("v_a").to_pylist(), batch.column("v_b").to_pylist()
-            ok = [len(x) == len(y) and float((_unit([x]) * _unit([y])).sum()) >= least for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            ok = np.zeros(batch.num_rows, dtype=bool)
+            others = {x.shape[1]: (rows, x) for rows, x in matrices(batch.column("v_b"))}
+            for rows, x in matrices(batch.column("v_a")):
+                if x.shape[1] in others:
+                    also, y = others[x.shape[1]]
+                    met, i, j = np.intersect1d(rows, also, assume_unique=True, return_indices=True)
+                    for lo in range(0, len(met), 4096):
+                        k = slice(lo, lo + 4096)
+                        ok[met[k]] = cosines(x[i[k]], y[j[k]]) >= least
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
     return run
 
@@ -119,16 +141,17 @@ def _counted(least: float):
     """One block pair of a component: for each vector how many others of the block pair it links with."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, rows = table.column("vec_id").to_numpy(), table.column("v").to_pylist()
+        ids = table.column("vec_id").to_numpy()
         weight, block = table.column("copies").to_numpy(), table.column("block").to_numpy()
         first = table.column("first")[0].as_py()
-        size = np.array([len(r) for r in rows])
         links = np.zeros(len(ids), dtype=np.int64)
-        for dim in np.unique(size):
-            at = np.flatnonzero(size == dim)
-            x = _unit([rows[i] for i in at])
+        for at, x in matrices(table.column("v")):
             for lo in range(0, len(at), 512):
-                near = x[lo : lo + 512] @ x.T >= least
+                product = x[lo : lo + 512] @ x.T
+                near = product >= least
+                # Products round in another order than cosines do: close calls are made by the latter.
+                i, j = np.nonzero(np.abs(product - least) < 1e-9)
+                near[i, j] = cosines(x[lo + i], x[j]) >= least
                 # Pairs within one block are counted where both its names are that block.
                 second = table.column("second")[0].as_py()
                 if first != second:

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel
+from .sample import chosen
 
-#: Labelled documents, and lines of each, that are learned from, at most.
+#: Labelled documents that are learned from, lines of each of them, and lines of all, at most.  Texts are taken whole or not at all.
 SAMPLE = 4096
-SAMPLE_LINES = 256
+LINES, ALL_LINES = 8_192, 262_144
 #: Fixed training parameters.
 STEPS, RATE, DECAY = 150, 0.08, 1e-3
 
@@ -148,7 +149,11 @@ def scores(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, sample: DataFrame) -> dict | None:
-    """The model from a bounded sample of (doc_id, label); None without documents of both labels."""
+    """The model from a bounded sample of (doc_id, label); None without documents of both labels.
+
+    Null and empty texts are one empty line; of several texts of one doc_id the
+    least is learned from.
+    """
 
     def featurised(batches):
         for batch in batches:
@@ -156,7 +161,7 @@ def learn(docs: DataFrame, sample: DataFrame) -> dict | None:
             for _, _, data, offsets in kernel.pieces(batch.column("text")):
                 x, _, per_text = line_features(data, offsets)
                 for part in np.split(x, np.cumsum(per_text)[:-1]):
-                    rows.append(part[:SAMPLE_LINES].tobytes())
+                    rows.append(part.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.binary())], names=["doc_id", "label", "lines"])
 
     def trained(table: pa.Table) -> pa.Table:
@@ -169,8 +174,8 @@ def learn(docs: DataFrame, sample: DataFrame) -> dict | None:
         model = fit(np.vstack(x), np.array([len(r) for r in x]), y)
         return pa.table({k: pa.array([np.asarray(v, np.float64).ravel()], pa.list_(pa.float64())) for k, v in model.items()})
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    found = chosen.select("doc_id", "text", "label").mapInArrow(featurised, "doc_id long, label int, lines binary").dropDuplicates(["doc_id"])
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+    found = chosen(docs, sample, lines, LINES, ALL_LINES).mapInArrow(featurised, "doc_id long, label int, lines binary")
     row = found.withColumn("sample", F.lit("all")).groupBy("sample").applyInArrow(trained, "mean array<double>, spread array<double>, weights array<double>, moves array<double>").first()
     if row is None:
         return None
@@ -182,8 +187,10 @@ def quality(docs: DataFrame, model: dict | None) -> DataFrame:
     """docs with `score`, the length-weighted probability that its lines are good.
 
     A null or empty text is one empty line.  Without a model every score is
-    0.5.  A column named score that docs has is replaced.
+    0.5.  Repeated rows and null doc_ids get a row each, an empty table gives
+    none.  Other columns are kept; one named score is replaced.
     """
+
     def scored(batches):
         for batch in batches:
             score = np.full(batch.num_rows, 0.5)

@@ -9,8 +9,9 @@ from .bpe import encoded, read_vocabulary
 from .lattice import near_duplicates
 from .license_scan import EQUIVALENT, KNOWN, scanned
 from .ngram_join import ngram_components
+from .sample import sample_of
 from .session import table
-from .toxicity import SAMPLE, learn, sample_of, toxicity
+from .toxicity import SAMPLE, learn, toxicity
 from .urlfilter import BLOCKED, RULES, filtered
 from .winnow import contamination
 
@@ -46,7 +47,8 @@ def toxicity_of(spark, sf_dir, docs):
 
 
 def _fold(by: int, left_out: int):
-    return (F.crc32(F.col("doc_id").cast("string")) % by == left_out).alias("held_out")
+    """Whether a document is held out; one without a doc_id is, as nothing learns from it."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % by == left_out, F.lit(True)).alias("held_out")
 
 
 def op3_ppm_scores(spark, sf_dir):

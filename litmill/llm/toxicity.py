@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from . import kernel
 from .kernel import pieces
 from .line_crf import scored_rows, with_score
+from .sample import chosen
 
 #: Fixed model parameters.
 BITS = 20
@@ -22,9 +23,8 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.5
 EPOCHS = 3
 #: Labelled documents that are learned from, at most; the least by hash of doc_id.
 SAMPLE = 8192
-#: Features of one text that are learned from are distinct, so a sampled text adds at most this many.
-LONGEST = 200_000
-
+#: Letters of a document that is learned from, and of all of them together, at most.  Texts are taken whole or not at all.
+LETTERS, ALL_LETTERS = 4_000_000, 64_000_000
 
 #: ASCII characters that are no letters or digits separate words.
 GAP = np.ones(256, dtype=bool)
@@ -69,21 +69,19 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     return slots, w[slots], float(w[size])
 
 
-def sample_of(labels: DataFrame, label: str, fold: int, left_out: int, most: int) -> DataFrame:
-    """(doc_id, label): at most `most` labelled documents outside the left-out fold, spread by hash."""
-    named = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % fold != left_out))
-    return named.select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-
-
 def learn(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights from a bounded sample of (doc_id, label); no positive or no negative example gives a constant score."""
+    """Weights from a bounded sample of (doc_id, label); no positive or no negative example gives a constant score.
+
+    Null and empty texts have no features; of several texts of one doc_id the
+    least is learned from; an empty sample gives no weights and a bias of 0.
+    """
 
     def featurised(batches):
         for batch in batches:
             rows = []
             for _, _, data, offsets in pieces(batch.column("text")):
                 words, counts = kernel.word_hashes(data, offsets, GAP)
-                rows += [features(w)[:LONGEST] for w in np.split(words, np.cumsum(counts)[:-1])]
+                rows += [features(w) for w in np.split(words, np.cumsum(counts)[:-1])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "label", "slots"])
 
     def trained(table: pa.Table) -> pa.Table:
@@ -94,8 +92,7 @@ def learn(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray, f
         return pa.table({"slots": pa.array([slots.astype(np.int32)], pa.list_(pa.int32())), "weights": pa.array([values], pa.list_(pa.float64())), "bias": [bias]})
 
     # The sample is bounded, so it is sent to the documents and its features meet in one task.
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    found = chosen.select("doc_id", "text", "label").mapInArrow(featurised, "doc_id long, label int, slots binary").dropDuplicates(["doc_id"])
+    found = chosen(docs, sample, F.length("text"), LETTERS, ALL_LETTERS).mapInArrow(featurised, "doc_id long, label int, slots binary")
     row = found.withColumn("sample", F.lit("all")).groupBy("sample").applyInArrow(trained, "slots array<int>, weights array<double>, bias double").first()
     if row is None:
         return np.zeros(0, np.int64), np.zeros(0), 0.0
@@ -105,9 +102,11 @@ def learn(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray, f
 def toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
     """docs with `score` (0 to 1) of each whole text; a null or wordless text has the score of no features.
 
-    Columns named score that docs has are replaced.
+    Repeated rows and null doc_ids get a row each, an empty table gives none.
+    Other columns are kept; one named score is replaced.
     """
     slots, values, bias = model
+
     def scored(batches):
         table = np.zeros(1 << BITS)
         table[slots] = values

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from litmill.llm import kernel, langid, lattice, license_scan, line_crf, ngram_join, ppm, toxicity, urlfilter, winnow
+from litmill.llm import kernel, langid, lattice, license_scan, line_crf, ngram_join, ppm, sample, toxicity, urlfilter, winnow
 from litmill.llm.components import connected_components
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -229,24 +229,24 @@ def labelled(spark, seed=7):
 
 def test_quality(spark):
     docs, labels = labelled(spark)
-    model = line_crf.learn(docs, toxicity.sample_of(labels, "quality", 5, 0, 200))
+    model = line_crf.learn(docs, sample.sample_of(labels, "quality", 5, 0, 200))
     got = {x.doc_id: x for x in line_crf.quality(docs, model).collect()}
     assert len(got) == 303 and all(0 <= x.score <= 1 for x in got.values())
     want = {x.doc_id: x.quality for x in labels.collect()}
     assert np.mean([(got[i].score >= 0.3) == (want[i] == 1) for i in want]) > 0.97
-    assert line_crf.learn(docs, toxicity.sample_of(labels.where("quality = 1"), "quality", 5, 0, 200)) is None
+    assert line_crf.learn(docs, sample.sample_of(labels.where("quality = 1"), "quality", 5, 0, 200)) is None
     assert {x.score for x in line_crf.quality(docs, None).collect()} == {0.5}
     assert line_crf.quality(frame(spark, []), model).count() == 0
 
 
 def test_toxicity(spark):
     docs, labels = labelled(spark)
-    model = toxicity.learn(docs, toxicity.sample_of(labels, "toxic", 4, 2, 250))
+    model = toxicity.learn(docs, sample.sample_of(labels, "toxic", 4, 2, 250))
     got = {x.doc_id: x for x in toxicity.toxicity(docs, model).collect()}
     want = {x.doc_id: x.toxic for x in labels.collect()}
     assert np.mean([(got[i].score >= 0.3) == (want[i] == 1) for i in want]) > 0.95
     assert len(model[0]) < 2000
-    assert toxicity.learn(docs, toxicity.sample_of(labels.limit(0), "toxic", 4, 2, 250))[2] == 0.0
+    assert toxicity.learn(docs, sample.sample_of(labels.limit(0), "toxic", 4, 2, 250))[2] == 0.0
 
 
 def test_lattice():
@@ -355,10 +355,34 @@ def test_urls(spark):
     assert (got[0].host, got[0].path, got[14].rule) == ("sub.example.net", "/en/x", "net/")
 
 
-def test_digest_array(tmp_path):
-    names = urlfilter.build(["a", "b", "éa"], str(tmp_path))
-    held = urlfilter.DigestArray(*(str(tmp_path / n) for n in names))
+def test_digest_array(spark):
+    block = urlfilter.packed(spark.createDataFrame([("b",), ("a",), (None,), ("éa",), ("a",)], "entry string"))
+    held = urlfilter.DigestArray(np.frombuffer(block, np.uint8))
     assert held.holds(["a", "c", "éa", ""]).tolist() == [True, False, True, False]
+    assert urlfilter.DigestArray(np.frombuffer(urlfilter.packed(spark.createDataFrame([], "entry string")), np.uint8)).holds(["a"]).tolist() == [False]
+
+
+@pytest.mark.parametrize("most", [10**9, 0])
+def test_long_blocklist(spark, monkeypatch, most):
+    """A table of entries, sent out whole or joined, against plain matching."""
+    monkeypatch.setattr(urlfilter, "ENTRIES", most)
+    r = random.Random(11)
+    listed = spark.range(300_000).select(F.concat(F.lit("h"), F.pmod(F.xxhash64("id"), F.lit(200_000)), F.lit(".example.org")).alias("host"), F.when(F.col("id") % 3 == 0, "/").otherwise("/a/").alias("path"))
+    listed = listed.unionAll(spark.createDataFrame([(None, "/"), ("x.net", None), ("k.com", "/a/b/")], "host string, path string"))
+    entries = {(x.host, x.path) for x in listed.collect() if x.host and x.path}
+    urls = [f"http://{r.choice(['', 'm.', 'a.b.'])}h{r.randrange(400_000)}.example.org{r.choice(['', '/', '/a', '/a/', '/a/x', '?q'])}" for _ in range(2000)] + ["http://k.com/a/b/c", "http://k.com/a/", None]
+    df = spark.createDataFrame([(i % 1990, u) for i, u in enumerate(urls)] + [(None, "http://k.com/a/b/")], "page_id long, url string")
+    got = Counter((x.page_id, x.host, x.path, x.verdict) for x in urlfilter.filtered(spark, df, listed, ()).collect())
+
+    def plain(url):
+        rest = (url or "").partition("://")[2]
+        host, path = re.match("([^/?#]*)([^?#]*)", rest).groups()
+        labels = host.split(".")
+        fits = any((".".join(labels[k:]), p) in entries for k in range(len(labels)) for p in ("/", "/a/", "/a/b/") if path.startswith(p) or (p == "/" and not path))
+        return host, path, "block" if fits else "allow"
+
+    assert got == Counter((x.page_id, *plain(x.url)) for x in df.collect())
+    assert urlfilter.filtered(spark, df.limit(0), listed, ()).count() == 0
 
 
 def test_kernel_blocks(monkeypatch):
