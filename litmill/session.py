@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,10 +14,10 @@ def session(name: str = "litmill", **conf: str) -> SparkSession:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder of checkpoints: a new one in spark.checkpoint.dir."""
+    """The folder of checkpoints: a new one in spark.checkpoint.dir; where that is unset, in the warehouse."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="litmill-"))
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return context.getCheckpointDir()
 
 
