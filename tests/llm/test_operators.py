@@ -80,6 +80,35 @@ def test_ngram_join_edges(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(None, 1, None), (None, 0, None), (4, 1, 4)]))
 
 
+def test_ngram_join_hot(spark, monkeypatch):
+    """A passage that most documents share, many blocks and fragments, split kinds, and two texts under one id."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 300)
+    monkeypatch.setattr(ngram_join, "FRAGMENT", 200)
+    monkeypatch.setattr(ngram_join, "KINDS", 3)
+    r = random.Random(12)
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = [(i, passage + " " + " ".join(r.choices("abcdefgh", k=r.randint(1, 6)))) for i in range(60)]
+    texts += [(60 + i, " ".join(r.choices([f"w{k}" for k in range(40)], k=30)) + " " + passage) for i in range(20)]
+    texts += [(80 + i, "w " * 5 + "x" * 3000 + " y" * i) for i in range(8)] + [(90, "k" * 200_000)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.ngram_components(frame(spark, texts).withColumn("node", F.lit("clash")).repartition(5), 4, 85).collect()}
+    assert got == brute_components(texts, 4, 85)
+    two = frame(spark, [(1, "a b c d e"), (1, "q r s t u v"), (0, "a b c d e"), (2, "q r s t u v"), (3, "z")])
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.ngram_components(two, 4, 85).collect())
+    assert got == [(0, 2, 0), (1, 2, 0), (1, 3, 1), (2, 3, 1), (3, 1, 3)]
+
+
+def test_hashes_have_no_structure():
+    """Words that a polynomial hash modulo a power of two cannot tell apart."""
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    hashes, _ = kernel.word_hashes(*kernel.text_bytes(pa.array([word, other, word])))
+    assert hashes[0] != hashes[1] and hashes[0] == hashes[2]
+    of = [kernel.shingle_hashes(kernel.word_hashes(*kernel.text_bytes(pa.array([" ".join(w)])))[0], len(w))[0] for w in (word, other)]
+    assert of[0] != of[1]
+
+
 def test_one_of_each(spark):
     texts = near_texts()
     docs = frame(spark, texts)
@@ -334,6 +363,20 @@ def test_contamination(spark):
     assert winnow.contamination(d.limit(0), b).count() == 0
 
 
+def test_contamination_awkward(spark, monkeypatch):
+    """Joins that shuffle; long texts of few words; two texts under one id; null ids; clashing columns."""
+    monkeypatch.setattr(winnow, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(winnow, "CANDIDATES", -1)
+    r = random.Random(9)
+    items = [(1, "aa " * 40), (1, " ".join(f"q{k}" for k in range(20))), (2, "bb cc " * 10), (None, "zz zz"), (3, "one two")]
+    docs = [(1, "aa " * 20_000), (2, " ".join(r.choices(["bb", "cc"], k=5000))), (3, " ".join(f"q{k}" for k in range(25))), (4, "x one TWO y"), (None, "one two"), (None, "one two"), (5, "b" * 100_000)]
+    b = spark.createDataFrame(items, "item_id long, text string").withColumn("tokens", F.lit("clash")).withColumn("span", F.lit(2))
+    d = frame(spark, docs).withColumn("hash", F.lit("clash")).withColumn("items", F.lit(1)).repartition(3)
+    want = brute_contamination([(i if i is not None else -1, t) for i, t in docs], [x for x in items if x[0] is not None])
+    got = [tuple(x) for x in winnow.contamination(d, b).collect()]
+    assert sorted((x[0] if x[0] is not None else -1, *x[1:]) for x in got) == sorted((i if i is not None else -1, *want[i if i is not None else -1]) for i, _ in docs)
+
+
 def test_contamination_is_native(spark):
     d, b = frame(spark, [(1, "a b c")]), spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     plan = winnow.contamination(d, b)._jdf.queryExecution().toString()
