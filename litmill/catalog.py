@@ -87,6 +87,43 @@ class Catalog:
     def vectors(self) -> DataFrame:
         return self.table("embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("work_id"), F.col("embedding").cast("array<double>").alias("vector"))
 
+    def identified_works(self) -> DataFrame:
+        """Live papers with a DOI or an arXiv identifier."""
+        number = F.lpad(F.col("id").cast("string"), 5, "0")
+        return self.live_works().withColumn("arxiv", F.when(F.col("id") % 4 == 0, F.concat(F.lit("2101."), number, F.lit("v"), (F.col("id") % 3 + 1).cast("string"))))
+
+    def identified_references(self) -> DataFrame:
+        """Cited papers as they are spelled in reference lists: some with a DOI, an arXiv identifier or a stored link, some with nothing."""
+        k = F.col("p_partkey")
+        number = F.lpad(k.cast("string"), 5, "0")
+        doi = F.when(k % 3 != 0, F.concat(F.lit("https://doi.org/10.1000/W"), (k - k % 2).cast("string"))).when(k % 9 == 0, F.concat(F.lit("10.48550/arXiv.2101."), number))
+        return self.table("part").select(
+            k.alias("id"),
+            F.when(k % 12 != 0, F.col("p_name")).alias("title"),
+            (F.col("p_size") + 1970).alias("year"),
+            doi.alias("doi"),
+            F.when(k % 5 == 0, F.concat(F.lit("arXiv:2101."), number, F.lit("v1"))).alias("arxiv"),
+            F.when(k % 11 == 0, k + 1).alias("stored_id"),
+        )
+
+    def files(self) -> DataFrame:
+        """Stored files: web pages."""
+        status = F.array(*[F.lit(x) for x in ("extracted", "extract_failed", "queued")])[(F.col("page_id") % 3).cast("int")]
+        quality = F.when(F.length("html") < 1500, "poor").otherwise("good")
+        return self.table("pages").select(F.col("page_id").alias("file_id"), F.sha2("html", 256).alias("sha256"), F.col("url").alias("path"), F.length("html").alias("size"), status.alias("status"), quality.alias("quality"))
+
+    def file_links(self) -> DataFrame:
+        """Which papers a file belongs to; every seventh is loose."""
+        f = self.table("pages").where("page_id % 7 <> 3")
+        return f.select(F.col("page_id").alias("file_id"), (F.col("page_id") * 3 % 1000 + 1).alias("work_id")).unionAll(f.where("page_id % 4 = 0").select("page_id", F.col("page_id") % 500 + 1)).distinct()
+
+    def sections(self) -> DataFrame:
+        """Texts by section: each line is one."""
+        labels = F.array(*[F.lit(x) for x in ("1 Introduction", "2 Methods", "2.1 Data", "Related work", "3 Results", "Acknowledgments")])
+        lines = self.table("documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+        label = F.when(F.col("pos") == 0, "title").when(F.col("pos") == 1, "abstract").otherwise(labels[(F.col("pos") - 2) % 6])
+        return lines.where("text <> ''").select("id", "pos", label.alias("label"), "text")
+
     def shelf_links(self) -> DataFrame:
         """A weighted graph of shelves: citing shelf to the cited paper's supplier's shelf."""
         line, supplier = self.table("lineitem"), self.table("supplier")
@@ -109,5 +146,13 @@ assertions AS (SELECT event_id AS assertion_id, user_id AS entity_id, event_type
   CASE WHEN value >= 1 THEN value / 100 END AS confidence, event_id % 11 = 0 AS canonical, 'source' || (event_id % 4) AS source, ts AS retrieved_at FROM events),
 texts AS (SELECT doc_id AS id, string_split(text, chr(10))[1] AS title, text AS body, source AS venue, lang FROM documents),
 vectors AS (SELECT vec_id AS chunk_id, label AS work_id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings),
-shelf_links AS (SELECT shelf_id AS src, s_nationkey AS dst, count(*) AS weight FROM lineitem JOIN shelf_works ON l_orderkey = work_id JOIN supplier ON l_suppkey = s_suppkey WHERE shelf_id <> s_nationkey GROUP BY 1, 2)
+shelf_links AS (SELECT shelf_id AS src, s_nationkey AS dst, count(*) AS weight FROM lineitem JOIN shelf_works ON l_orderkey = work_id JOIN supplier ON l_suppkey = s_suppkey WHERE shelf_id <> s_nationkey GROUP BY 1, 2),
+idworks AS (SELECT *, CASE WHEN id % 4 = 0 THEN '2101.' || lpad(CAST(id AS VARCHAR), 5, '0') || 'v' || (id % 3 + 1) END AS arxiv FROM live_works),
+idrefs AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 12 <> 0 THEN p_name END AS title, p_size + 1970 AS year,
+  CASE WHEN p_partkey % 3 <> 0 THEN 'https://doi.org/10.1000/W' || (p_partkey - p_partkey % 2) WHEN p_partkey % 9 = 0 THEN '10.48550/arXiv.2101.' || lpad(CAST(p_partkey AS VARCHAR), 5, '0') END AS doi,
+  CASE WHEN p_partkey % 5 = 0 THEN 'arXiv:2101.' || lpad(CAST(p_partkey AS VARCHAR), 5, '0') || 'v1' END AS arxiv, CASE WHEN p_partkey % 11 = 0 THEN p_partkey + 1 END AS stored_id FROM part),
+files AS (SELECT page_id AS file_id, sha256(html) AS sha256, url AS path, length(html) AS size, ['extracted', 'extract_failed', 'queued'][page_id % 3 + 1] AS status, CASE WHEN length(html) < 1500 THEN 'poor' ELSE 'good' END AS quality FROM pages),
+file_links AS (SELECT page_id AS file_id, page_id * 3 % 1000 + 1 AS work_id FROM pages WHERE page_id % 7 <> 3 UNION SELECT page_id, page_id % 500 + 1 FROM pages WHERE page_id % 7 <> 3 AND page_id % 4 = 0),
+sections AS (SELECT id, pos, CASE WHEN pos = 0 THEN 'title' WHEN pos = 1 THEN 'abstract' ELSE ['1 Introduction', '2 Methods', '2.1 Data', 'Related work', '3 Results', 'Acknowledgments'][(pos - 2) % 6 + 1] END AS label, text
+  FROM (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) WHERE text <> '')
 """

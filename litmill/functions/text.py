@@ -107,3 +107,32 @@ def escape_html(text: Column) -> Column:
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         out = F.replace(out, F.lit(raw), F.lit(safe))
     return out
+
+
+#: Roman digits.
+ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
+
+
+def roman(text: Column) -> Column:
+    """The value of a Roman numeral, null for other text: a digit before a greater one counts against it."""
+    digits = F.create_map(*[F.lit(x) for pair in ROMAN.items() for x in pair])
+    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("most"))
+
+    def step(state: Column, c: Column) -> Column:
+        v = digits[c]
+        return F.struct((state["total"] + F.when(v < state["most"], -v).otherwise(v)).alias("total"), F.greatest(state["most"], v).alias("most"))
+
+    value = F.aggregate(F.reverse(F.split(text, "")), start, step, lambda s: s["total"])
+    return F.when(text.rlike("^[IVXLCDM]+$"), value)
+
+
+def json_within(text: Column) -> Column:
+    """The text if it is JSON, else what stands from the first to the last bracket if that is, else null."""
+    inner = F.regexp_extract(text, r"(?s)[\[{].*[\]}]", 0)
+    return F.when(F.try_parse_json(text).isNotNull(), text).when((inner != "") & F.try_parse_json(inner).isNotNull(), inner)
+
+
+def clean_label(label: Column) -> Column:
+    """Without control characters, white space collapsed, at most 255 letters; null if nothing is left."""
+    bare = F.regexp_replace(label, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
+    return F.nullif(F.substring(F.trim(F.regexp_replace(bare, r"\s+", " ")), 1, 255), F.lit(""))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Sort keys whose nulls come last in either direction; for the others ascending has nulls last, descending first.
 NULLS_LAST = frozenset({"year", "venue", "doi", "citation_count"})
 
@@ -19,14 +21,21 @@ def visible(works: DataFrame, shelf_works: DataFrame, shelves: DataFrame, grante
 
 
 def in_scope(works: DataFrame, scope: str, scope_id: object, shelf_works: DataFrame, shelves: DataFrame) -> DataFrame:
-    """Papers of a scope: library, shelf, rack, selection (ids in the caller's order as `_pos`)."""
+    """Papers of a scope: library, shelf, rack, row (of racks), import_batch by id; search_result by ids, saved_filter by a table (work_id), selection (ids in the caller's order as `_pos`)."""
     if scope == "library":
         return works
     if scope == "selection":
         ids = works.sparkSession.createDataFrame([(i, k) for k, i in enumerate(dict.fromkeys(scope_id))], "work_id long, _pos int")
         return works.join(ids, works["id"] == ids["work_id"]).drop("work_id")
-    links = shelf_works if scope == "shelf" else shelf_works.join(shelves, "shelf_id")
-    ids = links.where(F.col(f"{scope}_id") == scope_id).select("work_id").distinct()
+    if scope == "import_batch":
+        return works.where(F.col("import_batch_id") == scope_id)
+    if scope == "search_result":
+        ids = works.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(scope_id)], "work_id long")
+    elif scope == "saved_filter":
+        ids = scope_id.select("work_id").distinct()
+    else:
+        links = shelf_works if scope == "shelf" else shelf_works.join(shelves, "shelf_id")
+        ids = links.where(F.col(f"{scope}_id") == scope_id).select("work_id").distinct()
     return works.join(ids, works["id"] == ids["work_id"], "left_semi")
 
 
@@ -89,7 +98,7 @@ def conflicts(assertions: DataFrame) -> DataFrame:
 def usual_marker(citations: DataFrame) -> DataFrame:
     """The most frequent marker of each cited paper, the least of equals."""
     counts = citations.groupBy("cited_id", "marker").count()
-    return counts.groupBy("cited_id").agg(F.max("count").alias("n"), F.max_by("marker", F.struct("count", (-F.ascii("marker")).alias("a"))).alias("marker"))
+    return counts.groupBy("cited_id").agg(F.max("count").alias("n"), F.min_by("marker", F.struct((-F.col("count")).alias("n"), "marker")).alias("marker"))
 
 
 def field_reviews(assertions: DataFrame) -> DataFrame:
@@ -129,3 +138,67 @@ def survivor(pairs: DataFrame) -> DataFrame:
         return F.struct(F.col(f"confirmed_{side}"), F.col(f"version_{side}"), F.col(f"complete_{side}"))
 
     return pairs.select("a", "b", F.when(rank("b") > rank("a"), F.col("b")).otherwise(F.col("a")).alias("survivor"))
+
+
+def offered(tags: DataFrame, scopes: DataFrame, container: int) -> DataFrame:
+    """Tags that a container may use: those without a scope, and those scoped to it."""
+    scoped = scopes.groupBy("tag").agg(F.max(F.col("shelf_id") == container).alias("_here"))
+    return tags.join(scoped, "tag", "left").where("_here is null or _here").select("tag")
+
+
+def files_of(links: DataFrame, files: DataFrame) -> DataFrame:
+    """(work_id, n_files, statuses, qualities): how many files a paper has, and what they are like."""
+    names = [F.array_join(F.array_sort(F.collect_set(n)), ",").alias(to) for n, to in (("status", "statuses"), ("quality", "qualities"))]
+    return links.join(files, "file_id").groupBy("work_id").agg(F.count("*").alias("n_files"), *names)
+
+
+def flagged(works: DataFrame, marks: dict[str, DataFrame]) -> DataFrame:
+    """works with a flag for each table of ids."""
+    for name, ids in marks.items():
+        works = works.join(ids.select("id").distinct().withColumn(name, F.lit(True)), "id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return works
+
+
+def other_works(citations: DataFrame, works: DataFrame, mine: str, other: str) -> DataFrame:
+    """(id, other_works): how many different other papers of the library are on the other side of a paper's links."""
+    rows = citations.where(F.col(mine) != F.col(other)).join(works.select(F.col("id").alias(other)), other, "left_semi")
+    return rows.groupBy(F.col(mine).alias("id")).agg(F.countDistinct(other).alias("other_works"))
+
+
+def best_fields(assertions: DataFrame, names: dict[str, str], fields: list[str]) -> DataFrame:
+    """A column for each field with the best claim, after fields of other names have been folded in."""
+    alias = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("field_name")]
+    best = best_assertion(assertions.withColumn("field_name", alias).where("field_name is not null"))
+    return best.groupBy("entity_id").pivot("field_name", fields).agg(F.first("value"))
+
+
+def chosen(assertions: DataFrame, trusted: str) -> DataFrame:
+    """One claim for each field: the latest of the trusted source, else the canonical one, else the latest."""
+    rank = F.struct(F.when(F.col("source") == trusted, 2).when(F.col("canonical"), 1).otherwise(0).alias("r"), "retrieved_at", "assertion_id")
+    return assertions.groupBy("entity_id", "field_name").agg(F.max_by(F.struct("value", "source"), rank).alias("best")).select("entity_id", "field_name", "best.*")
+
+
+def history(rows: DataFrame, by: str, key: str, keep: int) -> DataFrame:
+    """The newest rows of each group, by when they were promoted or else made."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.coalesce("promoted_at", "created_at").desc(), F.desc(key)))
+    return rows.withColumn("place", place).where(F.col("place") <= keep).select(key, by, "place")
+
+
+def numbered(rows: DataFrame, columns: list[Column]) -> DataFrame:
+    """rows with `place` from 1 in the order of the columns: ranges are sorted apart, and each starts behind the rows of those before it."""
+    ranged = cut(rows.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    inner = F.row_number().over(Window.partitionBy("_range").orderBy(*columns))
+    starts = F.broadcast(sizes.select("_range", before.alias("_before")))  # as many rows as partitions
+    return ranged.withColumn("_inner", inner).join(starts, "_range").withColumn("place", F.col("_inner") + F.col("_before")).drop("_range", "_inner", "_before")
+
+
+def polymorphic(links: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """(id, name, entity) of links (entity, entity_id), each in the table of its kind."""
+    out = None
+    for kind, rows in tables.items():
+        ids = links.where(F.col("entity") == kind).select(F.col("entity_id").alias("id")).distinct()
+        part = rows.join(ids, "id", "left_semi").select("id", "name", F.lit(kind).alias("entity"))
+        out = part if out is None else out.unionAll(part)
+    return out

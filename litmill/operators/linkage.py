@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import overlap
 from ..functions.similarity import title_similarity
-from ..functions.text import arxiv_base, arxiv_from_doi, first_word, normalize_doi, normalize_title, relaxed_word
+from ..functions.text import arxiv_base, arxiv_from_doi, arxiv_version, first_word, normalize_doi, normalize_title, relaxed_word
 
 #: Rank of the states of a reference, best last.
 STATES = ("unresolved", "external", "likely_match", "local_match", "rejected_match", "confirmed_match")
@@ -155,9 +155,10 @@ def merged_links(links: DataFrame, mapping: DataFrame, value: str) -> DataFrame:
     return all_.select(F.col("work_id").alias("was"), F.when(moves, F.col("target")).otherwise(F.col("work_id")).alias("work_id"), value, F.when(moves, "moved").when(F.col("target").isNotNull(), "kept").otherwise("untouched").alias("action"))
 
 
-def unmerged(journal: DataFrame, value: str) -> DataFrame:
-    """The links as they were before the merge."""
-    return journal.select(F.col("was").alias("work_id"), value)
+def unmerged(links: DataFrame, journal: DataFrame, value: str) -> DataFrame:
+    """Merged links (work_id, value) as they were before: what the journal says has moved goes back, links made since stay."""
+    moved = journal.where("action = 'moved'").select(F.col("work_id"), value, "was")
+    return links.join(moved, ["work_id", value], "left").select(F.coalesce("was", "work_id").alias("work_id"), value)
 
 
 def staged(items: DataFrame, library: DataFrame) -> DataFrame:
@@ -168,3 +169,74 @@ def staged(items: DataFrame, library: DataFrame) -> DataFrame:
     met = items.withColumn("_n", F.when(F.col("doi").isNotNull(), first)).join(dois, F.col("doi") == F.col("_doi"), "left").join(titles, F.col("title") == F.col("_title"), "left")
     fate = F.when(F.col("_doi").isNotNull(), "in_library").when(F.col("_n") > 1, "in_batch").when(F.col("_title").isNotNull(), "same_title").otherwise("accept")
     return met.select("item_id", fate.alias("fate"))
+
+
+def same_arxiv(works: DataFrame) -> DataFrame:
+    """(kind, a, b, score): each paper with the first of its preprint; 0.99 where the versions differ."""
+    rows = works.where("arxiv is not null").select("id", arxiv_base(F.col("arxiv")).alias("base"), arxiv_version(F.col("arxiv")).alias("version"))
+    first = rows.groupBy("base").agg(F.min("id").alias("a"), F.min_by(F.struct("version"), "id").alias("v"))
+    score = F.when(F.col("version").eqNullSafe(F.col("v.version")), 1.0).otherwise(0.99)
+    return rows.join(first, "base").where("id <> a").select(F.lit("same_arxiv").alias("kind"), "a", F.col("id").alias("b"), score.alias("score"))
+
+
+#: Words that tell proceedings from single papers.
+VOLUME_WORDS = ("proceedings", "table of contents", "contents", "session ", "paper ")
+
+
+def bundles(files: DataFrame, opening: str = "abstract", closing: str = "references", words: tuple[str, ...] = VOLUME_WORDS) -> DataFrame:
+    """(id, score, reason) of files (id, preview, pages) that look like several papers: sections that repeat, or 40 pages with words of proceedings."""
+    text = F.lower(F.coalesce("preview", F.lit("")))
+    many = F.greatest(F.regexp_count(text, F.lit(opening)), F.regexp_count(text, F.lit(closing))) >= 2
+    marks = sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0))
+    volume = (F.coalesce("pages", F.lit(0)) >= 40) & (marks >= 2)
+    found = files.select("id", many.alias("many"), volume.alias("volume")).where("many or volume")
+    return found.select("id", F.when(F.col("many"), 0.78).otherwise(0.68).alias("score"), F.when(F.col("many"), "multiple_section_markers").otherwise("proceedings_like_preview").alias("reason"))
+
+
+def previewed(works: DataFrame, shadows: DataFrame, into: str, fields: list[str]) -> DataFrame:
+    """Papers as they would be after a merge: blanks filled from the other one, with a flag where both differ."""
+    s = shadows.select(F.col(into).alias("id"), *[F.col(f).alias(f"_{f}") for f in fields])
+    met = works.join(s, "id")
+    return met.select("id", *[F.coalesce(f, f"_{f}").alias(f) for f in fields], *[F.coalesce(F.col(f) != F.col(f"_{f}"), F.lit(False)).alias(f"{f}_differs") for f in fields])
+
+
+def backfilled(works: DataFrame) -> DataFrame:
+    """(id, doi, filled): empty DOIs filled from `known` unless they are locked."""
+    own = F.nullif(F.trim("doi"), F.lit(""))
+    new = F.when(~F.col("locked"), normalize_doi(F.col("known")))
+    return works.select("id", F.coalesce(own, new).alias("doi"), (own.isNull() & new.isNotNull()).alias("filled"))
+
+
+def shelved(works: DataFrame, shelf_works: DataFrame, default: int) -> DataFrame:
+    """Links of papers to shelves with the default shelf for papers that have none."""
+    loose = works.join(shelf_works.select(F.col("work_id").alias("id")), "id", "left_anti").select(F.col("id").alias("work_id"), F.lit(default).alias("shelf_id"))
+    return shelf_works.select("work_id", "shelf_id").unionAll(loose)
+
+
+def described(pairs: DataFrame, works: DataFrame) -> DataFrame:
+    """(a, b, label, suggested): both titles, and the newer paper, a if they are alike."""
+    x, y = (works.select(F.col("id").alias(n), F.col("title").alias(f"t_{n}"), F.col("year").alias(f"y_{n}")) for n in "ab")
+    met = pairs.join(x, "a").join(y, "b", "left")
+    return met.select("a", "b", F.concat("t_a", F.lit(" | "), F.coalesce("t_b", F.lit("(gone)"))).alias("label"), F.when(F.col("y_b") > F.col("y_a"), F.col("b")).otherwise(F.col("a")).alias("suggested"))
+
+
+def replaced(old: DataFrame, new: DataFrame, works: DataFrame) -> DataFrame:
+    """Citing papers (id, work_id, title) after some works have been fetched again.
+
+    The lists of those works are replaced, so what is in none any more goes; a
+    paper that comes up again keeps its id and takes the new title and work.
+    held tells whether the library has it.
+    """
+    again = new.select("work_id").distinct().withColumn("_again", F.lit(True))
+    kept = old.join(again, "work_id", "left").join(new.select("id", F.lit(True).alias("_new")), "id", "left").where("_again is null or _new")
+    both = kept.select("id", F.col("work_id").alias("_w"), F.col("title").alias("_t")).join(new, "id", "full")
+    rows = both.select("id", F.coalesce("work_id", "_w").alias("work_id"), F.coalesce("title", "_t").alias("title"))
+    return rows.join(works.select("id", F.lit(True).alias("held")), "id", "left").select("id", "work_id", "title", F.coalesce("held", F.lit(False)).alias("held"))
+
+
+def enriched(values: DataFrame, locks: DataFrame, fields: list[str]) -> DataFrame:
+    """A column for each field: of the latest value of each source (id, field, rank, value, at) the first by rank; locked fields (id, field) are left empty."""
+    latest = values.groupBy("id", "field", "rank").agg(F.max_by("value", "at").alias("value"))
+    first = latest.groupBy("id", "field").agg(F.min_by("value", "rank").alias("value"))
+    open_ = first.join(locks.withColumn("_locked", F.lit(True)), ["id", "field"], "left").select("id", "field", F.when(F.col("_locked").isNull(), F.col("value")).alias("value"))
+    return open_.groupBy("id").pivot("field", fields).agg(F.first("value"))

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Keys that the language knows.
-KEYS = ("title", "venue", "abstract", "type", "status", "year", "author", "tag", "doi", "arxiv", "shelf", "rack", "cites", "cited_by_local", "has", "missing", "duplicate")
+KEYS = ("title", "venue", "abstract", "type", "status", "year", "author", "tag", "doi", "arxiv", "shelf", "rack", "cites", "cited_by_local", "row", "keyword", "topic", "summary", "fulltext", "file", "version", "warning", "has", "missing", "duplicate")
+#: What counts as no.
 _FALSE = ("false", "no", "n", "0", "none")
 
 
@@ -59,12 +60,20 @@ def like(column: str, value: str) -> Column:
     return F.coalesce(F.col(column).ilike(f"%{value}%"), F.lit(False))
 
 
+def _side(sides: dict[str, DataFrame], name: str) -> DataFrame:
+    if name not in sides:
+        raise ValueError(f"the search needs the table for {name}")
+    return sides[name]
+
+
 def filtered(works: DataFrame, search: Search, sides: dict[str, DataFrame] | None = None) -> DataFrame:
     """works that fit the search.
 
     sides gives ids (a column `id`) for the terms that look at other tables,
     by term: `has:references` under "has:references", `cites:7` under "cites",
-    `tag` and the like with a column `name` to match.
+    `tag` and the like with a column `name` to match; "sha256" gives the hashes
+    of files, which free text of 8 to 64 hexadecimal digits also looks into.  A
+    term whose table is not given is a ValueError.
     """
     sides = sides or {}
     text_columns = [c for c in ("title", "abstract", "doi", "arxiv_id", "venue") if c in works.columns]
@@ -73,7 +82,13 @@ def filtered(works: DataFrame, search: Search, sides: dict[str, DataFrame] | Non
         hit = F.lit(False)
         for c in text_columns:
             hit = hit | like(c, search.text)
-        out = out.where(hit)
+        if "sha256" in sides and re.fullmatch("[0-9a-fA-F]{8,64}", search.text):
+            files = sides["sha256"].where(F.col("name").startswith(search.text.lower())).select(F.col("id").alias("_id")).distinct()
+            out = out.join(files, F.col("id") == F.col("_id"), "left")
+            hit = hit | F.col("_id").isNotNull()
+            out = out.where(hit).drop("_id")
+        else:
+            out = out.where(hit)
     for key, value in search.terms.items():
         if key in ("title", "venue", "abstract"):
             out = out.where(like(key, value))
@@ -89,14 +104,26 @@ def filtered(works: DataFrame, search: Search, sides: dict[str, DataFrame] | Non
             for name in value.split(","):
                 empty = F.col(name).isNull() if name == "year" else F.col(name).isNull() | (F.col(name).cast("string") == "")
                 out = out.where(empty)
+        elif key in ("keyword", "topic"):  # in the list as it is written
+            out = out.where(F.contains(F.lower(F.to_json(f"{key}s")), F.lit(value.lower())))
         elif key == "has":
-            ids = sides[f"has:{value}"]
+            absent = value.startswith("no-")
+            ids = _side(sides, f"has:{value.removeprefix('no-')}")
+            out = out.join(ids.select(F.col("id").alias("_id")).distinct(), F.col("id") == F.col("_id"), "left_anti" if absent else "left_semi")
+        elif key == "version":
+            ids = _side(sides, "version").select(F.col("id").alias("_id")).distinct()
+            out = out.join(ids, F.col("id") == F.col("_id"), "left")
+            has = F.col("version_group_id").isNotNull() | F.col("_id").isNotNull()
+            out = out.where(has if truth(value) else ~has).drop("_id")
+        elif key == "warning":
+            ids = _side(sides, "warning")
+            ids = ids.where((F.col("name") != "none") if value == "*" else F.col("name").ilike(f"%{value}%"))
             out = out.join(ids.select(F.col("id").alias("_id")).distinct(), F.col("id") == F.col("_id"), "left_semi")
         elif key == "duplicate":
-            ids = sides["duplicate"].select(F.col("id").alias("_id")).distinct()
+            ids = _side(sides, "duplicate").select(F.col("id").alias("_id")).distinct()
             out = out.join(ids, F.col("id") == F.col("_id"), "left_semi" if truth(value) else "left_anti")
         else:  # terms that match names or ids in other tables
-            ids = sides[key]
+            ids = _side(sides, key)
             ids = ids.where(F.col("name").cast("string").ilike(f"%{value}%") if key not in ("cites", "cited_by_local") else F.col("name").cast("string") == value)
             out = out.join(ids.select(F.col("id").alias("_id")).distinct(), F.col("id") == F.col("_id"), "left_semi")
     if search.year_min is not None:

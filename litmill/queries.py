@@ -743,8 +743,9 @@ def merged_links(c):
 
 @query("""SELECT work_id, tag FROM tags""")
 def unmerged_links(c):
-    """Merged and taken apart again."""
-    return linkage.unmerged(_journal(c), "tag")
+    """Merged, and taken apart again by the journal of what has moved."""
+    journal = _journal(c)
+    return linkage.unmerged(journal.select("work_id", "tag"), journal, "tag")
 
 
 @query("""i AS (SELECT p_partkey AS item_id, '10.1000/w' || (p_size * 40) AS doi, p_name AS title FROM part), l AS (SELECT p_name AS title FROM part WHERE p_retailprice > 999),

@@ -63,3 +63,83 @@ def restored(old: DataFrame, backup: DataFrame, key: str, mode: str = "merge") -
     if mode == "replace":
         return old.limit(0).unionByName(known, allowMissingColumns=True)
     return old.unionByName(known.join(old.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
+def _missing_base() -> Column:
+    word = F.nullif(F.regexp_extract(F.coalesce("title", F.lit("")), "[A-Za-z0-9]+", 0), F.lit(""))
+    return F.concat(F.lower(F.coalesce(word, F.lit("work"))), F.coalesce(F.col("year").cast("string"), F.lit("nd")))
+
+
+def missing_keys(rows: DataFrame) -> DataFrame:
+    """Missing papers with `cite_key`: first word and year, numbered from the most cited."""
+    n = F.row_number().over(Window.partitionBy("_base").orderBy(F.desc("cited_by"), "key"))
+    keyed = rows.withColumn("_base", _missing_base()).withColumn("_n", n)
+    return keyed.withColumn("cite_key", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat("_base", F.col("_n").cast("string")))).drop("_base", "_n")
+
+
+def missing_bibtex() -> Column:
+    note = F.concat(F.lit("Cited by "), F.col("cited_by").cast("string"), F.lit(" paper(s) in the scope"))
+    body = F.concat_ws(",\n", _field("title", escape_latex(F.coalesce("title", F.lit("Untitled")))), _field("year", F.col("year").cast("string")), _field("doi", F.col("doi")), _field("note", note))
+    return F.concat(F.lit("@misc{"), F.col("cite_key"), F.lit(",\n"), body, F.lit("\n}"))
+
+
+def missing_csv() -> Column:
+    """title, authors (none), year, doi, cited_by, mentions."""
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("title", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.concat_ws(",", quoted, F.lit(""), F.coalesce(F.col("year").cast("string"), F.lit("")), F.coalesce("doi", F.lit("")), F.col("cited_by").cast("string"), F.col("mentions").cast("string"))
+
+
+def reference_line() -> Column:
+    """A reference that no paper answers, as a line."""
+    parts = F.concat_ws(" ", F.trim("title"), F.concat(F.lit("("), F.col("year").cast("string"), F.lit(")")), F.concat(F.lit("DOI: "), "doi"), F.concat(F.lit("arXiv:"), "arxiv"))
+    return F.coalesce(F.nullif(parts, F.lit("")), F.lit("Untitled reference"))
+
+
+def safe_key(raw: Column, fallback: Column) -> Column:
+    """A reader's key without what could break out of an entry; letters of any script, digits and . : + / _ - stay."""
+    bare = F.regexp_replace(F.regexp_replace(raw, r"[^\p{L}\p{N}_.:+/-]", "-"), "-{2,}", "-")
+    return F.coalesce(F.nullif(F.regexp_replace(bare, r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", ""), F.lit("")), fallback)
+
+
+def unique_keys(rows: DataFrame) -> DataFrame:
+    """Keys that occur again get -2, -3, ... in order of id."""
+    n = F.row_number().over(Window.partitionBy("cite_key").orderBy("id"))
+    return rows.withColumn("_n", n).withColumn("cite_key", F.when(F.col("_n") == 1, F.col("cite_key")).otherwise(F.concat("cite_key", F.lit("-"), F.col("_n").cast("string")))).drop("_n")
+
+
+def full_bibtex(biblatex: bool = False) -> Column:
+    """An entry with authors; BibLaTeX names date and journal otherwise."""
+    authors = F.nullif(F.array_join("authors", " and "), F.lit(""))
+    body = F.concat_ws(",\n", _field("author", escape_latex(authors)), _field("title", escape_latex(F.coalesce("title", F.lit("Untitled")))), _field("date" if biblatex else "year", F.col("year").cast("string")), _field("journaltitle" if biblatex else "journal", escape_latex(F.col("venue"))), _field("doi", escape_latex(F.col("doi"))))
+    return F.concat(F.lit("@article{"), F.col("cite_key"), F.lit(",\n"), body, F.lit("\n}"))
+
+
+def full_ris() -> Column:
+    """A record with authors and abstract."""
+    def line(tag: str, value: Column) -> Column:
+        return F.when(value.isNotNull(), F.concat(F.lit(f"{tag}  - "), value))
+
+    authors = F.nullif(F.array_join(F.transform("authors", lambda a: F.concat(F.lit("AU  - "), a)), "\n"), F.lit(""))
+    return F.concat_ws("\n", F.lit("TY  - JOUR"), authors, line("TI", F.coalesce("title", F.lit("Untitled"))), line("PY", F.col("year").cast("string")), line("JO", F.col("venue")), line("DO", F.col("doi")), line("AB", F.col("abstract")), F.lit("ER  - "))
+
+
+def inline() -> Column:
+    """A work in one line of Markdown."""
+    head = F.concat(F.lit("**"), F.coalesce("title", F.lit("Untitled")), F.lit("**"), F.coalesce(F.concat(F.lit(" ("), F.col("year").cast("string"), F.lit(").")), F.lit(".")))
+    authors = F.concat(F.nullif(F.array_join("authors", ", "), F.lit("")), F.lit("."))
+    doi = F.concat(F.lit("DOI: ["), "doi", F.lit("](https://doi.org/"), "doi", F.lit(")"))
+    return F.concat_ws(" ", head, authors, F.concat(F.lit("*"), "venue", F.lit("*.")), doi)
+
+
+def pandoc() -> Column:
+    return F.concat(F.lit("- [@"), F.col("cite_key"), F.lit("]: "), inline())
+
+
+def annotations(notes: DataFrame) -> DataFrame:
+    """(id, notes): the notes of each paper in order of page."""
+    row = F.struct("page", "kind", "note")
+    lines = F.transform(F.array_sort(F.collect_list(row)), lambda n: F.concat(F.lit("["), n["kind"], F.lit("] "), n["note"]))
+    return notes.where("note is not null").groupBy("id").agg(F.array_join(lines, "\n").alias("notes"))
+
+
+FORMATS |= {"biblatex": lambda: full_bibtex(biblatex=True), "pandoc": pandoc, "text": inline, "full_ris": full_ris}
