@@ -63,6 +63,23 @@ def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([title_percent(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def value_percent(a: str | None, b: str | None) -> float | None:
+    """Similarity of two values in normal form: plain or by sets of words, 100 for two empty ones."""
+    if a is None or b is None:
+        return None
+    if a == b:
+        return 100.0
+    return round(max(ratio(a, b), token_set_ratio(a, b)), 1) if a and b else 0.0
+
+
 @F.pandas_udf(T.DoubleType())
-def plain_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else round(ratio(x, y), 1) for x, y in zip(a, b, strict=True)], dtype="float64")
+def value_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([value_percent(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Share of both strings that longest matching blocks cover, found from the longest on, from 0 to 1."""
+    from difflib import SequenceMatcher
+
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

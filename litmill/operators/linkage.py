@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import overlap
-from ..functions.similarity import title_similarity
-from ..functions.text import arxiv_base, arxiv_from_doi, arxiv_version, first_word, normalize_doi, normalize_title, relaxed_word
+from ..functions.similarity import block_ratio, title_similarity, value_similarity
+from ..functions.text import arxiv_base, arxiv_from_doi, arxiv_version, first_word, normalize_doi, normalize_title, relaxed_word, similarity_text
 
 #: Rank of the states of a reference, best last.
 STATES = ("unresolved", "external", "likely_match", "local_match", "rejected_match", "confirmed_match")
@@ -240,3 +240,39 @@ def enriched(values: DataFrame, locks: DataFrame, fields: list[str]) -> DataFram
     first = latest.groupBy("id", "field").agg(F.min_by("value", "rank").alias("value"))
     open_ = first.join(locks.withColumn("_locked", F.lit(True)), ["id", "field"], "left").select("id", "field", F.when(F.col("_locked").isNull(), F.col("value")).alias("value"))
     return open_.groupBy("id").pivot("field", fields).agg(F.first("value"))
+
+
+def disagreement(assertions: DataFrame) -> DataFrame:
+    """(entity_id, field_name, match): of fields with several values, how much the two least alike have in common, in per cent."""
+    values = assertions.where("value is not null").select("entity_id", "field_name", "value").distinct()
+    x, y = values.withColumnRenamed("value", "x"), values.withColumnRenamed("value", "y")
+    pairs = x.join(y, ["entity_id", "field_name"]).where("x < y")
+    return pairs.withColumn("score", value_similarity(similarity_text(F.col("x")), similarity_text(F.col("y")))).groupBy("entity_id", "field_name").agg(F.min("score").alias("match"))
+
+
+def ranked_candidates(candidates: DataFrame, k: int) -> DataFrame:
+    """The k best candidates (query_id, cand_id, title, year, authors, open, and wanted_title, wanted_year, wanted_authors) of each query.
+
+    Six tenths of the score are the titles, two the years (half if one is
+    unknown, 0.6 for neighbours), two the share of wanted last names; free
+    copies add 0.05, up to 1.
+    """
+    last = lambda names: F.array_distinct(F.transform(F.filter(names, lambda n: F.trim(n) != ""), lambda n: F.lower(F.element_at(F.split(F.trim(n), r"\s+"), -1))))
+    title = block_ratio(normalize_title(F.col("wanted_title")), normalize_title(F.col("title")))
+    apart = F.abs(F.col("year") - F.col("wanted_year"))
+    year = F.when(apart.isNull(), 0.5).when(apart == 0, 1.0).when(apart == 1, 0.6).otherwise(0.0)
+    wanted = last(F.col("wanted_authors"))
+    author = F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, last(F.col("authors")))) / F.size(wanted)).otherwise(0.0)
+    score = F.round(F.least(F.lit(1.0), 0.6 * F.col("_title") + 0.2 * year + 0.2 * author + F.when(F.col("open"), 0.05).otherwise(0.0)), 4)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "cand_id"))
+    scored = candidates.withColumn("_title", title).withColumn("score", score)
+    return scored.withColumn("place", place).where(F.col("place") <= k).select("query_id", "cand_id", "score", "place")
+
+
+def extracted(works: DataFrame, parsed: DataFrame, links: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a new extraction leaves: papers with blanks filled, links of re-read papers replaced, and references that nothing links to any more."""
+    p = parsed.select("id", F.col("title").alias("_t"), F.col("year").alias("_y"))
+    filled = works.join(p, "id", "left").select("id", F.coalesce(F.nullif("title", F.lit("")), "_t").alias("title"), F.coalesce("year", "_y").alias("year"))
+    kept = links.join(parsed.select(F.col("id").alias("citing_id")), "citing_id", "left_anti").select("citing_id", "cited_id").unionAll(found.select("citing_id", "cited_id")).distinct()
+    orphans = links.select("cited_id").distinct().join(kept.select("cited_id").distinct(), "cited_id", "left_anti")
+    return filled, kept, orphans

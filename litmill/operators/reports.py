@@ -91,6 +91,15 @@ def authors(works: DataFrame, names: str = "authors") -> DataFrame:
     return one.groupBy(person(F.col("name")).alias("author")).agg(F.countDistinct("id").alias("n"), F.countDistinct(F.trim("name")).alias("spellings"))
 
 
+def folded_authors(works: DataFrame, names: str = "authors") -> DataFrame:
+    """`authors` where accents and case make no difference; each spelling is folded once."""
+    from ..functions.names import folded, person
+
+    one = works.select("id", F.explode(F.split(names, ";")).alias("name")).select("id", F.trim("name").alias("name")).where("name <> ''")
+    keys = one.select("name").distinct().withColumn("author", person(folded("name")))
+    return one.join(keys, "name").groupBy("author").agg(F.countDistinct("id").alias("n"), F.countDistinct("name").alias("spellings"))
+
+
 def first_container(shelf_works: DataFrame, shelves: DataFrame) -> DataFrame:
     """The least name of each paper's public shelves, for sorting by shelf."""
     return shelf_works.join(shelves.where(F.col("access_level").isin("open", "visible")), "shelf_id").groupBy("work_id").agg(F.min("name").alias("shelf"))

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -74,18 +71,73 @@ def cluster_terms(centres: DataFrame, k: int = 6) -> DataFrame:
     return centres.withColumn("place", place).where(F.col("place") <= k)
 
 
+#: Words that end a key phrase.
+PHRASE_STOPS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "into", "is", "it", "its", "of", "on", "or", "that", "the", "their", "then", "there", "these", "this", "to", "was", "were", "which", "with", "we", "our", "those", "they", "them", "he", "she", "his", "her", "you", "your", "i", "but", "not", "can", "will", "may", "also", "such", "using", "used", "use", "based", "both", "than", "been", "being", "more", "most", "could", "would", "should", "about", "between", "over", "under", "across", "after", "before", "via", "per", "each", "any", "all", "some", "other", "many", "new", "given", "however", "thus", "therefore", "while", "where", "when", "how", "what", "who", "whose", "whom", "if", "so", "because", "although", "though", "within", "without")
+#: Rank constant, factor of phrases made of title words, overlap from which phrases are alike.
+PHRASE_RANK, IN_TITLE, ALIKE = 60, 1.5, 0.6
+
+
+def content_words(text: Column) -> Column:
+    """All words of a text in order, lower-cased, null where one is no content word."""
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9+\-]+")
+    return F.transform(words, lambda w: F.when(w.rlike(r"^[a-z][a-z0-9+\-]+$") & (F.length(w) >= 3) & ~w.isin(*PHRASE_STOPS), w))
+
+
+def phrases(docs: DataFrame, most_words: int = 4) -> DataFrame:
+    """(id, phrase, words, n): runs of content words, the first `most_words` of each, and how often they occur."""
+    line = F.array_join(F.transform(content_words(F.col("body")), lambda w: F.coalesce(w, F.lit("|"))), " ")
+    runs = docs.select("id", F.explode(F.split(line, r"\|")).alias("run")).select("id", F.trim("run").alias("run")).where("run <> ''")
+    words = F.slice(F.split("run", " "), 1, most_words)
+    return runs.select("id", words.alias("words")).groupBy("id", "words").agg(F.count("*").alias("n")).withColumn("phrase", F.array_join("words", " "))
+
+
+def ranked_phrases(docs: DataFrame, most_words: int = 4) -> DataFrame:
+    """(id, phrase, words, score, place): phrases by the degree over frequency of their words, ties by phrase; places from 0."""
+    found = phrases(docs, most_words)
+    words = found.select("id", "phrase", "n", F.size("words").alias("size"), F.explode("words").alias("word"))
+    ratio = words.groupBy("id", "word").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("ratio"))
+    scores = words.join(ratio, ["id", "word"]).groupBy("id", "phrase").agg(F.round(F.sum("ratio"), 6).alias("score"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "phrase")) - 1
+    return found.join(scores, ["id", "phrase"]).select("id", "phrase", "words", "score").withColumn("place", place)
+
+
 def key_phrases(docs: DataFrame, k: int, most_words: int = 4) -> DataFrame:
-    """(id, phrase, score, place): candidate phrases between stop words and marks, by the degree over frequency of their words."""
-    stop = "|".join(STOPWORDS)
-    split = F.split(F.regexp_replace(F.lower(F.coalesce("body", F.lit(""))), rf"\b({stop})\b|[^a-z0-9'\s-]|\n", "|"), r"\|")
-    phrases = docs.select("id", F.explode(split).alias("raw")).select("id", F.trim(F.regexp_replace("raw", r"\s+", " ")).alias("phrase")).where("phrase <> ''")
-    phrases = phrases.withColumn("words", F.split("phrase", " ")).where(F.size("words") <= most_words)
-    counted = phrases.groupBy("id", "phrase", "words").agg(F.count("*").alias("n"))
-    words = counted.select("id", "phrase", "n", F.size("words").alias("size"), F.explode("words").alias("word"))
-    scores = words.groupBy("id", "word").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("ratio"))
-    scored = words.join(scores, ["id", "word"]).groupBy("id", "phrase").agg(F.round(F.sum("ratio"), 6).alias("score"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "phrase"))
-    return scored.withColumn("place", place).where(F.col("place") <= k)
+    """(id, phrase, score, place): the k best phrases of each text."""
+    return ranked_phrases(docs, most_words).where(F.col("place") < k).select("id", "phrase", "score", (F.col("place") + 1).alias("place"))
+
+
+def word_rarity(docs: DataFrame) -> DataFrame:
+    """(word, idf) over all texts: ln((1 + texts) / (1 + texts with the word)) + 1."""
+    n = docs.count() or 1
+    words = docs.select(F.explode(F.array_distinct(F.array_compact(content_words(F.col("body"))))).alias("word"))
+    return words.groupBy("word").agg((F.log(F.lit(1.0 + n) / (1 + F.count("*"))) + 1).alias("idf"))
+
+
+def phrase_values(docs: DataFrame, most_words: int = 4) -> DataFrame:
+    """(id, phrase, words, value): what a phrase is worth by its place, more if the title has all its words, times the mean rarity of its words."""
+    title = docs.select("id", F.array_compact(content_words(F.col("title"))).alias("title_words"))
+    ranked = ranked_phrases(docs, most_words).join(title, "id")
+    rare = ranked.select("id", "phrase", F.explode("words").alias("word")).join(word_rarity(docs), "word").groupBy("id", "phrase").agg(F.avg("idf").alias("idf"))
+    boost = F.when(F.size(F.array_except("words", "title_words")) == 0, IN_TITLE).otherwise(1.0)
+    return ranked.join(rare, ["id", "phrase"]).select("id", "phrase", "words", F.round(boost * F.col("idf") / (PHRASE_RANK + F.col("place")), 9).alias("value"))
+
+
+def keywords(docs: DataFrame, k: int = 10, most_words: int = 4) -> DataFrame:
+    """(id, keywords): the best phrases of each text, without those whose words (plurals as singulars) are much like a better one's."""
+    stem = lambda w: F.when((F.length(w) > 3) & w.endswith("s"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)
+    values = phrase_values(docs, most_words)
+    row = F.struct((-F.col("value")).alias("down"), "phrase", F.array_distinct(F.transform("words", stem)).alias("stems"))
+    ordered = F.array_sort(F.collect_list(row))
+
+    def alike(a: Column, b: Column) -> Column:
+        return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)) >= ALIKE
+
+    def step(kept: Column, x: Column) -> Column:
+        full = (F.size(kept) >= k) | F.exists(kept, lambda y: alike(y["stems"], x["stems"]))
+        return F.when(full, kept).otherwise(F.array_append(kept, x))
+
+    folded = F.aggregate(ordered, F.slice(ordered, 1, 0), step)
+    return values.groupBy("id").agg(F.transform(folded, lambda x: x["phrase"]).alias("keywords"))
 
 
 def sentences(docs: DataFrame) -> DataFrame:
@@ -111,47 +163,91 @@ def neighbours(s: DataFrame) -> DataFrame:
     return s.select("id", "pos", F.lag("sentence").over(w).alias("before"), "sentence", F.lead("sentence").over(w).alias("after"))
 
 
-def pack(text: str, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP) -> list[str]:
-    """Sentences packed into chunks of about `target` words; each starts with the last words of the one before.
+def chunks(docs: DataFrame, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
+    """(id, pos, n_words, chunk): sentences packed into chunks of about `target` words, each starting with the last words of the one before.
 
-    A sentence of more than `most` words is cut into windows.
+    A chunk is a stretch of a text's words, so only where stretches begin and
+    end is folded over the sizes of the sentences; a sentence of more than
+    `most` words counts as several.
     """
-    out: list[str] = []
-    held: list[str] = []
-    fresh = 0
-
-    def flush() -> None:
-        nonlocal held, fresh
-        if fresh:
-            out.append(" ".join(held))
-            held, fresh = held[-overlap:] if overlap else [], 0
-
-    for sentence in re.split(r"(?<=[.!?])\s+", text.strip()):
-        words = sentence.split()
-        for lo in range(0, len(words), most):
-            unit = words[lo : lo + most]
-            if fresh and len(held) + len(unit) > most:
-                flush()
-            held = held + unit
-            fresh += len(unit)
-            if len(held) >= target:
-                flush()
-    flush()
-    return out
-
-
-def chunks(docs: DataFrame, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
-    """(id, pos, n_words, chunk).  What a chunk starts with depends on the chunk before, so a text is folded in one go."""
-
-    def run(batches):
-        for batch in batches:
-            ids, pos, n, text = [], [], [], []
-            for i, body in zip(batch.column("id").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                for k, c in enumerate(pack(body or "", target, most, overlap)):
-                    ids.append(i)
-                    pos.append(k)
-                    n.append(len(c.split()))
-                    text.append(c)
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "pos": pa.array(pos, pa.int32()), "n_words": pa.array(n, pa.int32()), "chunk": pa.array(text, pa.string())})
-
-    return docs.select(F.col("id").cast("long").alias("id"), F.col("body")).mapInArrow(run, "id long, pos int, n_words int, chunk string")
+    line = F.trim(F.regexp_replace(F.coalesce("body", F.lit("")), r"\s+", " "))
+    sizes = F.transform(F.split(line, "(?<=[.!?]) "), lambda s: F.size(F.split(s, " ")))
+    cut_up = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / most).cast("int")), lambda i: F.least(F.lit(most), n - i * most))))
+    span = "array<struct<begin:int,stop:int>>"
+    start = F.struct(F.lit(0).alias("begin"), F.lit(0).alias("stop"), F.lit(False).alias("fresh"), F.array().cast(span).alias("done"))
+
+    def closed(state: Column, when: Column) -> Column:
+        """The state after its stretch has been closed, where it is to be."""
+        row = F.struct(state["begin"].alias("begin"), state["stop"].alias("stop"))
+        return F.struct(
+            F.when(when, F.greatest(state["begin"], state["stop"] - overlap)).otherwise(state["begin"]).alias("begin"),
+            state["stop"].alias("stop"),
+            (state["fresh"] & ~when).alias("fresh"),
+            F.when(when, F.array_append(state["done"], row)).otherwise(state["done"]).alias("done"),
+        )
+
+    def step(state: Column, n: Column) -> Column:
+        held = state["stop"] - state["begin"]
+        before = closed(state, (held > 0) & (held + n > most))
+        more = F.struct(before["begin"].alias("begin"), (before["stop"] + n).alias("stop"), F.lit(True).alias("fresh"), before["done"].alias("done"))
+        return closed(more, more["stop"] - more["begin"] >= target)
+
+    spans = F.aggregate(cut_up, start, step, lambda state: closed(state, state["fresh"])["done"])
+    rows = docs.select("id", F.split(line, " ").alias("words"), spans.alias("spans"), line.alias("line")).where("line <> ''")
+    rows = rows.select("id", "words", F.posexplode("spans").alias("pos", "s"))
+    return rows.select("id", "pos", (F.col("s.stop") - F.col("s.begin")).alias("n_words"), F.array_join(F.slice("words", F.col("s.begin") + 1, F.col("s.stop") - F.col("s.begin")), " ").alias("chunk"))
+
+
+def scope_summary(docs: DataFrame, k: int) -> DataFrame:
+    """(id, pos, score, sentence): the k most salient sentences of all texts taken together, in order."""
+    s = sentences(docs)
+    words = s.select("id", "pos", F.explode(F.filter(tokens(F.col("sentence"), "[a-z][a-z'-]{2,}"), lambda t: ~t.isin(*STOPWORDS))).alias("w"))
+    frequency = words.groupBy("w").agg(F.count("*").alias("f"))
+    peak = frequency.agg(F.max("f").alias("peak"))
+    scored = words.join(frequency, "w").crossJoin(F.broadcast(peak)).groupBy("id", "pos").agg(F.round(F.sum(F.col("f") / F.col("peak")) / F.sqrt(F.count("*")), 6).alias("score"))
+    best = scored.orderBy(F.desc("score"), F.desc("id"), F.desc("pos")).limit(k)
+    return s.join(F.broadcast(best), ["id", "pos"]).select("id", "pos", "score", "sentence")  # k rows
+
+
+def packed_blocks(blocks: DataFrame, budget: int) -> DataFrame:
+    """(id, pack, text, letters): blocks (id, pos, text) packed in order into texts of at most `budget` letters, of one block at least."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda b: b["text"])
+    start = F.struct(F.lit(0).alias("size"), F.array().cast("array<array<string>>").alias("packs"))
+
+    def step(state: Column, text: Column) -> Column:
+        last = F.element_at(state["packs"], -1)
+        new = (F.size(state["packs"]) == 0) | (state["size"] + F.length(text) > budget)
+        longer = F.concat(F.slice(state["packs"], 1, F.size(state["packs"]) - 1), F.array(F.array_append(last, text)))
+        return F.struct(F.when(new, F.length(text) + 1).otherwise(state["size"] + F.length(text) + 1).alias("size"), F.when(new, F.array_append(state["packs"], F.array(text))).otherwise(longer).alias("packs"))
+
+    packs = blocks.groupBy("id").agg(F.aggregate(rows, start, step, lambda state: state["packs"]).alias("packs"))
+    out = packs.select("id", F.posexplode("packs").alias("pack", "parts"))
+    return out.select("id", "pack", F.array_join("parts", "\n").alias("text")).withColumn("letters", F.length("text"))
+
+
+def dense_topics(vectors: DataFrame, k: int, outlier: float = 0.05) -> DataFrame:
+    """(cluster, n, coherence, representatives, outliers): clusters of dense vectors (id, vector), the three papers nearest to each centre, and how many are far."""
+    weights = vectors.select("id", F.posexplode("vector").alias("term", "weight")).select("id", F.col("term").cast("string").alias("term"), "weight")
+    placed, _ = clusters(weights, k)
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("score"), "id"))
+    ranked = placed.withColumn("place", rank)
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= 3, F.struct("place", "id")))), lambda r: r["id"].cast("string")), ",")
+    return ranked.groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.least(F.greatest(F.avg("score"), F.lit(0.0)), F.lit(1.0)), 4).alias("coherence"), names.alias("representatives"), F.count_if(F.col("score") < outlier).alias("outliers"))
+
+
+def plane(vectors: DataFrame) -> DataFrame:
+    """(id, x, y): vectors (id, vector) on their two main axes, from the mean; the largest loading of an axis is positive."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = vectors.select("id", array_to_vector("vector").alias("v"))
+    if rows.isEmpty():
+        return vectors.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    axes = min(2, len(rows.first()["v"]))
+    model = PCA(k=axes, inputCol="v", outputCol="p").fit(rows)
+    loadings = model.pc.toArray().T
+    signs = [1.0 if a[abs(a).argmax()] >= 0 else -1.0 for a in loadings]
+    at = model.transform(rows).select("id", vector_to_array("p").alias("p"))
+    mean = at.agg(*[F.avg(F.col("p")[i]).alias(f"m{i}") for i in range(axes)])
+    out = at.crossJoin(F.broadcast(mean))  # a single row
+    return out.select("id", *[(signs[i] * (F.col("p")[i] - F.col(f"m{i}"))).alias(n) if i < axes else F.lit(0.0).alias(n) for i, n in enumerate("xy")])

@@ -372,16 +372,6 @@ def topic_model(c):
     return placed.join(terms, "cluster", "left").select("id", "cluster", F.round("score", 4).alias("score"), "terms")
 
 
-@query()
-def key_phrases(c):
-    return textmine.key_phrases(c.texts(), 5)
-
-
-@query()
-def summaries(c):
-    return textmine.summary(c.texts(), 3)
-
-
 @query()
 def text_chunks(c):
     return textmine.chunks(c.texts()).select("id", "pos", "n_words", F.sha2("chunk", 256).alias("sha256"))
