@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
-from .components import connected_components
+from .components import connected_components, met
 from .session import cut
 
 #: N-grams that one fragment of the first step and one block of texts hold.
@@ -267,15 +267,17 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
 
     hubs = meets.groupBy("token").agg(F.min(F.struct((F.col("pos") / F.col("n")).alias("rarer"), "node", "n", "pos")).alias("hub"), F.count("*").alias("members")).where("members > 1")
     hubs = hubs.select("token", F.col("hub.node").alias("node"), F.col("hub.n").alias("n"), F.col("hub.pos").alias("pos"))
-    x, y = meets.alias("x"), hubs.alias("y")
-    stars = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node")) & bounded("x", "y"))
-    stars = stars.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    hubs = hubs.select("token", *[F.col(c).alias(f"hub_{c}") for c in ("node", "n", "pos")])
+    x = met(meets, hubs, "token", "node").where("node <> hub_node")
+    most = F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos"))
+    stars = x.where((100 + percent) * most >= percent * (F.col("n") + F.col("hub_n")))
+    stars = stars.select(F.greatest("node", "hub_node").alias("a"), F.least("node", "hub_node").alias("b")).distinct()
     links = cut(_links(stars, parts, percent))
     found = connected_components(links, "a", "b")
 
     placed = meets.join(found, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    placed = cut(placed.join(mixed, "token", "left_semi"))
+    placed = cut(met(placed, mixed, "token", "node"))
     kinds = placed.select("token", "n", "pos", "component").distinct()
     # The kinds of a frequent n-gram are split, and each part meets all of them in a task of its own.
     blocks = kinds.groupBy("token").agg(F.ceil(F.count("*") / KINDS).cast("int").alias("blocks"))

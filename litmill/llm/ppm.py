@@ -1,17 +1,20 @@
 """Language-model scores by prediction by partial matching over byte contexts.
 
 The trie of contexts (up to ORDER bytes) is counted over all training texts and
+kept as a table of (context and byte, count) rows, which Spark adds up; it is
 never gathered in one place.  Its deep levels are split by the last three bytes
 of the context, so that a context and all it can fall back to stand together;
-the shallow levels, at most 2^24 counts, go to everyone.
-
-A block of texts asks each fragment about the distinct (context, byte) pairs it
-holds, and gets their log-probabilities back: that of the byte in the longest
-context that has seen it, times the escapes from the longer ones, where bytes
-that a longer context has already ruled out are excluded from the shorter.
-Escapes are estimated as in method D: a context seen t times with q different
-bytes escapes with q / 2t, and gives (2n - 1) / 2t to a byte seen n times.
-Word counts for the base score travel the same way.
+the shallow levels, at most 2^24 counts, go to everyone, and so do the
+log-probabilities of the most frequent entries, FREQUENT at most.
+
+A block of texts asks each fragment of the trie about those of its distinct
+(context, byte) pairs that are not among the frequent ones, and gets their
+log-probabilities back: that of the byte in the longest context that has seen
+it, times the escapes from the longer ones, where bytes that a longer context
+has already ruled out are excluded from the shorter.  Escapes are estimated as
+in method D: a context seen t times with q different bytes escapes with q / 2t,
+and gives (2n - 1) / 2t to a byte seen n times.  Word counts for the base score
+travel the same way.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .kernel import pieces
+from .session import cut
 
 ORDER = 5
 #: Symbols that UTF-8 never uses: what stands before a text, and what ends it.
@@ -32,6 +36,10 @@ SYMBOLS = 255
 #: Rows of a block, and letters that a fragment is laid out for.
 BLOCK_ROWS = 4096
 LETTERS = 40_000_000
+#: Entries of the trie, and words, that everyone gets; more cannot be as frequent as these must be.
+FREQUENT = (1 << 21, 1 << 18)
+#: Different entries that a task holds before it hands them on.
+HELD = 1 << 22
 END_WORD = np.uint64(0x2545F4914F6CDD1D)
 
 U8 = np.uint64(8)
@@ -185,39 +193,98 @@ def log_probability(keys: np.ndarray, trie: list[Level]) -> np.ndarray:
     return out
 
 
-def _held(column: pa.Array) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False).astype(bool)
-
-
-def _block_of(texts: pa.Array, held: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """Distinct grams and words of a block, sorted, with their counts in training texts (0 if only held-out texts have them)."""
-    found = ([], []), ([], [])
-    for a, b, data, offsets in pieces(texts):
-        out = held[a:b]
-        every = grams(data, offsets)
-        row = np.repeat(out, np.diff(offsets) + 1)
-        words, counts = kernel.word_hashes(data, offsets)
-        word_row = np.repeat(out, counts)
-        for k, (keys, skip) in enumerate(((every, row), (words, word_row))):
-            for part, weight in ((keys[~skip], 1), (keys[skip], 0)):
-                key, count = tally(part)
-                found[k][0].append(key)
-                found[k][1].append(count * weight)
-    ends = np.array([END_WORD]), np.array([int((~held).sum())])
-    return merge(*found[0]), merge([*found[1][0], ends[0]], [*found[1][1], ends[1]])
-
-
 def _fragment(keys: np.ndarray, kind: int, fragments: int) -> np.ndarray:
     """The fragment of each key: of a gram by the last three bytes of its context, of a word by the word."""
     by = (keys >> U8) & np.uint64(0xFFFFFF) if kind == 0 else keys
     return (kernel.mix(by + np.uint64(77)) >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
 
 
-_ASK = pa.schema([("fragment", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-_ASK_DDL = "fragment long, block long, keys binary, counts binary"
-_TELL = pa.schema([("block", pa.int64()), ("fragment", pa.int64()), ("values", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64())])
-_TELL_DDL = "block long, fragment long, values binary, tokens long, distinct long"
+_COUNT_DDL = "fragment long, key long, n long"
+_ASK = pa.schema([("fragment", pa.int64()), ("block", pa.int64()), ("keys", pa.binary())])
+_ASK_DDL = "fragment long, block long, keys binary"
+_TELL_DDL = "block long, fragment long, values binary"
 _OUT_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_KINDS = (0, 1)  # entries of the trie, words
+
+
+def _counted(fragments: int):
+    """Training texts to (fragment, key, n) rows of trie entries and words, added up as far as a task holds them."""
+
+    def rows(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        fragment = _fragment(keys, kind, fragments).astype(np.int64) + kind * fragments
+        return pa.RecordBatch.from_arrays([pa.array(fragment), pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], names=["fragment", "key", "n"])
+
+    def run(batches):
+        held = {k: ([], []) for k in _KINDS}
+
+        def flush(kind: int, last: bool):
+            key, count = merge(*held[kind])
+            held[kind] = ([], []) if last or len(key) > HELD else ([key], [count])
+            if not held[kind][0]:
+                for lo in range(0, len(key), 1 << 16):
+                    yield rows(kind, key[lo : lo + (1 << 16)], count[lo : lo + (1 << 16)])
+
+        for batch in batches:
+            for a, b, data, offsets in pieces(batch.column("text")):
+                words, _ = kernel.word_hashes(data, offsets)
+                for kind, keys in enumerate((grams(data, offsets), words)):
+                    for held_part, part in zip(held[kind], tally(keys), strict=True):
+                        held_part.append(part)
+                held[1][0].append(np.array([END_WORD]))
+                held[1][1].append(np.array([b - a]))
+                for kind in _KINDS:
+                    if len(held[kind][0]) > 16:
+                        yield from flush(kind, False)
+        for kind in _KINDS:
+            yield from flush(kind, True)
+
+    return run
+
+
+def _valued(shallow, fragments: int, least: tuple[int, int]):
+    """Of one fragment's rows, the values of the frequent keys: log-probabilities, or counts of words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        name, keys, counts = _model(table)
+        kind = int(name >= fragments)
+        often = counts > least[kind]
+        values = counts.astype(np.float64)
+        if kind == 0 and often.any():
+            values = log_probability(keys[often], levels(keys, counts, ORDER, levels(*shallow.value, 2, [])))
+        else:
+            values = values[often]
+        return pa.table({"kind": np.full(int(often.sum()), kind, np.int32), "key": keys[often].view(np.int64), "value": values})
+
+    return run
+
+
+def _model(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+    """Name, sorted keys and counts of a fragment."""
+    keys, counts = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    order = np.argsort(keys)
+    return table.column("fragment")[0].as_py(), keys[order], counts[order]
+
+
+class Known:
+    """The frequent values that everyone has."""
+
+    def __init__(self, kinds: list[tuple[np.ndarray, np.ndarray]]):
+        self.lookups = [Lookup(keys, values) for keys, values in kinds]
+
+    def __call__(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        """Values of keys, 0 where they are not among the frequent ones."""
+        return self.lookups[kind](keys)
+
+
+def _rare(known: Known, texts: pa.Array) -> list[np.ndarray]:
+    """The distinct keys of a block, by kind, that are not among the frequent ones, in order."""
+    found = ([], [])
+    for _, _, data, offsets in pieces(texts):
+        words, _ = kernel.word_hashes(data, offsets)
+        for kind, keys in enumerate((grams(data, offsets), words)):
+            found[kind].append(tally(keys[known(kind, keys) == 0])[0])
+    found[1].append(np.array([END_WORD]))
+    return [np.unique(np.concatenate(f)) if f else np.zeros(0, np.uint64) for f in found]
 
 
 def _split(keys: np.ndarray, kind: int, fragments: int):
@@ -226,22 +293,22 @@ def _split(keys: np.ndarray, kind: int, fragments: int):
     return order, np.searchsorted(part[order], np.arange(fragments + 1))
 
 
-def _asked(fragments: int):
-    """Texts to questions: of every block one to every fragment, also if it is empty."""
+def _asked(shared, fragments: int):
+    """Texts to questions: of every block one to every fragment that it has a question for."""
 
     def run(batches):
-        block, texts, held = None, [], []
+        known = Known(shared.value)
+        block, texts = None, []
 
         def flush():
-            text = pa.chunked_array(texts)
-            for kind, (keys, counts) in enumerate(_block_of(text, np.concatenate(held))):
+            rows = []
+            for kind, keys in enumerate(_rare(known, pa.chunked_array(texts))):
                 order, bounds = _split(keys, kind, fragments)
-                for lo in range(0, fragments, 64):
-                    rows = [order[bounds[f] : bounds[f + 1]] for f in range(lo, min(fragments, lo + 64))]
-                    names = [kind * fragments + f for f in range(lo, lo + len(rows))]
-                    # Sorted keys as differences, which compress well.
-                    keyed = [np.diff(keys[r], prepend=np.uint64(0)).tobytes() for r in rows]
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array(keyed, pa.binary()), pa.array([counts[r].astype(np.uint32).tobytes() for r in rows], pa.binary())], schema=_ASK)
+                # Sorted keys as differences, which compress well.
+                rows += [(kind * fragments + f, np.diff(keys[order[bounds[f] : bounds[f + 1]]], prepend=np.uint64(0)).tobytes()) for f in np.unique(_fragment(keys, kind, fragments)).astype(int).tolist()]
+            for lo in range(0, len(rows), 64):
+                part = rows[lo : lo + 64]
+                yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in part], pa.int64()), pa.array([block] * len(part), pa.int64()), pa.array([k for _, k in part], pa.binary())], schema=_ASK)
 
         for batch in batches:
             blocks = batch.column("block").to_numpy()
@@ -249,11 +316,10 @@ def _asked(fragments: int):
             for a, b in zip([0, *cuts], [*cuts, len(blocks)], strict=True):
                 if b > a and block is not None and block != blocks[a]:
                     yield from flush()
-                    texts, held = [], []
+                    texts = []
                 if b > a:
                     block = int(blocks[a])
                     texts.append(batch.column("text").slice(a, b - a))
-                    held.append(_held(batch.column("held_out"))[a:b])
         if texts:
             yield from flush()
 
@@ -261,98 +327,104 @@ def _asked(fragments: int):
 
 
 def _told(shallow, fragments: int):
-    """One fragment: its part of the trie, or of the word counts, and what each block has asked."""
+    """One fragment of the trie, or of the words, and what blocks have asked it."""
 
-    def run(table: pa.Table) -> pa.Table:
-        name = table.column("fragment")[0].as_py()
-        keys = [np.cumsum(np.frombuffer(k, np.uint64), dtype=np.uint64) for k in table.column("keys").to_pylist()]
-        counts = [np.frombuffer(c, np.uint32).astype(np.int64) for c in table.column("counts").to_pylist()]
-        every, total = merge(keys, counts)
-        seen = total > 0
-        tokens = distinct = 0
+    def run(asked: pa.Table, model: pa.Table) -> pa.Table:
+        name = asked.column("fragment")[0].as_py() if asked.num_rows else 0
+        asked_keys = [np.cumsum(np.frombuffer(k, np.uint64), dtype=np.uint64) for k in asked.column("keys").to_pylist()]
+        every = np.unique(np.concatenate(asked_keys)) if asked_keys else np.zeros(0, np.uint64)
+        _, keys, counts = _model(model) if model.num_rows else (name, np.zeros(0, np.uint64), np.zeros(0, np.int64))
         if name < fragments:
-            low = levels(*shallow.value, 2, [])
-            value = log_probability(every, levels(every[seen], total[seen], ORDER, low)).astype(np.float32)
+            value = log_probability(every, levels(keys, counts, ORDER, levels(*shallow.value, 2, []))).astype(np.float32)
         else:
-            value, tokens, distinct = total.astype(np.float64), int(total.sum()), int(seen.sum())
-        bodies = [value[np.searchsorted(every, k)].tobytes() for k in keys]
-        n = len(bodies)
-        return pa.Table.from_arrays([table.column("block"), table.column("fragment"), pa.array(bodies, pa.binary()), pa.array([tokens] * n, pa.int64()), pa.array([distinct] * n, pa.int64())], schema=_TELL)
+            at = np.minimum(np.searchsorted(keys, every), max(len(keys) - 1, 0))
+            value = np.where(keys[at] == every, counts[at], 0).astype(np.float64) if len(keys) else np.zeros(len(every))
+        bodies = [value[np.searchsorted(every, k)].tobytes() for k in asked_keys]
+        return pa.table({"block": asked.column("block"), "fragment": asked.column("fragment"), "values": pa.array(bodies, pa.binary())})
 
     return run
 
 
-def _scored(fragments: int):
-    """One block's texts with what the fragments have told it."""
+def _scored(shared, fragments: int, n_all: int, v_all: int):
+    """One block's texts with what everyone knows and what the fragments have told it."""
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        held = _held(docs.column("held_out"))
+        known = Known(shared.value)
         answers = dict(zip(told.column("fragment").to_pylist(), told.column("values").to_pylist(), strict=True))
-        lookups = []
-        for kind, (keys, _) in enumerate(_block_of(docs.column("text"), held)):
+        rare = []
+        for kind, keys in enumerate(_rare(known, docs.column("text"))):
             order, bounds = _split(keys, kind, fragments)
             value = np.zeros(len(keys))
-            for f in range(fragments):
+            for f in np.unique(_fragment(keys, kind, fragments)).astype(int).tolist():
                 value[order[bounds[f] : bounds[f + 1]]] = np.frombuffer(answers[kind * fragments + f], (np.float32, np.float64)[kind])
-            lookups.append(Lookup(keys, value))
-        n_all, v_all = sum(told.column("tokens").to_pylist()), sum(told.column("distinct").to_pylist())
-        end = lookups[1](np.array([END_WORD]))[0]
+            rare.append(Lookup(keys, value))
+
+        def values(kind: int, keys: np.ndarray) -> np.ndarray:
+            out = known(kind, keys)
+            left = np.flatnonzero(out == 0)
+            out[left] = rare[kind](keys[left])
+            return out
+
+        end = rare[1](np.array([END_WORD]))[0]
         unit = np.log10(n_all + v_all + 1)
-        n, known, base, score = (np.zeros(docs.num_rows) for _ in range(4))
+        n, hits, base, score = (np.zeros(docs.num_rows) for _ in range(4))
         for a, b, data, offsets in pieces(docs.column("text")):
             ends = np.cumsum(np.diff(offsets) + 1)
-            score[a:b] = np.add.reduceat(lookups[0](grams(data, offsets)), np.concatenate(([0], ends[:-1])))
+            score[a:b] = np.add.reduceat(values(0, grams(data, offsets)), np.concatenate(([0], ends[:-1])))
             words, counts = kernel.word_hashes(data, offsets)
-            count = np.append(lookups[1](words), 0.0)
+            count = np.append(values(1, words), 0.0)
             first = np.cumsum(counts) - counts
             some = counts > 0
             n[a:b] = counts + 1
-            for target, value, last in ((known, (count > 0).astype(float), float(end > 0)), (base, np.log10(count + 1), np.log10(end + 1))):
+            for target, value, last in ((hits, (count > 0).astype(float), float(end > 0)), (base, np.log10(count + 1), np.log10(end + 1))):
                 total = np.zeros(b - a)
                 total[some] = np.add.reduceat(value, first[some])[: some.sum()] if some.any() else 0
                 target[a:b] = total + last
         base -= n * unit
-        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": n.astype(np.int64), "n_known": known.astype(np.int64), "train_tokens": np.full(len(n), n_all), "base_score": base, "score": score})
+        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": n.astype(np.int64), "n_known": hits.astype(np.int64), "train_tokens": np.full(len(n), n_all), "base_score": base, "score": score})
 
     return run
 
 
-def _shallow(batches):
-    """Counts of (two bytes of context, symbol) in texts."""
-    keys, counts = [], []
-    for batch in batches:
-        for _, _, data, offsets in pieces(batch.column("text")):
-            key, count = tally((grams(data, offsets) & np.uint64(_mask(2))).astype(np.uint32))
-            keys.append(key)
-            counts.append(count)
-        if len(keys) > 16:
-            key, count = merge(keys, counts)
-            keys, counts = [key], [count]
-    key, count = merge(keys, counts)
-    yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(count, pa.int64())], names=["gram", "n"])
-
-
-def scored(docs: DataFrame, fold: int = 7, left_out: int = 2) -> DataFrame:
+def scored(docs: DataFrame, fold: int = 7, left_out: int = 2, stable: bool = False) -> DataFrame:
     """A row for every row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the texts whose crc32(doc_id as text) mod fold is not left_out
     (a null doc_id is held out).  Tokens are words between ASCII white space,
     A-Z lower-cased, and one end for each text; base_score adds
     log10((c + 1) / (N + V + 1)) over them.  score is log10 of the model's
-    probability of the lower-cased bytes and the end.  A null text is empty.
-    docs is scanned three times and must be the same each time: a table, or
-    checkpointed.  Other columns are not looked at.
+    probability of the lower-cased bytes and the end.  A null text is empty;
+    rows that repeat a document count, and are scored, as often as they stand
+    there; an empty table gives no rows.  Other columns are not looked at.
+    docs is scanned several times and must give its rows in the same order each
+    time: stable says that it does, as a table; else it is checkpointed first.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold == left_out, F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held.alias("held_out"))
+    rows = rows if stable else cut(rows)
+    context = docs.sparkSession.sparkContext
     letters = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     fragments = max(1, -(-letters // LETTERS))
+    counted = rows.where(~F.col("held_out")).select("text").mapInArrow(kernel.tidy(_counted(fragments)), _COUNT_DDL)
+    model = cut(counted.groupBy("fragment", "key").agg(F.sum("n").alias("n")))
+    is_word = F.col("fragment") >= fragments
+    totals = model.groupBy(is_word.alias("words")).agg(F.sum("n").alias("n"), F.count("*").alias("different")).collect()  # two rows
+    sums = {r["words"]: (r["n"], r["different"]) for r in totals}
     # At most 2^24 counts, whatever the input.
-    low = rows.where(~F.col("held_out")).select("text").mapInArrow(_shallow, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    low = model.where(~is_word).groupBy(F.col("key").bitwiseAND(_mask(2)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
     low_keys, low_counts = low.column("gram").to_numpy().astype(np.uint64), low.column("n").to_numpy()
     order = np.argsort(low_keys)
-    shallow = docs.sparkSession.sparkContext.broadcast((low_keys[order], low_counts[order]))
+    shallow = context.broadcast((low_keys[order], low_counts[order]))
+    # Fewer than FREQUENT keys can each have more than this share of all counts.
+    least = tuple(sums.get(bool(kind), (0, 0))[0] // FREQUENT[kind] for kind in _KINDS)
+    frequent = model.groupBy("fragment").applyInArrow(kernel.tidy_group(_valued(shallow, fragments, least)), "kind int, key long, value double").toArrow()
+    kinds = []
+    for kind in _KINDS:
+        mine = np.flatnonzero(frequent.column("kind").to_numpy() == kind)
+        kinds.append((frequent.column("key").to_numpy()[mine].view(np.uint64), frequent.column("value").to_numpy()[mine]))
+    shared = context.broadcast(kinds)
     blocks = rows.withColumn("block", (F.monotonically_increasing_id() / BLOCK_ROWS).cast("long"))
-    asked = blocks.select("block", "text", "held_out").mapInArrow(kernel.tidy(_asked(fragments)), _ASK_DDL)
-    told = asked.groupBy("fragment").applyInArrow(kernel.tidy_group(_told(shallow, fragments)), _TELL_DDL)
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(kernel.tidy_pair(_scored(fragments)), _OUT_DDL)
+    asked = blocks.select("block", "text").mapInArrow(kernel.tidy(_asked(shared, fragments)), _ASK_DDL)
+    told = asked.groupBy("fragment").cogroup(model.groupBy("fragment")).applyInArrow(kernel.tidy_pair(_told(shallow, fragments)), _TELL_DDL)
+    n_all, v_all = sums.get(True, (0, 0))
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(kernel.tidy_pair(_scored(shared, fragments, n_all, v_all)), _OUT_DDL)

@@ -52,7 +52,7 @@ def _fold(by: int, left_out: int):
 
 
 def op3_ppm_scores(spark, sf_dir):
-    return ppm.scored(table(spark, sf_dir, "documents"))
+    return ppm.scored(table(spark, sf_dir, "documents"), stable=True)
 
 
 def op4_hierarchical_langid(spark, sf_dir):

@@ -156,10 +156,45 @@ def test_bpe(spark):
         assert got[i].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
-def test_ppm(spark):
+def test_bpe_marks_and_long_words():
+    """Every combining mark behind others, every assigned character, and a word of five million letters."""
+    import unicodedata
+
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    from litmill.llm import bpe
+
+    source = bpe.read_vocabulary(public.path("word_bpe_49k.json"))
+    library, codec = tokenizers.Tokenizer.from_str(source), bpe.Codec(source)
+    library.no_truncation(), library.no_padding()
+
+    def ours(texts):
+        ids, counts = codec.encode_all(texts)
+        return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+    marks = [chr(o) for o in range(0x300, 0x20000) if unicodedata.category(chr(o))[0] == "M"]
+    texts = [f"a\u0308{m}b {m}\u0345 x{m}" for m in marks] + ["\u0308\u0899", "\u0345\u08ca", "\u0345\u089b"]
+    texts += ["".join(f"a{chr(o + k)}b1{chr(o + k)} " for k in range(16)) for o in range(0, 0x20000, 16) if not 0xD7F0 < o < 0xE000]
+    assert ours(texts) == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    r = random.Random(13)
+    word = "".join(r.choices("abcdeé", k=5_000_000))
+    start = ours([word[:100_000]])[0]
+    assert start == library.encode(word[:100_000], add_special_tokens=False).ids
+    whole = ours([word])[0]  # minutes, were it not linear
+    assert whole[: len(start) - 50] == start[:-50]
+    text, _ = codec.decode(np.array(whole, np.uint32))
+    assert text.tobytes().decode().replace("</w>", "").replace(" ", "").encode("utf-8") != b""
+
+
+@pytest.mark.parametrize("frequent,fragment", [(1 << 20, 10**9), (40, 200), (1, 10**9)])
+def test_ppm(spark, monkeypatch, frequent, fragment):
+    """With all, some or none of the entries sent out, in one fragment or several."""
+    monkeypatch.setattr(ppm, "FREQUENT", (frequent, frequent))
+    monkeypatch.setattr(ppm, "LETTERS", fragment)
+    monkeypatch.setattr(ppm, "BLOCK_ROWS", 7)
     r = random.Random(4)
-    texts = [(i, " ".join(r.choices(["the", "cat", "Sat", "önce", "matte"], k=r.randint(0, 12))) or None) for i in range(60)] + [(60, ""), (61, "zq " * 50)]
-    got = {x.doc_id: x for x in ppm.scored(frame(spark, texts).repartition(3).persist()).collect()}
+    texts = [(i, " ".join(r.choices(["the", "cat", "Sat", "önce", "matte"], k=r.randint(0, 12))) or None) for i in range(60)] + [(60, ""), (61, "zq " * 50), (62, "the Cat")]
+    docs = frame(spark, texts).withColumn("key", F.lit("clash")).withColumn("n", F.lit(1))
+    got = {x.doc_id: x for x in ppm.scored(docs.repartition(3)).collect()}
     import zlib
 
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in texts}
@@ -288,7 +323,12 @@ def test_lattice():
     assert (near[:, None] <= ((2 * x[:, None] - p[:, None] - lattice.STEPS[None]) ** 2).sum(axis=2) + 1e-9).all()
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("crowd,cell", [(8_000_000, 1000), (6, 3)])
+def test_near_duplicates(spark, monkeypatch, crowd, cell):
+    """With one projection a bucket, and with two and cells that are split."""
+    monkeypatch.setattr(lattice, "CROWD", crowd)
+    monkeypatch.setattr(lattice, "CELL", cell)
+    monkeypatch.setattr(lattice, "BLOCK", cell)
     rng = np.random.default_rng(2)
     rows, i = [], 0
     for label in (0, 1):
@@ -321,6 +361,39 @@ def test_near_duplicates(spark):
     assert lattice.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_repeats(spark):
+    """Repeated ids with equal and other vectors, a null id, clashing columns."""
+    a, b, c = [1.0, 0.0, 0.1], [1.0, 0.01, 0.1], [0.0, 1.0, 0.0]
+    rows = [(1, a, "x"), (1, a, "x"), (2, b, "x"), (3, c, "x"), (3, b, "x"), (None, a, "x"), (4, a, "y")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").withColumns({"v": F.lit("clash"), "node": F.lit(0), "copies": F.lit(1)})
+    got = sorted(repr(tuple(r)) for r in lattice.near_duplicates(df).collect())
+    # The second vector of 3 equals that of 2, so it is a copy of it and links with 1.
+    assert got == sorted(map(repr, [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (3, 2, 1, False), (None, 0, None, True), (4, 0, 4, True)]))
+
+
+@pytest.mark.parametrize("dim,depth,tables,least", [(16, 1, 4, 0.98), (64, 1, 4, 0.98), (384, 1, 4, 0.98), (64, 2, 6, 0.95)])
+def test_lattice_recall(dim, depth, tables, least):
+    """How many pairs of exactly the least similarity meet in a bucket: at least 0.9 is asked of an index, these do better."""
+    rng = np.random.default_rng(dim)
+    x, g = rng.normal(size=(2, 3000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g -= (g * x).sum(axis=1, keepdims=True) * x
+    z = 0.98 * x + np.sqrt(1 - 0.98**2) * g / np.linalg.norm(g, axis=1, keepdims=True)
+    found = []
+    for rows in (x, z):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows.tolist(), pa.list_(pa.float64()))], names=["node", "v"])
+        own, near = {}, {}
+        for out in lattice._cells_of(batch, 0.98, depth):
+            for i, t, c, o in zip(*(out.column(n).to_pylist() for n in ("node", "table", "cell", "own")), strict=True):
+                near.setdefault(i, set()).add((t, c))
+                if o:
+                    own.setdefault(i, set()).add((t, c))
+        found.append((own, near))
+    (own_x, near_x), (own_z, near_z) = found
+    assert len(own_x[0]) == tables
+    assert np.mean([bool(own_x[i] & near_z[i] or own_z[i] & near_x[i]) for i in range(len(x))]) > least
+
+
 def brute_contamination(docs, items):
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     windows = {}
