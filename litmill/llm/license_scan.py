@@ -55,7 +55,7 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 
 
 #: Lines in canonical form that only name the license whose text follows.
-TITLES = tuple(the + name for the in ("", "the ") for name in ("mit license", "mit license mit", "expat license", "mit expat license", "isc license", "isc license isc", "bsd license", "bsd 2 clause license", "2 clause bsd license", "bsd 2 clause simplified license", "simplified bsd license", "freebsd license", "bsd 3 clause license", "3 clause bsd license", "bsd 3 clause new or revised license", "new bsd license", "modified bsd license", "revised bsd license"))
+TITLES = tuple(the + name for the in ("", "the ") for name in ("mit license", "mit license mit", "mit no attribution", "zero clause bsd license", "bsd zero clause license", "zlib license", "the unlicense", "expat license", "mit expat license", "isc license", "isc license isc", "bsd license", "bsd 2 clause license", "2 clause bsd license", "bsd 2 clause simplified license", "simplified bsd license", "freebsd license", "bsd 3 clause license", "3 clause bsd license", "bsd 3 clause new or revised license", "new bsd license", "modified bsd license", "revised bsd license"))
 
 
 @cache
@@ -78,7 +78,10 @@ def _notice() -> str:
     """
     clauses = set()
     for _, text in (*KNOWN, *bodies()):
-        words = re.findall(r"\w+", text.lower().replace("(c)", " copyright ").replace("licence", "license"))
+        plain = " ".join(re.findall(r"\w+", text.lower().replace("(c)", " copyright ")))
+        for a, b in EQUIVALENT:
+            plain = plain.replace(a, b)
+        words = plain.split()
         clauses |= {b for a, b in zip(words, words[1:], strict=False) if a == "copyright" and b.isalpha()}
     clauses -= {"copyright", "year", "yyyy"}
     own = "|".join(sorted(clauses))

@@ -181,8 +181,8 @@ def test_bpe_marks_and_long_words():
     assert start == library.encode(word[:100_000], add_special_tokens=False).ids
     whole = ours([word])[0]  # minutes, were it not linear
     assert whole[: len(start) - 50] == start[:-50]
-    text, _ = codec.decode(np.array(whole, np.uint32))
-    assert text.tobytes().decode().replace("</w>", "").replace(" ", "").encode("utf-8") != b""
+    text, _ = codec.decode(np.array(whole[:5000], np.uint32))
+    assert text.tobytes()[:-1].decode() == library.decode(whole[:5000], skip_special_tokens=False)
 
 
 @pytest.mark.parametrize("frequent,fragment", [(1 << 20, 10**9), (40, 200), (1, 10**9)])
