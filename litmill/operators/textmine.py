@@ -16,7 +16,7 @@ TARGET, MOST, OVERLAP = 400, 512, 60
 def tf_idf(docs: DataFrame, pattern: str = "[a-z][a-z'-]{2,}") -> DataFrame:
     """(id, term, weight): term share of a document times ln((1 + N) / (1 + df)) + 1."""
     words = docs.select("id", F.explode(F.filter(tokens(F.col("body"), pattern), lambda t: ~t.isin(*STOPWORDS))).alias("term"))
-    counts = words.groupBy("id", "term").agg(F.count("*").alias("n"))
+    counts = cut(words.groupBy("id", "term").agg(F.count("*").alias("n")))  # three branches use it
     totals = counts.groupBy("id").agg(F.sum("n").alias("total"))
     frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
     n = totals.count()

@@ -306,7 +306,7 @@ _QUERY = "tion erth of oned"
 
 @query(f"""{_BM25} SELECT id, round(score, 4) AS score FROM lex""")
 def lexical_search(c):
-    return retrieval.search(retrieval.postings(c.texts()), _QUERY, 60).select("id", F.round("score", 4).alias("score"))
+    return retrieval.stored_search(_postings(c), _QUERY, 60).select("id", F.round("score", 4).alias("score"))
 
 
 _BAGS = f"""bw AS (SELECT id, t, count(*) AS n FROM (SELECT id, unnest({_TOKENS.format("coalesce(body, '')")}) AS t FROM texts) GROUP BY 1, 2),
@@ -316,8 +316,17 @@ near AS (SELECT b.id, round(sum(b.x * q.x) / (any_value(n.norm) * (SELECT norm F
 sem AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS place FROM near WHERE score > 0 ORDER BY score DESC, id LIMIT 60)"""
 
 
+def _postings(c: Catalog) -> DataFrame:
+    """Title and body, written once for each state of the documents."""
+    return retrieval.written("postings", c.table("documents"), lambda: retrieval.postings(c.texts()), by_term=True)
+
+
+def _bags(c: Catalog) -> DataFrame:
+    return retrieval.written("bags", c.table("documents"), lambda: retrieval.bag_vectors(c.texts()))
+
+
 def _related(c: Catalog, limit: int) -> DataFrame:
-    bags = retrieval.bag_vectors(c.texts())
+    bags = _bags(c)
     return retrieval.nearest_bags(bags.where("id <> 1"), limit, bags.where("id = 1"))
 
 
@@ -329,7 +338,7 @@ def related_works(c):
 
 @query(f"""{_BM25}, {_BAGS} SELECT id, round(sum(1.0::DOUBLE / (60 + place)), 9) AS score, count(*) AS lists FROM (SELECT id, place FROM lex UNION ALL SELECT id, place FROM sem) GROUP BY 1 ORDER BY score DESC, id LIMIT 50""")
 def hybrid_search(c):
-    lexical = retrieval.search(retrieval.postings(c.texts()), _QUERY, 60)
+    lexical = retrieval.stored_search(_postings(c), _QUERY, 60)
     semantic = _related(c, 60).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # 60 rows
     return retrieval.fused([lexical.select("id", "place"), semantic.select("id", "place")], 50)
 
@@ -764,7 +773,7 @@ def whole_staged_items(c):
 SELECT id, round(sum(1.0::DOUBLE / (60 + place)), 9) AS score, count(*) AS lists FROM (SELECT id, place FROM lex UNION ALL SELECT id, place FROM sem UNION ALL SELECT id, place FROM ov) GROUP BY 1 ORDER BY score DESC, id LIMIT 30""")
 def fused_rankings(c):
     """Three rankings fused: lexical, vectors, and the longest texts."""
-    lexical = retrieval.search(retrieval.postings(c.texts()), _QUERY, 60)
+    lexical = retrieval.stored_search(_postings(c), _QUERY, 60)
     semantic = _related(c, 60).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # 60 rows
     size = F.size(F.filter(T.tokens(F.col("body")), lambda t: ~t.isin(*retrieval.STOPWORDS)))
     long = c.texts().select("id", size.alias("n")).orderBy(F.desc("n"), "id").limit(60).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "id")))  # 60 rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import graph, linkage, recommend, reports, retrieval, sections, textmine
-from .queries import _TOKENS, query
+from .queries import _TOKENS, _bags, query
 
 # -- the field index
 
@@ -23,8 +23,7 @@ def _field_rows(c):
 
 
 def _field_index(c):
-    rows = _field_rows(c)
-    return retrieval.stored("fields", rows, lambda: retrieval.field_postings(rows))
+    return retrieval.written("fields", c.table("documents"), lambda: retrieval.field_postings(_field_rows(c)), by_term=True)
 
 
 @query(f"""{_FIELDS} SELECT id, round(sum(score), 4) AS score FROM (SELECT id, score, sum(score) OVER (PARTITION BY id) AS total FROM fp WHERE term IN ('tion', 'erth', 'oned')) GROUP BY 1, total ORDER BY round(total, 6) DESC, id LIMIT 40""")
@@ -144,7 +143,7 @@ SELECT id, label, place FROM r WHERE place <= 3""")
 def label_affinity(c):
     """The three sources whose titles are most like a text."""
     labels = retrieval.bag_vectors(c.texts().select(F.col("venue").alias("id"), F.col("title").alias("body"))).withColumnRenamed("id", "label")
-    return retrieval.label_affinity(retrieval.bag_vectors(c.texts()), labels, 3).select("id", "label", "place")
+    return retrieval.label_affinity(_bags(c), labels, 3).select("id", "label", "place")
 
 
 @query("""p AS (SELECT work_id, tag FROM tags), f AS (SELECT shelf_id, tag, count(*) AS n FROM shelf_works JOIN p USING (work_id) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY n DESC, shelf_id) AS place FROM f),

@@ -201,22 +201,32 @@ def test_fuzzy_titles_and_names(spark):
     assert got == want
 
 
-def test_stored_index(spark):
+def test_written_index(spark, tmp_path):
     rows = spark.createDataFrame([(1, "title", "alpha beta"), (2, "body_low", "alpha the of"), (3, "body_high", "the"), (3, "abstract", None)], "id long, field string, text string")
+    rows.write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
     built = []
 
     def build():
         built.append(1)
-        return retrieval.field_postings(rows)
+        return retrieval.field_postings(table)
 
     for _ in range(2):
-        index = retrieval.stored("test", rows, build)
+        index = retrieval.written("test", table, build, by_term=True)
         assert [x.id for x in retrieval.stored_search(index, "Alpha of", 5).collect()] == [1, 2]
     assert len(built) == 1 and {x.id for x in index.select("id").collect()} == {1, 2}
-    plan = retrieval.stored_search(index, "alpha", 5)._jdf.queryExecution().toString()
-    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket") or "PartitionFilters: [" in plan
-    more = rows.unionAll(rows.where("id = 1").withColumn("id", F.lit(9).cast("long")))
-    assert 9 in {x.id for x in retrieval.stored("test", more, lambda: retrieval.field_postings(more)).select("id").collect()}
+    assert re.search(r"PartitionFilters: \[[^\]]*part#", retrieval.stored_search(index, "alpha", 5)._jdf.queryExecution().toString())
+    rows.where("id = 1").withColumn("id", F.lit(9).cast("long")).write.mode("append").parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    assert 9 in {x.id for x in retrieval.written("test", table, build, by_term=True).select("id").collect()} and len(built) == 2
+    assert retrieval.signature(rows) == retrieval.signature(rows.repartition(2)) != retrieval.signature(rows.limit(1))
+
+
+def test_bags_and_labels(spark):
+    docs = spark.createDataFrame([(1, "sea salt sea"), (2, None), (3, "stone")], "id long, body string")
+    bags = retrieval.bag_vectors(docs)
+    got = {x.id: (x.label, x.place, x.score) for x in retrieval.label_affinity(bags, bags.where("id = 3").withColumnRenamed("id", "label"), 1).collect()}
+    assert got[3] == (3, 1, 1.0) and 2 not in got
 
 
 def test_search_needs_tables(spark):
