@@ -202,3 +202,10 @@ def polymorphic(links: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
         part = rows.join(ids, "id", "left_semi").select("id", "name", F.lit(kind).alias("entity"))
         out = part if out is None else out.unionAll(part)
     return out
+
+
+def counted(works: DataFrame, counts: dict[str, tuple[DataFrame, str, Column]]) -> DataFrame:
+    """works with a count for each (rows, their column of paper ids, aggregate); papers without rows have 0."""
+    for name, (rows, key, value) in counts.items():
+        works = works.join(rows.groupBy(F.col(key).alias("id")).agg(value.alias(name)), "id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return works

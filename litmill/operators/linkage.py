@@ -276,3 +276,9 @@ def extracted(works: DataFrame, parsed: DataFrame, links: DataFrame, found: Data
     kept = links.join(parsed.select(F.col("id").alias("citing_id")), "citing_id", "left_anti").select("citing_id", "cited_id").unionAll(found.select("citing_id", "cited_id")).distinct()
     orphans = links.select("cited_id").distinct().join(kept.select("cited_id").distinct(), "cited_id", "left_anti")
     return filled, kept, orphans
+
+
+def symmetric(pairs: DataFrame) -> DataFrame:
+    """(work_id, linked_id): links (a, b) in both directions, each once."""
+    p = pairs.where("a <> b")
+    return p.select(F.col("a").alias("work_id"), F.col("b").alias("linked_id")).unionAll(p.select("b", "a")).distinct()

@@ -112,3 +112,16 @@ def warned(works: DataFrame, warnings: list[DataFrame]) -> DataFrame:
         ids = w.select("id") if ids is None else ids.union(w.select("id"))
     ids = ids.distinct().select(F.col("id").alias("_id"), F.lit(True).alias("_w"))
     return works.select("id").join(ids, F.col("id") == F.col("_id"), "left").select("id", F.coalesce("_w", F.lit(False)).alias("warning"))
+
+
+def chronology_members(works: DataFrame) -> DataFrame:
+    """(year, n, members): papers of each year, by id."""
+    ids = F.transform(F.array_sort(F.collect_list("id")), lambda i: i.cast("string"))
+    return works.groupBy("year").agg(F.count("*").alias("n"), F.array_join(ids, ",").alias("members"))
+
+
+def spellings(works: DataFrame) -> DataFrame:
+    """(venue_key, venue, n): venues that differ in case and marks only as one, in the most frequent spelling, then the longest, then the last."""
+    key = F.trim(F.regexp_replace(F.lower("venue"), "[^a-z0-9]+", " "))
+    counts = works.where("venue is not null").groupBy(key.alias("venue_key"), "venue").agg(F.count("*").alias("n"))
+    return counts.groupBy("venue_key").agg(F.max_by("venue", F.struct("n", F.length("venue").alias("l"), "venue")).alias("venue"), F.sum("n").alias("n"))

@@ -251,3 +251,12 @@ def plane(vectors: DataFrame) -> DataFrame:
     mean = at.agg(*[F.avg(F.col("p")[i]).alias(f"m{i}") for i in range(axes)])
     out = at.crossJoin(F.broadcast(mean))  # a single row
     return out.select("id", *[(signs[i] * (F.col("p")[i] - F.col(f"m{i}"))).alias(n) if i < axes else F.lit(0.0).alias(n) for i, n in enumerate("xy")])
+
+
+def hierarchy(centres: DataFrame) -> DataFrame:
+    """(topic_a, topic_b, similarity): each topic with the later one whose centre (cluster, term, weight) is most like its own, the first of equals."""
+    norm = centres.groupBy("cluster").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
+    unit = centres.join(F.broadcast(norm), "cluster").select("cluster", "term", (F.col("weight") / F.col("norm")).alias("x"))  # a row for each topic
+    a, b = unit.select(F.col("cluster").alias("topic_a"), "term", "x"), unit.select(F.col("cluster").alias("topic_b"), "term", F.col("x").alias("y"))
+    dots = a.join(b, "term").where("topic_a < topic_b").groupBy("topic_a", "topic_b").agg(F.round(F.sum(F.col("x") * F.col("y")), 4).alias("similarity"))
+    return dots.groupBy("topic_a").agg(F.max_by(F.struct("topic_b", "similarity"), F.struct("similarity", (-F.col("topic_b")).alias("b"))).alias("m")).select("topic_a", "m.*")

@@ -97,15 +97,19 @@ def filtered(works: DataFrame, search: Search, sides: dict[str, DataFrame] | Non
         elif key == "status":
             out = out.where(F.col("reading_status") == value)
         elif key == "doi":
-            out = out.where(F.col("doi").ilike(f"{value}%"))
+            plain = re.sub(r"^(https?://)?(dx\.)?(doi\.org/)?(doi:)?", "", value.strip().lower())
+            out = out.where(F.col("doi").ilike(f"{plain}%"))
         elif key == "arxiv":
-            out = out.where(like("arxiv_id", value))
+            hit = like("arxiv_id", value)
+            out = out.where(hit | like("arxiv_base_id", value) if "arxiv_base_id" in works.columns else hit)
         elif key == "missing":
             for name in value.split(","):
                 empty = F.col(name).isNull() if name == "year" else F.col(name).isNull() | (F.col(name).cast("string") == "")
                 out = out.where(empty)
         elif key in ("keyword", "topic"):  # in the list as it is written
             out = out.where(F.contains(F.lower(F.to_json(f"{key}s")), F.lit(value.lower())))
+        elif key == "has" and value == "abstract":
+            out = out.where(F.coalesce(F.col("abstract") != "", F.lit(False)))
         elif key == "has":
             absent = value.startswith("no-")
             ids = _side(sides, f"has:{value.removeprefix('no-')}")
@@ -124,7 +128,8 @@ def filtered(works: DataFrame, search: Search, sides: dict[str, DataFrame] | Non
             out = out.join(ids, F.col("id") == F.col("_id"), "left_semi" if truth(value) else "left_anti")
         else:  # terms that match names or ids in other tables
             ids = _side(sides, key)
-            ids = ids.where(F.col("name").cast("string").ilike(f"%{value}%") if key not in ("cites", "cited_by_local") else F.col("name").cast("string") == value)
+            hit = F.col("name").cast("string").ilike(f"%{value}%") if key not in ("cites", "cited_by_local") else F.col("name").cast("string") == value
+            ids = ids.where(hit | (F.col("key").cast("string") == value) if "key" in ids.columns else hit)
             out = out.join(ids.select(F.col("id").alias("_id")).distinct(), F.col("id") == F.col("_id"), "left_semi")
     if search.year_min is not None:
         out = out.where(F.col("year") >= search.year_min)

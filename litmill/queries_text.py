@@ -26,7 +26,7 @@ def _field_index(c):
     return retrieval.written("fields", c.table("documents"), lambda: retrieval.field_postings(_field_rows(c)), by_term=True)
 
 
-@query(f"""{_FIELDS} SELECT id, round(sum(score), 4) AS score FROM (SELECT id, score, sum(score) OVER (PARTITION BY id) AS total FROM fp WHERE term IN ('tion', 'erth', 'oned')) GROUP BY 1, total ORDER BY round(total, 6) DESC, id LIMIT 40""")
+@query(f"""{_FIELDS} SELECT id, round(round(sum(score), 6), 4) AS score FROM (SELECT id, score, sum(score) OVER (PARTITION BY id) AS total FROM fp WHERE term IN ('tion', 'erth', 'oned')) GROUP BY 1, total ORDER BY round(total, 6) DESC, id LIMIT 40""")
 def field_search(c):
     """Four weighted fields; the index is stored once, and only the parts of the query's terms are read."""
     return retrieval.stored_search(_field_index(c), "tion erth of oned", 40).select("id", F.round("score", 4).alias("score"))
@@ -236,3 +236,121 @@ def folded_authors(c):
     """Authors whose names differ in accents and case only are one."""
     word = F.split("title", " ")[0]
     return reports.folded_authors(c.references().withColumn("authors", F.concat_ws("; ", F.concat(F.lit("Zoé "), word), F.concat(F.lit("ZOE "), word))))
+
+
+# -- contexts, listings and colours
+
+_SEC_SENTENCES = r"""sp AS (SELECT id, pos AS section, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM sections WHERE label NOT IN ('title', 'abstract')), su AS (SELECT id, section, unnest(parts) AS sentence, generate_subscripts(parts, 1) - 1 AS pos FROM sp), se AS (SELECT id, section, pos, trim(sentence) AS sentence FROM su WHERE trim(sentence) <> '')"""
+
+
+@query(rf"""{_SEC_SENTENCES}, n AS (SELECT id, section, pos, lag(sentence) OVER w AS before, sentence, lead(sentence) OVER w AS after FROM se WINDOW w AS (PARTITION BY id, section ORDER BY pos)) SELECT * FROM n WHERE regexp_matches(sentence, ' under |[0-9]')""")
+def mention_contexts(c):
+    """Sentences with a mark, each with the one before and the one after in its section; digits and one word stand for marks."""
+    body = c.sections().where("label not in ('title', 'abstract')").select(F.struct("id", F.col("pos").alias("section")).alias("id"), F.col("text").alias("body"))
+    found = textmine.neighbours(textmine.sentences(body)).where(F.col("sentence").rlike(" under |[0-9]"))
+    return found.select("id.id", "id.section", "pos", "before", "sentence", "after")
+
+
+@query("""SELECT year, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members FROM refs GROUP BY 1""")
+def chronology_members(c):
+    return reports.chronology_members(c.references())
+
+
+@query("""r AS (SELECT id, CASE WHEN id % 3 = 0 THEN upper(venue) WHEN id % 3 = 1 THEN venue || '.' ELSE venue END AS venue, year FROM refs), k AS (SELECT *, trim(regexp_replace(lower(venue), '[^a-z0-9]+', ' ', 'g')) AS venue_key FROM r), n AS (SELECT venue_key, venue, count(*) AS n FROM k GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY venue_key ORDER BY n DESC, length(venue) DESC, venue DESC) AS p FROM n) SELECT venue_key, venue, (SELECT sum(n) FROM n x WHERE x.venue_key = b.venue_key)::BIGINT AS n FROM b WHERE p = 1""")
+def venue_spellings(c):
+    """Venues under one key, shown in their most frequent spelling."""
+    spelled = F.when(F.col("id") % 3 == 0, F.upper("venue")).when(F.col("id") % 3 == 1, F.concat("venue", F.lit("."))).otherwise(F.col("venue"))
+    return reports.spellings(c.references().withColumn("venue", spelled))
+
+
+@query("""r AS (SELECT citing_id, count(*) AS refs, count(DISTINCT cited_id) AS different FROM citations GROUP BY 1), f AS (SELECT work_id, count(*) AS files FROM file_links GROUP BY 1), l AS (SELECT cited_id, count(DISTINCT citing_id) AS citers FROM citations WHERE citing_id IN (SELECT id FROM live_works) GROUP BY 1)
+SELECT w.id, coalesce(files, 0) AS file_count, coalesce(refs, 0) AS reference_count, coalesce(different, 0) AS local_reference_count, coalesce(citers, 0) AS local_citation_count FROM live_works w LEFT JOIN r ON citing_id = w.id LEFT JOIN f ON work_id = w.id LEFT JOIN l ON cited_id = w.id
+ORDER BY local_citation_count DESC, file_count DESC, reference_count, w.id LIMIT 80""")
+def listing_by_counts(c):
+    """The library sorted by counts that belong to other tables."""
+    from .operators import library
+
+    w = c.live_works()
+    counts = {
+        "file_count": (c.file_links(), "work_id", F.count("*")),
+        "reference_count": (c.citations(), "citing_id", F.count("*")),
+        "local_reference_count": (c.citations(), "citing_id", F.countDistinct("cited_id")),
+        "local_citation_count": (c.citations().join(w.select(F.col("id").alias("citing_id")), "citing_id", "left_semi"), "cited_id", F.countDistinct("citing_id")),
+    }
+    rows = library.counted(w.select("id"), counts)
+    order = library.order("local_citation_count:desc,file_count:desc,reference_count", list(counts))
+    return library.page(rows, order, 1, 80)
+
+
+@query("""SELECT 'status' AS colour, coalesce(reading_status, '(none)') AS name, count(*) AS n FROM live_works GROUP BY 2 UNION ALL SELECT 'year', coalesce(CAST(year AS VARCHAR), '(none)'), count(*) FROM live_works GROUP BY 2 UNION ALL SELECT 'topic', coalesce(tag, '(none)'), count(*) FROM live_works LEFT JOIN tags ON work_id = id GROUP BY 2""")
+def colour_groups(c):
+    """How papers are coloured in a graph: by status, year or topic."""
+    w = c.live_works()
+    topics = w.select("id").join(c.tags(), F.col("id") == F.col("work_id"), "left").select("tag")
+    parts = [("status", w.select("reading_status")), ("year", w.select(F.col("year").cast("string"))), ("topic", topics)]
+    out = None
+    for colour, values in parts:
+        part = values.toDF("name").groupBy(F.coalesce("name", F.lit("(none)")).alias("name")).agg(F.count("*").alias("n")).select(F.lit(colour).alias("colour"), "name", "n")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+_BUCKETED = "CASE section WHEN 'A' THEN 'introduction' WHEN 'N' THEN 'methods and data' ELSE 'final results' END"
+
+
+@query(f"""b AS (SELECT citing_id, cited_id, CASE WHEN contains({_BUCKETED}, 'method') THEN 'Methods' WHEN contains({_BUCKETED}, 'result') THEN 'Results' ELSE 'Background' END AS bucket FROM citations)
+SELECT citing_id AS src, cited_id AS dst, count(*) FILTER (bucket = 'Background') AS background, count(*) FILTER (bucket = 'Methods') AS methods, count(*) FILTER (bucket = 'Results') AS results, CAST(sum(CASE bucket WHEN 'Methods' THEN 5 WHEN 'Results' THEN 4 ELSE 2 END) AS BIGINT) AS weight FROM b GROUP BY 1, 2""")
+def reference_graph(c):
+    """Each paper's references with how often and where it mentions them; where decides the weight."""
+    label = F.when(F.col("section") == "A", "introduction").when(F.col("section") == "N", "methods and data").otherwise("final results")
+    rows = c.citations().select(F.col("citing_id").alias("src"), F.col("cited_id").alias("dst"), sections.bucket(label).alias("bucket"))
+    return graph.reference_weights(rows, {"Methods": 5, "Results": 4, "Background": 2})
+
+
+@query("""SELECT id, title FROM texts WHERE title IS NOT NULL AND title <> '' AND EXISTS (SELECT 1 FROM sections s WHERE s.id = texts.id AND s.label = 'abstract')""")
+def search_has_abstract(c):
+    """`has:abstract` looks at the paper itself."""
+    from .plans import dsl
+
+    abstracts = c.sections().where("label = 'abstract'").groupBy("id").agg(F.min("text").alias("abstract"))
+    return dsl.filtered(c.texts().join(abstracts, "id", "left").where("title <> ''"), dsl.parse("has:abstract")).select("id", "title")
+
+
+@query("""SELECT id, doi FROM live_works WHERE doi ILIKE '10.1000/w12%'""")
+def search_by_doi(c):
+    """A DOI is brought to normal form before it is looked for."""
+    from .plans import dsl
+
+    return dsl.filtered(c.live_works(), dsl.parse("doi:HTTPS://doi.org/10.1000/W12")).select("id", "doi")
+
+
+@query("""SELECT DISTINCT w.id, w.year FROM live_works w JOIN shelf_works s ON s.work_id = w.id JOIN shelves h USING (shelf_id) WHERE h.name ILIKE '%7%' OR h.shelf_id = 7""")
+def search_shelf(c):
+    """A shelf by a part of its name or by its id."""
+    from .plans import dsl
+
+    sides = {"shelf": c.shelf_works().join(c.shelves(), "shelf_id").select(F.col("work_id").alias("id"), "name", F.col("shelf_id").alias("key"))}
+    return dsl.filtered(c.live_works(), dsl.parse("shelf:7"), sides).select("id", "year")
+
+
+@query("""l AS (SELECT least(l_orderkey, l_partkey) AS a, greatest(l_orderkey, l_partkey) AS b FROM lineitem WHERE l_linenumber % 2 = 1) SELECT DISTINCT a AS work_id, b AS linked_id FROM l WHERE a <> b UNION SELECT DISTINCT b, a FROM l WHERE a <> b""")
+def linked_works(c):
+    """Links between papers hold in both directions."""
+    pairs = c.table("lineitem").where("l_linenumber % 2 = 1").select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b"))
+    return linkage.symmetric(pairs)
+
+
+@query()
+def topic_hierarchy(c):
+    """Which topic is most like which; tested against a plain version."""
+    _, centres = textmine.clusters(textmine.tf_idf(c.texts()), 5)
+    return textmine.hierarchy(centres)
+
+
+@query("""SELECT event_type AS stage, count(*) AS n FROM (SELECT user_id, event_type FROM events WHERE event_type IN ('click', 'view') UNION ALL SELECT user_id, 'joined' FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT DISTINCT user_id FROM events WHERE event_type = 'view')) GROUP BY 1""", False)
+def streamed_stages(c):
+    """A stream worked through in stages: each batch is stored, then what it makes due is stored."""
+    from .streaming import events as ev
+
+    return ev.staged(c.spark, c.folder)

@@ -51,10 +51,15 @@ def latex() -> Column:
 FORMATS = {"bibtex": bibtex, "ris": ris, "csl_json": csl_json, "markdown": markdown, "html": html, "latex": latex}
 
 
-def write_backup(tables: dict[str, DataFrame], folder: str) -> None:
-    """Each table as JSON lines in a folder of its own."""
+def write_backup(tables: dict[str, DataFrame], folder: str) -> DataFrame:
+    """Each table as JSON lines in a folder of its own, and a manifest (table, rows, columns), which is returned."""
+    spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.write.mode("errorifexists").json(f"{folder}/{name}")
+    counts = [(name, spark.read.schema(df.schema).json(f"{folder}/{name}").count(), df.columns) for name, df in tables.items()]
+    manifest = spark.createDataFrame(counts, "table string, rows long, columns array<string>")
+    manifest.write.mode("errorifexists").json(f"{folder}/manifest")
+    return manifest
 
 
 def restored(old: DataFrame, backup: DataFrame, key: str, mode: str = "merge") -> DataFrame:

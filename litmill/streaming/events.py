@@ -123,3 +123,30 @@ def scan_changes(before: DataFrame, now: DataFrame) -> DataFrame:
     same = (F.col("a.size") == F.col("b.size")) & (F.col("a.mtime") == F.col("b.mtime"))
     change = F.when(F.col("a.path").isNull(), "new").when(F.col("b.path").isNull(), "missing").when(same, "same").otherwise("changed")
     return both.select(F.coalesce("a.path", "b.path").alias("path"), change.alias("change")).where("change <> 'same'")
+
+
+def staged(spark: SparkSession, folder: str) -> DataFrame:
+    """(stage, n): clicks and views stored batch by batch, and, once a user has both, the user joined: each stage does what the one before it has made due.
+
+    A batch that is run again writes over itself, and what is due is derived
+    from what is stored, so nothing is done twice or left out.
+    """
+    rows = stream(spark, folder).where("event_type in ('click', 'view')").select("user_id", "event_type")
+    place = f"{checkpoint_folder(spark)}/stages-{uuid.uuid4().hex}"
+    done: list[int] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/stored/{number}")
+        stored = spark.read.schema(rows.schema).parquet(f"{place}/stored/*")
+        due = stored.groupBy("user_id").agg(F.countDistinct("event_type").alias("n")).where("n = 2").select("user_id")
+        before = [f"{place}/joined/{k}" for k in done if k != number]
+        if before:
+            due = due.join(spark.read.parquet(*before), "user_id", "left_anti")
+        due.write.mode("overwrite").parquet(f"{place}/joined/{number}")
+        done[:] = sorted({*done, number})
+
+    rows.writeStream.foreachBatch(put).option("checkpointLocation", f"{place}/stream").trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        return spark.createDataFrame([], "stage string, n long")
+    stored = spark.read.schema(rows.schema).parquet(f"{place}/stored/*").select(F.col("event_type").alias("stage"))
+    return stored.unionAll(spark.read.parquet(f"{place}/joined/*").select(F.lit("joined"))).groupBy("stage").agg(F.count("*").alias("n"))

@@ -155,6 +155,24 @@ def test_topics(spark):
         assert x.coherence == pytest.approx(round(min(1, max(0, -sum(s for s, _ in members) / len(members))), 4), abs=1e-4) and x.outliers == sum(-s < 0.05 for s, _ in members)
 
 
+def test_hierarchy(spark):
+    rng = np.random.default_rng(7)
+    x = rng.random(size=(4, 5))
+    rows = [(c, f"t{j}", float(v)) for c in range(4) for j, v in enumerate(x[c])]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {r.topic_a: (r.topic_b, r.similarity) for r in textmine.hierarchy(spark.createDataFrame(rows, "cluster int, term string, weight double")).collect()}
+    assert got == {a: max(((b, round(float(unit[a] @ unit[b]), 4)) for b in range(a + 1, 4)), key=lambda m: (m[1], -m[0])) for a in range(3)}
+
+
+def test_backup(spark, tmp_path):
+    from litmill.sources import export
+
+    tables = {"a": spark.range(5), "b": spark.createDataFrame([("x",)], "v string")}
+    manifest = export.write_backup(tables, f"{tmp_path}/backup")
+    assert {(r.table, r.rows, tuple(r.columns)) for r in manifest.collect()} == {("a", 5, ("id",)), ("b", 1, ("v",))}
+    assert spark.read.schema("id long").json(f"{tmp_path}/backup/a").count() == 5
+
+
 def test_plane(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(60, 7)) * np.array([5, 3, 1, 1, 0.5, 0.5, 0.1])
