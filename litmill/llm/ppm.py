@@ -19,6 +19,8 @@ travel the same way.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +39,7 @@ SYMBOLS = 255
 BLOCK_ROWS = 4096
 LETTERS = 40_000_000
 #: Entries of the trie, and words, that everyone gets; more cannot be as frequent as these must be.
-FREQUENT = (1 << 21, 1 << 18)
+FREQUENT = (1 << 18, 1 << 16)
 #: Different entries that a task holds before it hands them on.
 HELD = 1 << 22
 END_WORD = np.uint64(0x2545F4914F6CDD1D)
@@ -217,12 +219,11 @@ def _counted(fragments: int):
     def run(batches):
         held = {k: ([], []) for k in _KINDS}
 
-        def flush(kind: int, last: bool):
+        def flush(kind: int):
             key, count = merge(*held[kind])
-            held[kind] = ([], []) if last or len(key) > HELD else ([key], [count])
-            if not held[kind][0]:
-                for lo in range(0, len(key), 1 << 16):
-                    yield rows(kind, key[lo : lo + (1 << 16)], count[lo : lo + (1 << 16)])
+            held[kind] = ([], [])
+            for lo in range(0, len(key), 1 << 16):
+                yield rows(kind, key[lo : lo + (1 << 16)], count[lo : lo + (1 << 16)])
 
         for batch in batches:
             for a, b, data, offsets in pieces(batch.column("text")):
@@ -233,10 +234,10 @@ def _counted(fragments: int):
                 held[1][0].append(np.array([END_WORD]))
                 held[1][1].append(np.array([b - a]))
                 for kind in _KINDS:
-                    if len(held[kind][0]) > 16:
-                        yield from flush(kind, False)
+                    if sum(map(len, held[kind][0])) > HELD:
+                        yield from flush(kind)
         for kind in _KINDS:
-            yield from flush(kind, True)
+            yield from flush(kind)
 
     return run
 
@@ -266,25 +267,37 @@ def _model(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 class Known:
-    """The frequent values that everyone has."""
+    """The frequent values that everyone has, and what a block holds besides."""
 
-    def __init__(self, kinds: list[tuple[np.ndarray, np.ndarray]]):
-        self.lookups = [Lookup(keys, values) for keys, values in kinds]
+    _last: tuple[str, Known] | None = None
 
-    def __call__(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        """Values of keys, 0 where they are not among the frequent ones."""
-        return self.lookups[kind](keys)
+    def __init__(self, kinds: list[tuple[np.ndarray, np.ndarray]]):
+        self.lookups = [Lookup(keys, values.astype((np.float32, np.float64)[kind])) for kind, (keys, values) in enumerate(kinds)]
+
+    @classmethod
+    def of(cls, name: str, shared) -> Known:
+        """That of a broadcast, made once in a worker."""
+        if cls._last is None or cls._last[0] != name:
+            cls._last = name, cls(shared.value)
+        return cls._last[1]
+
+    def met(self, texts: pa.Array):
+        """For each piece of a block: first and last text, lengths in symbols and words, and for each kind (values, which of them are yet 0, their keys)."""
+        for a, b, data, offsets in pieces(texts):
+            words, counts = kernel.word_hashes(data, offsets)
+            found = []
+            for kind, keys in enumerate((grams(data, offsets), words)):
+                values = self.lookups[kind](keys)
+                rare = np.flatnonzero(values == 0)
+                found.append((values, rare, keys[rare]))
+            yield a, b, np.diff(offsets) + 1, counts, found
 
 
-def _rare(known: Known, texts: pa.Array) -> list[np.ndarray]:
+def _rare(met: list) -> list[np.ndarray]:
     """The distinct keys of a block, by kind, that are not among the frequent ones, in order."""
-    found = ([], [])
-    for _, _, data, offsets in pieces(texts):
-        words, _ = kernel.word_hashes(data, offsets)
-        for kind, keys in enumerate((grams(data, offsets), words)):
-            found[kind].append(tally(keys[known(kind, keys) == 0])[0])
-    found[1].append(np.array([END_WORD]))
-    return [np.unique(np.concatenate(f)) if f else np.zeros(0, np.uint64) for f in found]
+    keys = [[found[kind][2] for *_, found in met] for kind in _KINDS]
+    keys[1].append(np.array([END_WORD]))
+    return [tally(np.concatenate(k))[0] if k else np.zeros(0, np.uint64) for k in keys]
 
 
 def _split(keys: np.ndarray, kind: int, fragments: int):
@@ -293,16 +306,16 @@ def _split(keys: np.ndarray, kind: int, fragments: int):
     return order, np.searchsorted(part[order], np.arange(fragments + 1))
 
 
-def _asked(shared, fragments: int):
+def _asked(name: str, shared, fragments: int):
     """Texts to questions: of every block one to every fragment that it has a question for."""
 
     def run(batches):
-        known = Known(shared.value)
+        known = Known.of(name, shared)
         block, texts = None, []
 
         def flush():
             rows = []
-            for kind, keys in enumerate(_rare(known, pa.chunked_array(texts))):
+            for kind, keys in enumerate(_rare(list(known.met(pa.chunked_array(texts))))):
                 order, bounds = _split(keys, kind, fragments)
                 # Sorted keys as differences, which compress well.
                 rows += [(kind * fragments + f, np.diff(keys[order[bounds[f] : bounds[f + 1]]], prepend=np.uint64(0)).tobytes()) for f in np.unique(_fragment(keys, kind, fragments)).astype(int).tolist()]
@@ -345,34 +358,29 @@ def _told(shallow, fragments: int):
     return run
 
 
-def _scored(shared, fragments: int, n_all: int, v_all: int):
+def _scored(name: str, shared, fragments: int, n_all: int, v_all: int):
     """One block's texts with what everyone knows and what the fragments have told it."""
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        known = Known(shared.value)
+        met = list(Known.of(name, shared).met(docs.column("text")))
         answers = dict(zip(told.column("fragment").to_pylist(), told.column("values").to_pylist(), strict=True))
         rare = []
-        for kind, keys in enumerate(_rare(known, docs.column("text"))):
+        for kind, keys in enumerate(_rare(met)):
             order, bounds = _split(keys, kind, fragments)
             value = np.zeros(len(keys))
             for f in np.unique(_fragment(keys, kind, fragments)).astype(int).tolist():
                 value[order[bounds[f] : bounds[f + 1]]] = np.frombuffer(answers[kind * fragments + f], (np.float32, np.float64)[kind])
-            rare.append(Lookup(keys, value))
-
-        def values(kind: int, keys: np.ndarray) -> np.ndarray:
-            out = known(kind, keys)
-            left = np.flatnonzero(out == 0)
-            out[left] = rare[kind](keys[left])
-            return out
+            rare.append((keys, value))
 
-        end = rare[1](np.array([END_WORD]))[0]
+        end = rare[1][1][np.searchsorted(rare[1][0], END_WORD)]
         unit = np.log10(n_all + v_all + 1)
         n, hits, base, score = (np.zeros(docs.num_rows) for _ in range(4))
-        for a, b, data, offsets in pieces(docs.column("text")):
-            ends = np.cumsum(np.diff(offsets) + 1)
-            score[a:b] = np.add.reduceat(values(0, grams(data, offsets)), np.concatenate(([0], ends[:-1])))
-            words, counts = kernel.word_hashes(data, offsets)
-            count = np.append(values(1, words), 0.0)
+        for a, b, symbols, counts, found in met:
+            step, count = (np.append(values.astype(np.float64), 0.0) for values, _, _ in found)
+            for kind, target in enumerate((step, count)):
+                _, at, keys = found[kind]
+                target[at] = rare[kind][1][np.searchsorted(rare[kind][0], keys)]
+            score[a:b] = np.add.reduceat(step[:-1], np.cumsum(symbols) - symbols)
             first = np.cumsum(counts) - counts
             some = counts > 0
             n[a:b] = counts + 1
@@ -422,9 +430,9 @@ def scored(docs: DataFrame, fold: int = 7, left_out: int = 2, stable: bool = Fal
     for kind in _KINDS:
         mine = np.flatnonzero(frequent.column("kind").to_numpy() == kind)
         kinds.append((frequent.column("key").to_numpy()[mine].view(np.uint64), frequent.column("value").to_numpy()[mine]))
-    shared = context.broadcast(kinds)
+    shared, name = context.broadcast(kinds), uuid.uuid4().hex
     blocks = rows.withColumn("block", (F.monotonically_increasing_id() / BLOCK_ROWS).cast("long"))
-    asked = blocks.select("block", "text").mapInArrow(kernel.tidy(_asked(shared, fragments)), _ASK_DDL)
+    asked = blocks.select("block", "text").mapInArrow(kernel.tidy(_asked(name, shared, fragments)), _ASK_DDL)
     told = asked.groupBy("fragment").cogroup(model.groupBy("fragment")).applyInArrow(kernel.tidy_pair(_told(shallow, fragments)), _TELL_DDL)
     n_all, v_all = sums.get(True, (0, 0))
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(kernel.tidy_pair(_scored(shared, fragments, n_all, v_all)), _OUT_DDL)
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(kernel.tidy_pair(_scored(name, shared, fragments, n_all, v_all)), _OUT_DDL)
