@@ -20,6 +20,8 @@ from .kernel import pieces
 
 #: Documents that are learned from: this many in all, shared out evenly among languages, so more of rare ones; one of each at least.
 SAMPLE = 4000
+#: Languages up to which their numbers of documents are broadcast.
+LANGUAGES = 10_000
 #: Texts whose vectors are held at a time.
 ROWS = 1024
 BITS = 12
@@ -137,12 +139,17 @@ def learn(docs: DataFrame, fold: int, left_out: int, sample: int = SAMPLE) -> di
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % fold != left_out))
-    languages = rows.select("lang").distinct().count()
+    known = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    languages = known.count()
     if not languages:
         return {}
-    # The first documents of each language by hash; all but these are left out before rows are shuffled.
+    each = max(1, sample // languages)
+    # A few times as many as are wanted, by hash, whatever a language's share of all rows; then the first of them.
+    near = F.least(F.lit(1.0), F.lit(4.0 * each + 32) / F.col("rows"))
+    known = F.broadcast(known) if languages <= LANGUAGES else known
+    few = rows.join(known, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < near * (1 << 30)).drop("rows")
     key = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    chosen = rows.withColumn("place", F.row_number().over(key)).where(F.col("place") <= max(1, sample // languages))
+    chosen = few.withColumn("place", F.row_number().over(key)).where(F.col("place") <= each)
 
     def featurised(batches):
         for batch in batches:
