@@ -36,7 +36,7 @@ PAD, END = 0xFF, 0xFE
 #: Symbols that can be predicted: bytes below END, and END.
 SYMBOLS = 255
 #: Rows of a block, and letters that a fragment is laid out for.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 3072
 LETTERS = 40_000_000
 #: Entries of the trie, and words, that everyone gets; more cannot be as frequent as these must be.
 FREQUENT = (1 << 18, 1 << 16)
@@ -288,15 +288,17 @@ class Known:
             found = []
             for kind, keys in enumerate((grams(data, offsets), words)):
                 values = self.lookups[kind](keys)
-                rare = np.flatnonzero(values == 0)
+                rare = np.flatnonzero(values == 0).astype(np.int32)
                 found.append((values, rare, keys[rare]))
             yield a, b, np.diff(offsets) + 1, counts, found
 
 
-def _rare(met: list) -> list[np.ndarray]:
+def _rare(met) -> list[np.ndarray]:
     """The distinct keys of a block, by kind, that are not among the frequent ones, in order."""
-    keys = [[found[kind][2] for *_, found in met] for kind in _KINDS]
-    keys[1].append(np.array([END_WORD]))
+    keys: tuple[list, list] = ([], [np.array([END_WORD])])
+    for *_, found in met:
+        for kind in _KINDS:
+            keys[kind].append(found[kind][2])
     return [tally(np.concatenate(k))[0] if k else np.zeros(0, np.uint64) for k in keys]
 
 
@@ -315,7 +317,7 @@ def _asked(name: str, shared, fragments: int):
 
         def flush():
             rows = []
-            for kind, keys in enumerate(_rare(list(known.met(pa.chunked_array(texts))))):
+            for kind, keys in enumerate(_rare(known.met(pa.chunked_array(texts)))):
                 order, bounds = _split(keys, kind, fragments)
                 # Sorted keys as differences, which compress well.
                 rows += [(kind * fragments + f, np.diff(keys[order[bounds[f] : bounds[f + 1]]], prepend=np.uint64(0)).tobytes()) for f in np.unique(_fragment(keys, kind, fragments)).astype(int).tolist()]
