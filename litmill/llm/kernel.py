@@ -20,6 +20,8 @@ SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: For words whose case counts.
+AS_IS = np.arange(256, dtype=np.uint8)
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(SPACES)] = True
@@ -136,17 +138,17 @@ def _spans(data: np.ndarray, offsets: np.ndarray, is_gap: np.ndarray) -> tuple[n
     return starts, ends
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, is_gap: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word (A-Z lower-cased) and the number of words in each text."""
-    hashes, where = placed_words(data, offsets, is_gap)
+def word_hashes(data: np.ndarray, offsets: np.ndarray, is_gap: np.ndarray = IS_SPACE, case: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word (A-Z lower-cased by `case`) and the number of words in each text."""
+    hashes, where = placed_words(data, offsets, is_gap, case)
     return hashes, np.diff(np.searchsorted(where, offsets, side="left"))
 
 
-def placed_words(data: np.ndarray, offsets: np.ndarray, is_gap: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word (A-Z lower-cased) and the byte where it starts."""
+def placed_words(data: np.ndarray, offsets: np.ndarray, is_gap: np.ndarray = IS_SPACE, case: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word (A-Z lower-cased by `case`) and the byte where it starts."""
     hashes, at = [], []
     for lo, hi in _blocks(data, offsets, is_gap):
-        part = LOWER[data[lo:hi]]
+        part = case[data[lo:hi]]
         first = np.searchsorted(offsets, lo, side="right")
         last = np.searchsorted(offsets, hi, side="left")
         inner = np.concatenate(([0], offsets[first:last] - lo, [hi - lo]))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, line_crf, ppm
+from . import kneser_ney, langid, line_crf, ppm
 from .bpe import encoded, read_vocabulary
+from .centroids import CENTROIDS, ROUNDS, SCALE, WIDTH, clustered
 from .lattice import near_duplicates
 from .license_scan import EQUIVALENT, KNOWN, scanned
 from .ngram_join import ngram_components
+from .runs import periodic_runs
 from .sample import sample_of
 from .session import table
 from .toxicity import SAMPLE, learn, toxicity
@@ -90,6 +92,18 @@ def op10_ftrl_toxicity(spark, sf_dir):
     return toxicity_of(spark, sf_dir, docs).select("doc_id", _fold(4, 2), "score", "predicted")
 
 
+def op11_kneser_ney_rules(spark, sf_dir):
+    return kneser_ney.judged(table(spark, sf_dir, "documents"), stable=True)
+
+
+def op12_dyadic_square_runs(spark, sf_dir):
+    return periodic_runs(table(spark, sf_dir, "documents"), rewrite=True)
+
+
+def op13_vantage_point_clusters(spark, sf_dir):
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_bpe_codec": op2_bpe_codec,
@@ -101,6 +115,9 @@ QUERIES = {
     "op8_license_digests": op8_license_digests,
     "op9_sorted_digest_urls": op9_sorted_digest_urls,
     "op10_ftrl_toxicity": op10_ftrl_toxicity,
+    "op11_kneser_ney_rules": op11_kneser_ney_rules,
+    "op12_dyadic_square_runs": op12_dyadic_square_runs,
+    "op13_vantage_point_clusters": op13_vantage_point_clusters,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -123,7 +140,30 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _cluster_rounds() -> str:
+    """The rounds of op13, each as an assignment and the means of it."""
+    apart = "list_sum(list_transform(list_zip(k.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    parts = []
+    for r in range(ROUNDS + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT row, k.q AS q, min([CAST({apart} AS BIGINT), c.c]) AS best FROM k, c{r} c GROUP BY row, k.q)")
+        if r < ROUNDS:
+            parts.append(f"""s{r} AS (SELECT c, pos, sum(x) AS s, count(*) AS n FROM (SELECT best[2] AS c, unnest(q) AS x, generate_subscripts(q, 1) AS pos FROM a{r}) GROUP BY 1, 2),
+m{r} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS q FROM s{r} GROUP BY 1),
+c{r + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.q, c.q) AS q FROM c{r} c LEFT JOIN m{r} m USING (c))""")
+    return ",\n".join(parts)
+
+
 SQL: dict[str, str] = {
+    "op13_vantage_point_clusters": f"""
+WITH k AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+           WHERE len(embedding) = {WIDTH} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {WIDTH}),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id), q) - 1 AS BIGINT) AS c, q FROM k ORDER BY c LIMIT {CENTROIDS}),
+{_cluster_rounds()},
+f AS (SELECT row, CAST(best[2] AS INTEGER) AS cluster, best[1] AS distance FROM a{ROUNDS}),
+i AS (SELECT cluster, CAST(sum(distance) AS BIGINT) AS cluster_inertia FROM f GROUP BY 1)
+SELECT vec_id, cluster, distance, cluster_inertia, (SELECT CAST(sum(distance) AS BIGINT) FROM f) AS inertia,
+       sha256(array_to_string((SELECT q FROM c{ROUNDS} WHERE c = cluster), ',')) AS centroid_sha256
+FROM f JOIN k USING (row) JOIN i USING (cluster)""",
     "op8_license_digests": f"""
 WITH known AS (SELECT array_to_string({_canonical("text")}, ' ') AS text, min(license) AS license
                FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in KNOWN)}) AS k(license, text) GROUP BY 1),
