@@ -255,7 +255,7 @@ def test_clusters(spark, monkeypatch, kind):
     rows = []
     for i in range(5 if kind == "few" else 120):
         c = r.randrange(5)
-        x = {"spread": lambda: c + r.gauss(0, 0.7), "ties": lambda: r.choice([0.0, 1.0]) if i % 2 else 0.5, "few": lambda: r.random(), "large": lambda: r.uniform(-1e5, 1e5)}[kind]
+        x = {"spread": lambda: c + r.gauss(0, 0.7), "ties": lambda: r.choice([0.0, 1.0]) if i % 2 else 0.5, "few": lambda: r.random(), "large": lambda: r.uniform(-1e4, 1e4)}[kind]
         rows.append((i, [float(np.float32(x())) for _ in range(64)], c))
     if kind == "ties":
         rows = [(i, [v[i % 3]] * 64, c) for i, v, c in rows]
