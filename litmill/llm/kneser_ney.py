@@ -340,7 +340,8 @@ def perplexities(docs: DataFrame, stable: bool = False) -> DataFrame:
     keys, values = frequent.column("key").to_numpy().view(np.uint64), frequent.column("value").to_numpy().astype(np.float32)
     order = np.argsort(keys)
     shared = spark.sparkContext.broadcast((keys[order], values[order]))
-    parts, salts = max(1, -(-(different - len(keys)) // PART)), max(1, -(-symbols // LETTERS))
+    parts = max(1, -(-(different - len(keys)) // PART))
+    salts = max(1, -(-symbols // (LETTERS * parts)))  # as many questions for each copy of a part, however many parts there are
 
     def dealt(batches):
         for batch in batches:
