@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .kernel import pieces
+from .session import cut
 
 #: Documents that are learned from: this many in all, shared out evenly among languages, so more of rare ones; one of each at least.
 SAMPLE = 4000
@@ -135,21 +136,27 @@ def learn(docs: DataFrame, fold: int, left_out: int, sample: int = SAMPLE) -> di
     """The model from documents outside the left-out fold; empty if none has a text and a language.
 
     Rows without a doc_id, a language or a letter in their text are passed
-    over; repeated rows count as often as they stand there.
+    over; a text that stands several times under one doc_id and language counts
+    once.  Every language is learned, however rare, and however few ids its rows
+    share.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % fold != left_out))
-    known = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    rows = rows.withColumn("body", F.xxhash64("text"))
+    different = cut(rows.select("lang", "doc_id", "body", F.xxhash64("doc_id", "body").alias("key")).distinct())
+    known = different.groupBy("lang").agg(F.count("*").alias("rows"), F.min("key").alias("least"))
     languages = known.count()
     if not languages:
         return {}
     each = max(1, sample // languages)
-    # A few times as many as are wanted, by hash, whatever a language's share of all rows; then the first of them.
+    # A few times as many as are wanted, by hash, whatever a language's share of all rows, and its first in any case; then the first of them.
     near = F.least(F.lit(1.0), F.lit(4.0 * each + 32) / F.col("rows"))
     known = F.broadcast(known) if languages <= LANGUAGES else known
-    few = rows.join(known, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < near * (1 << 30)).drop("rows")
-    key = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    chosen = few.withColumn("place", F.row_number().over(key)).where(F.col("place") <= each)
+    few = different.join(known, "lang").where((F.pmod("key", F.lit(1 << 30)) < near * (1 << 30)) | (F.col("key") == F.col("least")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id", "body"))
+    wanted = few.withColumn("place", place).where(F.col("place") <= each).select("lang", "doc_id", "body")
+    wanted = F.broadcast(wanted) if languages <= LANGUAGES else wanted
+    chosen = rows.join(wanted, ["lang", "doc_id", "body"]).groupBy("lang", "doc_id", "body").agg(F.min("text").alias("text"))
 
     def featurised(batches):
         for batch in batches:
@@ -159,9 +166,8 @@ def learn(docs: DataFrame, fold: int, left_out: int, sample: int = SAMPLE) -> di
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(out, pa.binary())], names=["doc_id", "lang", "x"])
 
     def trained(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
-        x = np.stack([np.frombuffer(b, np.float16) for b in table.column("x").to_pylist()])[order].astype(np.float32)
-        model = fit(x, np.array(table.column("lang").to_pylist(), dtype=object)[order])
+        drawn = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "lang", "x")), strict=True))  # the same order in each run
+        model = fit(np.stack([np.frombuffer(x, np.float16) for *_, x in drawn]).astype(np.float32), np.array([lang for _, lang, _ in drawn], dtype=object))
         return pa.table({"kind": [k[0] for k in model], "a": [k[1] for k in model], "b": [k[2] for k in model], "w": pa.array([v.astype(np.float32).tobytes() for v in model.values()], pa.binary())})
 
     found = chosen.select("doc_id", "text", "lang").mapInArrow(featurised, "doc_id long, lang string, x binary")

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import zlib
 import re
 from collections import Counter
 
@@ -258,6 +259,24 @@ def test_language(spark):
     assert langid.learn(frame(spark, []), 3, 1) == {}
 
 
+def test_no_language_is_lost(spark):
+    """Languages whose rows share few ids, or one text, or that have few rows beside many."""
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    text = F.concat_ws(" ", *[F.element_at(F.array(*map(F.lit, ["los", "pero", "muy", "casas", "niños"])), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(5)) + 1).cast("int")) for k in range(8)])
+    row = spark.range(60_000).withColumn("text", F.concat_ws(" ", text, F.lit("x").cast("string")))
+    shared = row.select(F.lit(ids[0]).alias("doc_id"), "text", F.lit("es").alias("lang"))
+    same = spark.range(20_000).select(F.lit(ids[1]).alias("doc_id"), F.lit("les hommes avec des femmes dans la maison").alias("text"), F.lit("fr").alias("lang"))
+    many = spark.range(40_000).select((F.col("id") + 1000).alias("doc_id"), F.concat(F.lit("the thing with words of "), F.col("id").cast("string"), F.lit(" and other things")).alias("text"), F.lit("en").alias("lang"))
+    rare = spark.createDataFrame([(i, "der Mensch und nicht das schöne Haus", "de") for i in ids[2:12]], "doc_id long, text string, lang string")
+    docs = shared.unionAll(same).unionAll(many).unionAll(rare)
+    model = langid.learn(docs, 3, 1, sample=200)
+    assert {a for kind, a, _ in model if kind == "lang"} == {"de", "en", "es", "fr"}
+    probe = spark.createDataFrame([(1, "muy casas pero los niños"), (2, "avec les femmes dans la maison"), (3, "the other things with words"), (4, "das schöne Haus und der Mensch")], "doc_id long, text string")
+    assert {x.doc_id: x.lang_pred for x in langid.identified(probe, model).collect()} == {1: "es", 2: "fr", 3: "en", 4: "de"}
+    again = langid.learn(docs.repartition(7), 3, 1, sample=200)
+    assert model.keys() == again.keys() and all((model[k] == again[k]).all() for k in model)
+
+
 def test_forward_backward():
     rng = np.random.default_rng(0)
     per_text = np.array([3, 1, 4])
