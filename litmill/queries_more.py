@@ -9,7 +9,7 @@ from .functions import text as T
 from .operators import access, library, linkage, resolution, sections
 from .plans import dsl
 from .queries import _VISIBLE, _visible, query
-from .sources import export, records
+from .sources import export, records, tei
 
 # -- references resolved, and graphs of what they resolve to
 
@@ -568,11 +568,21 @@ def citing_pages(c):
 @query(f"""{_ENTRY} SELECT id, title, abstract, year, 'Ada ' || split_part(title, ' ', 1) AS first_author, 2 AS n_sections, 'Intro' || chr(10) || '1. Methods' AS labels, title || ' again' AS cited_title, venue AS cited_venue, 2 AS n_boxes FROM e""")
 def tei_records(c):
     """Title, authors, sections, references and boxes of TEI documents."""
-    r = records.read_tei_records(_records(c).select("id", records.tei_xml().alias("text")))
+    r = tei.read_tei_records(_records(c).select("id", records.tei_xml().alias("text")))
     labels = F.array_join(F.transform("sections", lambda s: s["label"]), "\n")
     return r.select("id", "title", "abstract", F.col("references")[0]["year"].alias("year"), F.col("authors")[0].alias("first_author"), F.size("sections").alias("n_sections"), labels.alias("labels"), F.col("references")[0]["title"].alias("cited_title"), F.col("references")[0]["venue"].alias("cited_venue"), F.size(F.col("references")[0]["boxes"]).alias("n_boxes"))
 
 
+@query(f"""{_ENTRY}, m AS (SELECT id, 'b0' AS key, '[1]' AS marker, 'Intro' AS section, title || ' is known.' AS before, 'Some use it [1], too.' AS sentence, 'Others of ' || venue || ' do not.' AS after, 12 AS mark, 3 AS page, 2 AS n_boxes, title AS cited FROM e
+UNION ALL SELECT id, 'b1', 'Bo', 'methods', NULL, 'In ' || venue || ' by Bo. End. lost F', NULL, length('In ' || venue || ' by '), NULL, 0, 'Bo, ' || year || '.' FROM e) SELECT * FROM m""")
+def tei_mentions(c):
+    """Where TEI documents cite their references: mark, section, sentence and those beside it, offset, boxes."""
+    r = tei.read_tei_records(_records(c).select("id", records.mention_xml().alias("text")))
+    known = F.map_from_entries(F.transform("references", lambda x: F.struct(x["key"], F.coalesce(x["title"], x["raw"]))))
+    m = r.select("id", F.explode("mentions").alias("m"), known.alias("known"))
+    return m.select("id", "m.key", "m.marker", "m.section", "m.before", "m.sentence", "m.after", F.col("m.offset").alias("mark"), "m.page", F.size("m.boxes").alias("n_boxes"), F.col("known")[F.col("m.key")].alias("cited"))
+
+
 @query(f"""{_ENTRY} SELECT id, concat_ws(chr(10), 'TY  - JOUR', 'AU  - ' || authors[1], 'AU  - ' || authors[2], 'TI  - ' || title, 'PY  - ' || year, 'JO  - ' || venue, 'DO  - ' || doi, 'AB  - ' || abstract, 'ER  - ') AS entry FROM e""")
 def export_full_ris(c):
     return _records(c).select("id", export.full_ris().alias("entry"))
@@ -654,6 +664,26 @@ def publisher_links(c):
     return p.select("id", F.get(records.publisher_pdfs(F.col("url")), F.lit(0)).alias("pdf"))
 
 
+#: A page of each publisher whose files are known, and its file, with a number for `#`.
+_PAGES = (
+    ("https://arxiv.org/abs/#", "https://arxiv.org/pdf/#"), ("https://dl.acm.org/doi/10.1/#", "https://dl.acm.org/doi/pdf/10.1/#"),
+    ("https://link.springer.com/article/#/", "https://link.springer.com/content/pdf/#.pdf"), ("https://onlinelibrary.wiley.com/doi/#", "https://onlinelibrary.wiley.com/doi/pdfdirect/#"),
+    ("https://ieeexplore.ieee.org/document/#", "https://ieeexplore.ieee.org/stampPDF/getPDF.jsp?tp=&arnumber=#"), ("https://www.nature.com/articles/#?a=b", "https://www.nature.com/articles/#.pdf"),
+    ("https://www.mdpi.com/1111-222/1/#", "https://www.mdpi.com/1111-222/1/#/pdf"), ("https://aclanthology.org/#/", "https://aclanthology.org/#.pdf"),
+    ("https://openreview.net/forum?id=#", "https://openreview.net/pdf?id=#"), ("https://papers.nips.cc/paper/#", "https://papers.nips.cc/paper/#.pdf"),
+    ("https://proceedings.neurips.cc/paper/hash/#-Abstract.html", "https://proceedings.neurips.cc/paper/file/#-Paper.pdf"), ("https://www.medrxiv.org/content/#", "https://www.medrxiv.org/content/#.full.pdf"),
+    ("https://www.biorxiv.org/content/#v1", "https://www.biorxiv.org/content/#v1.full.pdf"), ("https://journals.plos.org/plosone/article?id=10.1/#", "https://journals.plos.org/plosone/article/file?id=10.1/#&type=printable"),
+)
+
+
+@query(f"""SELECT p_partkey AS id, replace([{", ".join(f"'{f}'" for _, f in _PAGES)}][p_partkey % {len(_PAGES)} + 1], '#', CAST(p_partkey AS VARCHAR)) AS pdf FROM part""")
+def all_publisher_links(c):
+    """Where each publisher keeps the file of a page."""
+    page = F.array(*[F.lit(p) for p, _ in _PAGES])[(F.col("p_partkey") % len(_PAGES)).cast("int")]
+    url = F.replace(page, F.lit("#"), F.col("p_partkey").cast("string"))
+    return c.table("part").select(F.col("p_partkey").alias("id"), F.get(records.publisher_pdfs(url), F.lit(0)).alias("pdf"))
+
+
 # -- vectors, topics and recommendation
 
 @query("""c AS (SELECT cited_id AS id, count(DISTINCT citing_id) AS citers, count(*) AS mentions, count(DISTINCT section) AS sections FROM citations GROUP BY 1) SELECT r.id, r.year, coalesce(citers, 0) AS citers, coalesce(mentions, 0) AS mentions, coalesce(sections, 0) AS sections, round(coalesce(citers, 0) / CAST(greatest(1, 2024 - r.year) AS DOUBLE), 6) AS velocity, 2024 - r.year AS age, round(coalesce(mentions, 0) / CAST(greatest(1, coalesce(citers, 0)) AS DOUBLE), 6) AS depth FROM refs r LEFT JOIN c USING (id)""")

@@ -1,11 +1,7 @@
-"""Records of other catalogues: JSON, Atom and TEI to columns, and the writers of their shapes; manifests, lines and links."""
+"""Records of other catalogues: JSON and Atom to columns, and the writers of their shapes and of TEI; manifests, lines and links."""
 
 from __future__ import annotations
 
-import re
-from xml.etree import ElementTree
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,116 +121,13 @@ def tei_xml() -> Column:
     return F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0">'), header, body, F.lit("</TEI>"))
 
 
-_BOX = pa.struct([("page", pa.int32()), ("x", pa.float64()), ("y", pa.float64()), ("w", pa.float64()), ("h", pa.float64())])
-_SECTION = pa.struct([("label", pa.string()), ("text", pa.string())])
-_REFERENCE = pa.struct([("key", pa.string()), ("title", pa.string()), ("venue", pa.string()), ("doi", pa.string()), ("arxiv", pa.string()), ("year", pa.int32()), ("authors", pa.list_(pa.string())), ("boxes", pa.list_(_BOX))])
-_FIELDS = {"title": pa.string(), "abstract": pa.string(), "authors": pa.list_(pa.string()), "sections": pa.list_(_SECTION), "leaves": pa.list_(_SECTION), "references": pa.list_(_REFERENCE)}
-_TEI_DDL = "title string, abstract string, authors array<string>, sections array<struct<label:string,text:string>>, leaves array<struct<label:string,text:string>>, references array<struct<key:string,title:string,venue:string,doi:string,arxiv:string,year:int,authors:array<string>,boxes:array<struct<page:int,x:double,y:double,w:double,h:double>>>>"
-
-
-def boxes_of(coords: str | None) -> list[dict]:
-    """Boxes of `page,x,y,w,h;...`; malformed ones are passed over."""
-    out = []
-    for box in (coords or "").split(";"):
-        try:
-            page, x, y, w, h = map(float, box.split(","))
-        except ValueError:
-            continue
-        out.append({"page": int(page), "x": x, "y": y, "w": w, "h": h})
-    return out
-
-
-def _plain(node) -> str | None:
-    if node is None:
-        return None
-    words = " ".join(" ".join(node.itertext()).split())
-    return re.sub(r"\s+([,.;:!?])", r"\1", words) or None
-
-
-def _first(node, *paths: str):
-    for path in paths:
-        found = node.find(path)
-        if found is not None:
-            return found
-    return None
-
-
-def _label(div) -> str | None:
-    """The head, behind its number if that is kept apart."""
-    head = div.find("head")
-    text = _plain(head) or div.get("type")
-    number = (head.get("n") or "").strip() if head is not None else ""
-    if number and not (text or "").startswith(number.rstrip(".")):
-        return f"{number} {text}" if text else number
-    return text
-
-
-def _paragraphs(node, path: str) -> str:
-    return " ".join(filter(None, map(_plain, node.findall(path))))
-
-
-def _people(node, *paths: str) -> list[str]:
-    for path in paths:
-        people = node.findall(path)
-        if people:
-            names = [" ".join(filter(None, [*map(_plain, p.findall("forename")), _plain(p.find("surname"))])) for p in people]
-            return [n for n in names if n]
-    return []
-
-
-def _reference(bibl, place: int) -> dict:
-    own, host = bibl.find(".//analytic/title"), bibl.find(".//monogr/title")
-    date = _first(bibl, ".//monogr//date", ".//date")
-    year = re.search(r"\d{4}", (date.get("when") or _plain(date) or "") if date is not None else "")
-    return {
-        "key": bibl.get("{http://www.w3.org/XML/1998/namespace}id") or bibl.get("id") or f"b{place}",
-        "title": _plain(own if own is not None else host),
-        "venue": _plain(host) if own is not None else None,
-        "doi": _plain(bibl.find('.//idno[@type="DOI"]')),
-        "arxiv": _plain(bibl.find('.//idno[@type="arXiv"]')),
-        "year": int(year[0]) if year else None,
-        "authors": _people(bibl, ".//analytic/author/persName", ".//author/persName"),
-        "boxes": boxes_of(bibl.get("coords")),
-    }
-
-
-def tei_record(text: str | None) -> dict:
-    """Header, sections, leaf sections and references of one document; a malformed one has none."""
-    try:
-        root = ElementTree.fromstring(re.sub(r'\sxmlns="[^"]*"', "", text or "", count=1))
-    except ElementTree.ParseError:
-        return {"title": None, "abstract": None, "authors": [], "sections": [], "leaves": [], "references": []}
-    whole, leaves = [], []
-    for div in root.findall(".//text/body/div"):
-        label, subs = _label(div), div.findall("div")
-        whole.append((label, _paragraphs(div, ".//p")))
-        # A section without parts is its own leaf; one with parts keeps the words before the first.
-        leaves.append((label, _paragraphs(div, "p" if subs else ".//p")))
-        leaves += [(" › ".join(filter(None, (label, _label(s)))) or None, _paragraphs(s, ".//p")) for s in subs]
-    header = root.find(".//teiHeader")
-    header = root if header is None else header
-    return {
-        "title": _plain(header.find(".//titleStmt/title")),
-        "abstract": _plain(header.find(".//abstract")),
-        "authors": _people(header, ".//sourceDesc//author/persName"),
-        "sections": [{"label": a, "text": t} for a, t in whole if t],
-        "leaves": [{"label": a, "text": t} for a, t in leaves if t],
-        "references": [_reference(b, i) for i, b in enumerate(root.findall(".//listBibl//biblStruct") or root.findall("./biblStruct"))],
-    }
-
-
-def read_tei_records(rows: DataFrame, text: str = "text") -> DataFrame:
-    """title, abstract, authors, sections, leaves and references of TEI documents."""
-    kept = _others(rows, text)
-
-    def run(batches):
-        for batch in batches:
-            found = [tei_record(t) for t in batch.column(text).to_pylist()]
-            columns = [pa.array([f[n] for f in found], kind) for n, kind in _FIELDS.items()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, *_FIELDS])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text)
-    return rows.select(*kept, text).mapInArrow(run, ", ".join(filter(None, [schema, _TEI_DDL])))
+def mention_xml() -> Column:
+    """A small TEI document whose body cites a reference in sentences and another in a bare paragraph."""
+    sentences = F.concat(F.lit("<s>"), _escaped(F.col("title")), F.lit(" is known.</s> <s>Some <hi>use</hi> it <ref type='bibr' target='#b0' coords='3,1.5,2,3,4;x,1,1,1,1;4,1,1,1,1'>[1]</ref> , too.</s><note>n</note>\n<s>Others of "), _escaped(F.col("venue")), F.lit(" do not.</s>"))
+    bare = F.concat(F.lit("In "), _escaped(F.col("venue")), F.lit(" by <ref type='bibr' target='#b1'>Bo</ref>. End.<ref type='bibr'>lost</ref><ref type='figure' target='#f1'>F</ref>"))
+    body = F.concat(F.lit("<body><div type='introduction'><head n='1.'>Intro</head><p>"), sentences, F.lit("</p></div><div type='methods'><p>"), bare, F.lit("</p></div></body>"))
+    back = F.concat(F.lit("<back><div><listBibl><biblStruct xml:id='b0'><analytic><title>"), _escaped(F.col("title")), F.lit("</title></analytic></biblStruct><biblStruct xml:id='b1'><note type='raw_reference'>Bo, "), F.col("year").cast("string"), F.lit(".</note></biblStruct><biblStruct xml:id='b2'/></listBibl></div></back>"))
+    return F.concat(F.lit("<t:TEI xmlns:t='http://www.tei-c.org/ns/1.0' xmlns='http://www.tei-c.org/ns/1.0'><text>"), body, back, F.lit("</text></t:TEI>"))
 
 
 # -- lines, drafts, manifests, links
@@ -268,30 +161,36 @@ def upserted_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
     return met.select("path", F.coalesce("_new", "_old").alias("size"), F.col("_new").isNull().alias("source_removed"), F.col("_old").isNull().alias("is_new"))
 
 
+#: By host, what the address of an article page looks like, what its path must not have, and the address of the file ($: groups of the whole address without what stands behind `?`, unless the page needs it).
+PUBLISHERS = (
+    # host, the page's address, path to leave alone, the file's address
+    ("arxiv.org", r"^(.*?)/abs/(.*)$", None, "$1/pdf/$2"),
+    ("dl.acm.org", r"^(.*?)/doi/(.*)$", "/doi/pdf", "$1/doi/pdf/$2"),
+    ("link.springer.com", r"^(.*?)/article/(.*?)/*$", None, "$1/content/pdf/$2.pdf"),
+    ("onlinelibrary.wiley.com", r"^(.*?)/doi/(.*)$", "/pdf", "$1/doi/pdfdirect/$2"),
+    ("ieeexplore.ieee.org", r"^.*?/document/(\d+).*$", None, "https://ieeexplore.ieee.org/stampPDF/getPDF.jsp?tp=&arnumber=$1"),
+    ("nature.com", r"^([^?]*/articles/[^?]*?)/*(?:\?.*)?$", r"\.pdf$", "$1.pdf"),
+    ("mdpi.com", r"^([^?]*/\d{4}-\d{3,4}/[^?]*?)/*(?:\?.*)?$", r"(?:/|\.)pdf$", "$1/pdf"),
+    ("aclanthology.org", r"^([^?]*?)/*(?:\?.*)?$", r"\.pdf$", "$1.pdf"),
+    ("openreview.net", r"^(.*?)/forum(.*)$", None, "$1/pdf$2"),
+    ("papers.nips.cc", r"^([^?]*/paper[^?]*?)/*(?:\?.*)?$", r"\.pdf$", "$1.pdf"),
+    ("proceedings.neurips.cc", r"^(.*?)/hash/(.*?)-Abstract\.html(.*)$", None, "$1/file/$2-Paper.pdf$3"),
+    ("proceedings.neurips.cc", r"^((?:(?!/hash/).)*?)-Abstract\.html(.*)$", None, "$1-Paper.pdf$2"),
+    ("biorxiv.org", r"^([^?]*/content/[^?]*?)/*(?:\?.*)?$", r"\.full\.pdf$", "$1.full.pdf"),
+    ("medrxiv.org", r"^([^?]*/content/[^?]*?)/*(?:\?.*)?$", r"\.full\.pdf$", "$1.full.pdf"),
+    ("journals.plos.org", r"^([^?]*?)/article([^?#]*)\?([^#]*id=[^#]*)(?:#.*)?$", None, "$1/article/file$2?$3&type=printable"),
+)
+
+
 def publisher_pdfs(url: Column) -> Column:
     """Where publishers keep the file of an article page, likeliest first."""
-    host, path = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))), F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
-    bare = F.regexp_replace(F.substring_index(url, "?", 1), "/+$", "")
-
-    def swapped(old: str, new: str) -> Column:
-        return F.regexp_replace(url, f"^(.*?){old}", f"$1{new}")
-
-    # Hosts, what their pages look like, and where the file is.
-    rules = [
-        (host.endswith("arxiv.org") & path.contains("/abs/"), swapped("/abs/", "/pdf/")),
-        (host.endswith("dl.acm.org") & path.contains("/doi/") & ~path.contains("/doi/pdf"), swapped("/doi/", "/doi/pdf/")),
-        (host.endswith("link.springer.com") & path.contains("/article/"), F.concat(F.regexp_replace(swapped("/article/", "/content/pdf/"), "/+$", ""), F.lit(".pdf"))),
-        (host.endswith("onlinelibrary.wiley.com") & path.contains("/doi/") & ~path.contains("/pdf"), swapped("/doi/", "/doi/pdfdirect/")),
-        (host.endswith("ieeexplore.ieee.org") & path.rlike(r"/document/\d+"), F.concat(F.lit("https://ieeexplore.ieee.org/stampPDF/getPDF.jsp?tp=&arnumber="), F.regexp_extract(path, r"/document/(\d+)", 1))),
-        (host.endswith("nature.com") & path.contains("/articles/") & ~path.endswith(".pdf"), F.concat(bare, F.lit(".pdf"))),
-        (host.endswith("mdpi.com") & path.rlike(r"/\d{4}-\d{3,4}/") & ~path.rlike(r"(/|\.)pdf$"), F.concat(bare, F.lit("/pdf"))),
-        (host.endswith("aclanthology.org") & ~path.endswith(".pdf"), F.concat(bare, F.lit(".pdf"))),
-        (host.endswith("openreview.net") & path.contains("/forum"), swapped("/forum", "/pdf")),
-        (host.endswith("papers.nips.cc") & path.contains("/paper") & ~path.endswith(".pdf"), F.concat(bare, F.lit(".pdf"))),
-        (host.endswith("proceedings.neurips.cc") & path.endswith("-Abstract.html"), F.regexp_replace(swapped("/hash/", "/file/"), "-Abstract.html", "-Paper.pdf")),
-        (host.rlike(r"(bio|med)rxiv\.org$") & path.contains("/content/") & ~path.endswith(".full.pdf"), F.concat(bare, F.lit(".full.pdf"))),
-    ]
-    return F.array_compact(F.array(*[F.when(fits & (to != url), to) for fits, to in rules]))
+    host, path = (F.coalesce(F.try_parse_url(url, F.lit(part)), F.lit("")) for part in ("HOST", "PATH"))
+
+    def file_of(of: str, page: str, spared: str | None, file: str) -> Column:
+        fits = F.lower(host).endswith(of) & url.rlike(page) & (~path.rlike(spared) if spared else F.lit(True))
+        return F.when(fits, F.nullif(F.regexp_replace(url, page, file), url))
+
+    return F.array_compact(F.array(*[file_of(*rule) for rule in PUBLISHERS]))
 
 
 def scanned_folder(files: DataFrame, known: DataFrame) -> DataFrame:

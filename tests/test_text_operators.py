@@ -14,7 +14,7 @@ from litmill.functions import similarity
 from litmill.functions.names import parsed
 from litmill.operators import linkage, retrieval, textmine
 from litmill.plans import dsl
-from litmill.sources import records
+from litmill.sources import records, tei
 
 
 def texts(seed, n=25):
@@ -257,11 +257,41 @@ def test_search_needs_tables(spark):
 def test_tei_awkward(spark):
     nested = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div type="intro"><p>Lead , here.</p><div><head n="1.1">Part</head><p>Inner.</p></div><div><p/></div></div><div><head>2 Own</head><p>A</p><p>B</p></div></body></text></TEI>'
     rows = [(1, nested), (2, None), (3, "<broken"), (4, "")]
-    got = {x.id: x for x in records.read_tei_records(spark.createDataFrame(rows, "id long, text string")).collect()}
+    got = {x.id: x for x in tei.read_tei_records(spark.createDataFrame(rows, "id long, text string")).collect()}
     assert [(s.label, s.text) for s in got[1].sections] == [("intro", "Lead, here. Inner."), ("2 Own", "A B")]
     assert [(s.label, s.text) for s in got[1].leaves] == [("intro", "Lead, here."), ("intro › 1.1 Part", "Inner."), ("2 Own", "A B")]
     assert all(got[i].title is None and got[i].sections == [] and got[i].references == [] for i in (2, 3, 4))
-    assert records.boxes_of("1,2,3,4,5; x,1,1,1,1;7,0.5,1,1,2;1,2") == [{"page": 1, "x": 2.0, "y": 3.0, "w": 4.0, "h": 5.0}, {"page": 7, "x": 0.5, "y": 1.0, "w": 1.0, "h": 2.0}] and records.boxes_of(None) == []
+    coords = spark.createDataFrame([(1, "1,2,3,4,5; x,1,1,1,1;7,0.5,1,1,2;1,2"), (2, None), (3, "")], "id int, c string")
+    assert [[tuple(b) for b in x.boxes] for x in coords.select("id", tei.boxes(F.col("c")).alias("boxes")).orderBy("id").collect()] == [[(1, 2.0, 3.0, 4.0, 5.0), (7, 0.5, 1.0, 1.0, 2.0)], [], []]
+
+
+def test_tei_mentions(spark):
+    """Header, references and mentions of a document with sentences, boxes of two pages and a reference that is but a line."""
+    text = """<?xml version="1.0" encoding="UTF-8"?>
+    <TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title level="a" type="main">On Seas</title></titleStmt><sourceDesc><biblStruct>
+      <analytic><author><persName><forename type="first">Ada</forename><forename>B.</forename><surname>Sea</surname></persName></author><author><persName><surname>Lone</surname></persName></author><idno type="DOI">10.5/sea</idno></analytic>
+      <monogr><title level="j">Water</title><imprint><date type="published" when="2017-03">May 2017</date></imprint></monogr></biblStruct></sourceDesc></fileDesc>
+      <profileDesc><abstract><div><p>We swim , a lot .</p></div></abstract></profileDesc></teiHeader>
+    <text><body><div type="introduction"><head>Introduction</head><p>
+      <s>Seas are old.</s>
+      <s>Waves were seen <ref type="bibr" target="#b0" coords="3,123.40,456.70,12.00,10.50">[1]</ref>.</s>
+      <s>Others <hi>also</hi> looked <ref type="bibr" target="#b1" coords="4,88,120,10,9;5,100,120,6,9">[2]</ref> and <ref type="bibr" target="#b0">[1]</ref>.</s></p>
+      <div><head n="1.1">Deep</head><p>No sentences <ref type="bibr" target=" #b1 ">x</ref> here <ref type="figure" target="#f">1</ref>.</p></div></div></body>
+    <back><div type="references"><listBibl><biblStruct xml:id="b0"><analytic><title level="a">Waves</title><idno type="DOI">10.5/w</idno></analytic><monogr><title>Tides</title><imprint><date when="2015">2015</date></imprint></monogr><note type="raw_reference">Bo. Waves. 2015.</note></biblStruct>
+      <biblStruct xml:id="b1"><note type="raw_reference">Some line, 2010.</note></biblStruct><biblStruct xml:id="b2"><monogr/></biblStruct><biblStruct><monogr><title>Book</title></monogr></biblStruct></listBibl></div></back></text></TEI>"""
+    alone = "<x><biblStruct><monogr><title>Only</title><author><persName><surname>Yu</surname></persName></author><date>in 1999 or so</date></monogr></biblStruct><biblStruct/></x>"
+    got = {x.id: x for x in tei.read_tei_records(spark.createDataFrame([(1, text), (2, alone)], "id long, text string")).collect()}
+    x = got[1]
+    assert (x.title, x.abstract, x.doi, x.venue, x.year, x.authors) == ("On Seas", "We swim, a lot.", "10.5/sea", "Water", 2017, ["Ada B. Sea", "Lone"])
+    assert [(r.key, r.raw, r.title, r.venue, r.doi, r.year) for r in x.references] == [("b0", "Bo. Waves. 2015.", "Waves", "Tides", "10.5/w", 2015), ("b1", "Some line, 2010.", None, None, None, None), ("b3", None, "Book", None, None, None)]
+    assert [(m.key, m.marker, m.section, m.before, m.sentence, m.after, m.page, len(m.boxes)) for m in x.mentions] == [
+        ("b0", "[1]", "Introduction", "Seas are old.", "Waves were seen [1].", "Others also looked [2] and [1].", 3, 1),
+        ("b1", "[2]", "Introduction", "Waves were seen [1].", "Others also looked [2] and [1].", None, 4, 2),
+        ("b0", "[1]", "Introduction", "Waves were seen [1].", "Others also looked [2] and [1].", None, None, 0),
+        ("b1", "x", "Deep", None, "No sentences x here 1.", None, None, 0),
+    ]
+    assert all(m.sentence[m.offset :].startswith(m.marker) for m in x.mentions)
+    assert [(r.key, r.title, r.year, r.authors) for r in got[2].references] == [("b0", "Only", 1999, ["Yu"]), ("b1", None, None, [])]
 
 
 def test_records_awkward(spark):
@@ -272,7 +302,7 @@ def test_records_awkward(spark):
 
 
 def test_publisher_links(spark):
-    urls = {"https://ieeexplore.ieee.org/document/12/": "https://ieeexplore.ieee.org/stampPDF/getPDF.jsp?tp=&arnumber=12", "https://www.mdpi.com/2072-4292/1/2": "https://www.mdpi.com/2072-4292/1/2/pdf", "https://www.biorxiv.org/content/1.v2?x=1": "https://www.biorxiv.org/content/1.v2.full.pdf", "https://proceedings.neurips.cc/paper/hash/a-Abstract.html": "https://proceedings.neurips.cc/paper/file/a-Paper.pdf", "https://www.nature.com/articles/a.pdf": None, "nothing": None, None: None}
+    urls = {"https://ieeexplore.ieee.org/document/12/": "https://ieeexplore.ieee.org/stampPDF/getPDF.jsp?tp=&arnumber=12", "https://www.mdpi.com/2072-4292/1/2": "https://www.mdpi.com/2072-4292/1/2/pdf", "https://www.biorxiv.org/content/1.v2?x=1": "https://www.biorxiv.org/content/1.v2.full.pdf", "https://proceedings.neurips.cc/paper/hash/a-Abstract.html": "https://proceedings.neurips.cc/paper/file/a-Paper.pdf", "https://www.nature.com/articles/a.pdf": None, "https://journals.plos.org/plosone/article?id=10.1/j.p&x=1": "https://journals.plos.org/plosone/article/file?id=10.1/j.p&x=1&type=printable", "https://journals.plos.org/plosone/article": None, "https://www.medrxiv.org/content/2": "https://www.medrxiv.org/content/2.full.pdf", "https://papers.nips.cc/paper/7-x/?a": "https://papers.nips.cc/paper/7-x.pdf", "https://onlinelibrary.wiley.com/doi/10.1/x": "https://onlinelibrary.wiley.com/doi/pdfdirect/10.1/x", "https://link.springer.com/article/10.1/x/": "https://link.springer.com/content/pdf/10.1/x.pdf", "https://proceedings.neurips.cc/paper/b-Abstract.html": "https://proceedings.neurips.cc/paper/b-Paper.pdf", "nothing": None, None: None}
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     assert {x.url: x.pdf for x in df.select("url", F.get(records.publisher_pdfs(F.col("url")), F.lit(0)).alias("pdf")).collect()} == urls
 
