@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .catalog import SQL as VIEWS
 from .catalog import Catalog
 from .functions import text as T
-from .operators import graph, library, linkage, recommend, reports, retrieval, textmine
+from .operators import graph, library, linkage, recommend, reports, retrieval, textmine, vector_index
 from .plans import dsl
 from .sources import bibliography, export
 from .streaming import events as ev
@@ -279,6 +279,44 @@ def topic_graph(c):
     return graph.undirected(graph.nearest(v, v.where("chunk_id % 100 = 0"), 6, 0.3)).select("a", "b", F.round("weight", 6).alias("weight"))
 
 
+def _vector_index(c: Catalog) -> vector_index.Index:
+    """All chunk vectors, written once for each state of the table."""
+    return vector_index.stored("vectors", c.table("embeddings"), c.vectors().select(F.col("chunk_id").alias("id"), "vector"))
+
+
+def _asked(c: Catalog) -> DataFrame:
+    return c.vectors().where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+
+
+@query(f"""{_KNN} SELECT query_id, id, round(score, 6) AS score, place FROM r WHERE place <= 6""")
+def indexed_neighbours(c):
+    """`nearest_vectors` by the inverted file: the nearest lists, then those that cannot be ruled out."""
+    return vector_index.search(_vector_index(c), _asked(c), 6, 0.3, exact=True).select("query_id", "id", F.round("score", 6).alias("score"), "place")
+
+
+@query(f"""{_KNN.replace("v.chunk_id <> q.chunk_id", "v.chunk_id <> q.chunk_id AND v.work_id <> 3")} SELECT query_id, id, round(score, 6) AS score, place FROM r WHERE place <= 6""")
+def visible_neighbours(c):
+    """The six nearest among most vectors, those of all works but one: by the inverted file."""
+    visible = c.vectors().where("work_id <> 3").select(F.col("chunk_id").alias("id"))
+    return vector_index.search(_vector_index(c), _asked(c), 6, 0.3, visible, exact=True).select("query_id", "id", F.round("score", 6).alias("score"), "place")
+
+
+@query(f"""{_KNN.replace("v.chunk_id <> q.chunk_id", "v.chunk_id <> q.chunk_id AND v.work_id = 3 AND v.chunk_id IN (SELECT id FROM live_works WHERE year >= 2000)").replace("0.3", "0.02")} SELECT query_id, id, round(score, 6) AS score, place FROM r WHERE place <= 6""")
+def narrow_neighbours(c):
+    """The six nearest among few vectors, those of one work: these are scanned."""
+    visible = c.vectors().where("work_id = 3").select(F.col("chunk_id").alias("id")).join(c.live_works().where("year >= 2000").select("id"), "id", "left_semi")
+    return vector_index.search(_vector_index(c), _asked(c), 6, 0.02, visible).select("query_id", "id", F.round("score", 6).alias("score"), "place")
+
+
+@query("""s AS (SELECT q.chunk_id AS query_id, v.chunk_id AS id, round(list_cosine_similarity(v.vector, q.vector), 9) AS score FROM vectors v, vectors q WHERE v.chunk_id <> q.chunk_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM s WHERE score >= 0.3)
+SELECT least(query_id, id) AS a, greatest(query_id, id) AS b, round(max(score), 6) AS weight FROM r WHERE place <= 3 GROUP BY 1, 2""")
+def whole_topic_graph(c):
+    """The three nearest of every vector, as a graph: by the inverted file."""
+    queries = c.vectors().select(F.col("chunk_id").alias("query_id"), "vector")
+    return graph.undirected(vector_index.search(_vector_index(c), queries, 3, 0.3, exact=True)).select("a", "b", F.round("weight", 6).alias("weight"))
+
+
 @query("""n AS (SELECT shelf_id AS src, count(*) AS n FROM shelf_works GROUP BY 1), c AS (SELECT count(*) AS k, sum(n) AS total FROM n),
 b AS (SELECT src, n, least(n, greatest(1, CAST(ceil(250.0 / (SELECT k FROM c)) AS BIGINT))) AS base FROM n),
 e AS (SELECT *, (n - base) * CAST(greatest(0, 500 - (SELECT sum(base) FROM b)) AS DOUBLE) / greatest((SELECT total FROM c) - (SELECT sum(base) FROM b), 1) AS exact FROM b),
