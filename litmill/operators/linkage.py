@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.names import overlap
 from ..functions.similarity import block_ratio, title_similarity, value_similarity
 from ..functions.text import arxiv_base, arxiv_from_doi, arxiv_version, first_word, normalize_doi, normalize_title, relaxed_word, similarity_text
+from . import fuzzy
 
 #: Rank of the states of a reference, best last.
 STATES = ("unresolved", "external", "likely_match", "local_match", "rejected_match", "confirmed_match")
@@ -29,7 +30,8 @@ def same_key(rows: DataFrame, key: str, kind: str, score: float = 1.0) -> DataFr
 def fuzzy_titles(rows: DataFrame, least: float = 92.0) -> DataFrame:
     """(a, b, score) of papers with similar titles where one starts with the other's first word, in whole or as a part of a word, and that agree on the year if both have one.
 
-    Equal titles are one entry, so copies do not multiply pairs.
+    Equal titles are one entry, so copies do not multiply pairs; titles under one
+    first word meet only where they share rare parts, as far as `least` allows.
     """
     named = rows.withColumn("t", normalize_title(F.col("title"))).where("t <> ''")
     kinds = named.groupBy("t", "year").agg(F.min("id").alias("id")).withColumn("word", first_word(F.col("t")))
@@ -37,16 +39,25 @@ def fuzzy_titles(rows: DataFrame, least: float = 92.0) -> DataFrame:
     words = kinds.select("word").distinct()
     cuts = F.transform(F.sequence(F.lit(0), F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n))
     prefixes = words.select("word", F.explode(cuts).alias("block")).join(words.select(F.col("word").alias("block")), "block")
-    a = kinds.select(F.col("word").alias("block"), F.col("id").alias("a"), F.col("t").alias("t_a"), F.col("year").alias("y_a"))
-    b = kinds.join(prefixes, "word").select("block", (F.col("word") == F.col("block")).alias("whole"), F.col("id").alias("b"), F.col("t").alias("t_b"), F.col("year").alias("y_b"))
-    met = a.join(b, "block").where("(not whole or a < b) and (y_a is null or y_b is null or y_a = y_b)")
-    # Lengths bound the ratio, unless sets of words count.
-    close = 200.0 * F.least(F.length("t_a"), F.length("t_b")) / (F.length("t_a") + F.length("t_b")) >= least
-    wordy = F.least(F.size(F.split("t_a", " ")), F.size(F.split("t_b", " "))) >= 5
-    scored = met.where(close | wordy).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), title_similarity("t_a", "t_b").alias("score"))
+    pairs = title_pairs(kinds, prefixes, least)
+    a, b = (kinds.select(F.col("id").alias(x), F.col("t").alias(f"t_{x}")) for x in ("a", "b"))
+    scored = pairs.join(a, "a").join(b, "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), title_similarity("t_a", "t_b").alias("score"))
     return scored.where(F.col("score") >= least)
 
 
+def title_pairs(kinds: DataFrame, prefixes: DataFrame, least: float) -> DataFrame:
+    """(a, b): the pairs of titles (id, t, year, word) that may score `least`, of blocks (word, block) in which each word is met."""
+    # Half of the last digit: scores are rounded to one decimal.
+    parts = fuzzy.with_tokens(kinds, least - 0.05)
+    sized = F.length("t").alias("size"), (F.size(F.filter(F.split("t", " "), lambda w: w != "")) >= fuzzy.WORDY).alias("wordy")
+    a = parts.select(F.col("word").alias("block"), F.col("id").alias("a"), F.col("year").alias("y_a"), sized[0].alias("n_a"), sized[1].alias("w_a"), "on_left")
+    b = parts.join(prefixes, "word").select("block", (F.col("word") == F.col("block")).alias("whole"), F.col("id").alias("b"), F.col("year").alias("y_b"), sized[0].alias("n_b"), sized[1].alias("w_b"), "on_right")
+    # Lengths bound the ratio, unless sets of words count.
+    close = 200.0 * F.least("n_a", "n_b") / (F.col("n_a") + F.col("n_b")) >= least - 0.05
+    fits = (~F.col("whole") | (F.col("a") < F.col("b"))) & (F.col("y_a").isNull() | F.col("y_b").isNull() | (F.col("y_a") == F.col("y_b"))) & (close | (F.col("w_a") & F.col("w_b")))
+    return fuzzy.candidates(a, b, fits)
+
+
 def _cited(rows: DataFrame) -> DataFrame:
     """(id, t, year, doi, arxiv, authors) with identifiers in normal form; arxiv and authors may be missing."""
     doi = F.nullif(normalize_doi(F.col("doi")), F.lit(""))

@@ -115,7 +115,7 @@ def built(vectors: DataFrame, folder: str, lists: int | None = None) -> None:
     shared = spark.sparkContext.broadcast(_matrix(found.column("centroid")))
     rows = units.select("id", "vector").mapInArrow(_assigned(shared), "id long, list int, angle double, vector array<double>")
     # A list with many vectors goes to several tasks.
-    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(max(1, n // (lists * 16 * ROWS)))))
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(max(1, n // (max(1, lists) * 16 * ROWS)))))
     dealt.repartition("list", "_part").drop("_part").write.mode("overwrite").partitionBy("list").parquet(f"{folder}/rows")
     stored = spark.read.schema("id long, angle double, vector array<double>, list int").parquet(f"{folder}/rows")
     stats = stored.groupBy("list").agg(F.count("*").alias("n"), F.max("angle").alias("radius"))

@@ -139,3 +139,14 @@ def test_backup(spark, tmp_path):
 def test_streams_equal_batches(spark, tables):
     batch = {tuple(r) for r in ev.rates(spark.read.parquet(f"{tables}/events.parquet")).collect()}
     assert {tuple(r) for r in ev.drained(ev.rates(ev.stream(spark, tables)), "rates_test").collect()} == batch
+
+
+def test_batch_similarity():
+    """Many pairs at once, up to and across machine words, against one at a time."""
+    r = random.Random(2)
+    texts = ["".join(r.choice("abcdeé 𝄞") for _ in range(r.choice([0, 1, 5, 30, 63, 64, 65, 127, 128, 200]))) for _ in range(1200)]
+    a, b = texts[::2], texts[1::2]
+    assert similarity.ratios(a, b).tolist() == [similarity.ratio(x, y) for x, y in zip(a, b, strict=True)]
+    assert similarity.title_percents([*a, None], [*b, "x"]) == [similarity.title_percent(x, y) for x, y in zip([*a, None], [*b, "x"], strict=True)]
+    assert similarity.value_percents([*a, None, ""], [*b, "x", ""]) == [similarity.value_percent(x, y) for x, y in zip([*a, None, ""], [*b, "x", ""], strict=True)]
+    assert similarity.ratios([], []).tolist() == []

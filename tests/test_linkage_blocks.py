@@ -2,8 +2,13 @@
 
 import random
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from litmill.functions import similarity
 from litmill.functions.similarity import title_percent
-from litmill.operators import linkage
+from litmill.operators import fuzzy, linkage
 
 TITLES = ["transformer networks for long texts", "transformers networks for long texts", "trans former networks", "transform networks for long texts", "a theory of parsing", "theory of parsing", "The Theory of Parsing", "on the theory of parsing", "theories of parsing", "graph search", "graphs search", "graphsearch", "of the", "to"]
 
@@ -23,6 +28,62 @@ def test_fuzzy_titles_meet_by_prefix(spark):
     assert [(x.a, x.b) for x in linkage.fuzzy_titles(near).collect()] == [(1, 2)]
 
 
+def _title_kinds(spark, rows):
+    from pyspark.sql import functions as F
+
+    kinds = spark.createDataFrame(rows, "id long, t string, year int").withColumn("word", F.substring_index("t", " ", 1))
+    words = kinds.select("word", F.col("word").alias("block")).distinct()
+    return kinds, words
+
+
+def test_one_hot_first_word(spark):
+    """2,000 titles under one first word against brute force, and how many pairs are looked at."""
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(900)]
+    titles = [" ".join(["study", *r.choices(words, k=r.randint(0, 9))]) for _ in range(1400)]
+
+    def changed(title):
+        w = title.split()[1:]
+        kind = r.randrange(6)
+        if kind == 0 and w:
+            w[r.randrange(len(w))] += r.choice("xyz")
+        elif kind == 1:
+            r.shuffle(w)
+        elif kind == 2 and len(w) > 1:
+            w.pop(r.randrange(len(w)))
+        elif kind == 3:
+            w += r.choices(words, k=r.randint(1, 6))
+        elif kind == 4 and w:
+            w.append(r.choice(w))
+        elif len(w) > 1:
+            i = r.randrange(len(w) - 1)
+            w[i : i + 2] = ["".join(w[i : i + 2])]
+        return " ".join(["study", *w])
+
+    titles = list(dict.fromkeys(titles + [changed(changed(t) if r.random() < 0.4 else t) for t in r.choices(titles, k=700)]))[:2000]
+    # A tenth of the titles against all, and all that the join finds for them.
+    every = [(min(i, j), max(i, j)) for i in range(0, len(titles), 10) for j in range(len(titles)) if j > i or j % 10]
+    scores = similarity.title_percents([titles[i] for i, _ in every], [titles[j] for _, j in every])
+    kinds = _title_kinds(spark, [(i, t, None) for i, t in enumerate(titles)])
+    for least in (92.0, 75.0):
+        want = {p: s for p, s in zip(every, scores, strict=True) if s >= least}
+        got = linkage.fuzzy_titles(kinds[0].withColumnRenamed("t", "title"), least).collect()
+        mine = {(x.a, x.b): x.score for x in got if x.a % 10 == 0 or x.b % 10 == 0}
+        assert mine == want and len(want) > 50 and len({(x.a, x.b) for x in got}) == len(got)
+        looked_at = linkage.title_pairs(*kinds, least).count()
+        assert len(got) <= looked_at and (least < 92 or looked_at < len(titles) ** 2 / 20), looked_at
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab c", max_size=14), min_size=2, max_size=2), st.sampled_from([92.0, 80.0, 70.0, 60.0]))
+def test_alike_titles_share_a_token(pair, least):
+    x, y = (" ".join(t.split()) for t in pair)
+    if x and y and similarity.title_percent(x, y) >= least:
+        t, often = least / 100 - 0.0005, {fuzzy._hash("\na"): 5, fuzzy._hash(" a \t0"): 9}
+        (a, _), (_, b) = (fuzzy.tokens(s, t, fuzzy.width(t), often) for s in (x, y))
+        assert set(a) & set(b)
+
+
 SIDE = "id long, title string, year int, doi string, arxiv string, authors array<string>"
 
 
