@@ -120,6 +120,16 @@ def chronology_members(works: DataFrame) -> DataFrame:
     return works.groupBy("year").agg(F.count("*").alias("n"), F.array_join(ids, ",").alias("members"))
 
 
+#: Ids that a page of a chronology spans.
+PAGE = 1000
+
+
+def chronology_pages(works: DataFrame) -> DataFrame:
+    """(year, page, n, members): papers of each year by id, in pages that span PAGE ids, so that a year of any size stays in rows of bounded size."""
+    ids = F.transform(F.array_sort(F.collect_list("id")), lambda i: i.cast("string"))
+    return works.groupBy("year", F.floor(F.col("id") / PAGE).alias("page")).agg(F.count("*").alias("n"), F.array_join(ids, ",").alias("members"))
+
+
 def spellings(works: DataFrame) -> DataFrame:
     """(venue_key, venue, n): venues that differ in case and marks only as one, in the most frequent spelling, then the longest, then the last."""
     key = F.trim(F.regexp_replace(F.lower("venue"), "[^a-z0-9]+", " "))

@@ -561,7 +561,10 @@ def atom_records(c):
 def citing_pages(c):
     """Pages of citing papers: at most 25 rows of each."""
     item = F.struct(F.struct(F.col("id").cast("string").alias("paperId"), "title", "year").alias("citingPaper"))
-    page = c.references().groupBy(F.col("year").alias("page")).agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("id", item.alias("i")))), lambda x: x["i"]).alias("data"))).alias("text"))
+    # Ranked and cut, in each task first, before anything is gathered.
+    place = F.row_number().over(Window.partitionBy("year").orderBy("id"))
+    first = c.references().select("id", "title", "year").withColumn("place", place).where(F.col("place") <= 25)
+    page = first.groupBy(F.col("year").alias("page")).agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("id", item.alias("i")))), lambda x: x["i"]).alias("data"))).alias("text"))
     return records.read_citing(page, 25).select("page", "place", F.col("external_id").cast("long").alias("external_id"), "title")
 
 
@@ -614,6 +617,50 @@ def full_bibtex_round_trip(c):
     return _shown(bibliography.read_bibtex(keyed.select("id", export.full_bibtex().alias("text"))))
 
 
+def _filed(c, texts):
+    """A folder of files with these texts, in the checkpoint folder."""
+    import uuid
+
+    from .session import checkpoint_folder
+
+    folder = f"{checkpoint_folder(c.spark)}/files-{uuid.uuid4().hex}"
+    texts.select("text").write.text(folder)
+    return folder
+
+
+_FILED = f"""{_ENTRY} SELECT title, year, venue, doi, AUTHORS AS authors FROM e"""
+
+
+@query(_FILED.replace("AUTHORS", "'Ada ' || split_part(title, ' ', 1) || ';' || split_part(abstract, ' ', 1) || ', Bo'"))
+def ris_files(c):
+    """All records as RIS files, read in ranges of bytes."""
+    from .sources import files
+
+    read = files.read_ris_files(c.spark, _filed(c, _records(c).select(export.full_ris().alias("text"))))
+    return read.select("title", "year", "venue", "doi", F.array_join("authors", ";").alias("authors"))
+
+
+@query(_FILED.replace("AUTHORS", "'Ada ' || split_part(title, ' ', 1) || ';Bo ' || split_part(abstract, ' ', 1)"))
+def bibtex_files(c):
+    """All records as BibTeX files, read in ranges of bytes."""
+    from .sources import files
+
+    keyed = _records(c).withColumn("cite_key", F.concat(F.lit("k"), F.col("id").cast("string")))
+    read = files.read_bibtex_files(c.spark, _filed(c, keyed.select(export.full_bibtex().alias("text"))))
+    return read.select("title", "year", "venue", "doi", F.array_join("authors", ";").alias("authors"))
+
+
+@query(_FILED.replace("AUTHORS", "'Ada ' || split_part(title, ' ', 1) || ';' || split_part(abstract, ' ', 1)"))
+def csl_files(c):
+    """All records as files of CSL-JSON objects, read in ranges of bytes."""
+    from .sources import files
+
+    author = F.array(F.struct(F.lit("Ada").alias("given"), F.split("title", " ")[0].alias("family")), F.struct(F.lit(None).cast("string").alias("given"), F.split("abstract", " ")[0].alias("family")))
+    item = F.struct(F.col("id").cast("string").alias("id"), "title", F.col("doi").alias("DOI"), F.col("venue").alias("container-title"), author.alias("author"), F.struct(F.array(F.array("year")).alias("date-parts")).alias("issued"))
+    read = files.read_csl_files(c.spark, _filed(c, _records(c).select(F.to_json(item).alias("text"))))
+    return read.select("title", "year", "venue", "doi", F.array_join("authors", ";").alias("authors"))
+
+
 @query("""SELECT conv_id, string_agg('[' || role || '] ' || text, chr(10) ORDER BY turn) AS notes FROM conversations WHERE text IS NOT NULL GROUP BY 1""")
 def export_annotations(c):
     return export.annotations(c.table("conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("page"), F.col("role").alias("kind"), F.col("text").alias("note"))).select(F.col("id").alias("conv_id"), "notes")

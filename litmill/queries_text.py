@@ -256,6 +256,11 @@ def chronology_members(c):
     return reports.chronology_members(c.references())
 
 
+@query(f"""SELECT year, CAST(floor(id / {reports.PAGE}) AS BIGINT) AS page, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members FROM refs GROUP BY 1, 2""")
+def chronology_pages(c):
+    return reports.chronology_pages(c.references())
+
+
 @query("""r AS (SELECT id, CASE WHEN id % 3 = 0 THEN upper(venue) WHEN id % 3 = 1 THEN venue || '.' ELSE venue END AS venue, year FROM refs), k AS (SELECT *, trim(regexp_replace(lower(venue), '[^a-z0-9]+', ' ', 'g')) AS venue_key FROM r), n AS (SELECT venue_key, venue, count(*) AS n FROM k GROUP BY 1, 2),
 b AS (SELECT *, row_number() OVER (PARTITION BY venue_key ORDER BY n DESC, length(venue) DESC, venue DESC) AS p FROM n) SELECT venue_key, venue, (SELECT sum(n) FROM n x WHERE x.venue_key = b.venue_key)::BIGINT AS n FROM b WHERE p = 1""")
 def venue_spellings(c):
