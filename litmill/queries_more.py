@@ -9,7 +9,7 @@ from .functions import text as T
 from .operators import access, library, linkage, resolution, sections
 from .plans import dsl
 from .queries import _VISIBLE, _visible, query
-from .sources import export, records, tei
+from .sources import export, page_links, records, tei
 
 # -- references resolved, and graphs of what they resolve to
 
@@ -731,6 +731,18 @@ def all_publisher_links(c):
     return c.table("part").select(F.col("p_partkey").alias("id"), F.get(records.publisher_pdfs(url), F.lit(0)).alias("pdf"))
 
 
+#: What is added to each page, with its number for `#`, and the links that it must lead to: kind, address (`^`: the page's host before it), score.
+_ADDED = """<meta NAME='citation_pdf_url' content="/files/#.pdf?a=1&amp;b=2"><a href=/paper/#.pdf class=btn-download>Article</a><a href='/doc/#' title="PDF">View PDF<b> now</b></a><a href="/suppl/#.pdf">supplement</a><a href="mailto:x">PDF</a><!-- <a href="/no.pdf">PDF</a> --><link rel="alternate" type="application/pdf" href="https://x.org/#.pdf"><a href="/paper/#.pdf">again PDF</a><script>{"u": "https:\\/\\/y.org\\/#.pdf"}</script><a href="/open.pdf">never ends"""
+_ADDED_LINKS = (("meta", "^/files/#.pdf?a=1&b=2", None), ("alternate", "https://x.org/#.pdf", None), ("anchor", "^/paper/#.pdf", 6), ("anchor", "^/doc/#", 5), ("script", "https://y.org/#.pdf", None))
+
+
+@query("SELECT page_id, CAST(place AS INTEGER) AS place, kind, CAST(score AS INTEGER) AS score, replace(replace(link, '^', regexp_extract(url, '^[a-z]+://[^/?#]*')), '#', CAST(page_id AS VARCHAR)) AS link FROM pages, (VALUES " + ", ".join(f"({i}, '{k}', '{u}', {'NULL' if n is None else n})" for i, (k, u, n) in enumerate(_ADDED_LINKS)) + ") AS l(place, kind, link, score)")
+def pdf_links(c):
+    """Links of web pages to files: metas, alternates, anchors with scores, scripts; five of each are added to the pages."""
+    p = c.table("pages").select("page_id", "url", F.concat("html", F.replace(F.lit(_ADDED), F.lit("#"), F.col("page_id").cast("string"))).alias("html"))
+    return page_links.pdf_links(p)
+
+
 # -- vectors, topics and recommendation
 
 @query("""c AS (SELECT cited_id AS id, count(DISTINCT citing_id) AS citers, count(*) AS mentions, count(DISTINCT section) AS sections FROM citations GROUP BY 1) SELECT r.id, r.year, coalesce(citers, 0) AS citers, coalesce(mentions, 0) AS mentions, coalesce(sections, 0) AS sections, round(coalesce(citers, 0) / CAST(greatest(1, 2024 - r.year) AS DOUBLE), 6) AS velocity, 2024 - r.year AS age, round(coalesce(mentions, 0) / CAST(greatest(1, coalesce(citers, 0)) AS DOUBLE), 6) AS depth FROM refs r LEFT JOIN c USING (id)""")
