@@ -15,8 +15,17 @@ from pyspark.sql import functions as F
 class Catalog:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._own: dict[str, DataFrame] = {}
+
+    def over(self, **tables: DataFrame) -> Catalog:
+        """The same library with other stored tables in place of some."""
+        other = Catalog(self.spark, self.folder)
+        other._own = tables
+        return other
 
     def table(self, name: str) -> DataFrame:
+        if name in self._own:
+            return self._own[name]
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def works(self) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import graph, linkage, recommend, reports, retrieval, sections, textmine
+from .operators import graph, linkage, recommend, reports, retrieval, sections, segments, substring, textmine
 from .queries import _TOKENS, _bags, query
 
 # -- the field index
@@ -37,6 +40,26 @@ def field_index(c):
     return _field_index(c).groupBy("id").agg(F.count("*").alias("terms"), F.round(F.sum("score"), 4).alias("mass"))
 
 
+@query(f"""{_FIELDS} SELECT id, round(round(sum(score), 6), 4) AS score FROM (SELECT id, score, sum(score) OVER (PARTITION BY id) AS total FROM fp WHERE term IN ('tion', 'erth', 'oned')) GROUP BY 1, total ORDER BY round(total, 6) DESC, id LIMIT 40""")
+def segmented_search(c):
+    """`field_search` over an index in batches, which counts only files that it does not know."""
+    folder, living = segments.kept_up(c.table("documents"), "segments", "doc_id", lambda docs: _field_rows(c.over(documents=docs)))
+    return retrieval.search(segments.scored(folder, living, "tion erth of oned"), "tion erth oned", 40).select("id", F.round("score", 4).alias("score"))
+
+
+#: Patterns of a substring search: with and without wildcards, and one without three letters in a row.
+_PATTERNS = ("THONTI", "erth%ing and", "e_de_ther", "é%ß", "$$$ re", "ou", "not in any text")
+
+
+@query(" UNION ALL ".join(f"SELECT '{p}' AS pattern, id FROM texts WHERE body ILIKE '%{p}%'" for p in _PATTERNS))
+def substring_search(c):
+    """Texts that contain each of some patterns, by an index of trigrams."""
+    texts = c.texts().select("id", F.col("body").alias("text"))
+    index = substring.stored("trigrams", c.table("documents"), texts)
+    found = [substring.search(index, texts, p).select(F.lit(p).alias("pattern"), "id") for p in _PATTERNS]
+    return functools.reduce(DataFrame.unionAll, found)
+
+
 # -- key phrases and summaries
 
 _PSTOP = ", ".join(f"'{w}'" for w in textmine.PHRASE_STOPS)
