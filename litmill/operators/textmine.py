@@ -260,3 +260,21 @@ def hierarchy(centres: DataFrame) -> DataFrame:
     a, b = unit.select(F.col("cluster").alias("topic_a"), "term", "x"), unit.select(F.col("cluster").alias("topic_b"), "term", F.col("x").alias("y"))
     dots = a.join(b, "term").where("topic_a < topic_b").groupBy("topic_a", "topic_b").agg(F.round(F.sum(F.col("x") * F.col("y")), 4).alias("similarity"))
     return dots.groupBy("topic_a").agg(F.max_by(F.struct("topic_b", "similarity"), F.struct("similarity", (-F.col("topic_b")).alias("b"))).alias("m")).select("topic_a", "m.*")
+
+
+def cluster_labels(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(cluster, place, term, weight): the k terms that tell each cluster (id, cluster) from the others by its members' texts (id, body).
+
+    A term weighs its share of the cluster's words times ln(1 + mean words of a
+    cluster / how often it stands anywhere).  Counts are added up by cluster and
+    term before anything else, so a cluster of any size is no group of rows.
+    """
+    words = docs.join(members, "id").select("cluster", F.explode(F.filter(tokens(F.col("body"), "[a-z][a-z'-]{2,}"), lambda t: ~t.isin(*STOPWORDS))).alias("term"))
+    here = cut(words.groupBy("cluster", "term").agg(F.count("*").alias("here")))
+    sizes = here.groupBy("cluster").agg(F.sum("here").alias("words"))
+    everywhere = here.groupBy("term").agg(F.sum("here").alias("everywhere"))
+    mean = sizes.agg(F.avg("words")).first()[0] or 0.0
+    weight = F.round(F.col("here") / F.col("words") * F.log(1 + F.lit(mean) / F.col("everywhere")), 9)
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("weight"), "term"))
+    found = here.join(sizes, "cluster").join(everywhere, "term").withColumn("weight", weight)
+    return found.withColumn("place", place).where(F.col("place") <= k).select("cluster", "place", "term", "weight")

@@ -356,7 +356,7 @@ sem AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS place F
 
 def _postings(c: Catalog) -> DataFrame:
     """Title and body, written once for each state of the documents."""
-    return retrieval.written("postings", c.table("documents"), lambda: retrieval.postings(c.texts()), by_term=True)
+    return retrieval.written("postings", c.table("documents"), lambda: retrieval.postings(c.texts()), by_term=True, made_with=(retrieval.WEIGHTS, retrieval.STOPWORDS))
 
 
 def _bags(c: Catalog) -> DataFrame:

@@ -26,7 +26,7 @@ def _field_rows(c):
 
 
 def _field_index(c):
-    return retrieval.written("fields", c.table("documents"), lambda: retrieval.field_postings(_field_rows(c)), by_term=True)
+    return retrieval.written("fields", c.table("documents"), lambda: retrieval.field_postings(_field_rows(c)), by_term=True, made_with=(retrieval.FIELD_WEIGHTS, retrieval.FIELD_STOPS))
 
 
 @query(f"""{_FIELDS} SELECT id, round(round(sum(score), 6), 4) AS score FROM (SELECT id, score, sum(score) OVER (PARTITION BY id) AS total FROM fp WHERE term IN ('tion', 'erth', 'oned')) GROUP BY 1, total ORDER BY round(total, 6) DESC, id LIMIT 40""")
@@ -141,6 +141,19 @@ def _means(c):
     return v.groupBy(F.col("work_id").cast("long").alias("id")).agg(F.transform(rows, lambda r: r["x"]).alias("vector"))
 
 
+_CSTOP = ", ".join(f"'{w}'" for w in textmine.STOPWORDS)
+
+
+@query(rf"""w AS (SELECT work_id AS cluster, unnest(list_filter(regexp_extract_all(lower(coalesce(body, '')), '[a-z][a-z''-]{{2,}}'), lambda t: t NOT IN ({_CSTOP}))) AS term FROM vectors v JOIN texts t ON t.id = v.chunk_id),
+n AS (SELECT cluster, count(*) AS words FROM w GROUP BY 1), f AS (SELECT term, count(*) AS everywhere FROM w GROUP BY 1), c AS (SELECT cluster, term, count(*) AS here FROM w GROUP BY 1, 2),
+s AS (SELECT cluster, term, round(here / CAST(words AS DOUBLE) * ln(1 + (SELECT avg(words) FROM n) / everywhere), 9) AS weight FROM c JOIN n USING (cluster) JOIN f USING (term)),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term) AS place FROM s) SELECT cluster, place, term, round(weight, 6) AS weight FROM r WHERE place <= 5""")
+def cluster_labels(c):
+    """The five terms that tell each cluster of vectors, by its papers' texts, from the others."""
+    members = c.vectors().select(F.col("chunk_id").alias("id"), F.col("work_id").alias("cluster"))
+    return textmine.cluster_labels(c.texts().select("id", "body"), members, 5).select("cluster", "place", "term", F.round("weight", 6).alias("weight"))
+
+
 @query()
 def embedding_plane(c):
     """Chunk vectors on their two main axes; tested against a singular value decomposition."""
