@@ -21,6 +21,8 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernel
+
 #: Entries of a list, and bytes of their strings, up to which it is broadcast.
 ENTRIES, BYTES = 16_000_000, 512 << 20
 #: Fixed value: the seed of Spark's xxhash64.
@@ -46,10 +48,10 @@ def entry(host: str, path: str) -> str:
 def packed(entries: DataFrame) -> bytes:
     """entries(entry) as bytes: how many, the digests in order, where each string ends, the strings; of a list within the bounds."""
     keyed = entries.where("entry is not null").distinct().select(F.xxhash64("entry").alias("key"), "entry").orderBy("key", "entry").toArrow()
-    text = keyed.column("entry").combine_chunks() if keyed.num_rows else pa.array([], pa.string())
-    raw = [t.encode() for t in text.to_pylist()]
-    ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
-    return b"".join([len(raw).to_bytes(8, "little"), keyed.column("key").to_numpy().astype("<i8").tobytes(), ends.tobytes(), *raw])
+    # Straight from Arrow's buffers: no string is made on the driver.
+    text, ends = kernel.text_bytes(keyed.column("entry"))
+    keys = np.ascontiguousarray(keyed.column("key").to_numpy(), "<i8")
+    return b"".join([len(keys).to_bytes(8, "little"), keys.data, np.ascontiguousarray(ends[1:], "<i8").data, np.ascontiguousarray(text).data])
 
 
 class DigestArray:
