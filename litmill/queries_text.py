@@ -395,3 +395,42 @@ def streamed_stages(c):
     from .streaming import events as ev
 
     return ev.staged(c.spark, c.folder)
+
+
+_THROTTLED = """WITH e AS (SELECT event_id, user_id, ts, epoch_us(ts) AS us, event_type = 'purchase' AS clears FROM events WHERE event_type IN ('error', 'purchase')),
+s AS (SELECT *, coalesce(sum(CAST(clears AS INT)) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spell FROM e),
+r AS (SELECT *, count(*) FILTER (NOT clears) OVER w AS n, min(us) FILTER (NOT clears) OVER w AS oldest, min(us) FILTER (clears) OVER (PARTITION BY user_id, spell) AS cleared FROM s
+  WINDOW w AS (PARTITION BY user_id, spell ORDER BY us RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW)),
+k AS (SELECT *, lead(us) OVER w AS last, lead(us, 2) OVER w AS next FROM r WHERE NOT clears WINDOW w AS (PARTITION BY user_id, spell ORDER BY us, event_id)),
+o AS (SELECT user_id, us, 'failure' AS kind, event_id, n, n >= 2 AS locked, CASE WHEN n >= 2 THEN greatest(1, (oldest + 21600000000 - us) // 1000000) ELSE 0 END AS retry_after FROM r WHERE NOT clears
+  UNION ALL SELECT user_id, us, 'unlocked', min(event_id), 0, false, 0 FROM r WHERE clears AND n >= 2 GROUP BY 1, 2
+  UNION ALL SELECT user_id, us + 21600000000, 'unlocked', NULL, 1, false, 0 FROM k WHERE last < us + 21600000000 AND coalesce(next >= us + 21600000000, true) AND coalesce(cleared >= us + 21600000000, true))
+SELECT user_id, make_timestamp(us) AS ts, kind, event_id, n, locked, CAST(retry_after AS BIGINT) AS retry_after FROM o"""
+
+
+@query(_THROTTLED, False)
+def throttled_users(c):
+    """Failures in the six hours before each, locks from two on, and their ends; a purchase forgets them."""
+    from .streaming import throttle
+
+    return throttle.throttled(c.table("events"), 2, 6 * 60, clears="purchase").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(_THROTTLED + " WHERE us < (SELECT epoch_ms(max(ts)) * 1000 FROM events) - 600000000", False)
+def streamed_throttle(c):
+    """The same from a stream with timers, as far as its watermark has come: ten minutes before the newest event."""
+    from .streaming import events as ev
+    from .streaming import throttle
+
+    rows = throttle.throttled(ev.stream(c.spark, c.folder), 2, 6 * 60, clears="purchase")
+    return ev.drained(rows, "throttle", "append", ev.ROCKS).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("""WITH a AS (SELECT event_id, user_id, ts, date_trunc('minute', ts) AS m, row_number() OVER (PARTITION BY date_trunc('minute', ts), user_id ORDER BY ts, event_id) > 1 AS own FROM events),
+b AS (SELECT *, sum(CASE WHEN own THEN 0 ELSE 1 END) OVER (PARTITION BY m ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS passed FROM a)
+SELECT event_id, user_id, ts, CASE WHEN own THEN 'client' ELSE 'global' END AS scope, CAST(greatest(1, 60 - second(ts)) AS BIGINT) AS retry_after FROM b WHERE own OR passed > 1""", False)
+def limited_requests(c):
+    """Requests beyond one of a user, or of all, in a minute, and when to try again."""
+    from .streaming import throttle
+
+    return throttle.limited(c.table("events"), 1, 1)

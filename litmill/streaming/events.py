@@ -7,16 +7,20 @@ user_id, event_type, value); on a stream, late events are dropped by watermark.
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import checkpoint_folder
 
 LATE = "10 minutes"
+#: State that transformWithState keeps needs this setting.
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 def stream(spark: SparkSession, folder: str, per_trigger: int = 8) -> DataFrame:
@@ -74,11 +78,12 @@ def running(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(_held, "user_id long, n long, peak double", "n long, peak double", "update", GroupStateTimeout.NoTimeout)
 
 
-def drained(rows: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+def drained(rows: DataFrame, name: str, mode: str = "complete", settings: dict[str, str] | None = None) -> DataFrame:
     """Run a stream over all that is there now; its result as a table.
 
     Result, offsets and state lie in the checkpoint folder.  A complete result
     replaces the one before it (two are kept in turn), else each micro-batch adds its rows.
+    `settings` hold in the session while the stream starts, which keeps them.
     """
     spark = rows.sparkSession
     folder = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -90,7 +95,14 @@ def drained(rows: DataFrame, name: str, mode: str = "complete") -> DataFrame:
         batch.write.mode("overwrite").parquet(place)
         places[:] = [place if mode == "complete" else f"{folder}/rows/*"]
 
-    query = rows.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start()
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
+    try:
+        for k, v in (settings or {}).items():
+            spark.conf.set(k, v)
+        query = rows.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
     return spark.read.schema(rows.schema).parquet(*places) if places else spark.createDataFrame([], rows.schema)
 
@@ -125,28 +137,37 @@ def scan_changes(before: DataFrame, now: DataFrame) -> DataFrame:
     return both.select(F.coalesce("a.path", "b.path").alias("path"), change.alias("change")).where("change <> 'same'")
 
 
-def staged(spark: SparkSession, folder: str) -> DataFrame:
-    """(stage, n): clicks and views stored batch by batch, and, once a user has both, the user joined: each stage does what the one before it has made due.
+class _Stages(StatefulProcessor):
+    """Which of the needed types a user has had, as one small value of state."""
 
-    A batch that is run again writes over itself, and what is due is derived
-    from what is stored, so nothing is done twice or left out.
-    """
-    rows = stream(spark, folder).where("event_type in ('click', 'view')").select("user_id", "event_type")
-    place = f"{checkpoint_folder(spark)}/stages-{uuid.uuid4().hex}"
-    done: list[int] = []
+    def __init__(self, needed: list[str]) -> None:
+        self.needed = needed
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/stored/{number}")
-        stored = spark.read.schema(rows.schema).parquet(f"{place}/stored/*")
-        due = stored.groupBy("user_id").agg(F.countDistinct("event_type").alias("n")).where("n = 2").select("user_id")
-        before = [f"{place}/joined/{k}" for k in done if k != number]
-        if before:
-            due = due.join(spark.read.parquet(*before), "user_id", "left_anti")
-        due.write.mode("overwrite").parquet(f"{place}/joined/{number}")
-        done[:] = sorted({*done, number})
-
-    rows.writeStream.foreachBatch(put).option("checkpointLocation", f"{place}/stream").trigger(availableNow=True).start().awaitTermination()
-    if not done:
-        return spark.createDataFrame([], "stage string, n long")
-    stored = spark.read.schema(rows.schema).parquet(f"{place}/stored/*").select(F.col("event_type").alias("stage"))
-    return stored.unionAll(spark.read.parquet(f"{place}/joined/*").select(F.lit("joined"))).groupBy("stage").agg(F.count("*").alias("n"))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.had = handle.getValueState("had", "bits long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        full = (1 << len(self.needed)) - 1
+        before = self.had.get()[0] if self.had.exists() else 0
+        counts: Counter = Counter()
+        for part in rows:
+            counts.update(part["event_type"])
+        bits = before
+        for kind in counts:
+            bits |= 1 << self.needed.index(kind)
+        if bits != before:
+            self.had.update((bits,))
+        if bits == full != before:
+            counts["joined"] = 1
+        yield pd.DataFrame({"user_id": key[0], "stage": list(counts), "n": list(counts.values())})
+
+
+def staged(spark: SparkSession, folder: str, needed: tuple[str, ...] = ("click", "view")) -> DataFrame:
+    """(stage, n): events of each needed type, and users joined: each once, when they first have all types.
+
+    What is due comes from a user's state, so a batch reads its own rows only,
+    and one that is run again does nothing twice.  A user's state is one number, which is kept.
+    """
+    rows = stream(spark, folder).where(F.col("event_type").isin(*needed) & F.col("user_id").isNotNull()).select("user_id", "event_type")
+    out = rows.groupBy("user_id").transformWithStateInPandas(_Stages(list(needed)), "user_id long, stage string, n long", "Append", "None")
+    return drained(out, "stages", "append", ROCKS).groupBy("stage").agg(F.sum("n").alias("n"))
