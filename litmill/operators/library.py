@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 #: Sort keys whose nulls come last in either direction; for the others ascending has nulls last, descending first.
-NULLS_LAST = frozenset({"year", "venue", "doi", "citation_count"})
+NULLS_LAST = frozenset({"year", "venue", "doi", "citation_count", "shelves", "racks", "rows"})
 
 
 def visible(works: DataFrame, shelf_works: DataFrame, shelves: DataFrame, granted: list[int] | None, admin: bool = False) -> DataFrame:
@@ -209,3 +209,41 @@ def counted(works: DataFrame, counts: dict[str, tuple[DataFrame, str, Column]])
     for name, (rows, key, value) in counts.items():
         works = works.join(rows.groupBy(F.col(key).alias("id")).agg(value.alias(name)), "id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
     return works
+
+
+def containers(shelf_works: DataFrame, shelves: DataFrame, racks: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, kind, key, name): the shelves, racks and rows that papers (work_id) are in.
+
+    shelves (shelf_id, rack_id, name), racks (rack_id, row_id, name) and rows
+    (row_id, name) are those that the reader may see: a rack counts only by
+    way of a shelf that is seen, a row by way of both.
+    """
+    s = shelves.select("shelf_id", "rack_id", F.col("name").alias("_shelf"))
+    r = racks.select("rack_id", "row_id", F.col("name").alias("_rack"), F.lit(True).alias("_known"))
+    w = rows.select("row_id", F.col("name").alias("_row"))
+    places = s.join(r, "rack_id", "left").join(w.withColumn("_seen", F.lit(True)), "row_id", "left")
+    levels = F.array(*[F.struct(F.lit(kind).alias("kind"), key.cast("long").alias("key"), name.alias("name")) for kind, key, name in (("shelf", F.col("shelf_id"), F.col("_shelf")), ("rack", F.when(F.col("_known"), F.col("rack_id")), F.col("_rack")), ("row", F.when(F.col("_seen"), F.col("row_id")), F.col("_row")))])
+    each = places.select("shelf_id", F.explode(levels).alias("_c")).select("shelf_id", "_c.*").where("key is not null")
+    return shelf_works.join(each, "shelf_id").select(F.col("work_id").alias("id"), "kind", "key", "name").distinct()
+
+
+#: Keys that papers may be sorted by.
+SORT_KEYS = ("title", "year", "venue", "added_at", "updated_at", "reading_status", "doi", "file_count", "reference_count", "citation_count", "local_reference_count", "local_citation_count", "shelves", "racks", "rows")
+
+
+def sortable(works: DataFrame, citations: DataFrame, file_links: DataFrame, places: DataFrame) -> DataFrame:
+    """works with the sort keys that other tables give: counts, and the first names of the `containers` that each is in.
+
+    References count by mention, local references by different papers that are in works.
+    """
+    ids = works.select("id")
+    inside = citations.join(ids.withColumnRenamed("id", "cited_id"), "cited_id", "left_semi")
+    citing = citations.join(ids.withColumnRenamed("id", "citing_id"), "citing_id", "left_semi")
+    out = counted(works, {
+        "file_count": (file_links, "work_id", F.count("*")),
+        "reference_count": (citations, "citing_id", F.count("*")),
+        "local_reference_count": (inside, "citing_id", F.countDistinct("cited_id")),
+        "local_citation_count": (citing, "cited_id", F.countDistinct("citing_id")),
+    })
+    names = places.groupBy("id").agg(*[F.min(F.when(F.col("kind") == kind, F.col("name"))).alias(f"{kind}s") for kind in ("shelf", "rack", "row")])
+    return out.join(names.withColumnRenamed("shelfs", "shelves"), "id", "left")

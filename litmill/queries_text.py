@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import graph, linkage, recommend, reports, retrieval, sections, segments, substring, textmine
 from .queries import _TOKENS, _bags, query
+from .session import cut
 
 # -- the field index
 
@@ -448,3 +449,71 @@ def keyed_writes(c):
     keyed.create(c.live_works().select("id", "title", "year", "venue", "reading_status"), folder, ["id"])
     keyed.write(c.references().select("id", "title", "year", "venue"), folder, "fill")
     return keyed.read(c.spark, folder)
+
+
+_PLACES = """vs AS (SELECT * FROM shelves WHERE access_level IN ('open', 'visible') OR shelf_id IN (5, 8)), rk AS (SELECT r_regionkey AS rack_id, r_name AS name, r_regionkey % 2 AS row_id FROM region WHERE r_regionkey <> 3),
+rw AS (SELECT DISTINCT row_id, 'Row ' || row_id AS name FROM rk), pl AS (SELECT work_id AS id, 'shelf' AS kind, shelf_id AS key, name FROM shelf_works JOIN vs USING (shelf_id)
+  UNION SELECT work_id, 'rack', rk.rack_id, rk.name FROM shelf_works JOIN vs USING (shelf_id) JOIN rk USING (rack_id) UNION SELECT work_id, 'row', row_id, rw.name FROM shelf_works JOIN vs USING (shelf_id) JOIN rk USING (rack_id) JOIN rw USING (row_id))"""
+
+
+def _places(c):
+    """Where papers are, for a reader who does not see private shelves but two, nor one of the racks."""
+    from .operators import library
+
+    shelves = c.shelves().where("access_level IN ('open', 'visible') OR shelf_id IN (5, 8)")
+    racks = c.racks().where("rack_id <> 3").withColumn("row_id", F.col("rack_id") % 2)
+    rows = racks.select("row_id", F.concat(F.lit("Row "), F.col("row_id").cast("string")).alias("name")).distinct()
+    return library.containers(c.shelf_works(), shelves, racks, rows)
+
+
+@query(f"""{_PLACES} SELECT 'rack' AS term, id FROM live_works WHERE id IN (SELECT id FROM pl WHERE kind = 'rack' AND (name ILIKE '%a%' OR CAST(key AS VARCHAR) = 'a')) UNION ALL SELECT 'row', id FROM live_works WHERE id IN (SELECT id FROM pl WHERE kind = 'row' AND (name ILIKE '%1%' OR CAST(key AS VARCHAR) = '1'))
+UNION ALL SELECT 'shelf', id FROM live_works WHERE id IN (SELECT id FROM pl WHERE kind = 'shelf' AND (name ILIKE '%7%' OR CAST(key AS VARCHAR) = '7')) UNION ALL SELECT 'both', id FROM live_works WHERE id IN (SELECT id FROM pl WHERE kind = 'rack' AND name ILIKE '%asia%') AND id IN (SELECT id FROM pl WHERE kind = 'row' AND name ILIKE '%row%')""")
+def search_places(c):
+    """`rack:`, `row:` and `shelf:` by name or id, only through what the reader sees."""
+    from .plans import dsl
+
+    places = cut(_places(c))
+    sides = {kind: places.where(F.col("kind") == kind) for kind in ("shelf", "rack", "row")}
+    out = None
+    for term, search in (("rack", "rack:a"), ("row", "row:1"), ("shelf", "shelf:7"), ("both", "rack:asia row:row")):
+        part = dsl.filtered(c.live_works(), dsl.parse(search), sides).select(F.lit(term).alias("term"), "id")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+#: Each sort key once, in one direction or the other.
+_ORDERS = ("title:desc", "year:asc", "venue:desc", "added_at:asc", "updated_at:desc", "reading_status:asc", "doi:desc", "file_count:desc", "reference_count:asc", "citation_count:desc", "local_reference_count:desc", "local_citation_count:asc", "shelves:desc", "racks:asc", "rows:desc")
+_ORDERED = " UNION ALL ".join(f"""SELECT * FROM (SELECT '{k}' AS spec, id, row_number() OVER (ORDER BY "{k.split(":")[0]}" {k.split(":")[1]} NULLS LAST, id) AS place FROM st) WHERE place <= 10""" for k in _ORDERS)
+
+
+@query(f"""{_PLACES}, st AS (SELECT w.id, title, year, venue, updated_at, CAST(updated_at AS DATE) - CAST(w.id % 30 AS INTEGER) AS added_at, reading_status, doi, citation_count, coalesce(f.n, 0) AS file_count, coalesce(r.n, 0) AS reference_count, coalesce(l.n, 0) AS local_reference_count, coalesce(b.n, 0) AS local_citation_count, shelves, racks, "rows"
+FROM live_works w LEFT JOIN (SELECT work_id, count(*) AS n FROM file_links GROUP BY 1) f ON f.work_id = w.id LEFT JOIN (SELECT citing_id, count(*) AS n FROM citations GROUP BY 1) r ON r.citing_id = w.id
+LEFT JOIN (SELECT citing_id, count(DISTINCT cited_id) AS n FROM citations WHERE cited_id IN (SELECT id FROM live_works) GROUP BY 1) l ON l.citing_id = w.id LEFT JOIN (SELECT cited_id, count(DISTINCT citing_id) AS n FROM citations WHERE citing_id IN (SELECT id FROM live_works) GROUP BY 1) b ON b.cited_id = w.id
+LEFT JOIN (SELECT id, min(name) FILTER (kind = 'shelf') AS shelves, min(name) FILTER (kind = 'rack') AS racks, min(name) FILTER (kind = 'row') AS "rows" FROM pl GROUP BY 1) p ON p.id = w.id) {_ORDERED}""")
+def sorted_pages(c):
+    """The first page of the library by each of the fifteen sort keys."""
+    from pyspark.sql import Window
+
+    from .operators import library
+
+    works = c.live_works().withColumn("added_at", F.date_sub(F.col("updated_at").cast("date"), (F.col("id") % 30).cast("int")))
+    rows = cut(library.sortable(works, c.citations(), c.file_links(), _places(c)).select("id", *library.SORT_KEYS))
+    out = None
+    for spec in _ORDERS:
+        order = library.order(spec, list(library.SORT_KEYS))
+        # The page comes first, so the numbering has ten rows.
+        part = rows.orderBy(*order).limit(10).select(F.lit(spec).alias("spec"), "id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).alias("place"))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+@query(f"""bw AS (SELECT id, t, count(*) AS n FROM (SELECT id, unnest({_TOKENS.format("coalesce(body, '')")}) AS t FROM texts) GROUP BY 1, 2), bags AS (SELECT * FROM (SELECT id, {_HASH} FROM bw GROUP BY 1, 2) WHERE x <> 0),
+lw AS (SELECT label, t, count(*) AS n FROM (SELECT label, unnest({_TOKENS.format("body")}) AS t FROM (SELECT item_id AS label, text AS body FROM benchmark)) GROUP BY 1, 2), labels AS (SELECT * FROM (SELECT label, {_HASH} FROM lw GROUP BY 1, 2) WHERE x <> 0),
+nb AS (SELECT id, sqrt(sum(x * x)) AS norm FROM bags GROUP BY 1), nl AS (SELECT label, sqrt(sum(x * x)) AS norm FROM labels GROUP BY 1),
+sc AS (SELECT b.id, l.label, round(sum(b.x * l.x) / (any_value(nb.norm) * any_value(nl.norm)), 6) AS score FROM bags b JOIN labels l USING (bucket) JOIN nb ON nb.id = b.id JOIN nl ON nl.label = l.label GROUP BY 1, 2),
+ev AS (SELECT nb.id, nl.label, greatest(coalesce(score, 0), 0) AS score FROM nb CROSS JOIN nl LEFT JOIN sc ON sc.id = nb.id AND sc.label = nl.label),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, label) AS place FROM ev) SELECT id, label, score, place FROM r WHERE place <= 60""")
+def prefiltered_candidates(c):
+    """The sixty candidates, here the benchmark's items, that are most like each paper's text."""
+    candidates = retrieval.bag_vectors(c.table("benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("body"))).withColumnRenamed("id", "label")
+    return retrieval.prefiltered(_bags(c), candidates, 60).select("id", "label", "score", "place")
