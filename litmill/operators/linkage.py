@@ -253,6 +253,24 @@ def enriched(values: DataFrame, locks: DataFrame, fields: list[str]) -> DataFram
     return open_.groupBy("id").pivot("field", fields).agg(F.first("value"))
 
 
+#: Sources of citation counts, the most trusted first.
+COUNT_SOURCES = ("openalex", "semanticscholar", "crossref")
+
+
+def recounted(works: DataFrame, counts: DataFrame, sources: tuple[str, ...] = COUNT_SOURCES) -> DataFrame:
+    """works (id, citation_count, citation_count_source, ...) with the counts (id, source, n, at) that a fetch has brought.
+
+    Of each source the newest row counts (ties: the larger number), and of
+    those with a number that is not negative the first source in order; it
+    takes the place of what was known.  Papers without one, and other sources, change nothing.
+    """
+    newest = counts.where(F.col("source").isin(*sources) & (F.col("n") >= 0)).groupBy("id", "source").agg(F.max(F.struct("at", "n"))["n"].alias("n"))
+    rank = F.array_position(F.array(*map(F.lit, sources)), F.col("source"))
+    first = newest.groupBy("id").agg(F.min(F.struct(rank.alias("rank"), "n", "source")).alias("_found"))
+    found = works.join(first, "id", "left")
+    return found.withColumns({"citation_count": F.coalesce(F.col("_found.n"), "citation_count"), "citation_count_source": F.coalesce("_found.source", "citation_count_source")}).drop("_found")
+
+
 def disagreement(assertions: DataFrame) -> DataFrame:
     """(entity_id, field_name, match): of fields with several values, how much the two least alike have in common, in per cent."""
     values = assertions.where("value is not null").select("entity_id", "field_name", "value").distinct()

@@ -15,6 +15,16 @@ BUCKETS = {
     "Methods": "method|approach|model|architecture|implementation|experiment|setup|dataset|data|algorithm|design|framework",
     "Results": "result|discussion|conclusion|evaluation|analysis|finding|appendix|future|limitation",
 }
+#: Words of a heading that tell its kind; the first kind with one of its words counts.
+HEADINGS = {
+    "abstract": ("abstract",),
+    "related": ("related", "state of the art", "state-of-the-art", "background", "prior work", "literature"),
+    "introduction": ("introduction", "intro"),
+    "methods": ("method", "approach", "materials", "architecture", "implementation"),
+    "results": ("result", "experiment", "evaluation", "discussion", "analysis", "ablation", "findings"),
+}
+#: What a mention in a section of each kind weighs.
+HEADING_WEIGHTS = {"abstract": 5, "methods": 4, "results": 3, "introduction": 2, "other": 2, "related": 1}
 #: Letters of a description, labels in it.
 DESCRIPTION, LABELS = 4000, 20
 
@@ -33,6 +43,13 @@ def bucket(label: Column) -> Column:
     return reduce(lambda out, item: out.when(low.rlike(item[1]), item[0]), list(BUCKETS.items())[1:], F.when(low.rlike(BUCKETS["Background"]), "Background")).otherwise("Other")
 
 
+def heading_kind(label: Column) -> Column:
+    """One of HEADING_WEIGHTS for the heading of a section; "other" where nothing fits or it has none."""
+    low = F.lower(F.coalesce(label, F.lit("")))
+    kinds = [F.when(low.rlike("|".join(words)), kind) for kind, words in HEADINGS.items()]
+    return F.coalesce(*kinds, F.lit("other"))
+
+
 def mains(sections: DataFrame) -> DataFrame:
     """(id, main, label, parts, letters): numbered main sections with all that follows up to the next one.
 

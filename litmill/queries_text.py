@@ -386,7 +386,7 @@ def linked_works(c):
 @query()
 def topic_hierarchy(c):
     """Which topic is most like which; tested against a plain version."""
-    _, centres = textmine.clusters(textmine.tf_idf(c.texts()), 5)
+    _, centres = textmine.clusters(textmine.tf_idf(c.texts()), 5, titles=c.texts().select("id", "title"))
     return textmine.hierarchy(centres)
 
 
@@ -517,3 +517,28 @@ def prefiltered_candidates(c):
     """The sixty candidates, here the benchmark's items, that are most like each paper's text."""
     candidates = retrieval.bag_vectors(c.table("benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("body"))).withColumnRenamed("id", "label")
     return retrieval.prefiltered(_bags(c), candidates, 60).select("id", "label", "score", "place")
+
+
+_HEADINGS = ("Abstract", "1 Introduction", "Related methods", "2 Methods and Materials", "3 RESULTS", "State of the art", "Ablation", "Thanks")
+_KIND_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(h), '{w}')" for w in words) + f" THEN '{kind}'" for kind, words in sections.HEADINGS.items()) + " ELSE 'other' END"
+
+
+@query(f"""m AS (SELECT citing_id AS src, cited_id AS dst, {list(_HEADINGS)}[(position + cited_id) % 9 + 1] AS h FROM citations), b AS (SELECT src, dst, {_KIND_SQL} AS bucket FROM m)
+SELECT src, dst, {", ".join(f"count(*) FILTER (bucket = '{k}') AS {k}" for k in sorted(sections.HEADING_WEIGHTS))}, CAST(sum(CASE bucket {" ".join(f"WHEN '{k}' THEN {w}" for k, w in sections.HEADING_WEIGHTS.items())} END) AS BIGINT) AS weight FROM b GROUP BY 1, 2""")
+def weighted_mentions(c):
+    """Each paper's references by the kinds of section that mention them, all six, with their usual weights; some mentions have no heading."""
+    heading = F.get(F.array(*map(F.lit, _HEADINGS)), ((F.col("position") + F.col("cited_id")) % 9).cast("int"))
+    rows = c.citations().select(F.col("citing_id").alias("src"), F.col("cited_id").alias("dst"), sections.heading_kind(heading).alias("bucket"))
+    return graph.reference_weights(rows, sections.HEADING_WEIGHTS)
+
+
+@query("""k AS (SELECT user_id AS id, CASE event_type WHEN 'click' THEN 'crossref' WHEN 'view' THEN 'semanticscholar' WHEN 'purchase' THEN 'openalex' ELSE event_type END AS source, CAST(floor(value) AS BIGINT) - 20 AS n, ts FROM events),
+l AS (SELECT id, source, n, row_number() OVER (PARTITION BY id, source ORDER BY ts DESC, n DESC) AS age FROM k WHERE n >= 0 AND source IN ('openalex', 'semanticscholar', 'crossref')),
+f AS (SELECT id, n, source, row_number() OVER (PARTITION BY id ORDER BY CASE source WHEN 'openalex' THEN 1 WHEN 'semanticscholar' THEN 2 ELSE 3 END) AS place FROM l WHERE age = 1)
+SELECT id, coalesce(n, CAST(floor(citation_count) AS BIGINT)) AS citation_count, coalesce(source, CASE WHEN citation_count IS NOT NULL THEN 'import' END) AS citation_count_source FROM live_works LEFT JOIN (SELECT * FROM f WHERE place = 1) USING (id)""")
+def recounted_works(c):
+    """Citation counts of papers after a fetch from several sources: the first source in order that has one."""
+    source = F.when(F.col("event_type") == "click", "crossref").when(F.col("event_type") == "view", "semanticscholar").when(F.col("event_type") == "purchase", "openalex").otherwise(F.col("event_type"))
+    counts = c.table("events").select(F.col("user_id").alias("id"), source.alias("source"), (F.floor("value").cast("long") - 20).alias("n"), F.col("ts").alias("at"))
+    works = c.live_works().select("id", F.floor("citation_count").cast("long").alias("citation_count"), F.when(F.col("citation_count").isNotNull(), "import").alias("citation_count_source"))
+    return linkage.recounted(works, counts)

@@ -155,6 +155,21 @@ def test_topics(spark):
         assert x.coherence == pytest.approx(round(min(1, max(0, -sum(s for s, _ in members) / len(members))), 4), abs=1e-4) and x.outliers == sum(-s < 0.05 for s, _ in members)
 
 
+def test_topics_start_in_order_of_titles(spark):
+    """Seeds go by title, then id; a paper without a title comes first."""
+    rng = np.random.default_rng(9)
+    vectors = {i: rng.normal(size=5).tolist() for i in range(60)}
+    titles = {i: None if i == 31 else f"t{i * 7 % 20:02}" for i in vectors}
+    weights = spark.createDataFrame([(i, f"t{j}", v) for i, row in vectors.items() for j, v in enumerate(row)], "id long, term string, weight double")
+    order = sorted(vectors, key=lambda i: (titles[i] is not None, titles[i] or "", i))
+    want = plain_clusters({place: vectors[i] for place, i in enumerate(order)}, 4)
+    placed, _ = textmine.clusters(weights, 4, titles=spark.createDataFrame(list(titles.items()), "id long, title string"))
+    assert {x.id: x.cluster for x in placed.collect()} == {order[p]: c for p, (c, _) in want.items()}
+    assert textmine.clusters(weights.limit(0), 4)[0].count() == 0
+    got = textmine.at_places(placed.select("id"), ["id"], [0, 7, 59])
+    assert {(r.id, r._place) for r in got.collect()} == {(0, 0), (7, 7), (59, 59)}
+
+
 def test_hierarchy(spark):
     rng = np.random.default_rng(7)
     x = rng.random(size=(4, 5))
