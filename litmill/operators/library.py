@@ -247,3 +247,20 @@ def sortable(works: DataFrame, citations: DataFrame, file_links: DataFrame, plac
     })
     names = places.groupBy("id").agg(*[F.min(F.when(F.col("kind") == kind, F.col("name"))).alias(f"{kind}s") for kind in ("shelf", "rack", "row")])
     return out.join(names.withColumnRenamed("shelfs", "shelves"), "id", "left")
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """rows with their place in an order, from 0.  The order must tell all rows apart.
+
+    The rows are sorted in ranges and numbered within each; only the sizes of the ranges come to the driver.
+    """
+    spread = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    start, starts = 0, []
+    for at, size in sorted(spread.groupBy("_range").count().collect()):
+        starts.append((at, start - 1))
+        start += size
+    if not starts:
+        return spread.drop("_range").withColumn(name, F.lit(None).cast("long"))
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(starts, "_range int, _start long"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return spread.withColumn(name, within).join(offsets, "_range").withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_start")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..session import cut
+from .library import numbered
 from .retrieval import STOPWORDS
 
 #: Target and greatest size of a chunk and overlap of neighbours, in words.
@@ -32,21 +33,6 @@ def frequent_terms(docs: DataFrame, k: int, pattern: str = "[a-z][a-z'-]{2,}") -
     return counts.withColumn("place", place).where(F.col("place") <= k)
 
 
-def at_places(rows: DataFrame, order: list[str], places: list[int]) -> DataFrame:
-    """(rows, _place): the rows at some places of an order, numbered from 0.
-
-    The rows are sorted in ranges and numbered within each; only the sizes of the ranges come to the driver.
-    """
-    spread = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    numbered = spread.withColumn("_row", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
-    sizes = dict(spread.groupBy("_range").count().collect())
-    wanted, start = [], 0
-    for at in sorted(sizes):
-        wanted += [(at, p - start, p) for p in places if start <= p < start + sizes[at]]
-        start += sizes[at]
-    return numbered.join(F.broadcast(rows.sparkSession.createDataFrame(wanted, "_range int, _row int, _place long")), ["_range", "_row"]).drop("_range", "_row")
-
-
 def clusters(weights: DataFrame, k: int, rounds: int = 15, titles: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Spherical k-means over sparse vectors: (id, cluster, score) and (cluster, term, weight).
 
@@ -61,7 +47,7 @@ def clusters(weights: DataFrame, k: int, rounds: int = 15, titles: DataFrame | N
     k = max(1, min(k, n))
     named = ids.withColumn("title", F.lit(None).cast("string")) if titles is None else ids.join(titles.groupBy("id").agg(F.min("title").alias("title")), "id", "left")
     start = [i * n // k for i in range(k)] if n else []
-    seeds = at_places(named, ["title", "id"], start).select("id", F.array_position(F.array(*map(F.lit, start)).cast("array<bigint>"), F.col("_place")).alias("cluster")) if n else ids.withColumn("cluster", F.lit(1))
+    seeds = numbered(named, [F.col("title").asc_nulls_first(), F.col("id").asc()]).where(F.col("place").isin(start)).select("id", F.array_position(F.array(*map(F.lit, start)).cast("array<bigint>"), F.col("place")).alias("cluster")) if n else ids.withColumn("cluster", F.lit(1))
     centre = cut(unit.join(F.broadcast(seeds), "id").select((F.col("cluster") - 1).cast("int").alias("cluster"), "term", F.col("x").alias("c")))
     before = None
     placed = None

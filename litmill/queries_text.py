@@ -542,3 +542,22 @@ def recounted_works(c):
     counts = c.table("events").select(F.col("user_id").alias("id"), source.alias("source"), (F.floor("value").cast("long") - 20).alias("n"), F.col("ts").alias("at"))
     works = c.live_works().select("id", F.floor("citation_count").cast("long").alias("citation_count"), F.when(F.col("citation_count").isNotNull(), "import").alias("citation_count_source"))
     return linkage.recounted(works, counts)
+
+
+_RIS = "'TY  - JOUR' || chr(10) || 'TI  - ' || title || chr(10) || 'JO  - ' || venue || chr(10) || 'PY  - ' || year || coalesce(chr(10) || 'DO  - ' || doi, '') || chr(10) || 'ER  - '"
+
+
+@query(f"""p AS (SELECT work_id, CASE WHEN work_id % 3 <> 0 THEN work_id % 100 END AS position FROM shelf_works WHERE shelf_id = 5)
+SELECT 'library' AS scope, row_number() OVER (ORDER BY year, title, id) - 1 AS place, id, {_RIS} AS entry FROM live_works
+UNION ALL SELECT 'shelf', row_number() OVER (ORDER BY position NULLS LAST, year, title, id) - 1, id, {_RIS} FROM live_works JOIN p ON work_id = id
+UNION ALL SELECT 'rack', row_number() OVER (ORDER BY year, title, id) - 1, id, {_RIS} FROM live_works WHERE id IN (SELECT work_id FROM shelf_works JOIN shelves USING (shelf_id) WHERE rack_id = 2)""")
+def exported_scopes(c):
+    """The library, a shelf in its own order and a rack as RIS, in the order of their lists."""
+    from .sources import export
+
+    placed = c.shelf_works().withColumn("position", F.when(F.col("work_id") % 3 != 0, F.col("work_id") % 100))
+    out = None
+    for scope, which in (("library", None), ("shelf", 5), ("rack", 2)):
+        part = export.exported(c.live_works(), "ris", scope, which, placed, c.shelves()).select(F.lit(scope).alias("scope"), "place", "id", "entry")
+        out = part if out is None else out.unionAll(part)
+    return out

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import escape_html, escape_latex
+from ..operators import library
 
 
 def cite_keys(rows: DataFrame, surname: Column, year: Column, by: str = "id") -> DataFrame:
@@ -148,3 +149,20 @@ def annotations(notes: DataFrame) -> DataFrame:
 
 
 FORMATS |= {"biblatex": lambda: full_bibtex(biblatex=True), "pandoc": pandoc, "text": inline, "full_ris": full_ris}
+
+
+def exported(works: DataFrame, form: str, scope: str = "library", scope_id: object = None, shelf_works: DataFrame | None = None, shelves: DataFrame | None = None) -> DataFrame:
+    """(place, id, entry): the papers of a scope (as `library.in_scope`) in one of FORMATS, numbered from 0 in the order of a list.
+
+    A selection keeps the caller's order; a shelf goes by `position` where
+    shelf_works has it, then, like all others, by year, title and id, with
+    nulls last.  The columns are those that the format reads.
+    """
+    chosen = library.in_scope(works, scope, scope_id, shelf_works, shelves)
+    order = [F.col(c).asc_nulls_last() for c in ("year", "title", "id")]
+    if scope == "selection":
+        order = [F.col("_pos").asc()]
+    elif scope == "shelf" and "position" in shelf_works.columns:
+        first = shelf_works.where(F.col("shelf_id") == scope_id).groupBy(F.col("work_id").alias("id")).agg(F.min("position").alias("_position"))
+        chosen, order = chosen.join(first, "id"), [F.col("_position").asc_nulls_last(), *order]
+    return library.numbered(chosen, order).select("place", "id", FORMATS[form]().alias("entry"))

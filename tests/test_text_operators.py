@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from litmill.functions import similarity
 from litmill.functions.names import parsed
-from litmill.operators import linkage, retrieval, textmine
+from litmill.operators import library, linkage, retrieval, textmine
 from litmill.plans import dsl
 from litmill.sources import records, tei
 
@@ -166,8 +166,9 @@ def test_topics_start_in_order_of_titles(spark):
     placed, _ = textmine.clusters(weights, 4, titles=spark.createDataFrame(list(titles.items()), "id long, title string"))
     assert {x.id: x.cluster for x in placed.collect()} == {order[p]: c for p, (c, _) in want.items()}
     assert textmine.clusters(weights.limit(0), 4)[0].count() == 0
-    got = textmine.at_places(placed.select("id"), ["id"], [0, 7, 59])
-    assert {(r.id, r._place) for r in got.collect()} == {(0, 0), (7, 7), (59, 59)}
+    got = library.numbered(placed.select("id"), [F.desc("id")])
+    assert {(r.id, r.place) for r in got.collect()} == {(i, 59 - i) for i in range(60)}
+    assert library.numbered(placed.limit(0), [F.desc("id")]).collect() == []
 
 
 def test_hierarchy(spark):
