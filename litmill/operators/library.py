@@ -184,16 +184,6 @@ def history(rows: DataFrame, by: str, key: str, keep: int) -> DataFrame:
     return rows.withColumn("place", place).where(F.col("place") <= keep).select(key, by, "place")
 
 
-def numbered(rows: DataFrame, columns: list[Column]) -> DataFrame:
-    """rows with `place` from 1 in the order of the columns: ranges are sorted apart, and each starts behind the rows of those before it."""
-    ranged = cut(rows.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_range", F.spark_partition_id()))
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
-    inner = F.row_number().over(Window.partitionBy("_range").orderBy(*columns))
-    starts = F.broadcast(sizes.select("_range", before.alias("_before")))  # as many rows as partitions
-    return ranged.withColumn("_inner", inner).join(starts, "_range").withColumn("place", F.col("_inner") + F.col("_before")).drop("_range", "_inner", "_before")
-
-
 def polymorphic(links: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """(id, name, entity) of links (entity, entity_id), each in the table of its kind."""
     out = None

@@ -362,7 +362,8 @@ def duplicates_listing(c):
 @query("""SELECT id, row_number() OVER (ORDER BY lower(coalesce(nullif(title, ''), venue)), title, id) AS place FROM refs""")
 def title_order(c):
     """Stable order by title; numbers come from ranges of titles, not from one sorted task."""
-    return library.numbered(c.references(), [F.lower(F.coalesce(F.nullif("title", F.lit("")), "venue")), F.col("title"), F.col("id")]).select("id", "place")
+    order = [F.lower(F.coalesce(F.nullif("title", F.lit("")), "venue")).asc_nulls_last(), F.col("title").asc_nulls_last(), F.col("id").asc_nulls_last()]
+    return library.numbered(c.references(), order).select("id", (F.col("place") + 1).alias("place"))
 
 
 @query("""SELECT id, CASE WHEN id % 2 = 0 THEN venue ELSE title END AS name, 'work' AS entity FROM live_works WHERE id IN (SELECT work_id FROM tags) UNION ALL SELECT shelf_id, name, 'shelf' FROM shelves WHERE shelf_id IN (SELECT user_id FROM events WHERE event_type = 'view')""")
