@@ -279,25 +279,55 @@ def disagreement(assertions: DataFrame) -> DataFrame:
     return pairs.withColumn("score", value_similarity(similarity_text(F.col("x")), similarity_text(F.col("y")))).groupBy("entity_id", "field_name").agg(F.min("score").alias("match"))
 
 
-def ranked_candidates(candidates: DataFrame, k: int) -> DataFrame:
-    """The k best candidates (query_id, cand_id, title, year, authors, open, and wanted_title, wanted_year, wanted_authors) of each query.
-
-    Six tenths of the score are the titles, two the years (half if one is
-    unknown, 0.6 for neighbours), two the share of wanted last names; free
-    copies add 0.05, up to 1.
-    """
+def _candidate_score(title: Column) -> Column:
+    """Six tenths are the titles, two the years (half if one is unknown, 0.6 for neighbours), two the share of wanted last names; free copies add 0.05, up to 1."""
     last = lambda names: F.array_distinct(F.transform(F.filter(names, lambda n: F.trim(n) != ""), lambda n: F.lower(F.element_at(F.split(F.trim(n), r"\s+"), -1))))
-    title = block_ratio(normalize_title(F.col("wanted_title")), normalize_title(F.col("title")))
     apart = F.abs(F.col("year") - F.col("wanted_year"))
     year = F.when(apart.isNull(), 0.5).when(apart == 0, 1.0).when(apart == 1, 0.6).otherwise(0.0)
     wanted = last(F.col("wanted_authors"))
     author = F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, last(F.col("authors")))) / F.size(wanted)).otherwise(0.0)
-    score = F.round(F.least(F.lit(1.0), 0.6 * F.col("_title") + 0.2 * year + 0.2 * author + F.when(F.col("open"), 0.05).otherwise(0.0)), 4)
+    return F.round(F.least(F.lit(1.0), 0.6 * title + 0.2 * year + 0.2 * author + F.when(F.col("open"), 0.05).otherwise(0.0)), 4)
+
+
+def ranked_candidates(candidates: DataFrame, k: int) -> DataFrame:
+    """The k best candidates (query_id, cand_id, title, year, authors, open, and wanted_title, wanted_year, wanted_authors) of each query; see `_candidate_score`."""
+    title = block_ratio(normalize_title(F.col("wanted_title")), normalize_title(F.col("title")))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "cand_id"))
-    scored = candidates.withColumn("_title", title).withColumn("score", score)
+    scored = candidates.withColumn("_title", title).withColumn("score", _candidate_score(F.col("_title")))
     return scored.withColumn("place", place).where(F.col("place") <= k).select("query_id", "cand_id", "score", "place")
 
 
+#: Tasks among which the titles of one block are dealt out.
+DEALT = 16
+
+
+def ranked_in_blocks(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """`ranked_candidates` of all queries (block, query_id, wanted_title, wanted_year, wanted_authors) with the candidates (block, cand_id, title, year, authors, open) of their block.
+
+    Rows that agree on all that is compared are one kind, and titles are
+    compared once, so copies multiply no pairs.  The k best candidates are of
+    the k best kinds by score and least id, and of each kind among its k least ids.
+    """
+    wanted, given = ("block", "wanted_title", "wanted_year", "wanted_authors"), ("block", "title", "year", "authors", "open")
+    asked = queries.where("block is not null").select(*wanted, "query_id").withColumns({"_q": normalize_title(F.col("wanted_title")), "_kind": F.sha2(F.to_json(F.struct(*wanted)), 256)})
+    kinds = asked.groupBy("_kind").agg(*[F.first(c).alias(c) for c in (*wanted, "_q")])
+    # A window's limit holds in each task before the shuffle, so a kind of any size sends k ids a task.
+    least = F.row_number().over(Window.partitionBy(*given).orderBy("cand_id"))
+    few = candidates.where("block is not null").select(*given, "cand_id").withColumn("_n", least).where(F.col("_n") <= k)
+    held = few.groupBy(*given).agg(F.array_sort(F.collect_list("cand_id")).alias("_ids")).withColumn("_t", normalize_title(F.col("title")))
+    q = kinds.select("block", "_q").distinct().withColumn("_part", F.pmod(F.xxhash64("_q"), F.lit(DEALT)))
+    t = held.select("block", "_t").distinct().withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)).cast("array<bigint>")))
+    alike = q.join(t, ["block", "_part"]).select("block", "_q", "_t", block_ratio("_q", "_t").alias("_title"))
+    met = kinds.alias("q").join(alike.alias("s"), (F.col("q.block") == F.col("s.block")) & F.col("q._q").eqNullSafe(F.col("s._q"))).select("_kind", *[f"q.{c}" for c in wanted[1:]], F.col("q.block").alias("block"), "_t", "_title")
+    pairs = met.alias("m").join(held.alias("h"), (F.col("m.block") == F.col("h.block")) & F.col("m._t").eqNullSafe(F.col("h._t")))
+    scored = pairs.select("_kind", "_ids", _candidate_score(F.col("_title")).alias("score"))
+    first = F.row_number().over(Window.partitionBy("_kind").orderBy(F.desc("score"), F.col("_ids")[0]))
+    best = scored.withColumn("_n", first).where(F.col("_n") <= k).select("_kind", "score", F.explode("_ids").alias("cand_id"))
+    found = asked.select("query_id", "_kind").join(best, "_kind")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "cand_id"))
+    return found.withColumn("place", place).where(F.col("place") <= k).select("query_id", "cand_id", "score", "place")
+
+
 def extracted(works: DataFrame, parsed: DataFrame, links: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What a new extraction leaves: papers with blanks filled, links of re-read papers replaced, and references that nothing links to any more."""
     p = parsed.select("id", F.col("title").alias("_t"), F.col("year").alias("_y"))

@@ -218,7 +218,7 @@ def ranked_candidates(c):
     words = F.split("title", " ")
     found = r.select(F.col("id").alias("query_id"), F.array_join(F.slice(words, 1, 3), " ").alias("wanted_title"), (F.col("year") + F.col("id").cast("int") % 3).alias("wanted_year"), F.array(F.concat(F.lit("Ada "), words[0])).alias("wanted_authors"), F.substring("title", 1, 4).alias("block"))
     cand = r.select(F.col("id").alias("cand_id"), "title", "year", F.array(F.concat(F.lit("Bo "), words[0]), F.lit("Cy Doe")).alias("authors"), (F.col("id") % 2 == 0).alias("open"), F.substring("title", 1, 4).alias("block"))
-    return linkage.ranked_candidates(found.join(cand, "block").drop("block"), 3)
+    return linkage.ranked_in_blocks(found, cand, 3)
 
 
 @query("""p AS (SELECT p_partkey AS id, p_size / 50.0::DOUBLE AS score, p_name AS title, p_partkey % 4 = 0 AS has_doi FROM part) SELECT id, CASE WHEN score >= 0.6 THEN title ELSE '(line)' END AS title, CASE WHEN score >= 0.6 OR has_doi THEN 'matched' ELSE 'unmatched' END AS status FROM p""")
