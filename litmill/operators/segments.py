@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from collections.abc import Iterator
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..session import checkpoint_folder
-from .retrieval import B, BUCKETS, DELTA, FIELD_STOPS, FIELD_WEIGHTS, K1, part_of
+from .retrieval import B, BUCKETS, DELTA, FIELD_STOPS, FIELD_WEIGHTS, K1, dealt, field_counts, field_texts, part_of
+from .textmine import by_text
 
 #: Changes when what is stored does.
 VERSION = 1
@@ -48,6 +50,12 @@ def _stored(spark, folder: str, what: str, schema: str) -> DataFrame | None:
         return None
 
 
+def _judged(i: int, no: int, texts: list[dict]) -> Iterator[tuple]:
+    for field, found in field_counts(texts).items():
+        length = found.total()
+        yield from ((term, i, field, tf, length, no) for term, tf in found.items())
+
+
 _SUMS = "file string, field string, length long, docs long, batch string"
 _ROWS = "term string, id long, field string, tf long, length long, file string, batch string, part int"
 
@@ -67,11 +75,16 @@ def kept_up(table: DataFrame, name: str, key: str, rows_of) -> tuple[str, DataFr
     if new:
         batch = uuid.uuid4().hex
         docs = spark.read.schema(table.schema).parquet(*[r["path"] for r in new])
-        of = docs.select(F.col(key).cast("long").alias("id"), _file())
-        words = rows_of(docs).select("id", "field", F.filter(tokens(F.col("text")), lambda t: ~t.isin(*FIELD_STOPS)).alias("terms")).where(F.size("terms") > 0)
-        lengths = words.groupBy("id", "field").agg(F.sum(F.size("terms")).alias("length"))
-        counted = words.select("id", "field", F.explode("terms").alias("term")).groupBy("id", "term", "field").agg(F.count("*").alias("tf")).join(lengths, ["id", "field"]).join(of, "id")
-        counted.withColumn("part", (F.crc32("term") % BUCKETS).cast("int")).repartition(BUCKETS, "part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/rows/batch={batch}")
+        of = docs.select(F.col(key).cast("long").alias("id"), _file()).distinct()
+        rows = rows_of(docs)
+        lengths = rows.select("id", "field", F.size(F.filter(tokens(F.col("text")), lambda t: ~t.isin(*FIELD_STOPS))).alias("length")).where("length > 0").groupBy("id", "field").agg(F.sum("length").alias("length"))
+        # A document's texts meet once and are counted there; its terms are shuffled once, with the number of its file.
+        numbers = spark.createDataFrame([(k, r["file"]) for k, r in enumerate(new)], "_no int, file string")
+        texts = field_texts(rows).join(of.join(F.broadcast(numbers), "file").select("id", "_no"), "id").select(F.col("id").cast("long").alias("id"), "_no", "texts")
+        counted = by_text(texts, _judged, "term string, id bigint, field string, tf bigint, length bigint, _no int")
+        words = lengths.agg(F.sum("length")).first()[0] or 0
+        stored = dealt(counted, words).join(F.broadcast(numbers), "_no").select("term", "id", "field", "tf", "length", "file", "part")
+        stored.sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/rows/batch={batch}")
         # A file without words is known as well.
         here = spark.createDataFrame([(r["file"],) for r in new], "file string")
         whole = lengths.join(of, "id")
