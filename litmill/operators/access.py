@@ -12,7 +12,12 @@ ROLES = ("reader", "contributor", "editor", "librarian", "owner")
 def granted(memberships: DataFrame, grants: DataFrame, kind: str) -> DataFrame:
     """(user_id, target_id): what the groups of a user have been granted."""
     mine = grants.where(F.col("target_type") == kind).select("group_id", "target_id").distinct()
-    return memberships.select("user_id", "group_id").join(mine, "group_id").select("user_id", "target_id").distinct()
+    # Users of the same groups have the same targets: these are told apart once for each set of groups.
+    groups = F.array_sort(F.collect_set("group_id")).alias("_groups")
+    users = memberships.where("group_id is not null").groupBy("user_id").agg(groups)
+    sets = users.select("_groups").distinct().select("_groups", F.explode("_groups").alias("group_id"))
+    targets = sets.join(mine, "group_id").select("_groups", "target_id").distinct()
+    return users.join(targets, "_groups").select("user_id", "target_id")
 
 
 def at_least(role: Column, least: str) -> Column:
@@ -27,8 +32,10 @@ def container_rights(users: DataFrame, containers: DataFrame, grants: DataFrame)
     by grant.  Librarians change open ones, and others by grant.  Containers are
     a short list.
     """
-    pairs = users.crossJoin(F.broadcast(containers.select(F.col("id").alias("target_id"), F.coalesce("access_level", F.lit("open")).alias("level"))))
-    pairs = pairs.join(grants.withColumn("granted", F.lit(True)), ["user_id", "target_id"], "left").withColumn("granted", F.coalesce("granted", F.lit(False)))
+    short = F.broadcast(containers.select(F.col("id").alias("target_id"), F.coalesce("access_level", F.lit("open")).alias("level")))
+    # A user's grants among the few containers are one row, so pairs are made and judged where the user is.
+    mine = grants.join(short.select("target_id"), "target_id", "left_semi").groupBy("user_id").agg(F.collect_set("target_id").alias("_mine"))
+    pairs = users.join(mine, "user_id", "left").crossJoin(short).withColumn("granted", F.coalesce(F.array_contains("_mine", F.col("target_id")), F.lit(False)))
     owner, librarian = at_least(F.col("role"), "owner"), at_least(F.col("role"), "librarian")
     sees = owner | F.col("level").isin("open", "visible") | F.col("granted")
     changes = owner | (librarian & ((F.col("level") == "open") | F.col("granted")))
