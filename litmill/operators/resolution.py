@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import arxiv_base, arxiv_from_doi, normalize_doi, normalize_title
+from ..session import spread
 
 #: Nodes that a drawn graph keeps.
 NODES = 1500
@@ -63,9 +64,12 @@ def capped(edges: DataFrame, most: int = NODES) -> tuple[DataFrame, DataFrame]:
 
 
 def typed_edges(references: DataFrame, citing: DataFrame) -> DataFrame:
-    """(src, dst, relation, weight): edges from reference lists and from lists of citing papers; where both have one, the former counts."""
-    both = references.select("src", "dst", F.lit("reference").alias("relation"), "weight").unionAll(citing.select("src", "dst", F.lit("citing").alias("relation"), "weight"))
-    return both.groupBy("src", "dst").agg(F.max_by(F.struct("relation", "weight"), "relation").alias("e")).select("src", "dst", "e.*")
+    """(src, dst, relation, weight): edges from reference lists and from lists of citing papers; where both have one, the former counts, with all its weight."""
+    both = references.select("src", "dst", F.lit(True).alias("listed"), "weight").unionAll(citing.select("src", "dst", F.lit(False).alias("listed"), "weight"))
+    # Rows are dealt out by their number; numbers and flags fit a hash table, where structs would be sorted.
+    sums = {r: F.sum(F.when(F.col("listed") == (r == "reference"), F.col("weight"))).alias(r) for r in ("reference", "citing")}
+    met = spread(both, "src", "dst").groupBy("src", "dst").agg(F.max("listed").alias("listed"), *sums.values())
+    return met.select("src", "dst", F.when(F.col("listed"), "reference").otherwise("citing").alias("relation"), F.when(F.col("listed"), F.col("reference")).otherwise(F.col("citing")).alias("weight"))
 
 
 def missing_key(doi: Column, arxiv: Column, title: Column) -> Column:

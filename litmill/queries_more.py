@@ -71,10 +71,10 @@ def capped_nodes(c):
 SELECT src, dst, CASE WHEN r.weight IS NOT NULL THEN 'reference' ELSE 'citing' END AS relation, coalesce(r.weight, f.weight) AS weight FROM r FULL JOIN f USING (src, dst)""")
 def typed_edges(c):
     """Mentions outside section R as reference lists, those outside N as fetched lists of citing papers."""
-    def counted(rows):
-        return rows.groupBy(F.col("citing_id").alias("src"), F.col("cited_id").alias("dst")).agg(F.count("*").alias("weight"))
+    def mentions(rows):
+        return rows.select(F.col("citing_id").alias("src"), F.col("cited_id").alias("dst"), F.lit(1).cast("long").alias("weight"))
 
-    return resolution.typed_edges(counted(c.citations().where("section <> 'R'")), counted(c.citations().where("section <> 'N'")))
+    return resolution.typed_edges(mentions(c.citations().where("section <> 'R'")), mentions(c.citations().where("section <> 'N'")))
 
 
 _MISSING = rf"""{_KEYS}, titled AS (SELECT *, nullif(regexp_replace(regexp_replace(trim(lower(title)), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'), '') AS t FROM resolved WHERE kind = 'external'),

@@ -25,3 +25,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute df once into the checkpoint folder (that of spark.checkpoint.dir) and go on from there."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows of a part of work that is costly for each row, and of one whose rows a task must hold.
+COSTLY, HELD = 2_000, 500_000
+
+
+def spread(rows: DataFrame, *keys: str, most: int = HELD, count: int | None = None) -> DataFrame:
+    """rows dealt out in parts of about `most` rows, so that a task's share does not grow with the input; by keys, if given.
+
+    A table of few large files or row groups comes in as few tasks, whatever its number of rows.
+    """
+    n = rows.count() if count is None else count
+    return rows.repartition(max(1, -(-n // most)), *keys)
