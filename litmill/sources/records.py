@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_doi, normalize_title
+from ..session import COSTLY, spread
 
 
 def _clean(text: Column) -> Column:
@@ -99,6 +100,8 @@ def read_atom(rows: DataFrame, text: str = "text") -> DataFrame:
     def one(*names: str) -> Column:
         return _clean(F.xpath_string(text, path(*names)))
 
+    # Each path reads the feed anew, and a table of one file is one task's.
+    rows = spread(rows, most=COSTLY)
     number = F.nullif(F.regexp_extract(one("id"), "/abs/(.+)$", 1), F.lit(""))
     authors = _names(F.xpath(text, F.lit('(//*[local-name()="entry"])[1]/*[local-name()="author"]/*[local-name()="name"]/text()')))
     return rows.select(*_others(rows, text), one("title").alias("title"), one("summary").alias("abstract"), F.substring(one("published"), 1, 4).try_cast("int").alias("year"), one("doi").alias("doi"), number.alias("arxiv"), authors.alias("authors"))
