@@ -6,12 +6,15 @@ centroids are trained on a bounded sample; every vector is indexed.  Lists know
 their number of vectors and their radius, the widest angle to the centroid, by
 which a search can go on until no unread list can hold a nearer vector.
 
-Vectors meet queries in blocks of bounded size, each a product of matrices that
-keeps k a query: a list with many vectors, or many queries, is dealt into parts.
+Vectors meet queries in blocks of bounded size, each of products of matrices that
+keep k a query: lists are dealt into bundles, one with many vectors into several,
+and queries into turns.  A vector is sent once a turn and a query once a bundle,
+so what is sent grows with their number, not with that of the lists.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from dataclasses import dataclass
 
@@ -26,8 +29,10 @@ from .retrieval import signature
 
 #: Vectors that centroids are trained on at most, those of the least hash of id; lists at most; rounds of training.
 SAMPLE, LISTS, ROUNDS = 65_536, 4096, 8
-#: Vectors, or queries, of a block.
-ROWS = 4096
+#: Vectors, or queries, that meet lists at a time; scores of a product that are held at a time.
+ROWS, TILE = 4096, 1 << 20
+#: Blocks of vectors that meet blocks of queries, at least where there are enough of both; components of a block at most.
+PRODUCTS, CELLS = 64, 1 << 23
 #: Lists that a search reads at first; share of visible vectors under which it scans those instead.
 PROBES, NARROW = 16, 0.1
 #: What angles may be off by.
@@ -141,74 +146,168 @@ def stored(name: str, table: DataFrame, vectors: DataFrame, lists: int | None =
         return opened(spark, folder)
 
 
-def _product(k: int, least: float):
-    """A part of a list and some queries: each query's k nearest of the part."""
+def _packed(bits: np.ndarray) -> pa.Array:
+    """A row of bits as bytes."""
+    return pa.array([row.tobytes() for row in np.packbits(bits, axis=1)], pa.binary())
 
-    def run(part: pa.Table, asked: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if part.num_rows and asked.num_rows:
-            ids = part.column("id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], _matrix(part.column("vector"))[order]
-            queries, q = asked.column("query_id").to_numpy(), _matrix(asked.column("vector"))
-            for lo in range(0, len(queries), 512):
-                score = np.round(q[lo : lo + 512] @ x.T, 9)
-                score[queries[lo : lo + 512, None] == ids] = -np.inf
-                kth = np.partition(score, -k, axis=1)[:, -k] if k < score.shape[1] else np.full(len(score), -np.inf)
-                row, col = np.nonzero(score >= np.maximum(kth, least)[:, None])
-                by = np.lexsort((ids[col], -score[row, col], row))
-                row, col = row[by], col[by]
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                row, col = row[place < k], col[place < k]
-                for column, value in zip(out, (queries[lo + row], ids[col], score[row, col]), strict=True):
-                    column.append(value)
-        columns = [np.concatenate(c) if c else np.zeros(0, kind) for c, kind in zip(out, (np.int64, np.int64, np.float64), strict=True)]
-        return pa.table(dict(zip(("query_id", "id", "score"), columns, strict=True)))
 
-    return run
+def _bits(column, width: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1), axis=1, count=width).astype(bool)
 
 
-def _met(rows: DataFrame, sizes: dict[int, int], pairs: DataFrame, queries: DataFrame, k: int, least: float) -> DataFrame:
-    """(query_id, id, score): the k nearest of each query (query_id, vector) in each list that `pairs` (query_id, list) names; sizes bounds the rows of a list."""
-    spark = rows.sparkSession
-    load = pairs.groupBy("list").agg(F.count("*").alias("n")).collect()  # a row for each list
-    plan = [(r["list"], max(1, -(-sizes.get(r["list"], 0) // ROWS)), -(-r["n"] // ROWS)) for r in load]
-    dealt = F.broadcast(spark.createDataFrame(plan, "list int, parts int, turns int"))
-    v = rows.where(F.col("list").isin([p[0] for p in plan])).join(dealt, "list")
-    v = v.select("list", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "id", "vector")
-    q = pairs.join(dealt, "list").join(queries, "query_id")
-    q = q.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query_id"), F.col("turns")).cast("int").alias("turn"), "query_id", "vector")
-    key = ["list", "part", "turn"]
-    return v.groupBy(*key).cogroup(q.groupBy(*key)).applyInArrow(_product(k, least), "query_id long, id long, score double")
+def _probed(shared, probes: int):
+    """(query_id, vector, least, lists): each query with a bit for each list, set for its nearest."""
 
+    def run(batches):
+        centroids, _, filled = shared.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                near = _matrix(part.column("vector")) @ centroids.T
+                near[:, ~filled] = -np.inf
+                chosen = np.zeros(near.shape, bool)
+                np.put_along_axis(chosen, np.argsort(-near, axis=1, kind="stable")[:, :probes], True, axis=1)
+                yield pa.RecordBatch.from_arrays([*map(part.column, ("query_id", "vector", "least")), _packed(chosen & filled)], names=["query_id", "vector", "least", "lists"])
 
-def _best(found: DataFrame, k: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("place", place).where(F.col("place") <= k)
+    return run
 
 
-def _probed(shared, probes: int, widened: bool):
-    """(query_id, list) of each query's nearest lists; widened: of the others, those that may hold a vector nearer than `kth`."""
+def _widened(shared):
+    """Instead of the lists that a query has met, those of the others that may hold a vector as near as its `least`."""
 
     def run(batches):
+        centroids, radius, filled = shared.value
         for batch in batches:
-            centroids, radius, filled = shared.value
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)
                 near = _matrix(part.column("vector")) @ centroids.T
-                near[:, ~filled] = -np.inf
-                by = np.argsort(-near, axis=1, kind="stable")
-                chosen = np.zeros(near.shape, bool)
-                np.put_along_axis(chosen, by[:, :probes], True, axis=1)
-                if widened:
-                    apart = np.maximum(0.0, np.arccos(np.clip(near, -1, 1)) - radius - SLACK)
-                    chosen = ~chosen & (np.cos(np.minimum(apart, np.pi)) >= part.column("kth").to_numpy()[:, None])
-                row, col = np.nonzero(chosen & filled)
-                yield pa.RecordBatch.from_arrays([part.column("query_id").take(pa.array(row)), pa.array(col.astype(np.int32))], names=["query_id", "list"])
+                apart = np.maximum(0.0, np.arccos(np.clip(near, -1, 1)) - radius - SLACK)
+                may = np.cos(np.minimum(apart, np.pi)) >= part.column("least").to_numpy()[:, None]
+                chosen = may & filled & ~_bits(part.column("lists"), len(filled))
+                yield pa.RecordBatch.from_arrays([*map(part.column, ("query_id", "vector", "least")), _packed(chosen)], names=["query_id", "vector", "least", "lists"])
 
     return run
 
 
+def _tallied(lists: int):
+    """(list, n): queries of each list; of any at all, under -1."""
+
+    def run(batches):
+        n = np.zeros(lists + 1, np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                bits = _bits(batch.column("lists").slice(lo, ROWS), lists)
+                n += np.append(bits.sum(axis=0), bits.any(axis=1).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(lists), -1).astype(np.int32)), pa.array(n)], names=["list", "n"])
+
+    return run
+
+
+def _bundled(sizes: np.ndarray, load: np.ndarray, bundles: int) -> list[list[int]]:
+    """For each list that is asked for, the bundles that its vectors are dealt into: all bundles about even in vectors and in products."""
+    work = sizes * load
+    share = (sizes / max(1, sizes[load > 0].sum()) + work / max(1, work.sum())) / 2
+    pieces = np.where(load > 0, np.clip(np.ceil(share * bundles), 1, bundles), 0).astype(int)
+    full = [(0.0, b) for b in range(bundles)]
+    out = [[] for _ in sizes]
+    for at in np.argsort(-share / np.maximum(pieces, 1), kind="stable"):
+        taken = [heapq.heappop(full) for _ in range(pieces[at])]
+        for used, b in taken:
+            out[at].append(b)
+            heapq.heappush(full, (used + share[at] / pieces[at], b))
+    return out
+
+
+def _sent(held: list[np.ndarray]):
+    """(bundle, turn, query_id, vector, least, lists): each query once for each bundle that holds one of its lists, with bits for the bundle's lists."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                bits = _bits(part.column("lists"), max((int(own.max()) + 1 for own in held if len(own)), default=0))
+                for bundle, own in enumerate(held):
+                    rows = np.flatnonzero(bits[:, own].any(axis=1))
+                    if len(rows):
+                        columns = [part.column(name).take(pa.array(rows)) for name in ("turn", "query_id", "vector", "least")]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), bundle, np.int32)), *columns, _packed(bits[rows][:, own])], names=["bundle", "turn", "query_id", "vector", "least", "lists"])
+
+    return run
+
+
+def _product(held: list[np.ndarray], k: int, least: float):
+    """A bundle of lists and some queries: each query's k nearest in those of the lists that it asks for."""
+
+    def run(part: pa.Table, asked: pa.Table) -> pa.Table:
+        if not part.num_rows or not asked.num_rows:
+            return pa.table({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        lists = held[part.column("bundle")[0].as_py()]
+        of, ids = part.column("list").to_numpy(), part.column("id").to_numpy()
+        order = np.lexsort((ids, of))
+        of, ids, x = of[order], ids[order], _matrix(part.column("vector"))[order]
+        queries, q = asked.column("query_id").to_numpy(), _matrix(asked.column("vector"))
+        asks, bound = _bits(asked.column("lists"), len(lists)), np.maximum(asked.column("least").to_numpy(), least)
+        top, named = np.full((len(queries), k), -np.inf), np.zeros((len(queries), k), np.int64)
+        for at, (start, end) in enumerate(zip(np.searchsorted(of, lists), np.searchsorted(of, lists, "right"), strict=True)):
+            mine = np.flatnonzero(asks[:, at])
+            for lo in range(start, end, ROWS):
+                v, names = x[lo : min(end, lo + ROWS)], ids[lo : min(end, lo + ROWS)]
+                for own in np.array_split(mine, max(1, -(-len(mine) * len(v) // TILE))):
+                    met = q[own] @ v.T
+                    row, col = np.nonzero(met >= (np.maximum(bound[own], top[own, -1]) - 1e-9)[:, None])
+                    r, i, s = own[row], names[col], np.round(met[row, col], 9)
+                    # What ties with the kth so far comes in by a smaller id only.
+                    near = (i != queries[r]) & (s >= least) & ((s > top[r, -1]) | ((s == top[r, -1]) & (i < named[r, -1])))
+                    if not near.any():
+                        continue
+                    r, i, s = r[near], i[near], s[near]
+                    touched = np.unique(r)
+                    r, i, s = (np.concatenate(both) for both in ((r, np.repeat(touched, k)), (i, named[touched].ravel()), (s, top[touched].ravel())))
+                    by = np.lexsort((i, -s, r))
+                    r, i, s = r[by], i[by], s[by]
+                    place = np.arange(len(r)) - np.searchsorted(r, r)
+                    first = place < k
+                    top[r[first], place[first]], named[r[first], place[first]] = s[first], i[first]
+        row, col = np.nonzero(top > -np.inf)
+        return pa.table({"query_id": queries[row], "id": named[row, col], "score": top[row, col]})
+
+    return run
+
+
+def _met(rows: DataFrame, sizes: np.ndarray, asked: DataFrame, k: int, least: float) -> DataFrame:
+    """(query_id, id, score): the k nearest of each query (query_id, vector, least, lists) in parts of the lists whose bits it has set; sizes bounds the rows of each list.
+
+    Lists are dealt into bundles and queries into turns, so a vector is sent once
+    a turn and a query once a bundle, however many of its lists it asks for.
+    """
+    spark = rows.sparkSession
+    tally = asked.select("lists").mapInArrow(_tallied(len(sizes)), "list int, n long").groupBy("list").agg(F.sum("n").alias("n")).collect()  # a row for each list
+    tally = {r["list"]: r["n"] for r in tally}
+    load = np.array([tally.get(at, 0) for at in range(len(sizes))], np.int64)
+    n, queries = int(sizes[load > 0].sum()), tally.get(-1, 0)
+    if not n or not queries:
+        return spark.createDataFrame([], "query_id long, id long, score double")
+    width = len(asked.select("vector").first()[0])
+    block = max(ROWS, CELLS // max(1, width))
+    # As many products for any input, of sides that send the least; more where a block would not fit its task.
+    products = max(1, min(max(PRODUCTS, 4 * spark.sparkContext.defaultParallelism), n * queries // (ROWS // 4) ** 2))
+    bundles = max(1, min(products, round((products * n / queries) ** 0.5)), -(-n // block))
+    turns = max(-(-products // bundles), -(-queries // block))
+    into = _bundled(sizes, load, bundles)
+    held = [np.array([at for at, own in enumerate(into) if bundle in own], np.int64) for bundle in range(bundles)]
+    plan = F.broadcast(spark.createDataFrame([(at, own) for at, own in enumerate(into) if own], "list int, into array<int>"))
+    v = rows.where(F.col("list").isin([at for at, own in enumerate(into) if own])).join(plan, "list")
+    v = v.select(F.get("into", F.pmod(F.xxhash64("id"), F.size("into")).cast("int")).alias("bundle"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), "list", "id", "vector")
+    q = asked.withColumn("turn", F.pmod(F.xxhash64("query_id"), F.lit(turns)).cast("int"))
+    q = q.mapInArrow(_sent(held), "bundle int, turn int, query_id long, vector array<double>, least double, lists binary")
+    return v.groupBy("bundle", "turn").cogroup(q.groupBy("bundle", "turn")).applyInArrow(_product(held, k, least), "query_id long, id long, score double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("place", place).where(F.col("place") <= k)
+
+
 def search(index: Index, queries: DataFrame, k: int, least: float = 0.0, visible: DataFrame | None = None, probes: int = PROBES, exact: bool = False) -> DataFrame:
     """(query_id, id, score, place): the k vectors of greatest cosine, `least` or more, of each query (query_id, vector), itself left out.
 
@@ -224,8 +323,8 @@ def search(index: Index, queries: DataFrame, k: int, least: float = 0.0, visible
     asked = unit_vectors(queries.withColumnRenamed("query_id", "id")).where(F.size("vector") == width).groupBy(F.col("id").alias("query_id")).agg(F.min("vector").alias("vector"))
     if not index.count:
         return spark.createDataFrame([], "query_id long, id long, score double, place int")
-    asked = cut(asked)
-    rows, sizes = index.rows, dict(enumerate(index.sizes.tolist()))
+    asked = asked.withColumn("least", F.lit(float(least)))
+    rows = index.rows
     if visible is not None:
         ids = cut(visible.select("id").distinct())
         seen = ids.count()
@@ -234,16 +333,17 @@ def search(index: Index, queries: DataFrame, k: int, least: float = 0.0, visible
             # The visible vectors in blocks of their own; all queries meet all of them.
             blocks = max(1, -(-seen // ROWS))
             rows = rows.drop("list").withColumn("list", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-            pairs = asked.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("list"))
-            return _best(_met(rows, {b: ROWS for b in range(blocks)}, pairs, asked, k, least), k)
+            every = np.packbits(np.ones(blocks, bool)).tobytes()
+            return _best(_met(rows, np.full(blocks, ROWS), cut(asked.withColumn("lists", F.lit(every))), k, least), k)
         probes = int(np.ceil(probes * index.count / max(seen, 1)))
     shared = spark.sparkContext.broadcast((index.centroids, index.radius, index.sizes > 0))
-    pairs = cut(asked.mapInArrow(_probed(shared, probes, False), "query_id long, list int"))
-    found = _best(_met(rows, sizes, pairs, asked, k, least), k)
+    marked = "query_id long, vector array<double>, least double, lists binary"
+    asked = cut(asked.mapInArrow(_probed(shared, probes), marked))
+    found = _best(_met(rows, index.sizes, asked, k, least), k)
     if not exact:
         return found
     found = cut(found)
-    kth = found.where(F.col("place") == k).select("query_id", F.col("score").alias("kth"))
-    open_ = asked.join(kth, "query_id", "left").withColumn("kth", F.greatest(F.coalesce("kth", F.lit(float(least))), F.lit(float(least))) - 1e-8)
-    more = cut(open_.mapInArrow(_probed(shared, probes, True), "query_id long, list int"))
-    return _best(found.drop("place").unionAll(_met(rows, sizes, more, asked, k, least)), k)
+    kth = found.where(F.col("place") == k).select("query_id", (F.col("score") - 1e-8).alias("kth"))
+    open_ = asked.join(kth, "query_id", "left").select("query_id", "vector", F.coalesce("kth", F.col("least") - 1e-8).alias("least"), "lists")
+    more = cut(open_.mapInArrow(_widened(shared), marked))
+    return _best(found.drop("place").unionAll(_met(rows, index.sizes, more, k, least)), k)

@@ -112,3 +112,39 @@ def test_index_is_written_once(spark, tmp_path):
     b = vector_index.stored("once", table, table)
     c = vector_index.stored("once", table, table, lists=3)
     assert a.rows.inputFiles() == b.rows.inputFiles() != c.rows.inputFiles() and len(c.sizes) == 3
+
+
+def test_what_is_sent_does_not_grow_with_the_lists(spark, tmp_path, monkeypatch):
+    """Every vector asks for all of many lists: it goes to each bundle once, not to each list."""
+    monkeypatch.setattr(vector_index, "ROWS", 32)
+
+    def counted(*_):
+        import uuid
+
+        import pyarrow as pa
+
+        return lambda part, asked: pa.table({"query_id": [uuid.uuid4().int % 2**62], "id": [part.num_rows + asked.num_rows], "score": [1.0]})
+
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(clustered(600, 8, 5))], DDL)
+    vector_index.built(table, str(tmp_path), lists=60)
+    index = vector_index.opened(spark, str(tmp_path))
+    monkeypatch.setattr(vector_index, "_product", counted)
+    sent = vector_index.search(index, table.withColumnRenamed("id", "query_id"), 5, -1.0, probes=60)
+    assert 2 * 600 <= sent.agg(F.sum("id")).first()[0] <= 16 * 600
+
+
+@pytest.mark.parametrize(("rows", "tile", "cells"), [(8, 16, 64), (64, 1 << 20, 1 << 23), (4096, 100, 256)])
+def test_ties_are_placed_by_id_in_blocks_of_any_size(spark, tmp_path, monkeypatch, rows, tile, cells):
+    for name, value in (("ROWS", rows), ("TILE", tile), ("CELLS", cells)):
+        monkeypatch.setattr(vector_index, name, value)
+    x = np.random.default_rng(2).integers(-2, 3, (300, 4)).astype(float)
+    x[~x.any(axis=1)] = 1.0
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], DDL)
+    vector_index.built(table, str(tmp_path), lists=9)
+    index = vector_index.opened(spark, str(tmp_path))
+    queries = table.withColumnRenamed("id", "query_id")
+    few = spark.createDataFrame([(i,) for i in range(0, 300, 11)], "id long")
+    seen = np.arange(300) % 11 == 0
+    for k, visible, mask in ((4, None, None), (2, few, seen)):
+        want = {q: e for q, e in plain(x, list(range(300)), k, 0.6, mask).items() if e}
+        assert found(vector_index.search(index, queries, k, 0.6, visible, probes=2, exact=True)) == want
