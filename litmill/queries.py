@@ -273,17 +273,18 @@ def nearest_vectors(c):
     return graph.nearest(v, v.where("chunk_id % 100 = 0"), 6, 0.3).select("query_id", "id", F.round("score", 6).alias("score"), "place")
 
 
-@query(f"""{_KNN} SELECT least(query_id, id) AS a, greatest(query_id, id) AS b, round(max(score), 6) AS weight FROM r WHERE place <= 6 GROUP BY 1, 2""")
-def topic_graph(c):
-    v = c.vectors()
-    return graph.undirected(graph.nearest(v, v.where("chunk_id % 100 = 0"), 6, 0.3)).select("a", "b", F.round("weight", 6).alias("weight"))
-
-
 def _vector_index(c: Catalog) -> vector_index.Index:
     """All chunk vectors, written once for each state of the table."""
     return vector_index.stored("vectors", c.table("embeddings"), c.vectors().select(F.col("chunk_id").alias("id"), "vector"))
 
 
+@query(f"""{_KNN.replace("q.chunk_id % 100 = 0 AND ", "")} SELECT least(query_id, id) AS a, greatest(query_id, id) AS b, round(max(score), 6) AS weight FROM r WHERE place <= 6 GROUP BY 1, 2""")
+def topic_graph(c):
+    """The six nearest of every vector, as a graph: by the inverted file."""
+    queries = c.vectors().select(F.col("chunk_id").alias("query_id"), "vector")
+    return graph.undirected(vector_index.search(_vector_index(c), queries, 6, 0.3, exact=True)).select("a", "b", F.round("weight", 6).alias("weight"))
+
+
 def _asked(c: Catalog) -> DataFrame:
     return c.vectors().where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
 
