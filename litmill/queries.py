@@ -415,7 +415,7 @@ def paper_topics(c):
 @query()
 def topic_model(c):
     """Clusters of texts by TF-IDF, with their six strongest terms."""
-    placed, centres = textmine.clusters(textmine.tf_idf(c.texts()), 5, titles=c.texts().select("id", "title"))
+    placed, centres = textmine.text_clusters(c.texts(), 5, titles=c.texts().select("id", "title"))
     terms = textmine.cluster_terms(centres).groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda t: t["term"]), " ").alias("terms"))
     return placed.join(terms, "cluster", "left").select("id", "cluster", F.round("score", 4).alias("score"), "terms")
 
