@@ -386,7 +386,7 @@ def linked_works(c):
 @query()
 def topic_hierarchy(c):
     """Which topic is most like which; tested against a plain version."""
-    _, centres = textmine.clusters(textmine.tf_idf(c.texts()), 5, titles=c.texts().select("id", "title"))
+    _, centres = textmine.text_clusters(c.texts(), 5, titles=c.texts().select("id", "title"))
     return textmine.hierarchy(centres)
 
 

@@ -77,7 +77,7 @@ def shuffled(spark):
     return sum(os.path.getsize(f"{d}/{f}") for top in dirs for d, _, files in os.walk(str(top)) for f in files if f.startswith("shuffle_"))
 
 
-@pytest.mark.parametrize("name", ["topic_model"])
+@pytest.mark.parametrize("name", ["topic_model", "topic_hierarchy"])
 def test_little_is_written(spark, tables, name):
     """Weights were written out twice as rows, and each round's sums were shuffled and written in full: nineteen times the input in all."""
     before = written(spark) + shuffled(spark)
