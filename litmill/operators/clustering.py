@@ -27,17 +27,20 @@ from ..session import cut
 from .library import numbered
 
 #: Terms whose numbers, and cells of centroids (of 8 bytes) that go to all tasks, at most.
-KNOWN, CELLS = 1 << 20, 1 << 24
+KNOWN, CELLS = 1 << 19, 1 << 24
 #: Bags whose numbers and lengths are joined by a broadcast, at most.
 SENT = 1 << 21
 #: Letters of a title that are sorted; where seeds share them, whole titles are.
 HEAD = 24
 #: Bags, and entries of bags, that are held at a time; bits of a cell's number within its block.
-ROWS, ENTRIES, BLOCK = 4096, 1 << 20, 16
+ROWS, ENTRIES, BLOCK = 2048, 1 << 19, 16
 
 
 def _encoded(bag: Callable[..., Iterable[tuple[str, float]]], send: Broadcast, out: pa.Schema):
-    """(id, gaps, shares, mass, rare, rest): bags with the numbers of their known terms, each as its distance from the one before, and the squares' sum of their weights; the other terms with their shares."""
+    """(id, gaps, shares, mass, rare, rest): bags with the numbers of their known terms, each as its distance from the one before, and the squares' sum of their weights; the other terms with their shares.
+
+    Distances and shares are bytes, those of distances by place, three of each (CELLS are no more), as they pack better so.
+    """
 
     def block(found: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), out, strict=True)], schema=out)
@@ -59,7 +62,8 @@ def _encoded(bag: Callable[..., Iterable[tuple[str, float]]], send: Broadcast, o
                     own, x = np.array(terms, np.int32), np.array(shares, np.float64)
                     order = np.argsort(own, kind="stable")
                     own, x = own[order], x[order]
-                    found.append((i, np.diff(own, prepend=np.int32(0)), x, float(((x * factor[own]) ** 2).sum()), rare, rest))
+                    gaps = np.diff(own, prepend=np.int32(0)).astype("<i4").view(np.uint8).reshape(-1, 4).T[:3]
+                    found.append((i, gaps.tobytes(), x.tobytes(), float(((x * factor[own]) ** 2).sum()), rare, rest))
                     held += len(own) + len(rare)
                     if held >= ENTRIES or len(found) >= ROWS:
                         yield block(found)
@@ -112,13 +116,23 @@ def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 def _terms(part: pa.RecordBatch, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, term, weight) of the known terms of bags."""
-    row, gaps = _flat(part.column("gaps"))
-    total = np.cumsum(gaps, dtype=np.int64)
+    column = part.column("shares")
+    sizes = pc.binary_length(column).to_numpy() // 8
+    row = np.repeat(np.arange(len(column)), sizes)
+    packed = np.frombuffer(b"".join(part.column("gaps").to_pylist()), np.uint8)
+    shares = np.frombuffer(b"".join(column.to_pylist()), np.float64)
+    at = np.arange(len(row)) + np.repeat(2 * (np.cumsum(sizes) - sizes), sizes)
+    step = np.repeat(sizes, sizes)
+    gaps = packed[at].astype(np.int64)
+    for shift in (8, 16):
+        at += step
+        gaps += packed[at].astype(np.int64) << shift
+    total = np.cumsum(gaps)
     first = np.flatnonzero(np.diff(row, prepend=-1))
     base = np.zeros(part.num_rows, np.int64)
     base[row[first]] = total[first] - gaps[first]
     terms = total - base[row]
-    return row, terms, _flat(part.column("shares"))[1] * factor[terms]
+    return row, terms, shares * factor[terms]
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,9 +389,10 @@ def clustered(rows: DataFrame, bag: Callable[..., Iterable[tuple[str, float]]],
     factor = found.column("factor").to_numpy()
     index = dict(zip(found.column("term").to_pylist(), range(len(factor)), strict=True))
     send = spark.sparkContext.broadcast((index, factor))
+    del found, index
     rare = frequency.where(F.col("df") < least)
     tailed = not rare.isEmpty()
-    schema = f"id {kind}, gaps array<int>, shares array<double>, mass double, rare array<string>, rest array<double>"
+    schema = f"id {kind}, gaps binary, shares binary, mass double, rare array<string>, rest array<double>"
     each = _stored(rows.mapInArrow(_encoded(bag, send, to_arrow_schema(StructType.fromDDL(schema))), schema))
     norm = each.select("id", F.sqrt("mass").alias("norm"))
     if tailed:
